@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 
 from millrace.functions.values import is_datetime, is_numeric
 
-DEFAULT_RANGES = 64
+MIN_RANGES, MAX_RANGES = 8, 256
+
+
+def default_ranges(df: DataFrame) -> int:
+    """As many value ranges as the session has shuffle partitions, within bounds."""
+    return max(MIN_RANGES, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def order_proxy(col: Column, dtype: T.DataType) -> Column:
@@ -26,7 +31,7 @@ def order_proxy(col: Column, dtype: T.DataType) -> Column:
     return F.conv(F.substring(head, 1, 12), 16, 10).cast("double")
 
 
-def range_cuts(df: DataFrame, proxy: Column, ranges: int = DEFAULT_RANGES) -> list[float]:
+def range_cuts(df: DataFrame, proxy: Column, ranges: int) -> list[float]:
     """Approximate quantiles of the proxy: at most ``ranges`` numbers reach the driver.
 
     They balance the work and never change a result, so an approximate sketch is enough.
@@ -48,7 +53,8 @@ def range_number(proxy: Column, cuts: Sequence[float]) -> Column:
     return branch(0, len(cuts))
 
 
-def _spread(df: DataFrame, order: Sequence[str], ranges: int) -> DataFrame:
+def _spread(df: DataFrame, order: Sequence[str], ranges: int | None) -> DataFrame:
+    ranges = ranges or default_ranges(df)
     dtype = df.schema[order[0]].dataType
     proxy = order_proxy(F.col(order[0]), dtype)
     return df.withColumn("_range", range_number(proxy, range_cuts(df, proxy, ranges)))
@@ -59,7 +65,7 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[str],
     totals: Mapping[str, Column],
-    ranges: int = DEFAULT_RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of each measure in ``order`` within ``keys``; adds the named columns.
 
@@ -79,7 +85,7 @@ def running_totals(
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", ranges: int = DEFAULT_RANGES
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", ranges: int | None = None
 ) -> DataFrame:
     """Adds the 1-based position of each row in ``order`` within ``keys`` (global if none)."""
     return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, ranges)
@@ -87,7 +93,7 @@ def positions(
 
 def running_extreme(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, largest: bool = True,
-    ranges: int = DEFAULT_RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Adds the best ``value`` seen so far in ``order`` within ``keys``."""
     best = F.max if largest else F.min
@@ -102,7 +108,7 @@ def running_extreme(
 
 
 def carry_last(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, ranges: int = DEFAULT_RANGES
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, ranges: int | None = None
 ) -> DataFrame:
     """Adds the last non-NULL ``value`` at or before each row in ``order`` within ``keys``."""
     tagged = _spread(df, order, ranges)

@@ -8,6 +8,8 @@ FAMILIES: tuple[str, ...] = (
     "feature_queries",
     "profile_queries",
     "sql_queries",
+    "evaluation_queries",
+    "preparation_queries",
 )
 
 

@@ -190,7 +190,7 @@ _register(
            (SELECT max(o.o_totalprice) FROM source_dataset o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F') AS largest_f,
            x.mean_price AS mean_price
     FROM secondary_dataset c JOIN spend s ON s.o_custkey = c.c_custkey,
-    LATERAL (SELECT round(avg(o.o_totalprice), 2) AS mean_price FROM source_dataset o WHERE o.o_custkey = c.c_custkey) x
+    LATERAL (SELECT round(avg(o.o_totalprice), 6) AS mean_price FROM source_dataset o WHERE o.o_custkey = c.c_custkey) x
     WHERE s.spent > (SELECT avg(spent) FROM spend)
     """,
     "customer",

@@ -10,6 +10,8 @@ FAMILIES: tuple[str, ...] = (
     "sql_queries",
     "evaluation_queries",
     "preparation_queries",
+    "corpus_queries",
+    "retrieval_queries",
 )
 
 

@@ -10,23 +10,36 @@ def dot(left: Column, right: Column) -> Column:
 
 
 def unit(col: Column) -> Column:
-    """Unit length; a zero vector stays zero."""
+    """Unit length; a zero vector stays zero.
+
+    The outer one-element transform binds the norm, which would otherwise be computed per element.
+    """
     norm = F.sqrt(F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(col, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    scaled = F.transform(F.array(F.when(norm == 0, F.lit(1.0)).otherwise(norm)), lambda n: F.transform(col, lambda x: x / n))
+    return F.element_at(scaled, 1)
+
+
+def cosine(left: Column, right: Column) -> Column:
+    """Dot product of the two directions; 0 if either vector is zero."""
+    length = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
+    return F.coalesce(dot(left, right) / F.nullif(length, F.lit(0.0)), F.lit(0.0))
 
 
 def terms(col: Column) -> Column:
-    """Lower-case runs of letters and digits, the word ``empty`` if there are none."""
-    found = F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.when(F.size(found) == 0, F.array(F.lit("empty"))).otherwise(found)
+    """Lower-case runs of letters and digits, the word ``empty`` if there are none.
+
+    May hold empty strings at the ends, to be filtered after exploding.
+    """
+    lowered = F.lower(F.coalesce(col, F.lit("")))
+    return F.split(F.when(lowered.rlike(r"[\p{L}\p{N}]"), lowered).otherwise(F.lit("empty")), r"[^\p{L}\p{N}]+")
 
 
-def term_bucket(term: Column, dimension: int) -> Column:
+def term_bucket(digest: Column, dimension: int) -> Column:
     """First four bytes of the term's sha256, modulo the dimension."""
-    return (F.conv(F.substring(F.sha2(term, 256), 1, 8), 16, 10).cast("bigint") % dimension).cast("int")
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dimension).cast("int")
 
 
-def term_weight(term: Column) -> Column:
+def term_weight(term: Column, digest: Column) -> Column:
     """1 + ln(1 + length), negative when the fifth byte of the sha256 is odd."""
-    odd = F.conv(F.substring(F.sha2(term, 256), 10, 1), 16, 10).cast("int") % 2 == 1
+    odd = F.substring(digest, 10, 1).isin(*"13579bdf")
     return F.when(odd, F.lit(-1.0)).otherwise(F.lit(1.0)) * (1 + F.log1p(F.length(term).cast("double")))

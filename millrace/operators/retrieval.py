@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import text as X
 from millrace.functions import vectors as V
@@ -34,17 +34,22 @@ def hashed_embeddings(df: DataFrame, key: str, text: str, dimension: int = DIMEN
     size = max(MIN_DIMENSION, dimension)
     body = F.concat(F.lit(instruction + "\n"), F.coalesce(text, F.lit(""))) if instruction else F.col(text)
     words = df.select(key, body.alias("_t")).repartition(key).select(key, F.explode(V.terms(F.col("_t"))).alias("_w"))
-    entries = words.groupBy(key, V.term_bucket(F.col("_w"), size).alias("_b")).agg(F.sum(V.term_weight(F.col("_w"))).alias("_x"))
-    packed = entries.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_x"))).alias("_m"))
+    hashed = words.where("_w <> ''").withColumn("_d", F.sha2("_w", 256))
+    entries = hashed.groupBy(key, V.term_bucket(F.col("_d"), size).alias("_b")).agg(
+        F.sum(V.term_weight(F.col("_w"), F.col("_d"))).alias("_x")
+    )
+    packed = entries.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("_b", "_x"))).alias("_m"), F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_n")
+    )
+    norm = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.col("_n"))
     slots = F.sequence(F.lit(0), F.lit(size - 1))
-    dense = F.transform(slots, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    return packed.select(key, V.unit(dense).alias("embedding"))
+    return packed.select(key, F.transform(slots, lambda i: F.coalesce(F.try_element_at("_m", i) / norm, F.lit(0.0))).alias("embedding"))
 
 
-def embed_query(spark: SparkSession, query: str, dimension: int = DIMENSION, instruction: str = "") -> DataFrame:
-    """One row (embedding) for a query text."""
+def embed_query(spark: SparkSession, query: str, dimension: int = DIMENSION, instruction: str = "") -> list[float]:
+    """The vector of one query text, made by the same expressions as the index."""
     row = spark.range(1).select("id", F.lit(query).alias("q"))
-    return hashed_embeddings(row, "id", "q", dimension, instruction).select("embedding")
+    return hashed_embeddings(row, "id", "q", dimension, instruction).first()["embedding"]
 
 
 def source_records(references: DataFrame, examples: DataFrame | None = None) -> DataFrame:
@@ -95,12 +100,12 @@ def clamp_results(limit: int | None) -> int:
     return max(1, min(int(limit or DEFAULT_RESULTS), MAX_RESULTS))
 
 
-def search(index: DataFrame, query_vector: Column, tags: Sequence[str] = (), limit: int = DEFAULT_RESULTS, key: str = "reference_id") -> DataFrame:
+def search(index: DataFrame, query_vector: Sequence[float], tags: Sequence[str] = (), limit: int = DEFAULT_RESULTS, key: str = "reference_id") -> DataFrame:
     """The best records by cosine similarity; records without a wanted tag lose a little.
 
-    ``query_vector`` is a literal or a scalar subquery. Ranking is a bounded heap per task.
+    The one query vector enters as a literal. Ranking is a bounded heap per task.
     """
-    score = V.dot(V.unit(F.transform("embedding", lambda x: x.cast("double"))), V.unit(F.transform(query_vector, lambda x: x.cast("double"))))
+    score = V.cosine(F.col("embedding").cast("array<double>"), F.lit([float(x) for x in query_vector]))
     wanted = sorted({t.strip().lower() for t in tags if t.strip()})
     if wanted:
         hit = F.arrays_overlap(F.transform("tags", lambda t: F.lower(F.trim(t))), F.array(*[F.lit(t) for t in wanted]))

@@ -85,7 +85,7 @@ def retrieval_index_status(spark, sf_dir):
 )
 def retrieval_search_vectors(spark, sf_dir):
     index = table(spark, sf_dir, "embeddings").withColumn("tags", F.array(F.concat(F.lit("Label "), F.col("label").cast("string"))))
-    probe = index.where("vec_id = 0").select("embedding").scalar()
+    probe = index.where("vec_id = 0").first()["embedding"]
     found = R.search(index, probe, ["label 1", "LABEL 2"], 50, key="vec_id")
     return found.select("vec_id", "label", "score")
 
@@ -102,7 +102,7 @@ def retrieval_search_vectors(spark, sf_dir):
 def retrieval_search_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("lang").alias("tags"))
     index = R.hashed_embeddings(docs, "doc_id", "text").join(docs.select("doc_id", "tags"), "doc_id")
-    probe = R.embed_query(spark, "the thing on hand and the elle").scalar()
+    probe = R.embed_query(spark, "the thing on hand and the elle")
     return R.search(index, probe, ["fr"], 10, key="doc_id").select("doc_id", "score")
 
 

@@ -12,6 +12,7 @@ FAMILIES: tuple[str, ...] = (
     "preparation_queries",
     "corpus_queries",
     "retrieval_queries",
+    "registry_queries",
 )
 
 

@@ -13,6 +13,7 @@ FAMILIES: tuple[str, ...] = (
     "corpus_queries",
     "retrieval_queries",
     "registry_queries",
+    "run_queries",
 )
 
 

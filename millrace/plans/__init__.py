@@ -14,6 +14,7 @@ FAMILIES: tuple[str, ...] = (
     "retrieval_queries",
     "registry_queries",
     "run_queries",
+    "source_queries",
 )
 
 

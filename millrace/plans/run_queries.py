@@ -158,10 +158,7 @@ _TARGET = """CASE WHEN k % 6 = 0 THEN 'gpu|queue:lane-gpu-1' WHEN k % 6 = 1 THEN
 
 @query("run_compute_target", "RUN-8", f"WITH {_RUNS} SELECT run_id, split_part({_TARGET}, '|', 1) AS compute_target, split_part({_TARGET}, '|', 2) AS compute_reason FROM u")
 def run_compute_target(spark, sf_dir):
-    nested = _runs(spark, sf_dir)
-    # The device sits inside a nested value; to_json of the map escapes it, so it is unwrapped first.
-    inner = F.transform_values("parameters", lambda k, v: F.when(v.startswith("{"), F.get_json_object(v, "$.trainer.accelerator")).otherwise(v))
-    return U.compute_target(nested.withColumn("parameters", inner)).select("run_id", "compute_target", "compute_reason")
+    return U.compute_target(_runs(spark, sf_dir)).select("run_id", "compute_target", "compute_reason")
 
 
 @query(
@@ -211,9 +208,7 @@ def run_merge_groups(spark, sf_dir):
         count(*) FILTER (WHERE t = 'cpu') AS cpu_runs, count(*) FILTER (WHERE t = 'gpu') AS gpu_runs FROM c""",
 )
 def run_counts(spark, sf_dir):
-    nested = _runs(spark, sf_dir)
-    inner = F.transform_values("parameters", lambda k, v: F.when(v.startswith("{"), F.get_json_object(v, "$.trainer.accelerator")).otherwise(v))
-    return U.run_counts(nested.withColumn("parameters", inner))
+    return U.run_counts(_runs(spark, sf_dir))
 
 
 @query(
@@ -276,7 +271,6 @@ def run_artifacts(spark, sf_dir):
 _APP = r"""a AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'trace of token=t' || event_id ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || ' | app.' || event_type || ' | INFO | got https://u:p@h/x?api_key=k'
         || event_id || '&v=1 with password: "p' || event_id || '", Bearer abc.' || event_id END AS line, date_trunc('second', ts) AS t, event_type FROM events)"""
 _APP_CLEAN = """CASE WHEN event_id % 9 = 0 THEN 'trace of token=[REDACTED]' ELSE 'got https://[REDACTED]@h/x?api_key=[REDACTED] with password: [REDACTED], Bearer [REDACTED]' END"""
-_APP_CLEAN_V = """CASE WHEN event_id % 9 = 0 THEN 'trace of token=[REDACTED]' ELSE 'got https://[REDACTED]@h/x?api_key=[REDACTED] with password: [REDACTED], Bearer [REDACTED]' END"""
 
 
 def app_lines(spark, sf_dir):

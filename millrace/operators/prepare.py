@@ -76,16 +76,16 @@ class FeatureEncoding:
         dummies = [f"{c}_{v}" for c, values in self.categories.items() for v in [*values, "nan"]]
         return [*self.numeric, *self.times, *dummies]
 
-    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    def transform(self, df: DataFrame, keep: Sequence[str] = (), prefix: str = "") -> DataFrame:
         """Double columns only: imputed numbers, epoch seconds and one column per category."""
         out: list[Column] = [_c(c) for c in keep]
         for c, mean in self.numeric.items():
-            out.append(F.coalesce(V.as_double(_c(c), df.schema[c].dataType), F.lit(mean)).alias(c))
+            out.append(F.coalesce(V.as_double(_c(c), df.schema[c].dataType), F.lit(mean)).alias(prefix + c))
         for c, mean in self.times.items():
-            out.append(F.coalesce(V.epoch_seconds(V.as_timestamp(_c(c), df.schema[c].dataType)), F.lit(mean)).alias(c))
+            out.append(F.coalesce(V.epoch_seconds(V.as_timestamp(_c(c), df.schema[c].dataType)), F.lit(mean)).alias(prefix + c))
         for c, values in self.categories.items():
-            out += [F.coalesce((_c(c) == v).cast("double"), F.lit(0.0)).alias(f"{c}_{v}") for v in values]
-            out.append(_c(c).isNull().cast("double").alias(f"{c}_nan"))
+            out += [F.coalesce((_c(c) == v).cast("double"), F.lit(0.0)).alias(f"{prefix}{c}_{v}") for v in values]
+            out.append(_c(c).isNull().cast("double").alias(f"{prefix}{c}_nan"))
         return df.select(*out)
 
     def assemble(self, df: DataFrame, keep: Sequence[str] = (), output: str = "features") -> DataFrame:
@@ -93,12 +93,12 @@ class FeatureEncoding:
         coded = df
         for c in self.wide:
             coded = with_category_code(coded, c, f"_code_{c}")
-        plain = self.transform(coded, [*keep, *[f"_code_{c}" for c in self.wide]])
+        plain = self.transform(coded, [*keep, *[f"_code_{c}" for c in self.wide]], prefix="_f_")
         blocks = [f"_hot_{c}" for c in self.wide]
         if blocks:
             encoder = OneHotEncoder(inputCols=[f"_code_{c}" for c in self.wide], outputCols=blocks, dropLast=False)
             plain = encoder.fit(plain).transform(plain)
-        return VectorAssembler(inputCols=[*self.columns, *blocks], outputCol=output).transform(plain).select(*keep, output)
+        return VectorAssembler(inputCols=[*[f"_f_{c}" for c in self.columns], *blocks], outputCol=output).transform(plain).select(*keep, output)
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:

@@ -15,6 +15,9 @@ FAMILIES: tuple[str, ...] = (
     "registry_queries",
     "run_queries",
     "source_queries",
+    "model_queries",
+    "whatif_queries",
+    "stream_queries",
 )
 
 

@@ -96,13 +96,13 @@ def eval_metric_choice(spark, sf_dir):
     "eval_output_summary",
     "ML-7",
     """SELECT count(*) AS output_rows, 2 AS output_columns,
-       (SELECT round(avg(x), 6) FROM (SELECT l_quantity AS x FROM lineitem UNION ALL SELECT l_discount FROM lineitem)) AS output_mean,
-       (SELECT round(stddev_pop(x), 6) FROM (SELECT l_quantity AS x FROM lineitem UNION ALL SELECT l_discount FROM lineitem)) AS output_std
+       (SELECT round(avg(x), 4) FROM (SELECT l_quantity AS x FROM lineitem UNION ALL SELECT l_discount FROM lineitem)) AS output_mean,
+       (SELECT round(stddev_pop(x), 4) FROM (SELECT l_quantity AS x FROM lineitem UNION ALL SELECT l_discount FROM lineitem)) AS output_std
        FROM lineitem""",
 )
 def eval_output_summary(spark, sf_dir):
     summary = E.output_summary(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"])
-    return summary.withColumns({"output_mean": F.round("output_mean", 6), "output_std": F.round("output_std", 6)})
+    return summary.withColumns({"output_mean": F.round("output_mean", 4), "output_std": F.round("output_std", 4)})
 
 
 _WATCHED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions import text as X
+from millrace.session import durable
 
 # ---------------------------------------------------------------------------
 # Limits, label words, the record layout and required outputs.
@@ -63,14 +64,12 @@ def clean_tags(tags: Column) -> Column:
 
 def build_references(df: DataFrame, text: str, tags: str | None = None, summary: str | None = None) -> DataFrame:
     """Adds summary, content hash, lengths, excerpts and clean tags to a table of texts."""
-    redacted = X.redact(F.col(text))
-    flat = X.squeeze(redacted)
-    out = df.withColumns({"_redacted": redacted, "_flat": flat}).withColumns({
+    out = df.withColumn("_redacted", X.redact(F.col(text))).withColumn("_flat", X.squeeze(F.col("_redacted"))).withColumns({
         "content_hash": F.when(F.col("_flat") != "", F.sha2("_flat", 256)),
         "content_length": F.length(F.coalesce(text, F.lit(""))),
         "redacted_length": F.length("_redacted"),
         "excerpts": F.when(F.col("_flat") == "", F.array().cast("array<string>")).otherwise(X.excerpts(F.col("_flat"))),
-        "summary": F.coalesce(F.nullif(F.col(summary), F.lit("")), X.summarise(F.col("_flat"))) if summary else X.summarise(F.col("_flat")),
+        "summary": F.coalesce(F.nullif(F.col(summary), F.lit("")), X.summarise_flat(F.col("_flat"))) if summary else X.summarise_flat(F.col("_flat")),
     })
     if tags:
         out = out.withColumn("tags", clean_tags(F.col(tags)))
@@ -78,15 +77,15 @@ def build_references(df: DataFrame, text: str, tags: str | None = None, summary:
 
 
 def sync_references(files: DataFrame, path: str, text: str, stored: DataFrame | None = None, max_bytes: int = MAX_SOURCE_BYTES) -> DataFrame:
-    """Adds ``content_hash`` and ``outcome``: created, too_large, empty or duplicate_hash.
+    """(path, content_hash, outcome): created, too_large, empty or duplicate_hash.
 
     Of equal texts the first path is created. That path is found by an aggregate per hash and
-    joined back on the path, so a text shared by a third of all files meets no hot join key.
+    joined back on the path, so a text shared by a third of all files meets no hot join key. The
+    texts are hashed once; only paths and hashes are written to the shared store and joined.
     """
-    sized = files.withColumn("_large", F.octet_length(text) > max_bytes).withColumn(
-        "content_hash", F.when(~F.col("_large"), X.content_hash(F.col(text)))
-    )
-    firsts = sized.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min(path).alias("_first"))
+    large = F.octet_length(text) > max_bytes
+    sized = durable(files.select(path, large.alias("_large"), F.when(~large, X.content_hash(F.col(text))).alias("content_hash")))
+    firsts = sized.groupBy("content_hash").agg(F.min(path).alias("_first")).where(F.col("content_hash").isNotNull())
     if stored is not None:
         known = stored.select("content_hash").where(F.col("content_hash").isNotNull()).distinct()
         firsts = firsts.join(known, "content_hash", "left_anti")
@@ -95,7 +94,7 @@ def sync_references(files: DataFrame, path: str, text: str, stored: DataFrame |
         F.when(F.col("_large"), "too_large").when(F.col("content_hash").isNull(), "empty")
         .when(F.col("_new"), "created").otherwise("duplicate_hash")
     )
-    return sized.join(created, path, "left").withColumn("outcome", outcome).drop("_large", "_new")
+    return sized.join(created, path, "left").withColumn("outcome", outcome).select(path, "content_hash", "outcome")
 
 
 def list_references(
@@ -313,9 +312,9 @@ def instruction_examples(records: DataFrame, system: str = SYSTEM_MESSAGE, defau
     draft, registry metadata, review and quality signals, else the whole record.
     """
     fields = [F.coalesce(F.col(c), F.lit("")) for c in ("prompt", "workflow_type", "asset_summary", "content")]
-    parts = F.filter(F.array(*fields), lambda p: F.trim(F.regexp_replace(p, X.SPACES, " ")) != "")
-    joined = F.regexp_replace(F.array_join(parts, "\n"), r"(?U)^\s+|\s+$", "")
-    prompt = F.when(joined == "", F.lit(default_prompt)).otherwise(joined)
+    parts = F.filter(F.array(*fields), lambda p: p.rlike(f"[^{X.SPACE_SET}]"))
+    joined = F.regexp_replace(F.array_join(parts, "\n"), f"^{X.SPACES}|{X.SPACES}$", "")
+    prompt = F.coalesce(F.nullif(joined, F.lit("")), F.lit(default_prompt))
 
     def filled(name: str) -> Column:
         return F.when(~F.coalesce(F.col(name), F.lit("")).isin("", "{}", "[]", "null"), F.col(name))

@@ -1,7 +1,8 @@
 """Value distributions of many columns at once.
 
 ``value_counts`` is the shared first step of distinct counts, modes, exact quantiles and two-sample
-tests. A value that fills a third of the table is one row after the map-side combine. Spark's own
+tests. A value that fills a third of the table is one row after the map-side combine. Where counts
+are used several times they are written once to the shared store. Spark's own
 ``mode``, ``median`` and ``percentile`` keep every distinct value in one aggregation buffer and
 are avoided for that reason.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.values import as_double
 from millrace.operators.ordered import running_totals
+from millrace.session import durable
 
 
 def melt_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -35,7 +37,7 @@ def most_frequent(df: DataFrame, column: str) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """(column, share, value): linearly interpolated quantiles, exact at any size."""
-    counts = running_totals(value_counts(df, columns), ["column"], ["value"], {"upto": F.col("n")})
+    counts = running_totals(durable(value_counts(df, columns)), ["column"], ["value"], {"upto": F.col("n")})
     sizes = counts.groupBy("column").agg(F.max("upto").alias("size"))
     ranked = counts.join(sizes, "column").select("column", "value", "size", "upto", (F.col("upto") - F.col("n")).alias("below"))
     parts = []
@@ -80,7 +82,7 @@ def two_sample_distance(reference: DataFrame, current: DataFrame, columns: Seque
 
     Columns without values on either side are left out.
     """
-    both = (
+    both = durable(
         melt_numeric(reference, columns).withColumn("side", F.lit(0))
         .unionByName(melt_numeric(current, columns).withColumn("side", F.lit(1)))
         .groupBy("column", "value")

@@ -1,7 +1,7 @@
 """Column profile, analysis summary and the reports built on them.
 
-Two passes over the table whatever its width: one aggregate without a shuffle (missing cells and
-moments) and one count per (column, value), which yields distinct counts and modes together.
+Two passes over the table whatever its width: one aggregate per column (missing cells and moments)
+and one count per (column, value), which yields distinct counts and modes together.
 """
 
 from __future__ import annotations
@@ -35,11 +35,6 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _missing(name: str, dtype: T.DataType) -> Column:
-    col = _c(name)
-    return (col.isNull() | F.isnan(col)) if isinstance(dtype, (T.DoubleType, T.FloatType)) else col.isNull()
-
-
 def _key_text(name: str, dtype: T.DataType) -> Column:
     col = V.nested_key(_c(name), dtype)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
@@ -84,31 +79,27 @@ def text_head_facts(df: DataFrame, columns: Sequence[str], order: Sequence[str])
 
 
 def _measured(df: DataFrame) -> DataFrame:
-    """One row per column from a single aggregate without a shuffle."""
-    parts: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(df.schema.fields):
-        parts.append(F.count_if(_missing(f.name, f.dataType)).alias(f"n{i}"))
-        if V.is_numeric(f.dataType):
-            number = V.as_double(_c(f.name), f.dataType)
-            parts += [
-                F.avg(number).alias(f"a{i}"), F.stddev_samp(number).alias(f"s{i}"),
-                F.min(number).alias(f"l{i}"), F.max(number).alias(f"h{i}"),
-            ]
-    none = F.lit(None).cast("double")
-    entries = []
-    for i, f in enumerate(df.schema.fields):
+    """One row per column: rows, missing cells and moments.
+
+    Cells become (column, number, present) rows, so the plan does not grow with the width of the
+    table, and are combined per column before the shuffle.
+    """
+    cells = []
+    for f in df.schema.fields:
         numeric = V.is_numeric(f.dataType)
-        entries.append(
-            F.struct(
-                F.lit(i).alias("position"), F.lit(f.name).alias("column"),
-                F.lit(f.dataType.simpleString()).alias("dtype"),
-                F.lit("numeric" if numeric else "datetime" if V.is_datetime(f.dataType) else "text").alias("base"),
-                F.col(f"n{i}").alias("null_count"),
-                (F.col(f"a{i}") if numeric else none).alias("mean"), (F.col(f"s{i}") if numeric else none).alias("std"),
-                (F.col(f"l{i}") if numeric else none).alias("min"), (F.col(f"h{i}") if numeric else none).alias("max"),
-            )
-        )
-    return df.agg(*parts).select("rows", F.explode(F.array(*entries)).alias("e")).select("rows", "e.*")
+        number = V.as_double(_c(f.name), f.dataType) if numeric else F.lit(None).cast("double")
+        present = number.isNotNull() if numeric else _c(f.name).isNotNull()
+        cells.append(F.struct(number.alias("number"), present.alias("present")).alias(f.name))
+    long = df.select(*cells).unpivot([], [_c(f.name) for f in df.schema.fields], "column", "cell")
+    facts = long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("cell.present")).alias("null_count"), F.avg("cell.number").alias("mean"),
+        F.stddev_samp("cell.number").alias("std"), F.min("cell.number").alias("min"), F.max("cell.number").alias("max"),
+    )
+    kinds = [(i, f.name, f.dataType.simpleString(), "numeric" if V.is_numeric(f.dataType) else "datetime" if V.is_datetime(f.dataType) else "text")
+             for i, f in enumerate(df.schema.fields)]
+    named = df.sparkSession.createDataFrame(kinds, "position int, column string, dtype string, base string")
+    counted = named.join(facts, "column", "left")
+    return counted.withColumns({"rows": F.coalesce("rows", F.lit(0)), "null_count": F.coalesce("null_count", F.lit(0))})
 
 
 def _distinct(df: DataFrame, exact: bool) -> DataFrame:

@@ -169,8 +169,9 @@ def lexical_scores(references: DataFrame, query: str = "", tags: Sequence[str] =
 
 def rank_references(references: DataFrame, query: str = "", tags: Sequence[str] = (), limit: int = DEFAULT_RESULTS) -> DataFrame:
     """Best references with a positive score, newest first among equals."""
-    scored = lexical_scores(references, query, tags).where("score > 0")
-    return scored.orderBy(F.desc("score"), F.desc("updated_at"), "reference_id").limit(clamp_results(limit))
+    scored = lexical_scores(references, query, tags)
+    best = scored.orderBy(F.desc("score"), F.desc("updated_at"), "reference_id").limit(clamp_results(limit))
+    return best.where("score > 0")  # after the cut: the same rows, and the score is computed once
 
 
 def selected_pack(references: DataFrame, ids: Sequence[str], query: str = "", tags: Sequence[str] = (), limit: int = DEFAULT_RESULTS) -> DataFrame:

@@ -195,18 +195,23 @@ def sensitivity_grid(df: DataFrame, features: Sequence[str], amplitude: float =
     return rows.withColumns(moved).withColumns({"feature": F.col("_p.feature"), "side": F.col("_p.side")}).drop("_p")
 
 
-def sensitivity(scored: DataFrame, key: Sequence[str], prediction: str = "prediction") -> DataFrame:
-    """(key, feature, lower, upper, impact, absolute_impact, rank) ordered by absolute impact per row."""
-    def at(side: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col(prediction)))
-
-    sides = scored.groupBy(*key, "feature").agg(at("lower").alias("lower"), at("upper").alias("upper"))
-    impact = F.round(F.col("upper") - F.col("lower"), 6)
-    ranked = sides.withColumns({"impact": impact, "absolute_impact": F.abs(impact)})
-    # At most MAX_FEATURES entries per key, so sorting them inside the group is bounded.
-    entries = F.array_sort(F.collect_list(F.struct((-F.col("absolute_impact")).alias("k"), "feature", "lower", "upper", "impact", "absolute_impact")))
-    packed = ranked.groupBy(*key).agg(entries.alias("_e"))
-    rows = packed.select(*key, F.posexplode("_e").alias("rank", "e"))
+def sensitivity(scored: DataFrame, key: Sequence[str], features: Sequence[str], prediction: str = "prediction") -> DataFrame:
+    """(key, rank, feature, lower, upper, impact, absolute_impact), largest impact first per row.
+
+    One aggregate per key holds both sides of the at most MAX_FEATURES features.
+    """
+    def at(feature: str, side: str) -> Column:
+        return F.max(F.when((F.col("feature") == feature) & (F.col("side") == side), F.col(prediction)))
+
+    parts = [at(c, side).alias(f"_{side}{i}") for i, c in enumerate(features) for side in ("lower", "upper")]
+    impact = lambda i: F.round(F.col(f"_upper{i}") - F.col(f"_lower{i}"), 6)
+    entries = F.array(*[
+        F.when(F.col(f"_lower{i}").isNotNull(), F.struct(
+            (-F.abs(impact(i))).alias("k"), F.lit(c).alias("feature"), F.col(f"_lower{i}").alias("lower"), F.col(f"_upper{i}").alias("upper"),
+            impact(i).alias("impact"), F.abs(impact(i)).alias("absolute_impact"),
+        )) for i, c in enumerate(features)
+    ])
+    rows = scored.groupBy(*key).agg(*parts).select(*key, F.posexplode(F.array_sort(F.array_compact(entries))).alias("rank", "e"))
     return rows.select(*key, (F.col("rank") + 1).alias("rank"), *[f"e.{c}" for c in ("feature", "lower", "upper", "impact", "absolute_impact")])
 
 

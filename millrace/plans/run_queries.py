@@ -309,7 +309,7 @@ def activity_lines(spark, sf_dir):
     SELECT source || ':' || row_number() OVER (ORDER BY t ASC NULLS FIRST, source, o) AS id, o AS "offset", message FROM x""",
 )
 def log_snapshot(spark, sf_dir):
-    entries = [L.app_entries(app_lines(spark, sf_dir), F.lit("app")), L.activity_entries(activity_lines(spark, sf_dir), F.lit("activity"))]
+    entries = [L.app_entries(app_lines(spark, sf_dir), F.lit("app"), redact=False), L.activity_entries(activity_lines(spark, sf_dir), F.lit("activity"), redact=False)]
     return L.snapshot(entries, 200).select("id", "offset", "message")
 
 

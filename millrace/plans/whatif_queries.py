@@ -120,7 +120,7 @@ def whatif_applied_drift(spark, sf_dir):
 )
 def whatif_sensitivity(spark, sf_dir):
     grid = W.sensitivity_grid(_lines(spark, sf_dir), _FEATURES, 0.1).withColumn("prediction", W.linear_score(_WEIGHTS, 100.0))
-    return W.sensitivity(grid, _KEY).select("line", "feature", (F.round("impact", 4) + 0.0).alias("impact"), "rank")
+    return W.sensitivity(grid, _KEY, [f for f in _FEATURES if f in _WEIGHTS]).select("line", "feature", (F.round("impact", 4) + 0.0).alias("impact"), "rank")
 
 
 @query(

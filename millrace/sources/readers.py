@@ -78,23 +78,25 @@ _CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1252": "windows-1252", "
 def infer_types(raw: DataFrame) -> DataFrame:
     """Typed columns of an all-text table: long, double or boolean where every present cell fits.
 
-    One aggregate looks at all columns. Dates stay text, as the profile expects.
+    Cells are turned into (column, cell) rows first, so the plan stays small however wide the
+    table is; counts per column are combined before the shuffle. Dates stay text, as the profile
+    expects.
     """
-    cells = {c: F.when(~F.trim(F.col(f"`{c}`")).isin(*MISSING_WORDS), F.col(f"`{c}`")) for c in raw.columns}
-    boolean = lambda c: F.when(F.lower(F.trim(c)).isin("true", "false"), F.lower(F.trim(c)).cast("boolean"))
-    whole = lambda c: F.when(F.trim(c).rlike(r"^[+-]?\d+$"), F.trim(c).try_cast("bigint"))
-    readings = {"long": whole, "double": lambda c: as_double(c, T.StringType()), "boolean": boolean}
-    parts = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(raw.columns):
-        parts.append(F.count(cells[c]).alias(f"n{i}"))
-        parts += [F.count(read(cells[c])).alias(f"{kind}{i}") for kind, read in readings.items()]
-    facts = raw.agg(*parts).first()
-    out = []
-    for i, c in enumerate(raw.columns):
-        fits = [k for k in readings if facts[f"{k}{i}"] == facts[f"n{i}"]]
-        kind = "double" if facts[f"n{i}"] == 0 else fits[0] if fits else None
-        out.append((readings[kind](cells[c]) if kind else cells[c]).alias(c))
-    return raw.select(*out)
+    cells = raw.unpivot([], [F.col(f"`{c}`") for c in raw.columns], "column", "cell")
+    cell = F.trim("cell")
+    present = F.when(~cell.isin(*MISSING_WORDS), cell)
+    facts = cells.select("column", present.alias("cell")).where("cell IS NOT NULL").groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("cell").rlike(r"^[+-]?\d+$") & F.col("cell").try_cast("bigint").isNotNull()).alias("long"),
+        F.count(as_double(F.col("cell"), T.StringType())).alias("double"), F.count_if(F.lower("cell").isin("true", "false")).alias("boolean"),
+    )
+    found = {r["column"]: next((k for k in ("long", "double", "boolean") if r[k] == r["n"]), "text") for r in facts.collect()}
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in MISSING_WORDS)
+    forms = {
+        "long": "try_cast(trim({c}) AS BIGINT)", "boolean": "try_cast(trim({c}) AS BOOLEAN)", "text": "if(trim({c}) IN ({words}), NULL, {c})",
+        "double": "nanvl(if(abs(try_cast(trim({c}) AS DOUBLE)) = double('inf'), NULL, try_cast(trim({c}) AS DOUBLE)), NULL)",
+    }
+    quoted = ["`" + c.replace("`", "``") + "`" for c in raw.columns]
+    return raw.selectExpr(*[f"{forms[found.get(c, 'double')].format(c=q, words=words)} AS {q}" for c, q in zip(raw.columns, quoted)])
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multi_line: bool = False) -> Loaded:

@@ -35,11 +35,27 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _key_text(name: str, dtype: T.DataType) -> Column:
-    col = V.nested_key(_c(name), dtype)
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        col = col + F.lit(0.0)  # -0.0 and 0.0 are one value
-    return col.cast("string")
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _number_sql(f: T.StructField) -> str:
+    name = _quoted(f.name)
+    if isinstance(f.dataType, T.FractionalType) and not isinstance(f.dataType, T.DecimalType):
+        return f"if(isnan({name}) OR abs({name}) = double('inf'), NULL, double({name}))"
+    return f"CAST({name} AS DOUBLE)" if V.is_numeric(f.dataType) else "CAST(NULL AS DOUBLE)"
+
+
+def _key_sql(f: T.StructField) -> str:
+    """Cell as text: nested values as canonical JSON, -0.0 and 0.0 as one value."""
+    name = _quoted(f.name)
+    if isinstance(f.dataType, T.MapType):
+        return f"to_json(map_from_entries(array_sort(map_entries({name}))))"
+    if V.is_nested(f.dataType):
+        return f"to_json({name})"
+    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        return f"string(if(isnan({name}) OR abs({name}) = double('inf'), NULL, {name} + 0.0D))"
+    return f"CAST({name} AS STRING)"
 
 
 def head_values(df: DataFrame, column: str, order: Sequence[str], rows: int = HEAD_ROWS) -> DataFrame:
@@ -86,11 +102,10 @@ def _measured(df: DataFrame) -> DataFrame:
     """
     cells = []
     for f in df.schema.fields:
-        numeric = V.is_numeric(f.dataType)
-        number = V.as_double(_c(f.name), f.dataType) if numeric else F.lit(None).cast("double")
-        present = number.isNotNull() if numeric else _c(f.name).isNotNull()
-        cells.append(F.struct(number.alias("number"), present.alias("present")).alias(f.name))
-    long = df.select(*cells).unpivot([], [_c(f.name) for f in df.schema.fields], "column", "cell")
+        number = _number_sql(f)
+        present = number if V.is_numeric(f.dataType) else _quoted(f.name)
+        cells.append(f"named_struct('number', {number}, 'present', {present} IS NOT NULL) AS {_quoted(f.name)}")
+    long = df.selectExpr(*cells).unpivot([], [_c(f.name) for f in df.schema.fields], "column", "cell")
     facts = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("cell.present")).alias("null_count"), F.avg("cell.number").alias("mean"),
         F.stddev_samp("cell.number").alias("std"), F.min("cell.number").alias("min"), F.max("cell.number").alias("max"),
@@ -105,15 +120,11 @@ def _measured(df: DataFrame) -> DataFrame:
 def _distinct(df: DataFrame, exact: bool) -> DataFrame:
     """(column, unique_count, mode). Without ``exact`` distinct counts are estimated, modes left out."""
     fields = df.schema.fields
+    text = df.selectExpr(*[f"{_key_sql(f)} AS {_quoted(f.name)}" for f in fields])
+    cells = text.unpivot([], [_c(f.name) for f in fields], "column", "value").where(F.col("value").isNotNull())
     if not exact:
-        row = df.agg(*[F.approx_count_distinct(_key_text(f.name, f.dataType)).alias(f"u{i}") for i, f in enumerate(fields)])
-        entries = [F.struct(F.lit(f.name).alias("column"), F.col(f"u{i}").alias("unique_count")) for i, f in enumerate(fields)]
-        return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*", F.lit(None).cast("string").alias("mode"))
-    text = df.select(*[_key_text(f.name, f.dataType).alias(f.name) for f in fields])
-    counts = (
-        text.unpivot([], [_c(f.name) for f in fields], "column", "value").where(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
+        return cells.groupBy("column").agg(F.approx_count_distinct("value").alias("unique_count"), F.lit(None).cast("string").alias("mode"))
+    counts = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))
     return counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"), best["v"].alias("mode"))
 
@@ -131,7 +142,7 @@ def column_explorer(df: DataFrame, order: Sequence[str], exact: bool = True) ->
     else:
         out = out.withColumns({"datetime_confidence": F.lit(0.0), "kinds": F.lit(None).cast("string"), "mixed_type": F.lit(False)})
     first = df.orderBy(*order).limit(SAMPLE_ROWS)
-    shown = first.select(*[_key_text(f.name, f.dataType).alias(f.name) for f in df.schema.fields], F.struct(*order).alias("_k"))
+    shown = first.selectExpr(*[f"{_key_sql(f)} AS {_quoted(f.name)}" for f in df.schema.fields], f"struct({', '.join(_quoted(c) for c in order)}) AS _k")
     samples = (
         shown.unpivot(["_k"], [_c(f.name) for f in df.schema.fields], "column", "value").groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("_k", "value")))["value"].alias("v"))
@@ -273,7 +284,7 @@ def dataset_charts(explorer: DataFrame) -> DataFrame:
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """(rows, fingerprint): does not depend on row order, partitioning or file layout."""
-    cells = [F.coalesce(_key_text(f.name, f.dataType), F.lit("\\N")) for f in df.schema.fields]
+    cells = [F.coalesce(F.expr(_key_sql(f)), F.lit("\\N")) for f in df.schema.fields]
     digits = F.conv(F.substring(F.md5(F.concat_ws("\u0001", *cells)), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(digits), F.lit(0)).cast("string").alias("fingerprint"))
 

@@ -59,20 +59,31 @@ def sniff_delimiter(sample: str, extension: str = ".csv") -> str:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """utf-8-sig, utf-8, cp1252 or latin-1, decided over all lines without moving them."""
+    """utf-8, cp1252 or latin-1, decided over all lines without moving them.
+
+    A byte order mark is removed by Spark's line reader, so utf-8 covers files with and without.
+    """
     raw = spark.read.text(path)
     gaps = "|".join(CP1252_GAPS)
     facts = raw.agg(
         F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
         F.coalesce(F.bool_or(F.hex(F.col("value").cast("binary")).rlike(f"^(?:..)*(?:{gaps})")), F.lit(False)).alias("gap"),
-        F.coalesce(F.bool_or(F.hex(F.col("value").cast("binary")).startswith("EFBBBF")), F.lit(False)).alias("mark"),
     ).first()
     if facts["utf8"]:
-        return "utf-8-sig" if facts["mark"] else "utf-8"
+        return "utf-8"
     return "latin-1" if facts["gap"] else "cp1252"
 
 
-_CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
+# Spark's CSV reader knows no cp1252; it is read as latin-1 and its own characters are put right after.
+_CHARSETS = {"utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
+_CP1252_CODES = [b for b in range(0x80, 0xA0) if f"{b:02X}" not in CP1252_GAPS]
+_CP1252_READ = "".join(chr(b) for b in _CP1252_CODES)
+_CP1252_MEANT = bytes(_CP1252_CODES).decode("cp1252")
+
+
+def _as_cp1252(raw: DataFrame) -> DataFrame:
+    meant = str.maketrans(_CP1252_READ, _CP1252_MEANT)
+    return raw.select(*[F.translate(F.col(f"`{c}`"), _CP1252_READ, _CP1252_MEANT).alias(c.translate(meant)) for c in raw.columns])
 
 
 def infer_types(raw: DataFrame) -> DataFrame:
@@ -112,6 +123,8 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
         spark.read.option("header", True).option("sep", delimiter).option("encoding", _CHARSETS.get(code, code))
         .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
     )
+    if code == "cp1252":
+        raw = _as_cp1252(raw)
     first = raw.columns[0] if raw.columns else ""
     clean = raw.withColumnRenamed(first, first.lstrip("﻿")) if first.startswith("﻿") else raw
     return Loaded(infer_types(clean), "csv", delimiter, code)

@@ -33,7 +33,7 @@ def test_entry(spark):
 
 
 def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    return df.sparkSession.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):

@@ -50,6 +50,11 @@ def let(col: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(col), body), 1)
 
 
+def or_else(col: Column, default: str) -> Column:
+    """The text, or a default where it is empty."""
+    return let(col, lambda t: F.when(t == "", F.lit(default)).otherwise(t))
+
+
 def mentions(col: Column, words: Sequence[str]) -> Column:
     """Any of the lower-case words occurs, in any case. A quick test before a costly pattern."""
     return let(F.lower(col), lambda t: reduce(lambda a, b: a | b, [t.contains(w) for w in words]))
@@ -72,7 +77,7 @@ def summarise(col: Column, limit: int = SUMMARY_LIMIT) -> Column:
 
 def summarise_flat(flat: Column, limit: int = SUMMARY_LIMIT) -> Column:
     """Summary of text that is already squeezed."""
-    return F.coalesce(F.nullif(shorten(flat, limit), F.lit("")), F.lit(EMPTY_SUMMARY))
+    return or_else(shorten(flat, limit), EMPTY_SUMMARY)
 
 
 def excerpts(flat: Column, count: int = EXCERPT_COUNT, limit: int = EXCERPT_LIMIT) -> Column:

@@ -314,7 +314,7 @@ def instruction_examples(records: DataFrame, system: str = SYSTEM_MESSAGE, defau
     fields = [F.coalesce(F.col(c), F.lit("")) for c in ("prompt", "workflow_type", "asset_summary", "content")]
     parts = F.filter(F.array(*fields), lambda p: p.rlike(f"[^{X.SPACE_SET}]"))
     joined = F.regexp_replace(F.array_join(parts, "\n"), f"^{X.SPACES}|{X.SPACES}$", "")
-    prompt = F.coalesce(F.nullif(joined, F.lit("")), F.lit(default_prompt))
+    prompt = X.or_else(joined, default_prompt)
 
     def filled(name: str) -> Column:
         return F.when(~F.coalesce(F.col(name), F.lit("")).isin("", "{}", "[]", "null"), F.col(name))

@@ -309,7 +309,7 @@ _CLIP = """CASE WHEN length({0}) > 12000 THEN regexp_replace(substr({0}, 1, 1192
     "corpus_reference_records",
     "TXT-18 TXT-19",
     f"""WITH {REFERENCES_SQL}, t AS (SELECT *, {_REDACT.format('text')} AS red FROM r)
-    SELECT 'content_reference' AS source_type, content_hash AS source_hash, summary AS asset_summary, md5({_CLIP.format('red')}) AS content_md5,
+    SELECT 'content_reference' AS source_type, content_hash AS source_hash, {_REDACT.format('summary')} AS asset_summary, md5({_CLIP.format('red')}) AS content_md5,
       1 AS assistant_success, CAST(0.75 AS DOUBLE) AS assistant_quality_label, '' AS source_path FROM t""",
 )
 def corpus_reference_records(spark, sf_dir):

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import table_path
+from millrace.sources.readers import spread_rows
+
+# Long texts in one small file each: the work per row is worth a shuffle.
+TEXT_TABLES = ("documents",)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,4 +35,5 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Query], Q
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread_rows(df) if name in TEXT_TABLES else df

@@ -35,6 +35,15 @@ class Loaded:
     encoding: str | None = None
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Spread a table that comes in fewer pieces than there are task slots, before costly row work.
+
+    A large table already has more pieces and is returned as it is, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def capability_matrix(spark: SparkSession) -> DataFrame:
     uses = ("register", "inspect", "train", "predict", "simulate", "monitor")
     return spark.createDataFrame([(k, v, *[True] * len(uses)) for k, v in FORMATS.items()], ["extension", "label", *uses])

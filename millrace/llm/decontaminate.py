@@ -6,8 +6,8 @@ meets the hashes of the benchmark. A hit fixes how text and item lie on each oth
 are counted in every window of the item, so that substituted words cost only their own place.
 
 The benchmark is the small side by nature, yet its size is checked: it is dealt into blocks of at most
-``BLOCK_SEEDS`` hashes, and each block is broadcast (some ten MB) to one pass over the texts. Only texts
-with hits are counted through; Spark broadcasts their ids if they are few and else joins by id.
+``BLOCK_SEEDS`` hashes, and each block with the words around its seeds (some 50 MB) is broadcast to one pass
+over the texts. Texts are never shuffled, only the pairs found are.
 
 Defined results: NULL or wordless texts are clean. NULL items and items with fewer words than
 ``MIN_WORDS`` are no evidence and match nothing. Items shorter than a mask are sought by their first
@@ -31,8 +31,10 @@ SHORT_MASK = (0, 1, 2, 3, 4)
 MIN_WORDS = len(SHORT_MASK)
 WINDOW = 20
 SHARE = 0.8
-BLOCK_SEEDS = 300_000
+BLOCK_SEEDS = 100_000
 PIECE = 64
+#: Words before and behind the first word of a seed that a window with this word can reach.
+BEFORE, BEHIND = WINDOW - 1, WINDOW + 8
 SHORTEST = max(mask[-1] for mask in MASKS) + 1
 
 
@@ -59,48 +61,62 @@ def benchmark_items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     return items.where((F.size("item") >= MIN_WORDS) & F.col("item_id").isNotNull()).distinct()
 
 
+def aligned(hashes: Column, place: Column) -> Column:
+    """The words that may share a window with a seed at ``place``; NULL beyond either end."""
+    padded = F.concat(F.array_repeat(F.lit(None).cast("bigint"), BEFORE), hashes, F.array_repeat(F.lit(None).cast("bigint"), BEHIND))
+    return F.slice(padded, place + 1, F.lit(BEFORE + 1 + BEHIND))
+
+
 def benchmark_seeds(items: DataFrame, masks: Sequence[tuple[int, Sequence[int]]]) -> DataFrame:
-    """(seed, item_id, place) of every place of every item; the short mask only for items that need it."""
+    """(seed, item_id, words, around) of every place of every item; the short mask only for items that need it."""
     places = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("place"))
     parts = []
     for number, mask in masks:
         own = places if number < len(MASKS) else places.where((F.size("item") < SHORTEST) & (F.col("place") == 0))
-        parts.append(own.select(seed(F.col("item"), F.col("place"), number, mask).alias("seed"), "item_id", "place"))
+        parts.append(
+            own.select(
+                seed(F.col("item"), F.col("place"), number, mask).alias("seed"), "item_id", F.size("item").alias("words"),
+                aligned(F.col("item"), F.col("place")).alias("around"),
+            )
+        )
     return reduce(DataFrame.union, parts).where("seed IS NOT NULL").distinct()
 
 
 def best_window(equal: Column, words: Column) -> Column:
-    """Largest share of equal words in any window of ``WINDOW`` words (of the item, if it is shorter)."""
+    """Largest share of equal words in a window of ``WINDOW`` words (of the item's words, if it has fewer)."""
     width = F.least(words, F.lit(WINDOW))
     sums = F.transform(
-        F.sequence(F.lit(1), words - width + 1), lambda at: F.aggregate(F.slice(equal, at, width), F.lit(0), lambda s, x: s + x)
+        F.sequence(F.lit(1), F.size(equal) - width + 1), lambda at: F.aggregate(F.slice(equal, at, width), F.lit(0), lambda s, x: s + x)
     )
     return F.array_max(sums) / width
 
 
-def seed_hits(docs: DataFrame, seeds: DataFrame, masks: Sequence[tuple[int, Sequence[int]]]) -> DataFrame:
-    """(doc_id, item_id, shift): how item and text lie on each other wherever a seed is shared.
+def scored_hits(docs: DataFrame, seeds: DataFrame, masks: Sequence[tuple[int, Sequence[int]]]) -> DataFrame:
+    """(doc_id, item_id, overlap) of every shared seed.
 
-    A text goes on in pieces of ``PIECE`` words that overlap by a mask, so no row carries a long text.
+    A text goes on in pieces of ``PIECE`` words with the words around them that a window may reach, so
+    no row carries a long text and none has to be fetched again.
     """
-    reach = max(mask[-1] for _, mask in masks)
     pieces = let(
         word_hashes(F.col("t")),
-        lambda h: F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(PIECE)),
-            lambda at: F.struct(at.alias("from"), F.slice(h, at + 1, F.lit(PIECE + reach)).alias("h")),
+        lambda h: let(
+            F.concat(F.array_repeat(F.lit(None).cast("bigint"), BEFORE), h, F.array_repeat(F.lit(None).cast("bigint"), BEHIND)),
+            lambda padded: F.transform(
+                F.sequence(F.lit(0), F.greatest(F.size(padded) - (BEFORE + BEHIND + 1), F.lit(0)), F.lit(PIECE)),
+                lambda at: F.slice(padded, at + 1, F.lit(PIECE + BEFORE + BEHIND)),
+            ),
         ),
     )
-    rows = docs.select("doc_id", F.inline(pieces))
-    places = rows.select("doc_id", "from", "h", F.explode(F.sequence(F.lit(0), F.lit(PIECE - 1))).alias("k"))
-    every = places.select(
-        "doc_id", (F.col("from") + F.col("k")).alias("at"), F.explode(F.array(*[seed(F.col("h"), F.col("k"), n, m) for n, m in masks])).alias("seed")
-    )
-    return every.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    rows = docs.select("doc_id", F.explode(pieces).alias("h"))
+    places = rows.select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.lit(PIECE - 1))).alias("k"))
+    every = places.select("doc_id", "h", "k", F.explode(F.array(*[seed(F.col("h"), F.col("k") + BEFORE, n, m) for n, m in masks])).alias("seed"))
+    hits = every.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "words", "around", F.slice("h", F.col("k") + 1, F.lit(BEFORE + 1 + BEHIND)).alias("text"))
+    equal = F.zip_with("text", "around", lambda a, b: F.when(a == b, 1).otherwise(0))
+    return hits.select("doc_id", "item_id", let(equal, lambda e: best_window(e, F.col("words"))).alias("overlap"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, overlap): pairs with a window of at least ``share`` equal words."""
+    """(doc_id, item_id, overlap): pairs with a window of at least ``share`` equal words around a shared seed."""
     named = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("t"))
     items = benchmark_items(benchmark, item_key, item_text)
     sizes = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.count_if(F.size("item") < SHORTEST)).first()
@@ -109,31 +125,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     blocks = max(1, -(-sizes[0] * len(masks) // BLOCK_SEEDS))
     hits = reduce(
         DataFrame.union,
-        [seed_hits(named, seeds if blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b), masks) for b in range(blocks)],
-    )
-    hits = saved(hits.distinct() if blocks > 1 else hits, "seed-hits")
-    per_doc = saved(
-        hits.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("hits")), "hits-of-texts"
-    )
-    # Word k of the item lies on word shift + k of the text.
-    scored = let(
-        word_hashes(F.col("t")),
-        lambda h: F.transform(
-            F.col("hits"),
-            lambda x: F.struct(
-                x["item_id"].alias("item_id"),
-                best_window(
-                    F.transform(
-                        x["item"],
-                        lambda word, k: F.when((x["shift"] + k >= 0) & (F.get(h, F.greatest(x["shift"] + k, F.lit(0))) == word), 1).otherwise(0),
-                    ),
-                    F.size(x["item"]),
-                ).alias("overlap"),
-            ),
-        ),
+        [scored_hits(named, seeds if blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b), masks) for b in range(blocks)],
     )
-    found = named.join(per_doc, "doc_id").select("doc_id", F.inline(scored)).where(F.col("overlap") >= share)
-    return found.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"))
+    return hits.where(F.col("overlap") >= share).groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

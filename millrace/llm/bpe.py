@@ -4,7 +4,7 @@ Texts are cut by the tokenizer's pattern. The distinct pieces of a stretch of te
 symbols. An inverted index leads from a token pair's rank to its positions in all pieces; merges are
 applied in rank order, each to every position at once, and only the two neighbours of a merge enter the
 index anew. Each piece is then looked up for its ids. A stretch holds a bounded number of new pieces, and
-a task remembers a bounded number of pieces from earlier stretches; neither changes a result.
+a worker remembers a bounded number of pieces from earlier stretches; neither changes a result.
 
 Defined results: NULL and empty texts have no tokens. Special tokens are ordinary text. A text that
 cannot be UTF-8 cannot occur in a string column. Repeated rows are encoded alike.
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 NEW_PIECES = 100_000
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 STRETCH_CHARS = 8 << 20
 LONG_TEXT = 4 << 20
 
@@ -166,13 +166,17 @@ class Encoder:
         new = [p for p in places if p not in self.known]
         ids = dict(zip(new, self.merges.replay([p.encode("utf-8") for p in new])))
         table = [ids[p] if p in ids else self.known[p] for p in places]
-        if len(self.known) + len(ids) > REMEMBERED:
-            self.known = {}
-        self.known.update(islice(ids.items(), REMEMBERED))
+        self.known.update(islice(ids.items(), max(0, REMEMBERED - len(self.known))))
         for own in waiting:
             yield b"".join([table[i] for i in own])
 
 
+@lru_cache(maxsize=1)
+def load_encoder(path: str, pattern: str) -> Encoder:
+    """One encoder for all tasks of a worker process, with the pieces it remembers."""
+    return Encoder(path, pattern)
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """Adds n_tokens, ids_sha256, decoded_sha256 and, with ``with_ids``, ids (array) and decoded (binary).
 
@@ -182,7 +186,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
     named = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("_t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = load_encoder(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, decontaminate, htmltext, licences, minhash, repeats, shards
+from millrace.llm import bpe, decontaminate, htmltext, licences, minhash, quality, repeats, shards, toxicity
 from millrace.llm.tables import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,20 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(docs, 200).drop("text", "kept")
 
 
+def held_out(key: str = "doc_id"):
+    """Rows that are never learnt from: crc32 of the id as text leaves 1 when divided by 3."""
+    return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 3 == 1
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out())
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
 @query("op4_minhash")
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,6 +69,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, path, public_tokenizers.PATTERN).drop("text")
 
 
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.grade(docs, model).drop("text")
+
+
 @query("op8_shards")
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")

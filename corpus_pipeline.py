@@ -1 +1,97 @@
-"""Training-corpus pipeline over ``documents``."""
+"""Training-corpus pipeline over ``documents``: reject, drop near copies, cut repeats, decontaminate, encode.
+
+Every stage takes (spark, docs, sf_dir), works on all documents its predecessor kept and returns a
+DataFrame. ``run`` writes each result as Parquet in the shared scratch folder and hands the reread table on.
+NULL texts are empty texts in every stage; columns other than those of ``documents`` pass through
+unless a stage makes one of that name.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from millrace.llm import bpe, decontaminate, minhash, quality, repeats
+from millrace.llm.tables import free_name, read_table, saved
+
+#: Near copies: five-word shingles, similarity of 0.8 or more.
+SHINGLE, PERCENT = 5, 80
+REPEAT_BYTES = 200
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents accepted by the ordinal model, which learns from the graded ones."""
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.grade(docs, model).where("accepted").select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id.
+
+    Documents without an id cannot be compared by it and stay. Several rows of the kept id stay once.
+    """
+    found = minhash.near_duplicates(docs.where("doc_id IS NOT NULL"), SHINGLE, PERCENT)
+    kept = saved(found.where("kept").select("doc_id").distinct(), "kept-ids")
+    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    order = free_name(docs.columns, "row_order")
+    # Rows of one id: the one with the smallest text, so that the choice is the same in every run.
+    twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not twice.limit(1).count():
+        return known.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    ids = saved(twice.select("doc_id"), "repeated-ids")
+    single = known.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    rows = F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(order)
+    several = known.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rows).alias(order)).select(f"{order}.*").select(*docs.columns)
+    return single.union(several).union(docs.where("doc_id IS NULL"))
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that start elsewhere too; documents with nothing left go.
+
+    A cut may divide a character; its remaining bytes go as well. n_chars is counted anew.
+    """
+    cut = repeats.remove_repeats(docs, REPEAT_BYTES)
+    text = F.when(F.col("n_removed") > 0, F.try_validate_utf8(F.col("kept").cast("string"))).otherwise(F.col("text"))
+    whole = F.when(F.col("n_removed") > 0, F.coalesce(text, _mended(F.col("kept")))).otherwise(F.col("text"))
+    left = cut.where("n_removed = 0 OR n_removed < n_bytes").withColumn("text", whole)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)
+
+
+def _mended(body):
+    """Bytes as text; broken characters, replaced by the decoder, are left out."""
+    return F.replace(F.make_valid_utf8(body.cast("string")), F.lit("�"), F.lit(""))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontaminate.overlaps(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text with their count and check sums; the decoded ids must give the text again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_decode(docs, path, public_tokenizers.PATTERN, with_ids=True)
+    whole = F.sha2(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), 256) == F.col("decoded_sha256")
+    return encoded.withColumn("round_trip", whole).drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("byte-level BPE encoding and decoding", byte_level_bpe),
+]
+
+#: SQL cannot express the stages; tests compare them with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+    return docs

@@ -4,10 +4,16 @@ A text's set holds its distinct word shingles as 64-bit hashes. 120 minima give
 minima each; the two low bits of all minima are packed into bit planes. Equal sets form a class, and one
 representative of a class goes on. In every band bucket each member is compared with the bucket's
 smallest member: bit counts of the packed planes give the similarity, corrected for chance collisions, and
-pairs that may reach the threshold are confirmed on the full sets. After linking, only buckets that still
-hold several components are looked at again, and only pairs of different components in them. So a group
-of copies of any size needs links in proportion to its members, and no link between components that share a
-bucket is lost. Two texts at the threshold share no bucket with probability below 1e-6.
+pairs that may reach the threshold are confirmed on the full sets. Links then make components.
+
+Buckets that still hold several components are opened once more, for pairs of different components only.
+Their members get a finer sketch of 2,048 one-bit minima; a large bucket is dealt to tasks as pairs of chunks;
+a task counts bits of all its pairs and returns only those that may reach the threshold, for confirmation.
+So a group of copies of any size needs links in proportion to its members, and no link between components
+that share a bucket is lost. Two texts at a threshold of 0.8 or more share no bucket with probability below
+1e-4 (1e-6 at 0.85). Both estimates leave five standard deviations of room below the threshold.
+
+Joins of whole tables are marked as sort-merge joins, so plan and shuffle are the same at every size.
 
 Defined results: texts without words (NULL, empty, white space) have an empty set, link with nothing and
 are their own component. Texts with fewer words than a shingle are one shingle. Rows with one doc_id are
@@ -32,6 +38,8 @@ MINIMA = BANDS * ROWS
 PLANES = 4  # two bits of 120 minima in 2 x 2 words of 64
 #: Five standard deviations of the estimate lie between the threshold and this distance below it.
 SLACK = 0.2
+FINE, FINE_SLACK = 2048, 0.06
+CHUNK = 1024
 _FACTORS = (mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _SHIFTS = (mix(np.arange(1001, MINIMA + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _BAND_SEEDS = mix(np.arange(5001, 5001 + MINIMA, dtype=np.uint64)) | np.uint64(1)
@@ -101,16 +109,10 @@ def estimate(left: Column, right: Column) -> Column:
     return ((F.lit(1.0) - differ / F.lit(float(MINIMA))) - F.lit(0.25)) / F.lit(0.75)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach ``percent`` in a hundred; texts meet pairs by joins on ids."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = saved(
-        docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
-        .join(ids, "doc_id").groupBy("doc_id").agg(F.min("t").alias("t")),
-        "pair-texts",
-    )
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "t": "tb"}), "b").join(
-        texts.withColumnsRenamed({"doc_id": "a", "t": "ta"}), "a"
+    both = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "t": "tb"}).hint("merge"), "b").join(
+        texts.withColumnsRenamed({"doc_id": "a", "t": "ta"}).hint("merge"), "a"
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,51 +141,155 @@ def _sets(column: pa.Array, size: int):
     return lambda i: sets[codes[i]]
 
 
+def fine_sketches(texts: DataFrame, size: int) -> DataFrame:
+    """(id, fine): one low bit of each of ``FINE`` minima, packed."""
+    factors = (mix(np.arange(20_001, 20_001 + FINE, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+    shifts = (mix(np.arange(40_001, 40_001 + FINE, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch.column(1)):
+                hashes, first, counts = shingle_sets(part, size)
+                low = (hashes >> np.uint64(32)).astype(np.uint32)
+                packed = []
+                for a, n in zip(first, counts):
+                    own = low[a : a + n]
+                    least = np.full(FINE, 0xFFFFFFFF, np.uint32)
+                    for at in range(0, len(own), 64):
+                        least = np.minimum(least, (own[at : at + 64, None] * factors + shifts).min(axis=0))
+                    packed.append(np.packbits((least >> np.uint32(3)) & np.uint32(1)).tobytes())
+                ids = batch.column(0)[part.first : part.first + len(counts)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary())], ["id", "fine"])
+
+    return texts.select("doc_id", "t").mapInArrow(work, "id long, fine binary")
+
+
+def dealt(rows: DataFrame, chunk: int) -> DataFrame:
+    """Adds (l, r, left): pairs of chunks of each bucket, every unordered pair of chunks once."""
+    sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk))).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    return (
+        rows.join(sizes, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("*", F.least("own", "other").alias("l"), F.greatest("own", "other").alias("r"), (F.col("own") <= F.col("other")).alias("left"))
+        .drop("own", "other", "chunks")
+    )
+
+
+def crossing_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components in one bucket that may reach ``percent`` by the fine sketch."""
+    coarse, fine = percent / 100 - SLACK, percent / 100 - FINE_SLACK
+    kinds = ["band", "l", "r", "left", "id", "part", "n", "bands", "planes", "fine"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            *whole, rest = _runs(rest, ("band", "l", "r"))
+            for group in whole:  # the last run may go on in the next batch; a run is two chunks at most
+                yield from _pairs_of_task(group, percent, coarse, fine)
+        if rest is not None and rest.num_rows:
+            yield from _pairs_of_task(rest, percent, coarse, fine)
+
+    ordered = rows.repartition("band", "l", "r").sortWithinPartitions("band", "l", "r", "id")
+    return ordered.select(*kinds).mapInArrow(work, "a long, b long")
+
+
+def _runs(table: pa.Table, names: tuple[str, ...]) -> list[pa.Table]:
+    rows = table.num_rows
+    if not rows:
+        return [table]
+    new = np.zeros(rows, bool)
+    for name in names:
+        values = table[name].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    cuts = [0, *np.flatnonzero(new).tolist(), rows]
+    return [table.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _pairs_of_task(group: pa.Table, percent: int, coarse: float, fine: float) -> Iterator[pa.RecordBatch]:
+    column = lambda name: group[name].to_numpy()
+    wide = lambda name: np.stack(group[name].to_numpy())
+    same_chunk = group["l"][0].as_py() == group["r"][0].as_py()
+    side = column("left")
+    first = np.flatnonzero(side)
+    second = first if same_chunk else np.flatnonzero(~side)
+    if not len(first) or not len(second) or len(np.unique(column("part"))) < 2:
+        return
+    ids, parts, n, band = column("id"), column("part"), column("n"), group["band"][0].as_py()
+    bands, planes = wide("bands"), wide("planes").view(np.uint64)
+    sketch = np.frombuffer(b"".join(group["fine"].to_pylist()), np.uint64).reshape(len(ids), -1)
+    for start in range(0, len(first), 128):
+        x = first[start : start + 128]
+        fits = parts[x][:, None] != parts[second][None, :]
+        if same_chunk:
+            fits &= x[:, None] < second[None, :]
+        a, b = n[x][:, None], n[second][None, :]
+        fits &= np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
+        differ = np.zeros(fits.shape, np.int64)
+        for k in range(2):
+            u = planes[x, k][:, None] ^ planes[second, k][None, :]
+            v = planes[x, k + 2][:, None] ^ planes[second, k + 2][None, :]
+            differ += np.bitwise_count(u | v)
+        fits &= ((1.0 - differ / MINIMA) - 0.25) / 0.75 >= coarse
+        i, j = np.nonzero(fits)
+        for at in range(0, len(i), 1 << 14):
+            p, q = x[i[at : at + (1 << 14)]], second[j[at : at + (1 << 14)]]
+            bits = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1)
+            near = 1.0 - 2.0 * bits / FINE >= fine
+            p, q = p[near], q[near]
+            # Only the first band that both share returns the pair.
+            shared = bands[p] == bands[q]
+            p, q = (z[bands[p][np.arange(len(p)), shared.argmax(axis=1)] == band] for z in (p, q))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[p], ids[q])), pa.array(np.maximum(ids[p], ids[q]))], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of ``docs``."""
     signed = saved(signatures(docs, size, key, text), "signatures")
     classes = saved(
         signed.where("set_key IS NOT NULL").groupBy("set_key").agg(
             F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes")
-        ),
+        ).where("id IS NOT NULL"),
         "classes",
     )
-    least = percent / 100 - SLACK
-    members = classes.select("id", "n", "planes", F.explode("bands").alias("band"))
-    centres = members.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("id", "n", "planes"), "id").alias("c")).where("k > 1")
-    fits = lambda n, m: (F.least(n, m) * 100 >= F.greatest(n, m) * percent)  # noqa: E731  sizes alone can rule a pair out
+    members = classes.select("id", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("c")).where("k > 1").select("band", "c")
+    hits = saved(members.join(shared.hint("merge"), "band"), "buckets")
+    drawn = hits.select(F.col("id").alias("doc_id")).distinct()
+    texts = saved(
+        docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
+        .join(drawn.hint("merge"), "doc_id").dropDuplicates(["doc_id"]),
+        "bucket-texts",
+    )
+    slim = classes.select("id", "n", "planes")
     starred = (
-        members.join(centres.select("band", "c"), "band")
-        .where((F.col("c.id") < F.col("id")) & fits(F.col("n"), F.col("c.n")) & (estimate(F.col("planes"), F.col("c.planes")) >= least))
-        .select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+        hits.where("c < id").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+        .join(slim.withColumnsRenamed({"id": "a", "n": "na", "planes": "pa"}).hint("merge"), "a")
+        .join(slim.withColumnsRenamed({"id": "b", "n": "nb", "planes": "pb"}).hint("merge"), "b")
+        .where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate(F.col("pa"), F.col("pb")) >= percent / 100 - SLACK))
+        .select("a", "b")
     )
-    starred = saved(starred, "pairs")
-    first = saved(confirm(starred, docs, size, percent, key, text), "links")
-    parts = connected_components(first)
-    # Buckets with more than one component: pairs of different components.
-    labelled = members.join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    mixed = members.select("id", "band").join(centres.select("band"), "band")
-    mixed = mixed.join(parts.withColumnRenamed("component", "part"), "id", "left").groupBy("band").agg(
-        F.min(F.coalesce("part", "id")).alias("lo"), F.max(F.coalesce("part", "id")).alias("hi")
-    ).where("lo < hi").select("band")
-    open_rows = saved(labelled.join(mixed, "band").select("band", "id", "n", "planes", "part"), "open-buckets")
-    left = open_rows.select("band", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "planes", "part")])
-    right = open_rows.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "planes", "part")])
-    crossing = (
-        left.join(right, "band")
-        .where(
-            (F.col("part_a") != F.col("part_b")) & (F.col("id_a") < F.col("id_b")) & fits(F.col("n_a"), F.col("n_b"))
-            & (estimate(F.col("planes_a"), F.col("planes_b")) >= least)
-        )
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    first = saved(confirm(starred, texts, size, percent), "links")
+    parts = connected_components(first).withColumnRenamed("component", "part")
+    # Buckets with more than one component.
+    labelled = saved(hits.select("band", "id").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "labelled")
+    mixed = labelled.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band")
+    open_rows = saved(labelled.join(mixed, "band"), "open-buckets")
+    open_ids = open_rows.select(F.col("id").alias("doc_id")).distinct()
+    sketches = saved(fine_sketches(texts.join(open_ids, "doc_id", "left_semi"), size).join(classes.select("id", "n", "bands", "planes"), "id"), "sketches")
+    crossing = saved(crossing_pairs(dealt(open_rows, CHUNK).join(sketches, "id"), percent).distinct(), "pairs")
+    second = saved(confirm(crossing, texts, size, percent), "links")
+    # Components of the first links stand for their members.
+    joined = parts.withColumnsRenamed({"id": "i", "part": "p"})
+    bridges = (
+        second.join(joined.withColumnsRenamed({"i": "a", "p": "pa"}), "a", "left").join(joined.withColumnsRenamed({"i": "b", "p": "pb"}), "b", "left")
+        .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
     )
-    crossing = saved(crossing.join(starred, ["a", "b"], "left_anti"), "pairs")
-    links = first
-    if crossing.limit(1).count():
-        links = first.union(confirm(crossing, docs, size, percent, key, text))
-        parts = connected_components(links)
-    placed = classes.select("set_key", F.col("id").alias("_id")).join(parts.withColumnRenamed("id", "_id"), "_id", "left").select(
-        "set_key", F.coalesce("component", "_id").alias("_c")
+    tops = connected_components(bridges).withColumnsRenamed({"id": "_p", "component": "_top"})
+    placed = (
+        classes.select("set_key", F.col("id").alias("_id")).join(parts.withColumnsRenamed({"id": "_id", "part": "_part"}), "_id", "left")
+        .withColumn("_p", F.coalesce("_part", "_id")).join(tops, "_p", "left").select("set_key", F.coalesce("_top", "_p").alias("_c"))
     )
     return signed.select("doc_id", "n_shingles", "set_key").join(placed, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"),

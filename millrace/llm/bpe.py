@@ -20,9 +20,10 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 NEW_PIECES = 100_000
 REMEMBERED = 500_000
@@ -199,17 +200,18 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
                     body = encoder.merges.decode(ids)
                     decoded.append(hashlib.sha256(body).hexdigest())
                     if with_ids:
-                        ids_out.append(ids.tolist())
+                        ids_out.append(packed)
                         bytes_out.append(body)
                 columns = [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
-                    columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(bytes_out, pa.binary())]
+                    ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids_out), np.int32))), pa.array(bytes_out, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*part.schema.names[:-1], *out[: len(columns)]])
 
     out = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
     schema = named.drop("_t").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>").add("decoded", "binary")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
     made = out if with_ids else out[:3]
     result = named.mapInArrow(work, schema)
     keep = [(i, c) for i, c in enumerate(names) if c.lower() not in made]

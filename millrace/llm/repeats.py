@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.llm.tables import saved
 from millrace.llm.textbytes import GOLDEN, byte_values, byte_view, mix
 
-SEED = 32
+SEED = 64
 BUCKET = 10_000
 WINDOW = 1 << 19  # bytes hashed at once
 BASE = GOLDEN
@@ -111,8 +111,11 @@ def _window_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> Ancho
     last = np.append(first[1:], len(start)) - 1
     at, text = owner[first], text[first]
     high, low = at - start[first], at - start[last]
-    whole = rolling(data, length)
-    body = mix(whole[start[first]] * np.uint64(3) + mix(whole[start[last]]) + (high * 1024 + low).astype(np.uint64))
+    # Seeds that cover the first and the last owned stretch stand for all their bytes.
+    body = (high * 1024 + low).astype(np.uint64)
+    for stretch in (start[first], start[last]):
+        for place in (*range(0, length - SEED, SEED), length - SEED):
+            body = mix(body * np.uint64(3) + seeds[stretch + place])
     return Anchors(text, at - offsets[text], low, high, seeds[at], body)
 
 
@@ -220,7 +223,7 @@ def _contexts(undecided: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Undecided anchors with the bytes of all stretches they own, before (reversed) and from the seed."""
     # A set: each of several equal rows then yields every anchor once, which is its true multiplicity.
     wanted = undecided.groupBy("d", "h").agg(F.collect_set(F.struct("at", "low", "high", "seed", "n")).alias("w"))
-    texts = docs.join(wanted, ["d", "h"]).select("d", "h", "t", "w")
+    texts = docs.join(wanted.hint("merge"), ["d", "h"]).select("d", "h", "t", "w")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,20 +267,62 @@ def bucket_repeats(contexts: DataFrame, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(5)]
         for group in _bucket_groups(batches):
-            if len(group) < 2:
-                continue
-            for k, (before, after, members) in enumerate(maximal_repeats([r[5] for r in group], [r[6] for r in group], length)):
+            for k, (before, after, members) in enumerate(maximal_repeats([r[5] for r in group], [r[6] for r in group], length) if len(group) > 1 else ()):
                 for i in members:
                     seed, _, d, h, at = group[i][:5]
                     for column, value in zip(out, (f"{seed & (1 << 64) - 1:016x}.{k}", d, h, at - before, at + after)):
                         column.append(value)
-            if len(out[0]) > 20_000:
-                yield _spans_batch(out)
-                out = [[] for _ in range(5)]
+                if len(out[0]) > 20_000:
+                    yield _spans_batch(out)
+                    out = [[] for _ in range(5)]
         yield _spans_batch(out)
 
-    dealt = contexts.repartition("seed").sortWithinPartitions("seed", "d", "h", "at")
-    return dealt.mapInArrow(work, "repeat string, d long, h long, start long, end long")
+    return _in_buckets(contexts).mapInArrow(work, "repeat string, d long, h long, start long, end long")
+
+
+def bucket_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """(d, h, start, end): what the maximal repeats of a bucket cover of each member.
+
+    All repeats of a member reach over its anchor, so together they are one span. Members with equal
+    bytes repeat each other whole and go through the suffix array once.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in range(4)]
+        for group in _bucket_groups(batches):
+            if len(group) < 2:
+                continue
+            equal: dict[tuple[bytes, bytes], list[int]] = {}
+            for i, row in enumerate(group):
+                equal.setdefault(row[5:7], []).append(i)
+            texts = list(equal)
+            reach = [(len(x[0]), len(x[1])) if len(own) > 1 else (0, 0) for x, own in equal.items()]
+            if len(texts) > 1:
+                for before, after, members in maximal_repeats([x[0] for x in texts], [x[1] for x in texts], length):
+                    for m in members:
+                        b, a = reach[m]
+                        if before > b or after > a:
+                            reach[m] = (max(before, b), max(after, a))
+            for (before, after), own in zip(reach, equal.values()):
+                if after:
+                    for i in own:
+                        _, _, d, h, at = group[i][:5]
+                        for column, value in zip(out, (d, h, at - before, at + after)):
+                            column.append(value)
+            if len(out[0]) > 20_000:
+                yield _plain_batch(out)
+                out = [[] for _ in range(4)]
+        yield _plain_batch(out)
+
+    return _in_buckets(contexts).mapInArrow(work, "d long, h long, start long, end long")
+
+
+def _in_buckets(contexts: DataFrame) -> DataFrame:
+    return contexts.repartition("seed").sortWithinPartitions("seed", "d", "h", "at")
+
+
+def _plain_batch(out: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["d", "h", "start", "end"])
 
 
 def _spans_batch(out: list[list]) -> pa.RecordBatch:
@@ -314,20 +359,21 @@ def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def repeat_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(spans, groups): covered spans (d, h, start, end) and the maximal repeats of the buckets."""
+    """(spans, contexts): covered spans (d, h, start, end), and the undecided owners with their bytes.
+
+    ``bucket_repeats`` of the contexts lists the maximal repeats with all their occurrences.
+    """
     named = _named(docs, key, text)
     found = saved(anchors(named, length), "anchors")
     seeds = found.groupBy("seed").agg(
         F.count(F.lit(1)).alias("n"), (F.min("body") == F.max("body")).alias("agree")
     ).where("n > 1")
-    repeated = saved(found.join(seeds, "seed").drop("body"), "anchors-met")
+    repeated = saved(found.join(seeds.hint("merge"), "seed").drop("body"), "anchors-met")
     decided = repeated.where("agree").select("d", "h", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + F.lit(length)).alias("end"))
     undecided = repeated.where(~F.col("agree"))
     contexts = saved(_contexts(undecided, named, length), "contexts")
-    groups = bucket_repeats(contexts.where(F.col("n") <= bucket), length)
-    counted = counted_repeats(contexts.where(F.col("n") > bucket), length)
-    spans = decided.union(groups.select("d", "h", "start", "end")).union(counted)
-    return spans, groups
+    spans = decided.union(bucket_spans(contexts.where(F.col("n") <= bucket), length)).union(counted_repeats(contexts.where(F.col("n") > bucket), length))
+    return spans, contexts
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -341,7 +387,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(0).cast("bigint")).alias("d"), F.xxhash64(body).alias("h"),
     )
     per_text = spans.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("s"))
-    joined = rows.join(per_text, ["d", "h"], "left").select(
+    joined = rows.join(per_text.hint("merge"), ["d", "h"], "left").select(
         *[f"_{i}" for i in range(len(names))], F.coalesce(F.encode(F.col(f"_{names.index(text)}").cast("string"), "UTF-8"), F.lit(b"")).alias("_b"), "s"
     )
 

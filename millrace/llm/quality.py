@@ -144,6 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed: Col
         )
 
     row = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "f").mapInArrow(work, "w binary, c binary, g binary").first()
+    if row is None:  # nothing is graded
+        return learn([])
     return Model(np.frombuffer(row["w"]), np.frombuffer(row["c"]), np.frombuffer(row["g"], np.int64).tolist())
 
 

@@ -12,8 +12,6 @@ from pyspark.sql import Column, functions as F
 SUMMARY_LIMIT = 420
 EXCERPT_LIMIT = 260
 EXCERPT_COUNT = 3
-RECORD_TEXT_LIMIT = 12_000
-INDEX_TEXT_LIMIT = 1_800
 EMPTY_SUMMARY = "Reference metadata without raw text."
 SECRET_MARK = "[REDACTED]"
 SECRET_KEY = r"(?i)(api[_-]?key|authorization|bearer|password|secret|token)"
@@ -65,8 +63,10 @@ def squeeze(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col.cast("string"), F.lit("")), _UNEVEN_SPACES, " "))
 
 
-def shorten(col: Column, limit: int) -> Column:
-    """Cut to ``limit`` characters, the last three of them dots."""
+def shorten(col: Column, limit: int | None) -> Column:
+    """Cut to ``limit`` characters, the last three of them dots; no limit keeps the whole text."""
+    if limit is None:
+        return col
     cut = lambda t: F.concat(F.rtrim(F.substring(t, 1, limit - 3)), F.lit("..."))
     return let(col, lambda t: F.when(F.length(t) > limit, cut(t)).otherwise(t))
 
@@ -119,8 +119,11 @@ def content_hash(col: Column) -> Column:
     return let(squeeze(redact(col)), lambda t: F.when(t != "", F.sha2(t, 256)))
 
 
-def clip_record_text(col: Column, limit: int = RECORD_TEXT_LIMIT) -> Column:
-    """Long record text is cut 80 characters early and says how long it was."""
+def clip_record_text(col: Column, limit: int | None = None) -> Column:
+    """The whole text; with a limit, longer text is cut 80 characters early and says how long it was."""
+    if limit is None:
+        return col
+
     def cut(t: Column) -> Column:
         head = F.regexp_replace(F.substring(t, 1, limit - 80), SPACES + "$", "")
         return F.concat(head, F.lit("\n\n[TRUNCATED: original_length="), F.length(t).cast("string"), F.lit("]"))

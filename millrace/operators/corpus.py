@@ -17,8 +17,6 @@ from millrace.session import durable
 
 # ---------------------------------------------------------------------------
 # Limits, label words, the record layout and required outputs.
-MAX_SOURCE_BYTES = 200_000
-RECORDS_PER_SOURCE = 500
 MAX_CONTEXT_TOKENS = 4_096
 TOPIC_WORDS = ("dataset", "model", "registry", "feature", "training", "study", "mlflow", "schema", "prompt")
 POSITIVE_LABELS = ("positive", "approved", "completed", "success")
@@ -76,14 +74,14 @@ def build_references(df: DataFrame, text: str, tags: str | None = None, summary:
     return out.drop("_redacted", "_flat")
 
 
-def sync_references(files: DataFrame, path: str, text: str, stored: DataFrame | None = None, max_bytes: int = MAX_SOURCE_BYTES) -> DataFrame:
-    """(path, content_hash, outcome): created, too_large, empty or duplicate_hash.
+def sync_references(files: DataFrame, path: str, text: str, stored: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
+    """(path, content_hash, outcome): created, empty, duplicate_hash, or too_large beyond ``max_bytes``.
 
     Of equal texts the first path is created. That path is found by an aggregate per hash and
     joined back on the path, so a text shared by a third of all files meets no hot join key. The
     texts are hashed once; only paths and hashes are written to the shared store and joined.
     """
-    large = F.octet_length(text) > max_bytes
+    large = F.lit(False) if max_bytes is None else F.coalesce(F.octet_length(text) > max_bytes, F.lit(False))
     sized = durable(files.select(path, large.alias("_large"), F.when(~large, X.content_hash(F.col(text))).alias("content_hash")))
     firsts = sized.groupBy("content_hash").agg(F.min(path).alias("_first")).where(F.col("content_hash").isNotNull())
     if stored is not None:
@@ -110,7 +108,7 @@ def list_references(
     kinds = [s.strip().lower() for s in source_types if s.strip()]
     if kinds:
         keep = keep & F.lower("source_type").isin(kinds)
-    return df.where(keep).orderBy(F.desc("updated_at"), "reference_id").limit(max(1, min(int(limit or 20), 100)))
+    return df.where(keep).orderBy(F.desc("updated_at"), "reference_id").limit(max(1, int(limit or 20)))
 
 
 def reference_haystack() -> Column:
@@ -197,13 +195,15 @@ def to_record(df: DataFrame, fields: Mapping[str, Column], approved: Column | No
     )
 
 
-def newest_records(records: DataFrame, per_source: int = RECORDS_PER_SOURCE) -> DataFrame:
-    """The newest records of one source: a bounded heap per task."""
+def newest_records(records: DataFrame, per_source: int | None = None) -> DataFrame:
+    """All records of one source, or the newest ones: a bounded heap per task."""
+    if per_source is None:
+        return records
     return records.orderBy(F.desc_nulls_last("recorded_at"), F.desc("record_key")).limit(per_source)
 
 
-def corpus_snapshot(sources: Sequence[DataFrame], per_source: int = RECORDS_PER_SOURCE) -> DataFrame:
-    """Newest records of every source in one table."""
+def corpus_snapshot(sources: Sequence[DataFrame], per_source: int | None = None) -> DataFrame:
+    """All or the newest records of every source in one table."""
     first, *rest = [newest_records(s, per_source) for s in sources]
     for frame in rest:
         first = first.unionByName(frame)
@@ -277,13 +277,13 @@ def catalog_example_record(objects: DataFrame) -> DataFrame:
     })
 
 
-def reference_record(references: DataFrame, text: str | None = None) -> DataFrame:
+def reference_record(references: DataFrame, text: str | None = None, text_limit: int | None = None) -> DataFrame:
     """References as records; without the text the excerpts stand in for it."""
     body = F.coalesce(F.nullif(F.col(text), F.lit("")), F.array_join("excerpts", "\n")) if text else F.array_join("excerpts", "\n")
     meta = F.to_json(F.struct("reference_id", F.col("source_type"), "name", "trust_level", "tags"))
     return to_record(references, {
         "source_type": F.lit("content_reference"), "label": F.lit("reference_asset"), "workflow_type": F.lit("reference"),
-        "asset_summary": F.col("summary"), "content": X.clip_record_text(X.redact(body)), "registry_metadata": meta,
+        "asset_summary": F.col("summary"), "content": X.clip_record_text(X.redact(body), text_limit), "registry_metadata": meta,
         "source_path": F.col("uri") if "uri" in references.columns else F.lit(None),
         "source_hash": F.coalesce("content_hash", F.sha2(meta, 256)),
         "quality_signals": F.to_json(F.struct("trust_level", F.size("tags").alias("tag_count"), (body != "").alias("has_content"))),
@@ -291,15 +291,15 @@ def reference_record(references: DataFrame, text: str | None = None) -> DataFram
     })
 
 
-def tabular_rows(records: DataFrame) -> DataFrame:
-    """The 16 columns of the table form: no NULL text, long text cut with a note."""
+def tabular_rows(records: DataFrame, text_limit: int | None = None) -> DataFrame:
+    """The 16 columns of the table form: no NULL text; with a limit, long text is cut with a note."""
     def cell(name: str) -> Column:
         dtype = records.schema[name].dataType
         if isinstance(dtype, T.BooleanType):
             return F.col(name).cast("int").alias(name)
         if isinstance(dtype, T.NumericType):
             return F.col(name)
-        return X.clip_record_text(X.redact(F.col(name))).alias(name)
+        return X.clip_record_text(X.redact(F.col(name)), text_limit).alias(name)
 
     return records.select(*[cell(c) for c in RECORD_COLUMNS])
 

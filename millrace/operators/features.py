@@ -25,7 +25,7 @@ CAST_NAMES = {
     "bool": "boolean", "boolean": "boolean",
 }
 COMPARE_ALIASES = {"==": "eq", "=": "eq", "!=": "neq", ">": "gt", ">=": "gte", "<": "lt", "<=": "lte"}
-PREVIEW_DEFAULT, PREVIEW_MAX = 20, 5000
+PREVIEW_DEFAULT = 20
 
 
 @dataclass
@@ -232,12 +232,12 @@ def sort(df: DataFrame, column: str, ascending: bool = True, tie_break: Sequence
     return df.orderBy(first, *[_c(c) for c in tie_break if c in df.columns and c != column])
 
 
-def clamp_preview(value: Any, default: int = PREVIEW_DEFAULT, maximum: int = PREVIEW_MAX) -> int:
+def clamp_preview(value: Any, default: int = PREVIEW_DEFAULT, maximum: int | None = None) -> int:
     try:
         rows = int(value)
     except (TypeError, ValueError):
         rows = default
-    return max(1, min(rows, maximum))
+    return max(1, rows if maximum is None else min(rows, maximum))
 
 
 def apply_feature_operations(

@@ -14,7 +14,7 @@ from millrace.functions import values as V
 APP_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s+\|\s+([^|]+)\s+\|\s+([A-Z]+)\s+\|\s+(.*)$"
 CONTAINER_PREFIX = r"^([^|]{1,80})\|\s?(.*)$"
 ISO_PREFIX = r"^(\d{4}-\d{2}-\d{2}T[^\s]+)\s+(.*)$"
-TAIL_DEFAULT, TAIL_MAX = 160, 500
+TAIL_DEFAULT = 160
 # ---------------------------------------------------------------------------
 
 
@@ -23,7 +23,7 @@ def clamp_tail(value: object = None) -> int:
         tail = int(TAIL_DEFAULT if value is None else value)
     except (TypeError, ValueError):
         tail = TAIL_DEFAULT
-    return max(1, min(tail, TAIL_MAX))
+    return max(1, tail)
 
 
 def _entry(df: DataFrame, source: Column, offset: str, timestamp: Column, level: Column, logger: Column, message: Column, raw: Column, redact: bool) -> DataFrame:

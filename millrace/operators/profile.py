@@ -1,7 +1,8 @@
 """Column profile, analysis summary and the reports built on them.
 
-Two passes over the table whatever its width: one aggregate per column (missing cells and moments)
-and one count per (column, value), which yields distinct counts and modes together.
+Four passes over the table whatever its width: one aggregate per column (missing cells and moments), one
+count per (column, value), which yields distinct counts and modes together, one over the text cells, and the
+first rows.
 """
 
 from __future__ import annotations
@@ -13,13 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 from millrace.functions import values as V
 
 # Sizes and thresholds of the profile.
-HEAD_ROWS = 50
 SAMPLE_ROWS = 5
 DATETIME_SHARE = 0.8
-WARNING_LIMIT = 24
-SUGGESTION_COLUMNS, SUGGESTION_LIMIT = 24, 16
 FILL_SHARE, IDENTIFIER_SHARE = 0.2, 0.9
-CHART_MISSING, CHART_MEANS = 8, 8
 AVAILABLE_EDITS = (
     "rename_columns", "cast_types", "fill_missing_values", "drop_columns", "filter_rows", "sort_by", "limit_rows",
 )
@@ -58,21 +55,6 @@ def _key_sql(f: T.StructField) -> str:
     return f"CAST({name} AS STRING)"
 
 
-def head_values(df: DataFrame, column: str, order: Sequence[str], rows: int = HEAD_ROWS) -> DataFrame:
-    """The first non-missing values in ``order``: a bounded heap per task, no sort of the table."""
-    return (
-        df.where(_c(column).isNotNull()).select(*order, _c(column).alias("_v")).orderBy(*order).limit(rows)
-        .select(F.lit(column).alias("column"), F.col("_v").cast("string").alias("value"))
-    )
-
-
-def _union(frames: Sequence[DataFrame]) -> DataFrame:
-    first, *rest = frames
-    for frame in rest:
-        first = first.unionByName(frame)
-    return first
-
-
 def value_kind(col: Column) -> Column:
     """Kind of a raw text value as a type-less file reader would see it."""
     text = F.trim(col)
@@ -84,13 +66,15 @@ def value_kind(col: Column) -> Column:
     )
 
 
-def text_head_facts(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """(column, datetime_confidence, kinds, mixed_type) over the head of each text column."""
-    heads = _union([head_values(df, c, order) for c in columns])
-    return heads.groupBy("column").agg(
-        F.round(F.avg(V.as_timestamp(F.col("value"), T.StringType()).isNotNull().cast("double")), 4).alias("datetime_confidence"),
-        F.array_join(F.array_sort(F.collect_set(value_kind(F.col("value")))), ",").alias("kinds"),
-        (F.count_distinct(value_kind(F.col("value"))) > 1).alias("mixed_type"),
+def text_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, datetime_confidence, kinds, mixed_type) over all values of all text columns, in one pass."""
+    cells = df.select(*[_c(c) for c in columns]).unpivot([], [_c(c) for c in columns], "column", "value").where(F.col("value").isNotNull())
+    kind = value_kind(F.col("value"))
+    found = cells.groupBy("column").agg(
+        F.avg(V.as_timestamp(F.col("value"), T.StringType()).isNotNull().cast("double")).alias("share"), F.collect_set(kind).alias("kinds")
+    )
+    return found.select(
+        "column", F.round("share", 4).alias("datetime_confidence"), F.array_join(F.array_sort("kinds"), ",").alias("kinds"), (F.size("kinds") > 1).alias("mixed_type")
     )
 
 
@@ -132,13 +116,13 @@ def _distinct(df: DataFrame, exact: bool) -> DataFrame:
 def column_explorer(df: DataFrame, order: Sequence[str], exact: bool = True) -> DataFrame:
     """One row per column: type, family, missing and distinct shares, samples, moments, mode.
 
-    ``order`` names the columns that define which rows come first. ``rank`` is the display order:
+    ``order`` names the columns that define which rows are shown as samples. ``rank`` is the display order:
     most missing first, then most distinct.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     out = _measured(df).join(_distinct(df, exact), "column", "left")
     if texts:
-        out = out.join(text_head_facts(df, texts, order), "column", "left")
+        out = out.join(text_facts(df, texts), "column", "left")
     else:
         out = out.withColumns({"datetime_confidence": F.lit(0.0), "kinds": F.lit(None).cast("string"), "mixed_type": F.lit(False)})
     first = df.orderBy(*order).limit(SAMPLE_ROWS)
@@ -203,19 +187,24 @@ def feature_extraction_summary(explorer: DataFrame) -> DataFrame:
     )
 
 
-def analysis_warnings(explorer: DataFrame) -> DataFrame:
-    """(place, warning) in column order, the first 24."""
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    ordered = rows.orderBy("place")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def analysis_warnings(explorer: DataFrame, limit: int | None = None) -> DataFrame:
+    """(place, warning) in column order."""
     rows = F.array_compact(
         F.array(
             F.when(F.col("mixed_type"), F.struct((F.col("position") * 2).alias("place"), F.format_string("Column '%s' mixes several value types.", "column").alias("warning"))),
             F.when(F.col("high_cardinality"), F.struct((F.col("position") * 2 + 1).alias("place"), F.format_string("Column '%s' has high cardinality.", "column").alias("warning"))),
         )
     )
-    return explorer.select(F.explode(rows).alias("w")).select("w.*").orderBy("place").limit(WARNING_LIMIT)
+    return _first(explorer.select(F.explode(rows).alias("w")).select("w.*"), limit)
 
 
-def transform_suggestions(explorer: DataFrame) -> DataFrame:
-    """(place, type, column, value): fill, cast or drop proposals for the first columns shown."""
+def transform_suggestions(explorer: DataFrame, columns: int | None = None, limit: int | None = None) -> DataFrame:
+    """(place, type, column, value): fill, cast or drop proposals, for the first ``columns`` shown if given."""
     def entry(offset: int, kind: str, value: str | None = None) -> Column:
         return F.struct(
             (F.col("rank") * 3 + offset).alias("place"), F.lit(kind).alias("type"), F.col("column"),
@@ -229,8 +218,8 @@ def transform_suggestions(explorer: DataFrame) -> DataFrame:
             F.when((F.col("family") == "categorical") & (F.col("unique_ratio") >= IDENTIFIER_SHARE), entry(2, "drop")),
         )
     )
-    shown = explorer.where(F.col("rank") <= SUGGESTION_COLUMNS)
-    return shown.select(F.explode(rows).alias("s")).select("s.*").orderBy("place").limit(SUGGESTION_LIMIT)
+    shown = explorer if columns is None else explorer.where(F.col("rank") <= columns)
+    return _first(shown.select(F.explode(rows).alias("s")).select("s.*"), limit)
 
 
 def metric_cards(metrics: DataFrame) -> DataFrame:
@@ -262,8 +251,9 @@ def dataset_metrics(explorer: DataFrame) -> DataFrame:
     return row.select(*[F.col(c).cast("double").alias(c) for c in row.columns]).unpivot([], row.columns, "key", "value")
 
 
-def dataset_charts(explorer: DataFrame) -> DataFrame:
-    """(chart, place, label, value): type balance, most missing columns, first numeric means."""
+def dataset_charts(explorer: DataFrame, bars: int | None = None) -> DataFrame:
+    """(chart, place, label, value): type balance, columns by missing cells, numeric means; ``bars`` rows of each if given."""
+    shown = F.lit(True) if bars is None else F.col("place") <= bars
     kind = F.when(F.col("family") == "numeric", 1).when(F.col("family") == "categorical", 2).otherwise(3)
     counts = explorer.agg(*[F.count_if(kind == i).cast("double").alias(n) for i, n in enumerate(("Numeric", "Categorical", "Datetime"), 1)])
     types = counts.unpivot([], counts.columns, "label", "value").select(
@@ -274,11 +264,11 @@ def dataset_charts(explorer: DataFrame) -> DataFrame:
     missing = explorer.select(
         F.lit("Missing Values by Column").alias("chart"), F.row_number().over(by_missing).alias("place"),
         F.col("column").alias("label"), F.col("null_count").cast("double").alias("value"),
-    ).where(F.col("place") <= CHART_MISSING)
+    ).where(shown)
     means = explorer.where("family = 'numeric'").select(
         F.lit("Numeric Mean Snapshot").alias("chart"), F.row_number().over(Window.orderBy("position")).alias("place"),
         F.col("column").alias("label"), F.col("mean").alias("value"),
-    ).where((F.col("place") <= CHART_MEANS) & F.col("value").isNotNull())
+    ).where(shown & F.col("value").isNotNull())
     return types.unionByName(missing).unionByName(means)
 
 

@@ -40,7 +40,6 @@ TYPE_ALIASES = {
         "learning_model": ("onnx", "sklearn", "torch", "pytorch", "tensorflow"),
     },
 }
-CONTEXT_FEATURES, CONTEXT_ENTRIES = 24, 16
 # ---------------------------------------------------------------------------
 
 
@@ -129,14 +128,15 @@ def coerce_datetime(col: Column) -> Column:
     return V.as_timestamp(col)
 
 
-def compact_context(df: DataFrame, lists: Sequence[str] = (), maps: Sequence[str] = ()) -> DataFrame:
-    """The first features and map entries of each row, with the full feature count."""
+def compact_context(df: DataFrame, lists: Sequence[str] = (), maps: Sequence[str] = (), features: int | None = None, entries: int | None = None) -> DataFrame:
+    """Features and map entries of each row (the first ones, where a number is given) with the full feature count."""
     made = {}
     for c in lists:
         made[f"{c}_count"] = F.coalesce(F.size(c), F.lit(0))
-        made[c] = F.slice(F.coalesce(c, F.array().cast(df.schema[c].dataType)), 1, CONTEXT_FEATURES)
+        whole = F.coalesce(c, F.array().cast(df.schema[c].dataType))
+        made[c] = whole if features is None else F.slice(whole, 1, features)
     for c in maps:
-        made[c] = F.map_from_entries(F.slice(F.map_entries(c), 1, CONTEXT_ENTRIES))
+        made[c] = F.col(c) if entries is None else F.map_from_entries(F.slice(F.map_entries(c), 1, entries))
     return df.withColumns(made)
 
 

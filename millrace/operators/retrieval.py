@@ -14,14 +14,13 @@ from millrace.operators.ordered import positions
 # ---------------------------------------------------------------------------
 # Dimensions, bounds, weights and word lists of the ranking.
 DIMENSION, MIN_DIMENSION = 128, 8
-DEFAULT_RESULTS, MAX_RESULTS = 8, 12
+DEFAULT_RESULTS = 8
 TAG_PENALTY, SCORE_DIGITS = 0.05, 6
 NEGATIVE_LABELS = ("negative", "unsafe", "rejected")
 TRUSTED = ("project", "system")
 FAVOURED_SOURCES = ("project_file", "project_doc", "approved_draft", "mlflow_summary")
 TAG_POINTS, TRUST_POINTS, SOURCE_POINTS = 6, 2, 2
 STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "draft", "create")
-FALLBACK_QUERIES = 100
 # ---------------------------------------------------------------------------
 
 
@@ -52,7 +51,7 @@ def embed_query(spark: SparkSession, query: str, dimension: int = DIMENSION, ins
     return hashed_embeddings(row, "id", "q", dimension, instruction).first()["embedding"]
 
 
-def source_records(references: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+def source_records(references: DataFrame, examples: DataFrame | None = None, text_limit: int | None = None) -> DataFrame:
     """Index sources: references before examples, the first record of every content hash.
 
     The choice is an aggregate of keys per hash, joined back on the unique record id.
@@ -61,7 +60,7 @@ def source_records(references: DataFrame, examples: DataFrame | None = None) ->
     text = F.array_join(F.array_compact(parts), "\n")
     columns = ("reference_id", "source_type", "name", "summary", "text", "content_hash", "trust_level", "tags")
     every = references.withColumn("text", text).withColumns({
-        "content_hash": F.coalesce("content_hash", F.sha2("text", 256)), "text": X.shorten(X.squeeze(F.col("text")), X.INDEX_TEXT_LIMIT),
+        "content_hash": F.coalesce("content_hash", F.sha2("text", 256)), "text": X.shorten(X.squeeze(F.col("text")), text_limit),
     }).select(*columns, F.lit(0).alias("priority"))
     if examples is not None:
         every = every.unionByName(examples.select(*columns, F.lit(1).alias("priority")))
@@ -69,7 +68,7 @@ def source_records(references: DataFrame, examples: DataFrame | None = None) ->
     return every.join(first.select("reference_id"), "reference_id", "left_semi").drop("priority")
 
 
-def example_sources(objects: DataFrame) -> DataFrame:
+def example_sources(objects: DataFrame, text_limit: int | None = None) -> DataFrame:
     """Catalog samples in the shape of index sources."""
     rows = objects.select("object_name", "family", F.explode("samples").alias("s")).where("s.payload IS NOT NULL")
     digest = F.sha2(F.concat_ws(":", "object_name", "s.tier", "s.payload"), 256)
@@ -77,7 +76,7 @@ def example_sources(objects: DataFrame) -> DataFrame:
         F.concat_ws("_", F.lit("example"), "object_name", "s.tier", F.substring(digest, 1, 10)).alias("reference_id"),
         F.lit("project_example_catalog").alias("source_type"), F.concat_ws(" ", "object_name", "s.tier").alias("name"),
         F.format_string("%s.%s validated %s example.", "family", "object_name", "s.tier").alias("summary"),
-        X.shorten(X.squeeze(F.col("s.payload")), X.INDEX_TEXT_LIMIT).alias("text"), digest.alias("content_hash"),
+        X.shorten(X.squeeze(F.col("s.payload")), text_limit).alias("text"), digest.alias("content_hash"),
         F.lit("system").alias("trust_level"), F.array(F.lit("project_example"), F.col("family"), F.col("object_name")).alias("tags"),
     )
 
@@ -97,7 +96,7 @@ def index_status(index: DataFrame) -> DataFrame:
 
 
 def clamp_results(limit: int | None) -> int:
-    return max(1, min(int(limit or DEFAULT_RESULTS), MAX_RESULTS))
+    return max(1, int(limit or DEFAULT_RESULTS))
 
 
 def search(index: DataFrame, query_vector: Sequence[float], tags: Sequence[str] = (), limit: int = DEFAULT_RESULTS, key: str = "reference_id") -> DataFrame:
@@ -134,9 +133,9 @@ def triplets(queries: DataFrame, query_key: str, documents: DataFrame, document_
     )
 
 
-def fallback_queries(sources: DataFrame) -> DataFrame:
-    """Queries made from the first sources when there are no interactions."""
-    first = sources.orderBy("reference_id").limit(FALLBACK_QUERIES)
+def fallback_queries(sources: DataFrame, limit: int | None = None) -> DataFrame:
+    """Queries made from the sources (the first ``limit``) when there are no interactions."""
+    first = sources if limit is None else sources.orderBy("reference_id").limit(limit)
     return first.select(
         F.col("reference_id").alias("query_id"), F.concat(F.lit("Find project context for "), F.coalesce("name", "source_type")).alias("query"),
         F.lit("positive").alias("label"),
@@ -184,7 +183,7 @@ def selected_pack(references: DataFrame, ids: Sequence[str], query: str = "", ta
     packs = named
     if query or tags:
         others = references.where(~F.col("reference_id").isin(wanted))
-        ranked = rank_references(others, query, tags, MAX_RESULTS)
+        ranked = rank_references(others, query, tags, limit)
         packs = named.unionByName(ranked.withColumns({"_g": F.lit(1), "_a": -F.col("score").cast("double")}))
     order = ["_g", "_a", F.desc("updated_at"), "reference_id"]
-    return packs.orderBy(*order).limit(min(int(limit or DEFAULT_RESULTS), MAX_RESULTS)).drop("_g", "_a")
+    return packs.orderBy(*order).limit(clamp_results(limit)).drop("_g", "_a")

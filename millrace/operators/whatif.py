@@ -6,6 +6,7 @@ and no shuffle before scoring.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,7 +19,7 @@ from millrace.operators.distribution import exact_quantiles, most_frequent
 
 # ---------------------------------------------------------------------------
 # Defaults, direction and mode words, coordinate column names.
-STEPS, MAX_STEPS, AMPLITUDE, MAX_SCENARIOS, MAX_FEATURES = 12, 120, 0.05, 6, 8
+STEPS, AMPLITUDE = 12, 0.05
 DOWN_WORDS = ("down", "decrease", "negative", "lower")
 ABSOLUTE_MODES, TARGET_MODES = ("absolute", "add", "linear"), ("target", "set")
 LATITUDE_NAMES = ("lat", "latitude", "y", "geo_lat", "gps_lat")
@@ -43,7 +44,7 @@ def _check(names: Sequence[str], columns: Sequence[str], where: str) -> None:
         raise ValueError(f"Unknown feature(s) in {where}: {', '.join(unknown)}. Available: {', '.join(columns[:12])}")
 
 
-def normalise_scenarios(payload: Mapping[str, Any], columns: Sequence[str], max_scenarios: int = MAX_SCENARIOS, max_steps: int = MAX_STEPS) -> list[Scenario]:
+def normalise_scenarios(payload: Mapping[str, Any], columns: Sequence[str], max_scenarios: int | None = None, max_steps: int | None = None) -> list[Scenario]:
     """Scenarios of a request with defaults filled in; unknown features are an error."""
     raw = payload.get("scenarios")
     if isinstance(raw, Mapping):
@@ -63,7 +64,7 @@ def normalise_scenarios(payload: Mapping[str, Any], columns: Sequence[str], max_
         plan = {**(payload.get("stepPlan") or {}), **(item.get("stepPlan") or {})}
         found = Scenario(
             name=str(item.get("name") or item.get("label") or f"Scenario {i}"), overrides=dict(item.get("overrides") or {}),
-            steps=max(1, min(int(number(item.get("steps", payload.get("steps", STEPS)), STEPS)), max_steps)),
+            steps=min(max(1, int(number(item.get("steps", payload.get("steps", STEPS)), STEPS))), max_steps or sys.maxsize),
             amplitude=number(item.get("amplitude", payload.get("amplitude", AMPLITUDE)), AMPLITUDE),
             trend=str(item.get("trend", payload.get("trend", "up")) or "up").strip().lower(),
             deltas=dict(plan.get("deltas") or {}), features=tuple(plan.get("features") or ()),
@@ -174,8 +175,8 @@ def changed_features(df: DataFrame, values: Mapping[str, Any], key: Sequence[str
 
 
 def applied_drift(base: DataFrame, grid: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """(key, scenario, feature, drift): absolute move of the first features at the last step."""
-    chosen = [c for c in features if V.is_numeric(base.schema[c].dataType)][:MAX_FEATURES]
+    """(key, scenario, feature, drift): absolute move of the numeric features at the last step."""
+    chosen = [c for c in features if V.is_numeric(base.schema[c].dataType)]
     finals = grid.groupBy(*key, "scenario").agg(*[F.max_by(c, "step").alias(f"_f_{c}") for c in chosen])
     both = finals.join(base.select(*key, *chosen), list(key))
     moves = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.abs(F.col(f"_f_{c}") - F.col(c)), 6).alias("drift")) for c in chosen])
@@ -184,7 +185,7 @@ def applied_drift(base: DataFrame, grid: DataFrame, features: Sequence[str], key
 
 def sensitivity_grid(df: DataFrame, features: Sequence[str], amplitude: float = AMPLITUDE) -> DataFrame:
     """Every row once per feature and side, that feature scaled by 1 - a or 1 + a."""
-    chosen = [c for c in features if V.is_numeric(df.schema[c].dataType)][:MAX_FEATURES]
+    chosen = [c for c in features if V.is_numeric(df.schema[c].dataType)]
     size = abs(amplitude)
     sides = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.lit(side).alias("side"), F.lit(factor).alias("factor"))
@@ -198,7 +199,7 @@ def sensitivity_grid(df: DataFrame, features: Sequence[str], amplitude: float =
 def sensitivity(scored: DataFrame, key: Sequence[str], features: Sequence[str], prediction: str = "prediction") -> DataFrame:
     """(key, rank, feature, lower, upper, impact, absolute_impact), largest impact first per row.
 
-    One aggregate per key holds both sides of the at most MAX_FEATURES features.
+    One aggregate per key holds both sides of the named features.
     """
     def at(feature: str, side: str) -> Column:
         return F.max(F.when((F.col("feature") == feature) & (F.col("side") == side), F.col(prediction)))

@@ -100,17 +100,17 @@ def corpus_references(spark, sf_dir):
 @query(
     "corpus_sync",
     "TXT-9",
-    f"""WITH a AS (SELECT doc_id, octet_length(encode(text)) > 20000 AS large, CASE WHEN octet_length(encode(text)) <= 20000 AND {_CLEAN} <> '' THEN sha256({_CLEAN}) END AS h FROM documents),
+    f"""WITH a AS (SELECT doc_id, false AS large, CASE WHEN {_CLEAN} <> '' THEN sha256({_CLEAN}) END AS h FROM documents),
     stored AS (SELECT DISTINCT sha256({_CLEAN}) AS h FROM benchmark),
     f AS (SELECT h, min(doc_id) AS first_id FROM a WHERE h IS NOT NULL AND h NOT IN (SELECT h FROM stored) GROUP BY h)
     SELECT doc_id, CASE WHEN large THEN 'too_large' WHEN a.h IS NULL THEN 'empty' WHEN first_id = doc_id THEN 'created' ELSE 'duplicate_hash' END AS outcome
     FROM a LEFT JOIN f USING (h)""",
 )
 def corpus_sync(spark, sf_dir):
-    """Documents against the benchmark texts as the stored corpus, with a lower size limit."""
+    """Documents against the benchmark texts as the stored corpus."""
     stored = table(spark, sf_dir, "benchmark").select(X.content_hash(F.col("text")).alias("content_hash"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return C.sync_references(docs, "doc_id", "text", stored, max_bytes=20_000).select("doc_id", "outcome")
+    return C.sync_references(docs, "doc_id", "text", stored).select("doc_id", "outcome")
 
 
 @query(
@@ -302,14 +302,11 @@ def corpus_example_records(spark, sf_dir):
     return C.catalog_example_record(example_objects(spark, sf_dir)).select("prompt", "asset_summary", "content", "source_hash", "assistant_quality_label")
 
 
-_CLIP = """CASE WHEN length({0}) > 12000 THEN regexp_replace(substr({0}, 1, 11920), '\\s+$', '') || chr(10) || chr(10) || '[TRUNCATED: original_length=' || length({0}) || ']' ELSE {0} END"""
-
-
 @query(
     "corpus_reference_records",
     "TXT-18 TXT-19",
     f"""WITH {REFERENCES_SQL}, t AS (SELECT *, {_REDACT.format('text')} AS red FROM r)
-    SELECT 'content_reference' AS source_type, content_hash AS source_hash, {_REDACT.format('summary')} AS asset_summary, md5({_CLIP.format('red')}) AS content_md5,
+    SELECT 'content_reference' AS source_type, content_hash AS source_hash, {_REDACT.format('summary')} AS asset_summary, md5(red) AS content_md5,
       1 AS assistant_success, CAST(0.75 AS DOUBLE) AS assistant_quality_label, '' AS source_path FROM t""",
 )
 def corpus_reference_records(spark, sf_dir):
@@ -331,7 +328,7 @@ def snapshot(spark, sf_dir):
     }, approved=passed)
     kind = F.when(F.col("user_id") % 2 == 0, "training_run").otherwise("study_run")
     state = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
-    runs = C.to_record(table(spark, sf_dir, "events").where("event_type <> 'click'"), {
+    runs = C.to_record(table(spark, sf_dir, "events"), {
         "source_type": kind, "label": F.when(state == "completed", "positive").otherwise(state), "workflow_type": F.regexp_replace(kind, "_run$", ""),
         "recorded_at": F.col("ts"), "record_key": F.format_string("%010d", "event_id"),
     }, status=state)
@@ -345,13 +342,13 @@ def snapshot(spark, sf_dir):
     "corpus_snapshot",
     "TXT-15",
     f"""WITH a AS (
-      SELECT * FROM (SELECT 'assistant_interaction' AS source_type, {_LABEL} AS label FROM conversations WHERE {_KEPT} ORDER BY conv_id * 100 + turn DESC, printf('%08d-%03d', conv_id, turn) DESC LIMIT 500)
-      UNION ALL SELECT * FROM (SELECT 'context_pack', 'context' FROM benchmark ORDER BY item_id DESC LIMIT 500)
-      UNION ALL SELECT * FROM (SELECT 'assistant_eval', CASE WHEN quality = 1 THEN 'positive' ELSE 'needs_revision' END FROM labels ORDER BY doc_id DESC LIMIT 500)
+      SELECT * FROM (SELECT 'assistant_interaction' AS source_type, {_LABEL} AS label FROM conversations WHERE {_KEPT} ORDER BY conv_id * 100 + turn DESC, printf('%08d-%03d', conv_id, turn) DESC)
+      UNION ALL SELECT * FROM (SELECT 'context_pack', 'context' FROM benchmark ORDER BY item_id DESC)
+      UNION ALL SELECT * FROM (SELECT 'assistant_eval', CASE WHEN quality = 1 THEN 'positive' ELSE 'needs_revision' END FROM labels ORDER BY doc_id DESC)
       UNION ALL SELECT * FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'training_run' ELSE 'study_run' END, CASE event_type WHEN 'purchase' THEN 'positive' WHEN 'error' THEN 'failed' ELSE 'running' END
-          FROM events WHERE event_type <> 'click' ORDER BY ts DESC, event_id DESC LIMIT 500)
-      UNION ALL SELECT * FROM (SELECT 'content_reference', 'reference_asset' FROM documents ORDER BY (doc_id * 7919) % 100000 DESC, doc_id DESC LIMIT 500)
-      UNION ALL SELECT * FROM (SELECT 'registry_learning_model', 'registry_asset' FROM supplier ORDER BY s_suppkey DESC LIMIT 500))
+          FROM events ORDER BY ts DESC, event_id DESC)
+      UNION ALL SELECT * FROM (SELECT 'content_reference', 'reference_asset' FROM documents ORDER BY (doc_id * 7919) % 100000 DESC, doc_id DESC)
+      UNION ALL SELECT * FROM (SELECT 'registry_learning_model', 'registry_asset' FROM supplier ORDER BY s_suppkey DESC))
     SELECT source_type, label, CASE label WHEN 'positive' THEN 1.0::DOUBLE WHEN 'needs_revision' THEN 0.5 WHEN 'failed' THEN 0 WHEN 'rejected' THEN 0
       WHEN 'context' THEN 0.75 WHEN 'reference_asset' THEN 0.75 WHEN 'registry_asset' THEN 0.75 ELSE 0.25 END AS assistant_quality_label, count(*) AS n FROM a GROUP BY 1, 2, 3""",
 )
@@ -381,7 +378,7 @@ _DOC_TOKENS = "len(regexp_extract_all('sys' || chr(10) || {0} || chr(10) || {1},
 @query(
     "corpus_token_statistics",
     "TXT-22",
-    f"""WITH {REFERENCES_SQL}, k AS (SELECT {_DOC_TOKENS.format("'reference' || chr(10) || summary || chr(10) || " + _CLIP.format(_REDACT.format('text')), "'{}'")} AS n,
+    f"""WITH {REFERENCES_SQL}, k AS (SELECT {_DOC_TOKENS.format("'reference' || chr(10) || summary || chr(10) || " + _REDACT.format('text'), "'{}'")} AS n,
        {_DOC_TOKENS.format("'x'", "reference_id")} AS unused FROM r)
     SELECT count(*) AS record_count, CAST(sum(n) AS BIGINT) AS total_estimated_tokens, round(avg(n), 6) AS average_estimated_tokens,
       max(n) AS max_observed_tokens, count(*) FILTER (WHERE n > 1024) AS truncation_count, round(avg(CASE WHEN n > 1024 THEN 1.0 ELSE 0.0 END), 6) AS truncation_rate FROM k""",

@@ -41,7 +41,7 @@ def _column_sql(place: int, name: str, kind: str, family: str) -> str:
     if family in ("categorical", "datetime_candidate"):
         confidence = (
             f"(SELECT round(avg(CASE WHEN try_cast(x AS TIMESTAMP) IS NULL THEN 0.0 ELSE 1.0 END), 4) FROM "
-            f"(SELECT {name} AS x FROM v WHERE {name} IS NOT NULL ORDER BY event_id LIMIT 50))"
+            f"(SELECT {name} AS x FROM v WHERE {name} IS NOT NULL))"
         )
     else:
         confidence = "CAST(0 AS DOUBLE)"
@@ -110,8 +110,8 @@ def profile_analysis_summary(spark, sf_dir):
     """
     WITH v AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN 'true'
                  WHEN 2 THEN '1.5' ELSE event_type END AS raw_mix, event_type AS raw_plain FROM events),
-    h AS (SELECT 'raw_mix' AS "column", raw_mix AS value FROM (SELECT * FROM v WHERE raw_mix IS NOT NULL ORDER BY event_id LIMIT 50)
-          UNION ALL SELECT 'raw_plain', raw_plain FROM (SELECT * FROM v WHERE raw_plain IS NOT NULL ORDER BY event_id LIMIT 50)),
+    h AS (SELECT 'raw_mix' AS "column", raw_mix AS value FROM (SELECT * FROM v WHERE raw_mix IS NOT NULL)
+          UNION ALL SELECT 'raw_plain', raw_plain FROM (SELECT * FROM v WHERE raw_plain IS NOT NULL)),
     k AS (SELECT "column", CASE WHEN regexp_full_match(value, '[+-]?[0-9]+') THEN 'int'
           WHEN TRY_CAST(value AS DOUBLE) IS NOT NULL THEN 'float' WHEN value IN ('true', 'false') THEN 'bool' ELSE 'str' END AS kind FROM h)
     SELECT "column", string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(DISTINCT kind) > 1 AS mixed_type FROM k GROUP BY 1
@@ -120,7 +120,7 @@ def profile_analysis_summary(spark, sf_dir):
 def profile_mixed_types(spark, sf_dir):
     mix = "CASE event_id % 4 WHEN 0 THEN string(event_id) WHEN 1 THEN 'true' WHEN 2 THEN '1.5' ELSE event_type END"
     raw = table(spark, sf_dir, "events").select("event_id", F.expr(mix).alias("raw_mix"), F.col("event_type").alias("raw_plain"))
-    return P.text_head_facts(raw, ["raw_mix", "raw_plain"], ["event_id"]).select("column", "kinds", "mixed_type")
+    return P.text_facts(raw, ["raw_mix", "raw_plain"]).select("column", "kinds", "mixed_type")
 
 
 @query(

@@ -134,7 +134,7 @@ def registry_payload_coercion(spark, sf_dir):
 def registry_compact_context(spark, sf_dir):
     metrics = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.struct(i.cast("string").alias("k"), (i + F.col("doc_id")).alias("v"))))
     docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.split("text", r"\s+").alias("features"), metrics.alias("metrics"))
-    made = G.compact_context(docs, ["features"], ["metrics"])
+    made = G.compact_context(docs, ["features"], ["metrics"], features=24, entries=16)
     return made.select("doc_id", "features_count", F.array_join("features", " ").alias("features"), F.size("metrics").alias("metric_count"))
 
 

@@ -80,7 +80,7 @@ def retrieval_index_status(spark, sf_dir):
     WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0),
     e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, (SELECT v FROM q) AS w FROM embeddings)
     SELECT vec_id, label, round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)))
-        - CASE WHEN label IN (1, 2) THEN 0 ELSE 0.05 END, 6) AS score FROM e ORDER BY score DESC, vec_id LIMIT 12
+        - CASE WHEN label IN (1, 2) THEN 0 ELSE 0.05 END, 6) AS score FROM e ORDER BY score DESC, vec_id LIMIT 50
     """,
 )
 def retrieval_search_vectors(spark, sf_dir):
@@ -129,7 +129,7 @@ def retrieval_triplets(spark, sf_dir):
 @query(
     "retrieval_fallback_queries",
     "VEC-6",
-    f"WITH {REFERENCES_SQL} SELECT reference_id AS query_id, 'Find project context for ' || name AS query, 'positive' AS label FROM r ORDER BY reference_id LIMIT 100",
+    f"WITH {REFERENCES_SQL} SELECT reference_id AS query_id, 'Find project context for ' || name AS query, 'positive' AS label FROM r",
 )
 def retrieval_fallback_queries(spark, sf_dir):
     return R.fallback_queries(references(spark, sf_dir))
@@ -147,7 +147,7 @@ def retrieval_lexical_scores(spark, sf_dir):
 @query(
     "retrieval_lexical_rank",
     "VEC-7",
-    f"WITH {REFERENCES_SQL} SELECT reference_id, CAST(score AS INTEGER) AS score FROM {_SCORE} WHERE score > 0 ORDER BY score DESC, age DESC, reference_id LIMIT 12",
+    f"WITH {REFERENCES_SQL} SELECT reference_id, CAST(score AS INTEGER) AS score FROM {_SCORE} WHERE score > 0 ORDER BY score DESC, age DESC, reference_id LIMIT 40",
 )
 def retrieval_lexical_rank(spark, sf_dir):
     return R.rank_references(references(spark, sf_dir), "Create the elle project, from que", ["FR", " src3 "], 40).select("reference_id", "score")

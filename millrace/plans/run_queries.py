@@ -103,18 +103,18 @@ _DOC_LINES = r"""m AS (SELECT source AS run_id, doc_id AS seq, unnest(string_spl
     l AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq, part) - 1 AS index, message, count(*) OVER (PARTITION BY run_id) AS n FROM m)"""
 
 
-def _terminal(spark, sf_dir, cap):
+def _terminal(spark, sf_dir):
     text = table(spark, sf_dir, "documents").select(
         F.col("source").alias("run_id"), F.col("doc_id").alias("seq"), F.lit(None).cast("timestamp").alias("ts"), F.lit("stdout").alias("stream"),
         F.lit("").alias("stage"), F.col("text").alias("message"),
     )
-    return U.terminal_lines(text, cap)
+    return U.terminal_lines(text)
 
 
-@query("run_terminal_lines", "RUN-4", f"WITH {_DOC_LINES} SELECT run_id, index, md5(message) AS line_md5 FROM l WHERE index >= n - 2000")
+@query("run_terminal_lines", "RUN-4", f"WITH {_DOC_LINES} SELECT run_id, index, md5(message) AS line_md5 FROM l")
 def run_terminal_lines(spark, sf_dir):
     """Lines of all documents of a source as the terminal output of one run."""
-    return _terminal(spark, sf_dir, U.TERMINAL_CAP).select("run_id", "index", F.md5("message").alias("line_md5"))
+    return _terminal(spark, sf_dir).select("run_id", "index", F.md5("message").alias("line_md5"))
 
 
 @query(
@@ -135,10 +135,10 @@ def run_terminal_synthesis(spark, sf_dir):
     "run_terminal_cursor",
     "RUN-6",
     f"""WITH {_DOC_LINES} SELECT index, next_cursor, md5(message) AS line_md5 FROM (SELECT *, (SELECT max(index) + 1 FROM l WHERE run_id = 'src1') AS next_cursor FROM l
-        WHERE run_id = 'src1' AND index >= 100 AND index >= n - 2000) ORDER BY index DESC LIMIT 300""",
+        WHERE run_id = 'src1' AND index >= 100) ORDER BY index DESC LIMIT 300""",
 )
 def run_terminal_cursor(spark, sf_dir):
-    found = U.read_terminal(_terminal(spark, sf_dir, U.TERMINAL_CAP), "src1", cursor=100)
+    found = U.read_terminal(_terminal(spark, sf_dir), "src1", cursor=100)
     return found.select("index", "next_cursor", F.md5("message").alias("line_md5"))
 
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.functions.values import as_double
-from millrace.operators.profile import text_head_facts
+from millrace.operators.profile import text_facts
 
 # ---------------------------------------------------------------------------
 # Formats, delimiters, and the words read as missing cells.
@@ -205,7 +205,7 @@ def parser_report(loaded: Loaded, order: Sequence[str] = ()) -> DataFrame:
     )
     if not texts or not order:
         return report.withColumn("warnings", F.coalesce("wide", F.lit(""))).drop("wide")
-    mixed = text_head_facts(df, texts, order).where("mixed_type").agg(F.array_join(F.array_sort(F.collect_list("column")), ",").alias("m"))
+    mixed = text_facts(df, texts).where("mixed_type").agg(F.array_join(F.array_sort(F.collect_list("column")), ",").alias("m"))
     mixed_note = F.concat(F.lit("Mixed types: "), F.nullif(mixed.scalar(), F.lit("")))
     return report.withColumn("warnings", F.concat_ws("; ", "wide", mixed_note)).drop("wide")
 

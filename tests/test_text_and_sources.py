@@ -121,9 +121,10 @@ def test_terminal_cap(spark):
     text = "\n".join(f"line {i}" for i in range(2105))
     rows = spark.createDataFrame([("r", 0, "first\r\nsecond\n"), ("r", 1, text)], "run_id string, seq long, message string")
     rows = rows.withColumns({"ts": F.lit(None).cast("timestamp"), "stream": F.lit("system"), "stage": F.lit("")})
-    kept = U.terminal_lines(rows).orderBy("index").collect()
+    assert U.terminal_lines(rows).count() == 2107
+    kept = U.terminal_lines(rows, 2000).orderBy("index").collect()
     assert len(kept) == 2000 and kept[0]["index"] == 107 and kept[-1]["message"] == "line 2104"
-    tail = U.read_terminal(U.terminal_lines(rows), "r", cursor=2100).collect()
+    tail = U.read_terminal(U.terminal_lines(rows, 2000), "r", cursor=2100).collect()
     assert len(tail) == 7 and tail[0]["next_cursor"] == 2107
 
 

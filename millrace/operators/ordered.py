@@ -9,55 +9,45 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from millrace.functions.values import is_datetime, is_numeric
-
-MIN_RANGES, MAX_RANGES = 8, 256
+MIN_RANGES, SAMPLES_PER_RANGE = 8, 20
 
 
 def default_ranges(df: DataFrame) -> int:
-    """As many value ranges as the session has shuffle partitions, within bounds."""
-    return max(MIN_RANGES, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
+    """As many value ranges as the session has shuffle partitions, eight at least."""
+    return max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def order_proxy(col: Column, dtype: T.DataType) -> Column:
-    """A double that never falls when the key rises; it only decides how rows are spread."""
-    if is_numeric(dtype):
-        return col.cast("double")
-    if is_datetime(dtype):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    head = F.rpad(F.hex(F.encode(F.substring(col.cast("string"), 1, 6), "UTF-8")), 12, "0")
-    return F.conv(F.substring(head, 1, 12), 16, 10).cast("double")
 
+def range_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int) -> list[tuple]:
+    """Whole order tuples that cut the table into about equal ranges.
 
-def range_cuts(df: DataFrame, proxy: Column, ranges: int) -> list[float]:
-    """Approximate quantiles of the proxy: at most ``ranges`` numbers reach the driver.
-
-    They balance the work and never change a result, so an approximate sketch is enough.
+    They come from the rows with the smallest hashes, ``SAMPLES_PER_RANGE`` for each range. Cuts balance
+    the work and never change a result.
     """
-    shares = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(proxy, F.array(*[F.lit(s) for s in shares]), F.lit(1000)).alias("c")).first()
-    return sorted({c for c in (row["c"] or []) if c is not None})
-
-
-def range_number(proxy: Column, cuts: Sequence[float]) -> Column:
-    """Number of the value range as a balanced tree of comparisons, evaluated in generated code."""
-
-    def branch(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(proxy < F.lit(cuts[middle]), branch(low, middle)).otherwise(branch(middle + 1, high))
-
-    return branch(0, len(cuts))
+    names = [f"`{c}`" for c in dict.fromkeys([*keys, *order])]
+    chosen = df.select(*names).orderBy(F.xxhash64(*names)).limit(ranges * SAMPLES_PER_RANGE)
+    rows = [tuple(r) for r in chosen.select(*[f"`{c}`" for c in order]).orderBy(*[f"`{c}`" for c in order]).collect()]
+    return list(dict.fromkeys(rows[len(rows) * i // ranges] for i in range(1, ranges) if rows))
+
+
+def range_number(df: DataFrame, order: Sequence[str], cuts: Sequence[tuple]) -> Column:
+    """How many cuts are not above the row's order tuple: a binary search in the array of cuts."""
+    if not cuts:
+        return F.lit(0)
+    types = [df.schema[c].dataType for c in order]
+    names = [f"_{i}" for i in range(len(order))]
+    points = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(cut, types, names)]) for cut in cuts])
+    own = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(order, names)])
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda at, step: F.when(F.coalesce(F.get(points, at + step - 1) <= own, F.lit(False)), at + step).otherwise(at),
+    )
 
 
-def _spread(df: DataFrame, order: Sequence[str], ranges: int | None) -> DataFrame:
-    ranges = ranges or default_ranges(df)
-    dtype = df.schema[order[0]].dataType
-    proxy = order_proxy(F.col(order[0]), dtype)
-    return df.withColumn("_range", range_number(proxy, range_cuts(df, proxy, ranges)))
+def _spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None) -> DataFrame:
+    return df.withColumn("_range", range_number(df, order, range_cuts(df, keys, order, ranges or default_ranges(df))))
 
 
 def running_totals(
@@ -71,7 +61,7 @@ def running_totals(
 
     ``order`` must be unique within a group, keys must not be NULL.
     """
-    tagged = _spread(df, order, ranges).withColumns({f"_m_{n}": c for n, c in totals.items()})
+    tagged = _spread(df, keys, order, ranges).withColumns({f"_m_{n}": c for n, c in totals.items()})
     sums = tagged.groupBy(*keys, "_range").agg(*[F.sum(f"_m_{n}").alias(f"_s_{n}") for n in totals])
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
@@ -97,7 +87,7 @@ def running_extreme(
 ) -> DataFrame:
     """Adds the best ``value`` seen so far in ``order`` within ``keys``."""
     best = F.max if largest else F.min
-    tagged = _spread(df, order, ranges).withColumn("_v", value)
+    tagged = _spread(df, keys, order, ranges).withColumn("_v", value)
     tops = tagged.groupBy(*keys, "_range").agg(best("_v").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tops.select(*keys, "_range", best("_t").over(before).alias("_before"))
@@ -111,7 +101,7 @@ def carry_last(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, ranges: int | None = None
 ) -> DataFrame:
     """Adds the last non-NULL ``value`` at or before each row in ``order`` within ``keys``."""
-    tagged = _spread(df, order, ranges)
+    tagged = _spread(df, keys, order, ranges)
     known = tagged.where(F.col(value).isNotNull())
     lasts = tagged.select(*keys, "_range").distinct().join(
         known.groupBy(*keys, "_range").agg(F.max_by(value, F.struct(*order)).alias("_last")), [*keys, "_range"], "left"

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from millrace.operators import drift as D
 from millrace.operators.evaluate import evaluate, higher_is_better
 from millrace.operators.ordered import running_extreme
+from millrace.session import durable
 
 # ---------------------------------------------------------------------------
 # Default search spaces and bounds.
@@ -207,10 +208,11 @@ def run_search(
     train: DataFrame, test: DataFrame, task: str, trials: int = TRIALS, objective: str | None = None,
     space: Mapping[str, Mapping[str, Any]] | None = None, seed: int = 42, parallelism: int = 2,
 ) -> DataFrame:
-    """(number, estimator_class, params, metric, value, state): random search, one fit per trial.
+    """(number, estimator_class, params, metric, direction, value, state, error, is_best): random search, one fit per trial.
 
     The trial list is short and known; each fit and each evaluation is a distributed job. A trial
-    that fails is recorded and the others go on.
+    that fails keeps its message and the others go on. If the evaluation lacks the objective, the value is
+    the best metric there is by the objective's direction.
     """
     spark = train.sparkSession
     chosen = space or SEARCH_SPACES[task]
@@ -218,20 +220,31 @@ def run_search(
     plans = [r.asDict() for r in draw_trials(spark.range(trials).withColumnRenamed("id", "number"), "number", chosen, seed).collect()]
     fit = fit_regressor if task == "regression" else fit_classifier
 
-    def one(plan: dict[str, Any]) -> tuple[int, str, dict[str, str], float | None, str]:
+    upward = spark.range(1).select(higher_is_better(F.lit(metric)).alias("up")).first()["up"]
+    pick = max if upward else min
+
+    def one(plan: dict[str, Any]) -> tuple[int, str, dict[str, str], float | None, str, str | None]:
         params = {k: v for k, v in plan.items() if k not in ("number", "estimator_class")}
         kind = plan.get("estimator_class") or ("LinearRegression" if task == "regression" else "LogisticRegression")
         text = {k: str(v) for k, v in params.items()}
         try:
             scored = fit(train, kind, **params).transform(test)
             values = {r["metric"]: r["value"] for r in evaluate(scored, "label", "prediction", task).collect()}
-        except Exception:
-            return plan["number"], kind, text, None, "FAIL"
-        return plan["number"], kind, text, values.get(metric, next(iter(values.values()))), "COMPLETE"
+        except Exception as error:  # a failed trial is a result of the search
+            return plan["number"], kind, text, None, "FAIL", f"{type(error).__name__}: {error}"
+        known = [v for v in values.values() if v is not None]
+        return plan["number"], kind, text, values.get(metric, pick(known) if known else None), "COMPLETE", None
 
     with ThreadPoolExecutor(parallelism) as pool:
-        rows = [(n, k, p, metric, v, s) for n, k, p, v, s in pool.map(one, plans)]
-    return spark.createDataFrame(rows, "number bigint, estimator_class string, params map<string,string>, metric string, value double, state string")
+        done = list(pool.map(one, plans))
+    best = pick((v for *_, v, _, _ in done if v is not None), default=None)
+    winner = next((n for n, _, _, v, _, _ in done if v is not None and v == best), None)
+    rows = [(n, k, p, metric, "maximize" if upward else "minimize", v, s, e, n == winner) for n, k, p, v, s, e in done]
+    return spark.createDataFrame(
+        rows,
+        "number bigint, estimator_class string, params map<string,string>, metric string, direction string, value double, state string, "
+        "error string, is_best boolean",
+    )
 
 
 def study_summary(trials: DataFrame, minimise: bool = True, study: str = "study_name") -> DataFrame:
@@ -270,13 +283,18 @@ def monitoring_snapshot(
 
     ``features`` are plain numeric columns kept beside the vector.
     """
-    old, new = found.transform(reference), found.transform(current)
+    wanted = list(dict.fromkeys([*features, "label", "prediction"]))
+    old, new = (durable(found.transform(df).select(*wanted)) for df in (reference, current))  # each table is scored once
     before = previous_metrics if previous_metrics is not None else evaluate(old, "label", "prediction", found.task)
     now = evaluate(new, "label", "prediction", found.task)
     moved = D.feature_drift(old.select(*features), new.select(*features))
     worse = D.degradation(now, before)
-    summary = D.monitoring_summary(moved, worse).withColumn("evaluated_at", F.current_timestamp())
-    return Snapshot(now, moved, D.prediction_drift(old, new), worse, summary)
+    shifted = durable(D.prediction_drift(old, new))
+    summary = D.monitoring_summary(moved, worse).withColumns({
+        "prediction_drifted": shifted.select("drifted").scalar(), "prediction_p_value": shifted.select("p_value").scalar(),
+        "evaluated_at": F.current_timestamp(),
+    })
+    return Snapshot(now, moved, shifted, worse, summary)
 
 
 def monitor_and_retrain(
@@ -288,9 +306,7 @@ def monitor_and_retrain(
     outcome, model = "stable", found
     if facts["retrain_recommended"]:
         outcome, model = "retrained", (fit_regressor if found.task == "regression" else fit_classifier)(current, found.kind, **params)
-    row = [(outcome, int(facts["drifted_features"]), int(facts["degraded_metrics"]), float(model.fit_duration_sec))]
-    return model, current.sparkSession.createDataFrame(row, "outcome string, drifted_features bigint, degraded_metrics bigint, fit_duration_sec double")
-
-
-def metric_direction(objective: Column) -> Column:
-    return F.when(higher_is_better(objective), "maximize").otherwise("minimize")
+    scores = {r["metric"]: r["value"] for r in evaluate(model.transform(current), "label", "prediction", model.task).collect()}
+    row = [(outcome, int(facts["drifted_features"]), int(facts["degraded_metrics"]), bool(facts["prediction_drifted"]), float(model.fit_duration_sec), scores)]
+    schema = "outcome string, drifted_features bigint, degraded_metrics bigint, prediction_drifted boolean, fit_duration_sec double, metrics map<string,double>"
+    return model, current.sparkSession.createDataFrame(row, schema)

@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 from millrace.functions import values as V
 from millrace.operators.distribution import exact_quantiles
 from millrace.operators.ordered import positions
+from millrace.session import durable
 
 # Defaults and thresholds of preparation.
 TEST_SIZE, SEED = 0.2, 42
 PARSE_SHARE = 0.8
 CLASS_METRICS = ("accuracy", "precision", "recall", "f1")
 REGRESSION_METRICS = ("rmse", "mse", "mae", "r2")
-MAX_CATEGORY_COLUMNS = 64
 HASH_RANGES = 1024
 
 
@@ -64,41 +64,74 @@ def infer_task_by_values(df: DataFrame, target: str) -> DataFrame:
 
 @dataclass
 class FeatureEncoding:
-    """What was learnt from the training table; ``transform`` applies it to any table."""
+    """What was learnt from the training table, applied alike to any table.
+
+    ``codes`` holds for every category column a written table (value, code) and the number of values. A
+    column takes one position per value and one for missing cells; a value never seen fills none.
+    """
 
     numeric: dict[str, float] = field(default_factory=dict)
     times: dict[str, float] = field(default_factory=dict)
-    categories: dict[str, list[str]] = field(default_factory=dict)
-    wide: list[str] = field(default_factory=list)
-
-    @property
-    def columns(self) -> list[str]:
-        dummies = [f"{c}_{v}" for c, values in self.categories.items() for v in [*values, "nan"]]
-        return [*self.numeric, *self.times, *dummies]
-
-    def transform(self, df: DataFrame, keep: Sequence[str] = (), prefix: str = "") -> DataFrame:
-        """Double columns only: imputed numbers, epoch seconds and one column per category."""
+    codes: dict[str, tuple[DataFrame, int]] = field(default_factory=dict)
+
+    def _numbers(self, df: DataFrame) -> list[tuple[str, Column]]:
+        plain = [(c, F.coalesce(V.as_double(_c(c), df.schema[c].dataType), F.lit(mean))) for c, mean in self.numeric.items()]
+        moments = [(c, F.coalesce(V.epoch_seconds(V.as_timestamp(_c(c), df.schema[c].dataType)), F.lit(mean))) for c, mean in self.times.items()]
+        return plain + moments
+
+    def _coded(self, df: DataFrame) -> DataFrame:
+        """Adds ``_code_<column>``: code, then the number of values for missing cells, then one more for unseen values."""
+        for c, (codes, size) in self.codes.items():
+            known = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+            code = F.when(_c(c).isNull(), F.lit(size)).otherwise(F.coalesce("_code", F.lit(size + 1))).cast("double")
+            df = df.join(known, _c(c) == F.col("_value"), "left").withColumn(f"_code_{c}", code).drop("_value", "_code")
+        return df
+
+    def transform(self, df: DataFrame, keep: Sequence[str] = (), max_columns: int = 1_000) -> DataFrame:
+        """Double columns only: imputed numbers, epoch seconds and one column per category.
+
+        The category names become column names; more than ``max_columns`` of them are an error, and
+        ``assemble`` is the form for those.
+        """
+        count = sum(size + 1 for _, size in self.codes.values())
+        if count > max_columns:
+            raise ValueError(f"{count} category columns; up to {max_columns} are allowed here, assemble takes any number.")
         out: list[Column] = [_c(c) for c in keep]
-        for c, mean in self.numeric.items():
-            out.append(F.coalesce(V.as_double(_c(c), df.schema[c].dataType), F.lit(mean)).alias(prefix + c))
-        for c, mean in self.times.items():
-            out.append(F.coalesce(V.epoch_seconds(V.as_timestamp(_c(c), df.schema[c].dataType)), F.lit(mean)).alias(prefix + c))
-        for c, values in self.categories.items():
-            out += [F.coalesce((_c(c) == v).cast("double"), F.lit(0.0)).alias(f"{prefix}{c}_{v}") for v in values]
-            out.append(_c(c).isNull().cast("double").alias(f"{prefix}{c}_nan"))
+        out += [value.alias(c) for c, value in self._numbers(df)]
+        for c, (codes, _) in self.codes.items():
+            values = [r["value"] for r in codes.orderBy("code").collect()]
+            out += [F.coalesce((_c(c) == v).cast("double"), F.lit(0.0)).alias(f"{c}_{v}") for v in values]
+            out.append(_c(c).isNull().cast("double").alias(f"{c}_nan"))
         return df.select(*out)
 
+    def entries(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """(keep, position, value): the non-zero positions of ``assemble``, as rows."""
+        parts, place = [], 0
+        for _, value in self._numbers(df):
+            parts.append(F.struct(F.lit(place).cast("bigint").alias("position"), value.alias("value")))
+            place += 1
+        for c, (_, size) in self.codes.items():
+            code = F.col(f"_code_{c}")
+            spot = F.struct((code + place).cast("bigint").alias("position"), F.lit(1.0).alias("value"))
+            parts.append(F.when(code <= size, spot))
+            place += size + 1
+        rows = self._coded(df).select(*[_c(c) for c in keep], F.explode(F.array_compact(F.array(*parts))).alias("_e"))
+        return rows.select(*[_c(c) for c in keep], "_e.*").where("value <> 0")
+
     def assemble(self, df: DataFrame, keep: Sequence[str] = (), output: str = "features") -> DataFrame:
-        """``keep`` and one vector column; wide text columns enter as sparse one-hot blocks."""
-        coded = df
-        for c in self.wide:
-            coded = with_category_code(coded, c, f"_code_{c}")
-        plain = self.transform(coded, [*keep, *[f"_code_{c}" for c in self.wide]], prefix="_f_")
-        blocks = [f"_hot_{c}" for c in self.wide]
+        """``keep`` and one vector column: numbers, times, then one sparse block per category column."""
+        numbers = self._numbers(df)
+        sized = [
+            F.col(f"_code_{c}").alias(f"_code_{c}", metadata={"ml_attr": {"type": "nominal", "num_vals": size + 1}})
+            for c, (_, size) in self.codes.items()
+        ]
+        plain = self._coded(df).select(*[_c(c) for c in keep], *[value.alias(f"_f_{c}") for c, value in numbers], *sized)
+        blocks = [f"_hot_{c}" for c in self.codes]
         if blocks:
-            encoder = OneHotEncoder(inputCols=[f"_code_{c}" for c in self.wide], outputCols=blocks, dropLast=False)
+            # The sizes come with the columns, so nothing is learnt here; the last category is "unseen" and is dropped.
+            encoder = OneHotEncoder(inputCols=[f"_code_{c}" for c in self.codes], outputCols=blocks, handleInvalid="keep", dropLast=True)
             plain = encoder.fit(plain).transform(plain)
-        return VectorAssembler(inputCols=[*[f"_f_{c}" for c in self.columns], *blocks], outputCol=output).transform(plain).select(*keep, output)
+        return VectorAssembler(inputCols=[*[f"_f_{c}" for c, _ in numbers], *blocks], outputCol=output).transform(plain).select(*keep, output)
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
@@ -107,14 +140,8 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
     return positions(values, [], ["value"], "p").select("value", (F.col("p") - 1).alias("code"))
 
 
-def with_category_code(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Code of a wide text column; missing values take 0, categories start at 1."""
-    codes = category_codes(df, column).select(_c("value").alias("_value"), (F.col("code") + 1).cast("double").alias(name))
-    return df.join(codes, _c(column) == F.col("_value"), "left").drop("_value").withColumn(name, F.coalesce(name, F.lit(0.0)))
-
-
-def fit_features(df: DataFrame, columns: Sequence[str], max_categories: int = MAX_CATEGORY_COLUMNS) -> FeatureEncoding:
-    """Learn the encoding. Only one row of statistics and short category lists reach the driver."""
+def fit_features(df: DataFrame, columns: Sequence[str]) -> FeatureEncoding:
+    """Learn the encoding. One row of statistics and the number of categories reach the driver."""
     types = {c: df.schema[c].dataType for c in columns}
     texts = [c for c in columns if isinstance(types[c], T.StringType)]
     numbers = [c for c in columns if V.is_numeric(types[c])]
@@ -125,22 +152,15 @@ def fit_features(df: DataFrame, columns: Sequence[str], max_categories: int = MA
     for c in clocks + texts:
         moment = V.as_timestamp(_c(c), types[c])
         parts += [F.avg(V.epoch_seconds(moment)).alias(f"mean:{c}"), F.avg(moment.isNotNull().cast("double")).alias(f"share:{c}")]
-    for c in texts:
-        # Never above the true count by much: the estimate only routes a column, the list below decides.
-        parts.append(F.approx_count_distinct(_c(c)).alias(f"size:{c}"))
     stats = df.agg(*parts).first()
     found = FeatureEncoding()
     found.numeric = {c: stats[f"mean:{c}"] if stats[f"mean:{c}"] is not None else 0.0 for c in numbers}
     parsed = [c for c in clocks + texts if c in clocks or (stats[f"share:{c}"] or 0.0) >= PARSE_SHARE]
     found.times = {c: stats[f"mean:{c}"] if stats[f"mean:{c}"] is not None else 0.0 for c in parsed}
-    rest = [c for c in texts if c not in parsed]
-    narrow = [c for c in rest if stats[f"size:{c}"] <= max_categories * 1.2]
-    for c in rest:
-        values = [] if c not in narrow else [r[0] for r in df.where(_c(c).isNotNull()).select(c).distinct().limit(max_categories + 1).collect()]
-        if c in narrow and len(values) <= max_categories:
-            found.categories[c] = sorted(values)
-        else:
-            found.wide.append(c)
+    for c in texts:
+        if c not in parsed:
+            codes = durable(category_codes(df, c))
+            found.codes[c] = (codes, codes.count())
     return found
 
 
@@ -185,7 +205,8 @@ def check_test_size(value: Any) -> float:
 def hash_split(df: DataFrame, key: Sequence[str], test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
     """Adds ``is_test``. A row's side depends only on its key and the seed, never on partitioning."""
     size = check_test_size(test_size)
-    share = F.pmod(F.xxhash64(*[_c(k) for k in key], F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    text = F.concat_ws("\u0001", F.lit(str(seed)), *[F.coalesce(_c(k).cast("string"), F.lit("\\N")) for k in key])
+    share = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     return df.withColumn("is_test", share < size)
 
 

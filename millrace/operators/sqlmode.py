@@ -17,6 +17,8 @@ BLOCKED = (
     "ALTER", "CALL", "COPY", "CREATE", "DELETE", "DO", "DROP", "EXEC", "EXECUTE", "GRANT",
     "INSERT", "MERGE", "REINDEX", "REVOKE", "TRUNCATE", "UPDATE", "VACUUM",
 )
+# Functions that leave the query.
+REFLECTION = ("REFLECT", "TRY_REFLECT", "JAVA_METHOD")
 _VIEWS = threading.Lock()
 _HIDDEN = re.compile(r"'(?:[^'\\]|''|\\.)*'|--[^\n]*|/\*.*?\*/", re.S)
 
@@ -31,7 +33,7 @@ def guard(statement: str) -> str:
     words = [w.upper() for w in re.findall(r"[A-Za-z_]\w*", visible)]
     if not words or words[0] not in {"SELECT", "WITH"}:
         raise ValueError("Only SELECT or WITH queries are accepted.")
-    blocked = sorted(set(BLOCKED) & set(words))
+    blocked = sorted({*BLOCKED, *REFLECTION} & set(words))
     if blocked:
         raise ValueError(f"Not allowed: {', '.join(blocked)}.")
     if SOURCE.upper() not in words:
@@ -48,19 +50,27 @@ def run_sql(
 ) -> DataFrame:
     """The lazy result of a guarded statement; a preview limit is pushed down by Spark.
 
-    The statement is analysed while the two views exist, so they can be dropped right after.
+    The statement is analysed while the two views exist, so they can go right after; views of these names that
+    the user had are put back. Files cannot be named as tables meanwhile.
     """
     text = guard(statement)
     spark = source.sparkSession
     with _VIEWS:
+        own = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+        before = {name: spark.table(name) for name in (SOURCE, SECONDARY) if name in own}
+        by_path = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+        spark.conf.set("spark.sql.runSQLOnFiles", "false")
         source.createOrReplaceTempView(SOURCE)
         if secondary is not None:
             secondary.createOrReplaceTempView(SECONDARY)
         try:
             result = spark.sql(text)
         finally:
-            spark.catalog.dropTempView(SOURCE)
-            spark.catalog.dropTempView(SECONDARY)
+            spark.conf.set("spark.sql.runSQLOnFiles", by_path)
+            for name in (SOURCE, SECONDARY):
+                spark.catalog.dropTempView(name)
+                if name in before:
+                    before[name].createOrReplaceTempView(name)
     return result.limit(preview_rows) if preview_rows else result
 
 

@@ -74,12 +74,35 @@ def prepare_encode_features(spark, sf_dir):
     return made.withColumns({"price": F.round("price", 4), "day": F.round("day", 2)})
 
 
-@query("prepare_wide_features", "PREP-4")
+_CUSTOMER_BLOCKS = """
+    b AS (SELECT c_custkey, c_acctbal, c_name, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer),
+    f AS (SELECT * FROM b WHERE {0}),
+    n AS (SELECT c_name AS value, row_number() OVER (ORDER BY c_name) - 1 AS code FROM (SELECT DISTINCT c_name FROM f WHERE c_name IS NOT NULL)),
+    m AS (SELECT seg AS value, row_number() OVER (ORDER BY seg) - 1 AS code FROM (SELECT DISTINCT seg FROM f WHERE seg IS NOT NULL)),
+    k AS (SELECT (SELECT count(*) FROM n) AS names, (SELECT count(*) FROM m) AS segs),
+    e AS (SELECT c_custkey, 0 AS position, c_acctbal AS value FROM b
+      UNION ALL SELECT c_custkey, 1 + code, 1.0 FROM b JOIN n ON n.value = c_name UNION ALL SELECT c_custkey, 1 + names, 1.0 FROM b, k WHERE c_name IS NULL
+      UNION ALL SELECT c_custkey, 2 + names + code, 1.0 FROM k, b JOIN m ON m.value = seg UNION ALL SELECT c_custkey, 2 + names + segs, 1.0 FROM b, k WHERE seg IS NULL)
+    SELECT c_custkey, CAST(position AS BIGINT) AS position, CAST(value AS DOUBLE) AS value FROM e WHERE value <> 0"""
+
+
+def _customers(spark, sf_dir):
+    segment = F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("c_mktsegment")
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_acctbal", segment)
+
+
+@query("prepare_wide_features", "PREP-4", "WITH" + _CUSTOMER_BLOCKS.format("true"))
 def prepare_wide_features(spark, sf_dir):
-    """A text column with too many values for single columns becomes a sparse block."""
-    frame = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    encoding = R.fit_features(frame, ["c_name", "c_acctbal", "c_mktsegment"])
-    return encoding.assemble(frame, keep=["c_custkey"])
+    """Text columns of any number of values as sparse blocks: one row per non-zero position."""
+    frame = _customers(spark, sf_dir)
+    return R.fit_features(frame, ["c_name", "c_acctbal", "c_mktsegment"]).entries(frame, ["c_custkey"])
+
+
+@query("prepare_encode_unseen", "PREP-4", "WITH" + _CUSTOMER_BLOCKS.format("c_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)"))
+def prepare_encode_unseen(spark, sf_dir):
+    """Learnt on the customers of some nations, applied to all: unseen names fill no position."""
+    frame = _customers(spark, sf_dir)
+    return R.fit_features(frame.where("c_nationkey < 12"), ["c_name", "c_acctbal", "c_mktsegment"]).entries(frame, ["c_custkey"])
 
 
 @query(
@@ -119,7 +142,12 @@ def prepare_numeric_targets(spark, sf_dir):
     return made.withColumns({"price_encoded": F.round("price_encoded", 4), "who_encoded": F.round("who_encoded", 4)})
 
 
-@query("prepare_hash_split", "PREP-9")
+@query(
+    "prepare_hash_split",
+    "PREP-9",
+    """SELECT o_orderkey, o_totalprice,
+        CAST(('0x' || substr(md5('42' || chr(1) || CAST(o_orderkey AS VARCHAR)), 1, 8)) AS UBIGINT) / 4294967296.0 < 0.2 AS is_test FROM orders""",
+)
 def prepare_hash_split(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return R.hash_split(orders, ["o_orderkey"])

@@ -97,5 +97,31 @@ def test_preflight_guards_against_leaks(spark):
 def test_encoding_keeps_missing_indicator(spark):
     df = spark.createDataFrame([("x", None), ("y", 4.0)], "c string, v double")
     made = R.fit_features(df, ["c", "v"])
-    assert made.columns == ["v", "c_x", "c_y", "c_nan"]
+    assert made.transform(df).columns == ["v", "c_x", "c_y", "c_nan"]
+    with pytest.raises(ValueError):
+        made.transform(df, max_columns=2)
     assert [tuple(r) for r in made.transform(df).collect()] == [(4.0, 1.0, 0.0, 0.0), (4.0, 0.0, 1.0, 0.0)]
+
+
+def test_ranges_of_long_prefixes_and_hot_first_values(spark):
+    rows = [(0 if i % 10 else i, f"reference_with_a_long_prefix_{i:06d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "a long, w string").repartition(6)
+    for order in (["w"], ["a", "w"]):
+        cuts = O.range_cuts(df, [], order, 16)
+        sizes = df.groupBy(O.range_number(df, order, cuts).alias("r")).count().toPandas()["count"]
+        assert len(sizes) == 16 and sizes.max() < 4 * sizes.mean()
+        got = O.positions(df, [], order, "p", 16).orderBy(*order).toPandas()["p"].tolist()
+        assert got == list(range(1, 4001))
+
+
+def test_encoding_is_learnt_once(spark):
+    words = [f"word{i:03d}" for i in range(200)]
+    train = spark.createDataFrame([(i, w, float(i)) for i, w in enumerate(words)] + [(900, None, None)], "k long, w string, x double")
+    found = R.fit_features(train, ["w", "x"])
+    whole = {r["k"]: r["features"] for r in found.assemble(train, ["k"]).collect()}
+    other = spark.createDataFrame([(5, "word005", 5.0), (901, "never seen", 1.0), (902, None, 0.0)], "k long, w string, x double")
+    part = {r["k"]: r["features"] for r in found.assemble(other, ["k"]).collect()}
+    assert part[5] == whole[5] and {v.size for v in [*part.values(), *whole.values()]} == {202}
+    assert part[901].numNonzeros() == 1 and part[902].toArray()[201] == 1.0
+    rows = {(r["k"], r["position"]): r["value"] for r in found.entries(other, ["k"]).collect()}
+    assert rows == {(k, int(i)): float(v.toArray()[i]) for k, v in part.items() for i in v.toArray().nonzero()[0]}

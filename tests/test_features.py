@@ -104,3 +104,18 @@ def test_sql_leaves_no_views_behind(spark):
     got = run_sql("SELECT s.id, r.label FROM source_dataset s JOIN secondary_dataset r ON s.id = r.id", left, right, preview_rows=5)
     assert [t.name for t in spark.catalog.listTables() if t.isTemporary] == []
     assert rows(got) == [(1, "x")]
+
+
+def test_sql_mode_keeps_to_its_relations(spark, tmp_path):
+    from millrace.operators import sqlmode as Q
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, w string")
+    spark.createDataFrame([(9,)], "mine int").createOrReplaceTempView("source_dataset")
+    assert Q.run_sql("SELECT count(*) AS n FROM source_dataset", df).first()["n"] == 2
+    assert spark.table("source_dataset").columns == ["mine"]
+    df.write.parquet(str(tmp_path / "t"))
+    with pytest.raises(Exception):
+        Q.run_sql(f"SELECT * FROM source_dataset JOIN parquet.`{tmp_path}/t` USING (id)", df).collect()
+    with pytest.raises(ValueError):
+        Q.run_sql("SELECT reflect('java.lang.System', 'getProperty', w) FROM source_dataset", df)
+    spark.catalog.dropTempView("source_dataset")

@@ -331,31 +331,48 @@ def _spans_batch(out: list[list]) -> pa.RecordBatch:
     )
 
 
-def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """(d, h, start, end) for seeds with too many owners: stretches counted by hash, combined early."""
+def _stretches(before: bytes, after: bytes, length: int) -> np.ndarray:
+    """Hash of every stretch an anchor owns, in order; the first starts ``len(before)`` bytes before it."""
+    body = np.frombuffer(before[::-1] + after, np.uint8)
+    return mix(rolling(body, length)).view(np.int64) if len(body) >= length else np.zeros(0, np.int64)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def counted_repeats(contexts: DataFrame, length: int, limit: int = 50_000) -> DataFrame:
+    """(d, h, start, end) for seeds with too many owners: stretches counted by hash, combined early.
+
+    What counts twice or more is gathered per seed in lists of about ``limit`` hashes, and every owner meets
+    the lists of its seed: rows follow the owners, not their stretches.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for seed, _, d, h, at, before, after in zip(*(c.to_pylist() for c in batch.columns)):
-                body = np.frombuffer(before[::-1] + after, np.uint8)
-                if len(body) >= length:
-                    whole = mix(rolling(body, length)).view(np.int64)
-                    for column, value in zip(out, (np.full(len(whole), seed), [d] * len(whole), np.full(len(whole), h), np.arange(len(whole)) + (at - len(before)), whole)):
-                        column.append(value)
-            if out[0]:
-                flat = [np.concatenate(c) for c in (out[0], out[2], out[3], out[4])]
-                ids = pa.array([x for part in out[1] for x in part], pa.int64())
-                for a in range(0, len(ids), 50_000):
-                    cut = slice(a, a + 50_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(flat[0][cut]), ids[cut], pa.array(flat[1][cut]), pa.array(flat[2][cut]), pa.array(flat[3][cut])],
-                        ["seed", "d", "h", "start", "whole"],
-                    )
+            columns = [batch.column(i).to_pylist() for i in (0, 5, 6)]
+            for at in range(0, batch.num_rows, 500):
+                found = [(seed, _stretches(x, y, length)) for seed, x, y in zip(*(c[at : at + 500] for c in columns))]
+                seeds = np.repeat(np.array([s for s, _ in found], np.int64), [len(w) for _, w in found])
+                whole = np.concatenate([w for _, w in found])
+                yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(whole)], ["seed", "whole"])
+
+    twice = contexts.mapInArrow(hashes, "seed long, whole long").groupBy("seed", "whole").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    twice = saved(twice.select("seed", "whole"), "stretches-met")
+    parts = twice.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(limit))).alias("p"))
+    lists = twice.join(parts, "seed").groupBy("seed", F.pmod("whole", "p").alias("p")).agg(F.collect_list("whole").alias("met"))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for i, (d, h, at, before, after) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 6)))):
+                met = batch.column(6)[i].values.to_numpy()
+                hit = np.flatnonzero(np.isin(_stretches(before, after, length), met))
+                if len(hit):
+                    cuts = np.flatnonzero(np.diff(hit) > 1)
+                    for a, b in zip(hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]):
+                        for column, value in zip(out, (d, h, at - len(before) + int(a), at - len(before) + int(b) + length)):
+                            column.append(value)
+            yield _plain_batch(out)
 
-    rows = contexts.mapInArrow(work, "seed long, d long, h long, start long, whole long")
-    twice = rows.groupBy("seed", "whole").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("seed", "whole")
-    return rows.join(twice, ["seed", "whole"]).select("d", "h", "start", (F.col("start") + F.lit(length)).alias("end"))
+    met = contexts.join(lists.hint("merge"), "seed").select("seed", "d", "h", "at", "before", "after", "met")
+    return met.mapInArrow(spans, "d long, h long, start long, end long")
 
 
 def repeat_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:

@@ -47,7 +47,9 @@ def range_number(df: DataFrame, order: Sequence[str], cuts: Sequence[tuple]) ->
 
 
 def _spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None) -> DataFrame:
-    return df.withColumn("_range", range_number(df, order, range_cuts(df, keys, order, ranges or default_ranges(df))))
+    number = range_number(df, order, range_cuts(df, keys, order, ranges or default_ranges(df)))
+    # Exploded, so that grouping by the number never repeats its lambda expression.
+    return df.select("*", F.explode(F.array(number)).alias("_range"))
 
 
 def running_totals(

@@ -160,7 +160,8 @@ def test_scenarios(spark):
     with pytest.raises(ValueError, match="Unknown feature"):
         W.normalise_scenarios({"scenarios": [{"overrides": {"nope": 1}}]}, ["a"])
     made = W.normalise_scenarios({"scenario": {"a": 2}, "steps": "500"}, ["a"])
-    assert made[0].steps == 120 and made[0].overrides == {"a": 2}
+    assert made[0].steps == 500 and made[0].overrides == {"a": 2}
+    assert W.normalise_scenarios({"steps": 500}, ["a"], max_steps=120)[0].steps == 120
     df = spark.createDataFrame([(1, 10.0, "t")], "id int, a double, t string")
     grid = W.step_grid(df, ["a", "t"], [W.Scenario("s", steps=2, amplitude=0.5, trend="down")]).orderBy("step").collect()
     assert [(r["a"], r["t"]) for r in grid] == [(7.5, "t"), (5.0, "t")]

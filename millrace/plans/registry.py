@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.session import table_path
 from millrace.sources.readers import spread_rows
 
-# Long texts in one small file each: the work per row is worth a shuffle.
-TEXT_TABLES = ("documents",)
+# Texts and events in one small file each: the work per row is worth a shuffle.
+TEXT_TABLES = ("documents", "events", "conversations", "pages")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -337,42 +337,73 @@ def _stretches(before: bytes, after: bytes, length: int) -> np.ndarray:
     return mix(rolling(body, length)).view(np.int64) if len(body) >= length else np.zeros(0, np.int64)
 
 
-def counted_repeats(contexts: DataFrame, length: int, limit: int = 50_000) -> DataFrame:
-    """(d, h, start, end) for seeds with too many owners: stretches counted by hash, combined early.
+def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
+    """(d, h, start, end) for seeds with too many owners: their stretches meet by hash, one by one.
 
-    What counts twice or more is gathered per seed in lists of about ``limit`` hashes, and every owner meets
-    the lists of its seed: rows follow the owners, not their stretches.
+    A task settles at once what repeats among its own stretches and passes on one row for each
+    different stretch. So a stretch that a third of all texts share arrives once per batch of owners, and
+    the rows that meet never exceed the stretches.
     """
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (0, 5, 6)]
-            for at in range(0, batch.num_rows, 500):
-                found = [(seed, _stretches(x, y, length)) for seed, x, y in zip(*(c[at : at + 500] for c in columns))]
-                seeds = np.repeat(np.array([s for s, _ in found], np.int64), [len(w) for _, w in found])
-                whole = np.concatenate([w for _, w in found])
-                yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(whole)], ["seed", "whole"])
-
-    twice = contexts.mapInArrow(hashes, "seed long, whole long").groupBy("seed", "whole").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    twice = saved(twice.select("seed", "whole"), "stretches-met")
-    parts = twice.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(limit))).alias("p"))
-    lists = twice.join(parts, "seed").groupBy("seed", F.pmod("whole", "p").alias("p")).agg(F.collect_list("whole").alias("met"))
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, 2_000):
+                d, h, place, before, after = (batch.column(k).slice(at, 2_000) for k in range(2, 7))
+                found = [_stretches(x, y, length) for x, y in zip(before.to_pylist(), after.to_pylist())]
+                sizes = np.array([len(w) for w in found])
+                if not sizes.sum():
+                    continue
+                whole = np.concatenate(found)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                first = place.to_numpy() - np.array([len(x) for x in before.to_pylist()])
+                start = np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner]
+                _, one, back, counts = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+                met = counts[back] > 1
+                # Runs of repeated stretches of one owner.
+                new = met.copy()
+                new[1:] &= ~(met[:-1] & (owner[1:] == owner[:-1]))
+                ends = met.copy()
+                ends[:-1] &= ~(met[1:] & (owner[1:] == owner[:-1]))
+                opened, closed = np.flatnonzero(new), np.flatnonzero(ends)
+                yield _met_batch(d, h, owner[opened], start[opened], start[closed] + length, None, True)
+                yield _met_batch(d, h, owner[one], start[one], start[one] + length, whole[one], met[one])
+
+    rows = saved(contexts.mapInArrow(settle, "d long, h long, start long, end long, whole long, met boolean"), "stretches")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for i, (d, h, at, before, after) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 6)))):
-                met = batch.column(6)[i].values.to_numpy()
-                hit = np.flatnonzero(np.isin(_stretches(before, after, length), met))
-                if len(hit):
-                    cuts = np.flatnonzero(np.diff(hit) > 1)
-                    for a, b in zip(hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]):
-                        for column, value in zip(out, (d, h, at - len(before) + int(a), at - len(before) + int(b) + length)):
-                            column.append(value)
-            yield _plain_batch(out)
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            codes = rest["whole"].to_numpy()
+            done = int(np.searchsorted(codes, codes[-1]))  # the last hash may go on in the next batch
+            yield from _met_spans(rest.slice(0, done))
+            rest = rest.slice(done)
+        if rest is not None:
+            yield from _met_spans(rest)
+
+    dealt = rows.where("whole IS NOT NULL").repartition("whole").sortWithinPartitions("whole", "d", "h", "start")
+    others = dealt.select("d", "h", "start", "end", "whole", "met").mapInArrow(meet, "d long, h long, start long, end long")
+    return rows.where("whole IS NULL").select("d", "h", "start", "end").union(others)
+
+
+def _met_batch(d: pa.Array, h: pa.Array, owner: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray | None, met) -> pa.RecordBatch:
+    at = pa.array(owner)
+    hashes = pa.nulls(len(owner), pa.int64()) if whole is None else pa.array(whole)
+    return pa.RecordBatch.from_arrays(
+        [d.take(at), h.take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64()), hashes, pa.array(np.broadcast_to(met, len(owner)))],
+        ["d", "h", "start", "end", "whole", "met"],
+    )
+
 
-    met = contexts.join(lists.hint("merge"), "seed").select("seed", "d", "h", "at", "before", "after", "met")
-    return met.mapInArrow(spans, "d long, h long, start long, end long")
+def _met_spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows whose hash another row has too; rows that were settled before need no second span."""
+    if table.num_rows > 1:
+        codes = table["whole"].to_numpy()
+        same = np.zeros(len(codes) + 1, bool)
+        same[1:-1] = codes[1:] == codes[:-1]
+        keep = (same[:-1] | same[1:]) & ~table["met"].to_numpy()
+        yield from table.filter(pa.array(keep)).select(["d", "h", "start", "end"]).combine_chunks().to_batches()
 
 
 def repeat_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 NEW_PIECES = 100_000
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 STRETCH_CHARS = 8 << 20
 LONG_TEXT = 4 << 20
 

@@ -368,7 +368,8 @@ def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
                 yield _met_batch(d, h, owner[opened], start[opened], start[closed] + length, None, True)
                 yield _met_batch(d, h, owner[one], start[one], start[one] + length, whole[one], met[one])
 
-    rows = saved(contexts.mapInArrow(settle, "d long, h long, start long, end long, whole long, met boolean"), "stretches")
+    # Owners of hot seeds may lie together; dealt by text, every task gets its share.
+    rows = saved(contexts.repartition("d", "h").mapInArrow(settle, "d long, h long, start long, end long, whole long, met boolean"), "stretches")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None

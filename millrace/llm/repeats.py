@@ -8,7 +8,7 @@ are repeats. For the others, suffixes starting at anchors of one seed meet in on
 their common prefixes give an enhanced suffix array, a stack scan walks its intervals, and within each
 interval the diversity of the left extensions is tested in the same manner. That yields the maximal repeats
 with all their occurrences. A seed with more than ``BUCKET`` undecided owners is not brought together:
-its stretches are counted one by one by hash, with combining before the shuffle.
+its stretches meet one by one by hash, after each task has settled what repeats among its own.
 
 Defined results: strings lie within one text; overlapping occurrences count; NULL is an empty text;
 texts shorter than ``length`` have no repeats. Repeated rows are repeats of each other. Bytes are judged on

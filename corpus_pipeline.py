@@ -26,23 +26,27 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One row of each group of near copies: the one with the smallest id, one without an id only if none has any.
 
-    Documents without an id cannot be compared by it and stay. Several rows of the kept id stay once.
+    Every row is compared by its own text, whatever its id. Rows without words are no copies of each other,
+    except rows with one id and one text.
     """
-    found = minhash.near_duplicates(docs.where("doc_id IS NOT NULL"), SHINGLE, PERCENT)
-    kept = saved(found.where("kept").select("doc_id").distinct(), "kept-ids")
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    order = free_name(docs.columns, "row_order")
-    # Rows of one id: the one with the smallest text, so that the choice is the same in every run.
-    twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not twice.limit(1).count():
-        return known.select(*docs.columns).union(docs.where("doc_id IS NULL"))
-    ids = saved(twice.select("doc_id"), "repeated-ids")
-    single = known.join(ids, "doc_id", "left_anti").select(*docs.columns)
-    rows = F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(order)
-    several = known.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rows).alias(order)).select(f"{order}.*").select(*docs.columns)
-    return single.union(several).union(docs.where("doc_id IS NULL"))
+    number, group, order, own = (free_name(docs.columns, w) for w in ("row_number", "row_group", "row_order", "row_text"))
+    # Written, so that a row has the same number in every pass.
+    numbered = saved(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(numbered, SHINGLE, PERCENT, key=number)
+    found = found.select(F.col("doc_id").alias(number), F.col("component_id").alias(group), (F.col("n_shingles") > 0).alias("_some"))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    ranked = numbered.select(number, F.col("doc_id").alias("_id"), text.alias(own), F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("_all"))
+    # The smallest id leads; hashes decide among rows of one id, so that the choice is the same in every run.
+    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col(own).alias("t"), F.col("_all").alias("a"), F.col(number).alias("r"))
+    rows = saved(found.join(ranked, number).select(number, group, "_some", "_id", own, place.alias(order)), "ranked")
+    copies = rows.where("_some").groupBy(group).agg(F.min(order).alias(order))
+    wordless = rows.where("NOT _some")
+    alike = wordless.where("_id IS NOT NULL").groupBy("_id", own).agg(F.min(order).alias(order))
+    kept = copies.select(f"{order}.r").union(alike.select(f"{order}.r")).union(wordless.where("_id IS NULL").select(number))
+    kept = saved(kept.toDF(number), "kept-rows")
+    return numbered.join(kept, number, "left_semi").select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +70,7 @@ def _mended(body):
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.overlaps(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean_rows(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

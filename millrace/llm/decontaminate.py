@@ -11,8 +11,8 @@ over the texts. Texts are never shuffled, only the pairs found are.
 
 Defined results: NULL or wordless texts are clean. NULL items and items with fewer words than
 ``MIN_WORDS`` are no evidence and match nothing. Items shorter than a mask are sought by their first
-``MIN_WORDS`` words. Rows with one doc_id are judged together and each row is returned. Repeated items
-count by their item_id.
+``MIN_WORDS`` words. Rows with one doc_id are judged together and each row is returned; rows without an id
+are judged by their own text. Repeated items count by their item_id.
 """
 
 from __future__ import annotations
@@ -91,8 +91,18 @@ def best_window(equal: Column, words: Column) -> Column:
     return F.array_max(sums) / width
 
 
+def named_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, own, t): ``own`` is a hash of the text that names rows without an id, NULL for the others."""
+    named = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
+    return named.select("doc_id", own_name(F.col("doc_id"), F.col("t")).alias("own"), "t")
+
+
+def own_name(key: Column, text: Column) -> Column:
+    return F.when(key.cast("bigint").isNull(), F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
 def scored_hits(docs: DataFrame, seeds: DataFrame, masks: Sequence[tuple[int, Sequence[int]]]) -> DataFrame:
-    """(doc_id, item_id, overlap) of every shared seed.
+    """(doc_id, own, item_id, overlap) of every shared seed.
 
     A text goes on in pieces of ``PIECE`` words with the words around them that a window may reach, so
     no row carries a long text and none has to be fetched again.
@@ -107,17 +117,25 @@ def scored_hits(docs: DataFrame, seeds: DataFrame, masks: Sequence[tuple[int, Se
             ),
         ),
     )
-    rows = docs.select("doc_id", F.explode(pieces).alias("h"))
-    places = rows.select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.lit(PIECE - 1))).alias("k"))
-    every = places.select("doc_id", "h", "k", F.explode(F.array(*[seed(F.col("h"), F.col("k") + BEFORE, n, m) for n, m in masks])).alias("seed"))
-    hits = every.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "words", "around", F.slice("h", F.col("k") + 1, F.lit(BEFORE + 1 + BEHIND)).alias("text"))
+    rows = docs.select("doc_id", "own", F.explode(pieces).alias("h"))
+    places = rows.select("doc_id", "own", "h", F.explode(F.sequence(F.lit(0), F.lit(PIECE - 1))).alias("k"))
+    every = places.select("doc_id", "own", "h", "k", F.explode(F.array(*[seed(F.col("h"), F.col("k") + BEFORE, n, m) for n, m in masks])).alias("seed"))
+    hits = every.join(F.broadcast(seeds), "seed").select("doc_id", "own", "item_id", "words", "around", F.slice("h", F.col("k") + 1, F.lit(BEFORE + 1 + BEHIND)).alias("text"))
     equal = F.zip_with("text", "around", lambda a, b: F.when(a == b, 1).otherwise(0))
-    return hits.select("doc_id", "item_id", let(equal, lambda e: best_window(e, F.col("words"))).alias("overlap"))
+    return hits.select("doc_id", "own", "item_id", let(equal, lambda e: best_window(e, F.col("words"))).alias("overlap"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, overlap): pairs with a window of at least ``share`` equal words around a shared seed."""
-    named = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("t"))
+    """(doc_id, item_id, overlap): pairs with a window of at least ``share`` equal words around a shared seed.
+
+    Different texts without an id have a row each for an item.
+    """
+    return text_overlaps(docs, benchmark, key, text, item_key, item_text, share).drop("own")
+
+
+def text_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
+    """(doc_id, own, item_id, overlap): ``overlaps`` with the names of rows without an id."""
+    named = named_texts(docs, key, text)
     items = benchmark_items(benchmark, item_key, item_text)
     sizes = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.count_if(F.size("item") < SHORTEST)).first()
     masks = [*enumerate(MASKS), *([(len(MASKS), SHORT_MASK)] if sizes[1] else [])]
@@ -127,15 +145,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
         DataFrame.union,
         [scored_hits(named, seeds if blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b), masks) for b in range(blocks)],
     )
-    return hits.where(F.col("overlap") >= share).groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"))
+    return hits.where(F.col("overlap") >= share).groupBy("doc_id", "own", "item_id").agg(F.max("overlap").alias("overlap"))
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without a passage of the benchmark."""
+    found = text_overlaps(docs, benchmark, key, text, **options).select("doc_id", "own").distinct()
+    found = found.select(F.col("doc_id").alias("_found_id"), F.col("own").alias("_found_own"))
+    # NULL meets NULL in neither column, so each kind of row has its own join.
+    known = docs.where(F.col(f"`{key}`").cast("bigint").isNotNull())
+    nameless = docs.where(F.col(f"`{key}`").cast("bigint").isNull())
+    return known.join(found.where("_found_id IS NOT NULL"), F.col(f"`{key}`").cast("bigint") == F.col("_found_id"), "left_anti").union(
+        nameless.join(found.where("_found_id IS NULL"), own_name(F.col(f"`{key}`"), F.col(f"`{text}`")) == F.col("_found_own"), "left_anti")
+    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, contaminated, n_items, overlap, first_item) for every row of ``docs``."""
-    per_doc = overlaps(docs, benchmark, key, text, **options).groupBy("doc_id").agg(
+    per_doc = text_overlaps(docs, benchmark, key, text, **options).groupBy("doc_id", "own").agg(
         F.count(F.lit(1)).alias("n_items"), F.max("overlap").alias("overlap"), F.min("item_id").alias("first_item")
-    )
-    return docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id")).join(per_doc, "doc_id", "left").select(
+    ).select(F.col("doc_id").alias("_i"), F.col("own").alias("_o"), "n_items", "overlap", "first_item")
+    rows = named_texts(docs, key, text).select("doc_id", "own")
+    return rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("own").eqNullSafe(F.col("_o")), "left").select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce("overlap", F.lit(0.0)).alias("overlap"), "first_item",
     )

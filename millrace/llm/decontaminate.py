@@ -1,7 +1,9 @@
 """Benchmark decontamination with spaced seeds, in DataFrame functions only.
 
 Words are lower-case runs of letters and digits. A mask keeps some of the words of a stretch and ignores
-the others; the kept words are hashed. Every place of every training text is hashed under every mask and
+the others; the kept words are hashed. Masks are chosen by pigeonhole: a window is cut into more blocks than
+admitted changes can hit, and every choice of as many blocks as must stay whole is a mask. So no pattern of
+substitutions that ``share`` admits is missed. Every place of every training text is hashed under every mask and
 meets the hashes of the benchmark. A hit fixes how text and item lie on each other; around it, equal words
 are counted in every window of the item, so that substituted words cost only their own place.
 
@@ -10,8 +12,8 @@ The benchmark is the small side by nature, yet its size is checked: it is dealt
 over the texts. Texts are never shuffled, only the pairs found are.
 
 Defined results: NULL or wordless texts are clean. NULL items and items with fewer words than
-``MIN_WORDS`` are no evidence and match nothing. Items shorter than a mask are sought by their first
-``MIN_WORDS`` words. Rows with one doc_id are judged together and each row is returned; rows without an id
+``MIN_WORDS`` are no evidence and match nothing. Items shorter than ``WINDOW`` are one window, with masks
+of their own. Rows with one doc_id are judged together and each row is returned; rows without an id
 are judged by their own text. Repeated items count by their item_id.
 """
 
@@ -19,23 +21,53 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.tables import saved
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
-#: Places of a stretch that count. The last mask serves items too short for the others.
+#: Places of a stretch that count in the registered SQL. ``masks_of`` makes those of the search.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 7, 8), (0, 2, 3, 5, 6, 9), (0, 1, 3, 4, 5, 8))
-SHORT_MASK = (0, 1, 2, 3, 4)
-MIN_WORDS = len(SHORT_MASK)
+MIN_WORDS = 5
+#: Words that a seed should hold where the admitted changes leave room for so many.
+SEED_WORDS = 6
 WINDOW = 20
 SHARE = 0.8
 BLOCK_SEEDS = 100_000
 PIECE = 64
 #: Words before and behind the first word of a seed that a window with this word can reach.
 BEFORE, BEHIND = WINDOW - 1, WINDOW + 8
-SHORTEST = max(mask[-1] for mask in MASKS) + 1
+
+
+def masks_of(width: int, share: float = SHARE) -> list[tuple[int, ...]]:
+    """Masks of which every window of ``width`` words with ``share`` of them equal holds one, somewhere, unchanged.
+
+    With m blocks and c changes at least m - c blocks are whole; their distances make the mask. Of the ways
+    with ``SEED_WORDS`` words in m - c blocks, the one with the fewest masks is taken, or else the most words.
+    """
+    changes = max((c for c in range(width) if (width - c) / width >= share), default=0)
+    kinds = []
+    for length in range(1, width + 1):
+        for blocks in range(changes + 1, width // length + 1):
+            whole = blocks - changes
+            kinds.append((-min(whole * length, SEED_WORDS), comb(blocks - 1, whole - 1), length, blocks, whole))
+    _, _, length, blocks, whole = min(kinds)
+    return [
+        tuple(block * length + k for block in (0, *others) for k in range(length))
+        for others in combinations(range(1, blocks), whole - 1)
+    ]
+
+
+def masks_by_width(widths: Sequence[int], share: float = SHARE) -> list[tuple[tuple[int, ...], list[int]]]:
+    """(mask, window widths that need it), every mask once."""
+    needed: dict[tuple[int, ...], list[int]] = {}
+    for width in sorted(widths):
+        for mask in masks_of(width, share):
+            needed.setdefault(mask, []).append(width)
+    return sorted(needed.items())
 
 
 def let(value: Column, body) -> Column:
@@ -67,12 +99,12 @@ def aligned(hashes: Column, place: Column) -> Column:
     return F.slice(padded, place + 1, F.lit(BEFORE + 1 + BEHIND))
 
 
-def benchmark_seeds(items: DataFrame, masks: Sequence[tuple[int, Sequence[int]]]) -> DataFrame:
-    """(seed, item_id, words, around) of every place of every item; the short mask only for items that need it."""
+def benchmark_seeds(items: DataFrame, masks: Sequence[tuple[tuple[int, ...], list[int]]]) -> DataFrame:
+    """(seed, item_id, words, around) of every place of every item under the masks of its width."""
     places = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("place"))
     parts = []
-    for number, mask in masks:
-        own = places if number < len(MASKS) else places.where((F.size("item") < SHORTEST) & (F.col("place") == 0))
+    for number, (mask, widths) in enumerate(masks):
+        own = places.where(F.least(F.size("item"), F.lit(WINDOW)).isin(widths))
         parts.append(
             own.select(
                 seed(F.col("item"), F.col("place"), number, mask).alias("seed"), "item_id", F.size("item").alias("words"),
@@ -101,7 +133,7 @@ def own_name(key: Column, text: Column) -> Column:
     return F.when(key.cast("bigint").isNull(), F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
-def scored_hits(docs: DataFrame, seeds: DataFrame, masks: Sequence[tuple[int, Sequence[int]]]) -> DataFrame:
+def scored_hits(docs: DataFrame, seeds: DataFrame, masks: Sequence[tuple[tuple[int, ...], list[int]]]) -> DataFrame:
     """(doc_id, own, item_id, overlap) of every shared seed.
 
     A text goes on in pieces of ``PIECE`` words with the words around them that a window may reach, so
@@ -119,7 +151,7 @@ def scored_hits(docs: DataFrame, seeds: DataFrame, masks: Sequence[tuple[int, Se
     )
     rows = docs.select("doc_id", "own", F.explode(pieces).alias("h"))
     places = rows.select("doc_id", "own", "h", F.explode(F.sequence(F.lit(0), F.lit(PIECE - 1))).alias("k"))
-    every = places.select("doc_id", "own", "h", "k", F.explode(F.array(*[seed(F.col("h"), F.col("k") + BEFORE, n, m) for n, m in masks])).alias("seed"))
+    every = places.select("doc_id", "own", "h", "k", F.explode(F.array(*[seed(F.col("h"), F.col("k") + BEFORE, n, m) for n, (m, _) in enumerate(masks)])).alias("seed"))
     hits = every.join(F.broadcast(seeds), "seed").select("doc_id", "own", "item_id", "words", "around", F.slice("h", F.col("k") + 1, F.lit(BEFORE + 1 + BEHIND)).alias("text"))
     equal = F.zip_with("text", "around", lambda a, b: F.when(a == b, 1).otherwise(0))
     return hits.select("doc_id", "own", "item_id", let(equal, lambda e: best_window(e, F.col("words"))).alias("overlap"))
@@ -137,10 +169,11 @@ def text_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """(doc_id, own, item_id, overlap): ``overlaps`` with the names of rows without an id."""
     named = named_texts(docs, key, text)
     items = benchmark_items(benchmark, item_key, item_text)
-    sizes = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.count_if(F.size("item") < SHORTEST)).first()
-    masks = [*enumerate(MASKS), *([(len(MASKS), SHORT_MASK)] if sizes[1] else [])]
+    sizes = items.groupBy(F.least(F.size("item"), F.lit(WINDOW)).alias("width")).agg(F.sum(F.size("item")).alias("words")).collect()
+    masks = masks_by_width([r.width for r in sizes] or [WINDOW], share)
     seeds = benchmark_seeds(items, masks)
-    blocks = max(1, -(-sizes[0] * len(masks) // BLOCK_SEEDS))
+    words = {r.width: r.words for r in sizes}
+    blocks = max(1, -(-sum(words.get(w, 0) for _, widths in masks for w in widths) // BLOCK_SEEDS))
     hits = reduce(
         DataFrame.union,
         [scored_hits(named, seeds if blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b), masks) for b in range(blocks)],

@@ -11,14 +11,15 @@ Equal vectors form a class and one of them goes on with the size of the class. A
 dealt as pairs of chunks to several tasks. Tasks return, per vector, the count of its links and one link to
 the smallest vector it hangs together with, never pairs; the output follows the number of vectors.
 
-Defined results: vectors that are NULL, zero, of another length than most, or hold NULL or non-finite
-components link with nothing, nor do those whose label is NULL. Rows with one vec_id and label and equal vectors
+Defined results: vectors link with vectors of their own length only, whatever lengths the table holds. Vectors that
+are NULL, zero, or hold NULL or non-finite components link with nothing, nor do those whose label is NULL. Rows with one vec_id and label and equal vectors
 are members of their class each. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ TILE = 256
 ROUNDING = 1e-9
 
 
+@lru_cache(maxsize=4)
 def rotation(size: int) -> np.ndarray:
     """A fixed orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(20).standard_normal((size, size)))
@@ -63,41 +65,46 @@ def _components(vectors: DataFrame, vector: str) -> Column:
 
 
 def classes_of(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(label, v, id, n): distinct usable vectors, their smallest id and how many there are of each."""
+    """(label, v, id, n, w): distinct usable vectors, their smallest id, how many there are of each and their length."""
     named = vectors.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{label}`").alias("label"), _components(vectors, vector).alias("v"))
     usable = named.where(
         F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0)
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     )
-    return usable.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    return usable.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("w", F.size("v"))
 
 
-def cells(classes: DataFrame, size: int, budget: float) -> DataFrame:
-    """(label, cell, home, id, n): every vector in its own and four neighbouring cells of every block.
+def cells(classes: DataFrame, budget: float) -> DataFrame:
+    """(label, w, cell, home, id, n): every vector in its own and four neighbouring cells of every block.
 
     Of two cells side by side only one is asked for the other, so each pair of cells meets once.
     """
-    edges = block_edges(size)
-    radius = float(np.sqrt(budget / len(edges))) * (1 + 1e-6) + 1e-12
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(size)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                if not part.num_rows:
-                    continue
-                turned = _matrix(part.column(3), size) @ turn
-                for block, (a, b) in enumerate(edges):
-                    grid = np.floor(turned[:, a : min(a + 2, b)] / radius).astype(np.int64)
-                    grid = np.column_stack([grid, np.zeros((len(grid), 2 - grid.shape[1]), np.int64)])
-                    for dx, dy in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1)):
-                        names = ((block * (1 << 28)) + (grid[:, 0] + dx + (1 << 13)) * (1 << 14) + (grid[:, 1] + dy + (1 << 13))).astype(np.int64)
-                        home = pa.array(np.full(len(names), dx == 0 and dy == 0))
-                        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), home, part.column(1), part.column(2)], ["label", "cell", "home", "id", "n"])
+            widths = batch.column(4).to_numpy()
+            for size in np.unique(widths).tolist():
+                alike = batch.filter(pa.array(widths == size))
+                for start in range(0, alike.num_rows, 512):
+                    yield from _cells_of(alike.slice(start, 512), size, budget)
 
     kind = classes.schema["label"].dataType.simpleString()
-    return classes.select("label", "id", "n", "v").mapInArrow(work, f"label {kind}, cell long, home boolean, id long, n long")
+    return classes.select("label", "id", "n", "v", "w").mapInArrow(work, f"label {kind}, w int, cell long, home boolean, id long, n long")
+
+
+def _cells_of(part: pa.RecordBatch, size: int, budget: float) -> Iterator[pa.RecordBatch]:
+    edges = block_edges(size)
+    radius = float(np.sqrt(budget / len(edges))) * (1 + 1e-6) + 1e-12
+    turned = _matrix(part.column(3), size) @ rotation(size)
+    for block, (a, b) in enumerate(edges):
+        grid = np.floor(turned[:, a : min(a + 2, b)] / radius).astype(np.int64)
+        grid = np.column_stack([grid, np.zeros((len(grid), 2 - grid.shape[1]), np.int64)])
+        for dx, dy in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1)):
+            names = ((block * (1 << 28)) + (grid[:, 0] + dx + (1 << 13)) * (1 << 14) + (grid[:, 1] + dy + (1 << 13))).astype(np.int64)
+            home = pa.array(np.full(len(names), dx == 0 and dy == 0))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(4), pa.array(names), home, part.column(1), part.column(2)], ["label", "w", "cell", "home", "id", "n"]
+            )
 
 
 def dealt_cells(rows: DataFrame, chunk: int) -> DataFrame:
@@ -105,23 +112,24 @@ def dealt_cells(rows: DataFrame, chunk: int) -> DataFrame:
 
     Home rows take the left side with their chunk against every right chunk; all rows take the right side.
     """
-    sizes = rows.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("home")).alias("homes")).where("homes > 0 AND rows > 1")
-    cut = rows.join(sizes, ["label", "cell"])
+    sizes = rows.groupBy("label", "w", "cell").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("home")).alias("homes")).where("homes > 0 AND rows > 1")
+    cut = rows.join(sizes, ["label", "w", "cell"])
     lefts = F.ceil(F.col("homes") / F.lit(float(chunk))).cast("int")
     rights = F.ceil(F.col("rows") / F.lit(float(chunk))).cast("int")
     own = F.xxhash64("id")
     left = cut.where("home").select(
-        "label", "cell", F.pmod(own, lefts).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("r"), F.lit(True).alias("left"), "home", "id", "n"
+        "label", "w", "cell", F.pmod(own, lefts).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("r"), F.lit(True).alias("left"), "home", "id", "n"
     )
     right = cut.select(
-        "label", "cell", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("l"), F.pmod(own, rights).cast("int").alias("r"), F.lit(False).alias("left"), "home", "id", "n"
+        "label", "w", "cell", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("l"), F.pmod(own, rights).cast("int").alias("r"), F.lit(False).alias("left"), "home", "id", "n"
     )
     return left.union(right)
 
 
-def _links_of_task(group: pa.Table, size: int, limit: float, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links_of_task(group: pa.Table, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, counts, smallest linked id) of one pair of chunks in one cell."""
-    edges = block_edges(size)
+    size = group["w"][0].as_py()
+    edges, turn = block_edges(size), rotation(size)
     share = (2 - 2 * limit) / len(edges) + ROUNDING
     block = group["cell"][0].as_py() >> 28
     a, b = edges[block]
@@ -174,24 +182,23 @@ def _links_of_task(group: pa.Table, size: int, limit: float, turn: np.ndarray) -
     return ids[some], counts[some], ids[root[some]]
 
 
-def block_links(dealt: DataFrame, classes: DataFrame, size: int, limit: float) -> DataFrame:
+def block_links(dealt: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
     """(id, links, root) from every task; links of one vector are to be added up."""
-    keys = ["label", "cell", "l", "r"]
+    keys = ["label", "w", "cell", "l", "r"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(size)
         rest: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             rest = table if rest is None else pa.concat_tables([rest, table])
             *whole, rest = _runs(rest)
             for group in whole:  # the last run may go on in the next batch; a run is at most two chunks
-                yield _result(_links_of_task(group, size, limit, turn))
+                yield _result(_links_of_task(group, limit))
         if rest is not None and rest.num_rows:
-            yield _result(_links_of_task(rest, size, limit, turn))
+            yield _result(_links_of_task(rest, limit))
 
-    bodies = classes.select("label", "id", "v")
-    ordered = dealt.join(bodies, ["label", "id"]).repartition(*keys).sortWithinPartitions(*keys, "left", "id")
+    bodies = classes.select("label", "w", "id", "v")
+    ordered = dealt.join(bodies, ["label", "w", "id"]).repartition(*keys).sortWithinPartitions(*keys, "left", "id")
     return ordered.select(*keys, "left", "home", "id", "n", "v").mapInArrow(work, "id long, links long, root long")
 
 
@@ -201,7 +208,7 @@ def _runs(table: pa.Table) -> list[pa.Table]:
     if not rows:
         return [table]
     new = np.zeros(rows, bool)
-    for name in ("label", "cell", "l", "r"):
+    for name in ("label", "w", "cell", "l", "r"):
         codes = table[name].combine_chunks().dictionary_encode().indices.to_numpy()
         new[1:] |= codes[1:] != codes[:-1]
     cuts = [0, *np.flatnonzero(new).tolist(), rows]
@@ -215,14 +222,11 @@ def _result(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
 def linked_vectors(vectors: DataFrame, limit: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", chunk: int = CHUNK) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors``."""
     classes = saved(classes_of(vectors, key, vector, label), "vector-classes")
-    widths = classes.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "w").limit(1).collect()
-    size = widths[0]["w"] if widths else 2
-    numbered = classes.where(F.size("v") == size)
-    rows = saved(cells(numbered, size, 2 - 2 * limit), "vector-cells")
-    found = saved(block_links(dealt_cells(rows, chunk), numbered, size, limit), "vector-links")
+    rows = saved(cells(classes, 2 - 2 * limit), "vector-cells")
+    found = saved(block_links(dealt_cells(rows, chunk), classes, limit), "vector-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("id != root").select(F.col("root").alias("a"), F.col("id").alias("b")))
-    placed = numbered.join(counts, "id", "left").join(parts, "id", "left").select(
+    placed = classes.join(counts, "id", "left").join(parts, "id", "left").select(
         "label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("component", "id").alias("_c")
     )
     named = vectors.select(F.col(f"`{key}`").cast("bigint").alias("vec_id"), F.col(f"`{label}`").alias("label"), _components(vectors, vector).alias("v"))

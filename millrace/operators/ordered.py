@@ -22,13 +22,15 @@ def default_ranges(df: DataFrame) -> int:
 def range_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int) -> list[tuple]:
     """Whole order tuples that cut the table into about equal ranges.
 
-    They come from the rows with the smallest hashes, ``SAMPLES_PER_RANGE`` for each range. Cuts balance
-    the work and never change a result.
+    They come from ``SAMPLES_PER_RANGE`` rows for each range, drawn by a hash of the row's number and order
+    tuple, so a tuple counts by the rows that share it. Cuts balance the work and never change a result.
     """
-    names = [f"`{c}`" for c in dict.fromkeys([*keys, *order])]
-    chosen = df.select(*names).orderBy(F.xxhash64(*names)).limit(ranges * SAMPLES_PER_RANGE)
-    rows = [tuple(r) for r in chosen.select(*[f"`{c}`" for c in order]).orderBy(*[f"`{c}`" for c in order]).collect()]
-    return list(dict.fromkeys(rows[len(rows) * i // ranges] for i in range(1, ranges) if rows))
+    names = [f"`{c}`" for c in order]
+    drawn = F.xxhash64(F.monotonically_increasing_id(), *names)
+    chosen = df.select(*names, drawn.alias("_draw")).orderBy("_draw").limit(ranges * SAMPLES_PER_RANGE)
+    rows = [tuple(r) for r in chosen.select(*names).orderBy(*names).collect()]
+    cuts = [rows[len(rows) * i // ranges] for i in range(1, ranges) if rows]
+    return [cut for i, cut in enumerate(cuts) if not i or cut != cuts[i - 1]]
 
 
 def range_number(df: DataFrame, order: Sequence[str], cuts: Sequence[tuple]) -> Column:

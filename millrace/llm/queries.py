@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, decontaminate, htmltext, licences, minhash, quality, repeats, shards, toxicity, vectors
+from millrace.llm import bpe, collocations, decontaminate, htmltext, lexical, licences, minhash, mixing, quality, repeats, shards, toxicity, vectors
 from millrace.llm.tables import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,6 +202,66 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER_SQL}, '[.,;:!?\\x0A-\\x0D]')) AS x FROM documents),
+l AS (SELECT lang, list_filter(regexp_split_to_array(x, '[\\x20\\x09]+'), lambda k: k <> '') AS w FROM p),
+g AS (SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda n: list_transform(range(1, len(w) - n + 2), lambda i: w[i : i + n - 1])))) AS ph FROM l),
+f AS (SELECT lang, ph, count(*) AS c FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE len(ph) = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE len(ph) > 1 AND c >= 100),
+i AS (SELECT lang, c, ph, unnest(range(1, len(ph))) AS a FROM c),
+j AS (SELECT lang, c, len(ph) AS m, unnest(list_transform(range(a + 1, len(ph) + 1), lambda b: ph[a:b])) AS ph FROM i
+  UNION ALL SELECT lang, c, len(ph), ph[len(ph) - 1 :] FROM c),
+x AS (SELECT DISTINCT s.lang, s.ph FROM j JOIN c s ON j.lang = s.lang AND j.ph = s.ph AND j.m > len(s.ph) WHERE 100 * j.c >= 100 * s.c),
+k AS (SELECT lang, c, ph, unnest(range(1, len(ph))) AS k FROM c ANTI JOIN x USING (lang, ph)),
+s AS (SELECT k.lang, k.ph, k.c AS a, y.c AS l, z.c AS r, n, k, (CAST(1000 AS HUGEINT) * k.c * n) // (CAST(y.c AS HUGEINT) * z.c) AS score
+  FROM k JOIN f y ON y.lang = k.lang AND y.ph = k.ph[1 : k] JOIN f z ON z.lang = k.lang AND z.ph = k.ph[k + 1 :] JOIN t ON t.lang = k.lang),
+b AS (SELECT *, array_to_string(ph, ' ') AS phrase FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score, CAST(k AS INTEGER) AS cut
+FROM b QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", _OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def seventh(key: str = "doc_id"):
+    """Rows that the language model never learns from: crc32 of the id as text leaves 2 when divided by 7."""
+    return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 7 == 2, F.lit(False))
+
+
+@query("op12_mixing")
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = mixing.score_texts(docs, ~seventh())
+    return scored.select("doc_id", seventh().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+_TERMS_SQL = f"regexp_extract_all({_LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+_OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS_SQL} AS w FROM documents),
+e AS (SELECT doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+z AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM e),
+f AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM e) GROUP BY 1, 2),
+g AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, z GROUP BY t, nn),
+q AS (SELECT item_id, t, count(*) AS k FROM (SELECT item_id, unnest({_TERMS_SQL}) AS t FROM benchmark) GROUP BY 1, 2),
+m AS (SELECT doc_id, 100 - 25 + ((25 * n * nn) // ll) AS m FROM e, z),
+s AS (SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN g USING (t) JOIN f USING (t) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query("op13_search", _OP13_SQL)
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search_texts(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"), 20)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

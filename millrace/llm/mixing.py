@@ -27,7 +27,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.llm.tables import free_name, saved
 from millrace.llm.textbytes import SPACED, byte_values, byte_view, mix, powers
@@ -36,8 +37,8 @@ from millrace.llm.wordcodes import LOWER, coded_slices
 END = 0xFF  # no byte of a text
 ORDERS, WORD_BYTES = (1, 2, 3, 5), 32
 INPUTS = len(ORDERS) + 2  # the word and a constant
-#: Slots are doubled with the units up to 2 ** MAX_BITS, 64 MB of counts.
-MIN_BITS, MAX_BITS = 16, 23
+#: Slots are doubled with the units up to 2 ** MAX_BITS, 32 MB of counts before they are packed.
+MIN_BITS, MAX_BITS = 14, 23
 #: The most frequent tokens, whose counts are sent to all tasks; the others are joined.
 SENT_TOKENS = 200_000
 PIECE, REMEMBERED, GATHERED = 4 << 20, 2_000_000, 2_000_000
@@ -193,7 +194,7 @@ def _bits(window: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def fill_slots(units: DataFrame, bits: int) -> np.ndarray:
-    """Counts of 0 and 1 in every slot, an array of two times 2 ** bits; one table in all, summed by blocks."""
+    """Counts of 0 and 1 in every slot, summed by blocks; a pair that passes 16 bits is halved until it fits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, table = Slots(bits), np.zeros(2 << bits, np.uint64)
@@ -210,13 +211,16 @@ def fill_slots(units: DataFrame, bits: int) -> np.ndarray:
         total = np.zeros(2 * _BLOCK, np.uint64)
         for counts in group.column("counts"):
             total += np.frombuffer(counts.as_py(), np.uint64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+        pairs = total.reshape(-1, 2)
+        while (large := pairs.max(axis=1) > 0xFFFF).any():
+            pairs[large] >>= np.uint64(1)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([pairs.astype(np.uint16).tobytes()], pa.binary())})
 
     schema = "block long, counts binary"
     rows = units.mapInArrow(work, schema).groupBy("block").applyInArrow(add, schema).toArrow()
-    out = np.zeros((max(1, (1 << bits) // _BLOCK), 2 * _BLOCK), np.uint32)
+    out = np.zeros(((1 << bits) // _BLOCK, 2 * _BLOCK), np.uint16)
     for number, counts in zip(rows.column(0).to_pylist(), rows.column(1)):
-        out[number] = np.frombuffer(counts.as_py(), np.uint32)
+        out[number] = np.frombuffer(counts.as_py(), np.uint16)
     return out.reshape(-1, 2)
 
 
@@ -235,19 +239,40 @@ def _known(total: np.ndarray) -> np.ndarray:
 
 class Model(NamedTuple):
     bits: int
-    counts: np.ndarray | None  # only while learning
-    odds: np.ndarray  # of each slot
-    known: np.ndarray
+    shared: Broadcast  # the slots' counts, packed
     weights: np.ndarray  # (gate, input)
     refine: np.ndarray  # (last byte, bit, cell): probability of 1
 
 
-def start_model(bits: int, counts: np.ndarray) -> Model:
-    odds = _odds(counts.astype(np.float32))
+class Table(NamedTuple):
+    counts: np.ndarray  # pairs
+    odds: np.ndarray
+    known: np.ndarray
+
+
+_TABLES: list[tuple[bytes, Table]] = []
+
+
+def table_of(model: Model) -> Table:
+    """The slots as a worker holds them, unpacked once."""
+    packed = model.shared.value
+    if not _TABLES or _TABLES[0][0] is not packed:
+        counts = np.frombuffer(pa.decompress(packed, 4 << model.bits, codec="zstd"), np.uint16).reshape(-1, 2)
+        odds, known = np.empty(len(counts), np.float32), np.empty(len(counts), np.uint8)
+        for low in range(0, len(counts), 1 << 16):
+            own = slice(low, low + (1 << 16))
+            odds[own] = _odds(counts[own].astype(np.float32))
+            known[own] = _known(counts[own].sum(axis=1, dtype=np.int64))
+        _TABLES[:] = [(packed, Table(counts, odds, known))]
+    return _TABLES[0][1]
+
+
+def start_model(spark: SparkSession, bits: int, counts: np.ndarray) -> Model:
+    packed = pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
     weights = np.full((128, INPUTS), 0.3, np.float32)
     weights[:, -1] = 0
     cells = 1 / (1 + np.exp(-np.linspace(-REACH, REACH, CELLS)))
-    return Model(bits, counts, odds, _known(counts.sum(axis=1)), weights, np.broadcast_to(cells, (256, 8, CELLS)).astype(np.float32).copy())
+    return Model(bits, spark.sparkContext.broadcast(packed), weights, np.broadcast_to(cells, (256, 8, CELLS)).astype(np.float32).copy())
 
 
 def predictions(model: Model, window: np.ndarray, prefix: np.ndarray, left_out: bool = False) -> Iterator[tuple]:
@@ -255,7 +280,7 @@ def predictions(model: Model, window: np.ndarray, prefix: np.ndarray, left_out:
 
     With ``left_out`` one occurrence of the unit itself is taken off the slots it counts in.
     """
-    slots = Slots(model.bits)
+    slots, table = Slots(model.bits), table_of(model)
     contexts = slots.of(window, prefix)
     last = ((window >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
     for j, node, bit in _bits(window):
@@ -264,13 +289,13 @@ def predictions(model: Model, window: np.ndarray, prefix: np.ndarray, left_out:
         for k, context in enumerate(contexts):
             at = slots.at(context, node)
             if left_out:
-                pair = model.counts[at].astype(np.float32)
+                pair = table.counts[at].astype(np.float32)
                 pair[np.arange(len(at)), bit] -= 1
                 inputs[k] = _odds(pair)
                 known.append(_known(pair.sum(axis=1)))
             else:
-                inputs[k] = model.odds[at]
-                known.append(model.known[at])
+                inputs[k] = table.odds[at]
+                known.append(table.known[at])
         yield j, bit, inputs, (j * 4 + known[-2]) * 4 + known[-1].astype(np.int64), last
 
 
@@ -303,10 +328,9 @@ def code_lengths(model: Model, window: np.ndarray, prefix: np.ndarray) -> np.nda
 
 def learn_weights(units: DataFrame, model: Model) -> np.ndarray:
     """Weights learnt online in every task, averaged by what each gate saw there."""
-    shared = units.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value._replace(weights=shared.value.weights.copy())
+        own = model._replace(weights=model.weights.copy())
         past = np.full(own.weights.shape, 1e-4)
         seen = np.zeros(len(own.weights))
         for batch in batches:
@@ -335,7 +359,6 @@ def learn_weights(units: DataFrame, model: Model) -> np.ndarray:
 
 def learn_refinement(units: DataFrame, model: Model) -> np.ndarray:
     """Share of ones for each (last byte, bit, predicted odds), from all units."""
-    shared = units.sparkSession.sparkContext.broadcast(model)
     size = model.refine.size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,8 +367,8 @@ def learn_refinement(units: DataFrame, model: Model) -> np.ndarray:
             window, prefix, n = _columns(batch)
             for low in range(0, len(window), 1 << 15):
                 part = slice(low, low + (1 << 15))
-                for j, bit, inputs, gate, last in predictions(shared.value, window[part], prefix[part], True):
-                    cell, share = _cell(mixed(shared.value, inputs, gate))
+                for j, bit, inputs, gate, last in predictions(model, window[part], prefix[part], True):
+                    cell, share = _cell(mixed(model, inputs, gate))
                     for at, weight in ((cell, n[part] * (1 - share)), (cell + 1, n[part] * share)):
                         flat = (last * 8 + j) * CELLS + at
                         ones += np.bincount(flat, weight * bit, size)
@@ -364,9 +387,9 @@ def fit(texts: DataFrame) -> Model:
     """The model of a frame with one column of texts."""
     units = saved(gather_units(texts).sortWithinPartitions(F.xxhash64("window", "prefix"), "window", "prefix"), "units")
     bits = min(MAX_BITS, max(MIN_BITS, units.count().bit_length() + 2))
-    model = start_model(bits, fill_slots(units, bits))
+    model = start_model(texts.sparkSession, bits, fill_slots(units, bits))
     model = model._replace(weights=learn_weights(units, model))
-    return model._replace(refine=learn_refinement(units, model), counts=None)
+    return model._replace(refine=learn_refinement(units, model))
 
 
 # Scores.
@@ -385,15 +408,15 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def score_texts(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score, score and bits_per_byte; learns from rows where ``learn`` holds.
 
-    Columns of these names are replaced. Scores are logarithms to base 10.
+    Columns of these names are replaced; with ``keep`` only those columns stay. Scores are logarithms to base 10.
     """
     spark, made = docs.sparkSession, ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     train = docs.where(F.coalesce(learn, F.lit(False))).select(body.alias("t"))
-    model = spark.sparkContext.broadcast(fit(train))
+    model = fit(train)
     counts = saved(token_counts(train), "tokens")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     last = counts.where("token = ''").first()  # the end of a text
@@ -404,7 +427,7 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, often_counts = sent.value
         logs = np.log10(often_counts + 1.0)
-        remembered = Remembered(model.value)
+        remembered = Remembered(model)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             bits = np.zeros(batch.num_rows)
@@ -431,21 +454,23 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame
                     schema.names,
                 )
 
-    columns = docs.columns
+    columns = docs.columns if keep is None else keep
     named = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)], body.alias("_t"))
     extra = "_tokens long, _known long, _sum double, _bits double, _size long, _rare array<string>, _times array<int>"
     schema = T.StructType([*named.drop("_t").schema.fields, *T.StructType.fromDDL(extra).fields])
     scored = named.mapInArrow(work, schema)
     row = free_name(scored.columns, "_row")
     scored = saved(scored.withColumn(row, F.monotonically_increasing_id()), "scored")
+    model.shared.unpersist()
+    sent.unpersist()
     rare = scored.select(row, F.explode(F.arrays_zip("_rare", "_times")).alias("z")).select(row, F.col("z._rare").alias("token"), F.col("z._times").alias("times"))
     found = rare.join(counts, "token").groupBy(row).agg(F.sum("times").cast("bigint").alias("_more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("_added"))
     joined = scored.drop("_rare", "_times").join(found, row, "left")
     known = F.col("_known") + F.coalesce("_more", F.lit(0))
     base = F.col("_sum") + F.coalesce("_added", F.lit(0.0)) - F.col("_tokens") * F.lit(math.log10(total + kinds + 1))
-    keep = [F.col(f"_{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in made]
+    others = [F.col(f"_{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in made]
     return joined.select(
-        *keep, F.col("_tokens").alias("n_tokens"), known.cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"),
+        *others, F.col("_tokens").alias("n_tokens"), known.cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"),
         (F.col("_bits") * F.lit(-math.log10(2))).alias("score"), (F.col("_bits") / (F.col("_size") + 1)).alias("bits_per_byte"),
     )
 

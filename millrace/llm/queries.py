@@ -237,7 +237,7 @@ def seventh(key: str = "doc_id"):
 @query("op12_mixing")
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = mixing.score_texts(docs, ~seventh())
+    scored = mixing.score_texts(docs, ~seventh(), keep=["doc_id"])
     return scored.select("doc_id", seventh().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 

@@ -291,6 +291,7 @@ def predictions(model: Model, window: np.ndarray, prefix: np.ndarray, left_out:
             if left_out:
                 pair = table.counts[at].astype(np.float32)
                 pair[np.arange(len(at)), bit] -= 1
+                np.maximum(pair, 0, out=pair)  # halved counts may have lost the rare side
                 inputs[k] = _odds(pair)
                 known.append(_known(pair.sum(axis=1)))
             else:

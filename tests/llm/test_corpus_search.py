@@ -213,6 +213,13 @@ def test_scores_without_training(spark):
     assert mixing.score_texts(df.where("doc_id = 5"), F.lit(True)).collect() == []
 
 
+def test_counts_beyond_16_bits(spark):
+    """A pair is halved until it fits; the rare side may vanish, and learning still gives finite weights."""
+    docs = spark.createDataFrame([("a" * 90_000 + "b",), ("a" * 90_000,), ("abc",)], "t string")
+    model = mixing.fit(docs)
+    assert np.isfinite(model.weights).all() and ((model.refine > 0) & (model.refine < 1)).all()
+
+
 def test_gathered_units_grow_with_the_rows(spark):
     rng = random.Random(8)
     docs = spark.createDataFrame([("".join(rng.choice("abcdefgh ") for _ in range(400)),) for _ in range(60)], "t string")

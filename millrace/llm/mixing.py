@@ -8,14 +8,14 @@ strongest contexts), and the sum is refined by an adaptive map over (last byte,
 
 Contexts are short, so a text's bits depend on units only: the last bytes, the word's beginning and the byte that
 comes. The training texts are gathered as counts of units, all of them and however many. From these come the slots,
-then the weights, learnt online over the units, and the refining map, each time with the unit's own
+then the weights and the refining map, learnt online over the units, each time with the unit's own
 occurrence left out of the slots. Slots, weights and map have a fixed size and are sent to all tasks.
 
 Beside it stands a base: token counts with one added, exact at any size.
 
 Defined results: a NULL or empty text is its end only. Repeated rows count and are scored one by one. Rows without
 an id are learnt from. Without any training text the base has a count of 0 for all and bits have even odds at first.
-Texts and words of any length are whole; a word's beginning is followed for ``WORD_BYTES`` bytes.
+Texts and words of any length are whole; of a long word the last ``WORD_BYTES`` bytes are a context.
 """
 
 from __future__ import annotations
@@ -31,34 +31,39 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.llm.tables import free_name, saved
-from millrace.llm.textbytes import SPACED, byte_values, byte_view, mix, powers
+from millrace.llm.textbytes import SPACED, byte_view, mix
 from millrace.llm.wordcodes import LOWER, coded_slices
 
 END = 0xFF  # no byte of a text
-ORDERS, WORD_BYTES = (1, 2, 3, 5), 32
+ORDERS, WORD_BYTES = (1, 2, 3, 5), 15
 INPUTS = len(ORDERS) + 2  # the word and a constant
 #: Slots are doubled with the units up to 2 ** MAX_BITS, 32 MB of counts before they are packed.
 MIN_BITS, MAX_BITS = 14, 23
 #: The most frequent tokens, whose counts are sent to all tasks; the others are joined.
 SENT_TOKENS = 200_000
-PIECE, REMEMBERED, GATHERED = 4 << 20, 2_000_000, 2_000_000
+PIECE, REMEMBERED, GATHERED = 2 << 20, 2_000_000, 1_500_000
 STEP, CELLS, REACH = 0.05, 33, 8.0
 _BLOCK = 1 << 12
 
-_GAP = 5
+_GAP = 16  # at least as many bytes as a context reaches back
 _G = mix(np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_APART = ~SPACED
+_APART[END] = True
+_MASKS = np.array([(1 << (8 * min(k, 8))) - 1 for k in range(WORD_BYTES + 1)], np.uint64)  # the last bytes of a number
 
 
 class Units(NamedTuple):
     key: np.ndarray  # hash of the two others
-    window: np.ndarray  # the last five bytes and the byte that comes
+    window: np.ndarray  # the last bytes and the byte that comes
     prefix: np.ndarray  # hash of the word so far
 
 
 class Piece(NamedTuple):
-    units: Units  # of each place in order
-    doc: np.ndarray  # text of each place
+    units: Units  # distinct ones
+    count: np.ndarray  # of each
+    code: np.ndarray  # unit of each place in order
+    doc: np.ndarray  # texts in the piece, rising
+    start: np.ndarray  # first place of each
 
 
 def pieces(column: pa.Array) -> Iterator[Piece]:
@@ -68,70 +73,86 @@ def pieces(column: pa.Array) -> Iterator[Piece]:
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1
         last = min(rows, max(last, first + 1))
-        own = offsets[first : last + 1]
-        if own[-1] - own[0] <= PIECE:
-            doc = np.repeat(np.arange(last - first), np.diff(own))
-            size = int(own[-1] - own[0])
-            buffer = np.full(size + _GAP * (last - first + 1), END, np.uint8)
-            at = np.arange(size) + _GAP * (doc + 1)
-            buffer[at] = LOWER[data[own[0] : own[-1]]]
-            ends = own[1:] - own[0] + _GAP * np.arange(1, last - first + 1)
-            scored = np.zeros(len(buffer), bool)
-            scored[at] = True
-            scored[ends] = True
-            place = np.flatnonzero(scored)
-            yield Piece(_units(buffer, place), first + np.repeat(np.arange(last - first), np.diff(own) + 1))
+        own = offsets[first : last + 1] - offsets[first]
+        text = data[offsets[first] : offsets[last]]
+        if len(text) <= PIECE:
+            ends = own[1:] + _GAP * np.arange(1, last - first + 1)
+            inside = np.ones(len(text) + _GAP * (last - first + 1), bool)
+            inside[:_GAP] = False
+            inside[(ends[:, None] + np.arange(_GAP)).ravel()] = False
+            buffer = np.full(len(inside), END, np.uint8)
+            buffer[inside] = LOWER[text]
+            inside[ends] = True
+            yield _piece(buffer, inside, np.arange(first, last), own[:-1] + np.arange(last - first))
         else:  # one long text
-            text = data[own[0] : own[1]]
             for low in range(0, len(text), PIECE):
                 high = min(len(text), low + PIECE)
-                lead = text[max(0, low - WORD_BYTES - _GAP) : low] if low else np.full(_GAP, END, np.uint8)
-                parts = [lead, text[low:high]] + ([np.full(1, END, np.uint8)] if high == len(text) else [])
+                lead = text[max(0, low - _GAP) : low] if low else np.zeros(0, np.uint8)
+                parts = [np.full(_GAP - len(lead), END, np.uint8), lead, text[low:high]] + ([np.full(1, END, np.uint8)] if high == len(text) else [])
                 buffer = LOWER[np.concatenate(parts)]
-                place = np.arange(len(lead), len(buffer))
-                yield Piece(_units(buffer, place), np.full(len(place), first))
+                inside = np.ones(len(buffer), bool)
+                inside[:_GAP] = False
+                yield _piece(buffer, inside, np.array([first]), np.zeros(1, np.int64))
         first = last
 
 
-def _units(buffer: np.ndarray, place: np.ndarray) -> Units:
-    size = len(buffer)
-    window = np.zeros(size, np.uint64)
-    for k in range(_GAP, -1, -1):  # the byte that comes is the lowest
-        window[k:] |= buffer[: size - k].astype(np.uint64) << np.uint64(8 * k)
-    # Sums of byte values times powers give the hash of every beginning of a word.
-    sums = np.zeros(size + 1, np.uint64)
-    power = powers(1 << max(6, (size + 1).bit_length()))
-    np.cumsum(byte_values(False)[buffer] * power[:size], out=sums[1:])
-    apart = ~SPACED[buffer] | (buffer == END)
-    start = np.zeros(size, np.int64)  # where the word before each place begins
-    np.maximum.accumulate(np.where(apart[:-1], np.arange(1, size), 0), out=start[1:])
-    length = np.arange(size) - start
-    prefix = (sums[:size] - sums[start]) * _inverse_powers(len(power))[start]
-    prefix = mix(prefix + length.astype(np.uint64))
-    prefix[length > WORD_BYTES] = 1
-    window, prefix = window[place], prefix[place]
-    return Units(mix(window * _G[0] + prefix), window, prefix)
-
-
-_CACHE: dict[int, np.ndarray] = {}
-
-
-def _inverse_powers(count: int) -> np.ndarray:
-    if count not in _CACHE:
-        out = np.full(count, _INVERSE, np.uint64)
-        out[0] = 1
-        _CACHE.clear()
-        _CACHE[count] = np.multiply.accumulate(out)
-    return _CACHE[count]
-
-
-def _distinct(units: Units) -> tuple[np.ndarray, np.ndarray, Units]:
-    """(order, where groups start in it, distinct units by rising key)."""
+def _piece(buffer: np.ndarray, inside: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Piece:
+    """``buffer``: bytes with END before and behind every text; ``inside``: the places that are predicted."""
+    # Eight bytes as one number: the byte of a place and the seven before it; then those before these.
+    eight = np.ndarray((len(buffer) - 7,), ">u8", buffer.tobytes(), strides=(1,)).astype(np.uint64)
+    inside = inside[_GAP:]
+    near, far = eight[_GAP - 7 :][inside], eight[_GAP - 15 : -8][inside]
+    place = np.arange(len(buffer), dtype=np.int32)
+    begun = np.maximum.accumulate(np.where(_APART[buffer[:-1]], place[1:], 0))  # where the word before the next byte starts
+    length = np.minimum(place[_GAP:] - begun[_GAP - 1 :], WORD_BYTES)[inside]
+    prefix = ((near >> np.uint64(8)) & _MASKS[length]) * _G[0] + (far & _MASKS[np.maximum(length, 7) - 7]) * _G[1] + length.astype(np.uint64)
+    prefix = (prefix ^ (prefix >> np.uint64(29))) * _G[2]
+    window = near & np.uint64((1 << (8 * (ORDERS[-1] + 1))) - 1)
+    key = window * _G[3] + prefix
+    key ^= key >> np.uint64(32)
+    one, code = _first_places(key)
+    return Piece(Units(key[one], window[one], prefix[one]), np.bincount(code, minlength=len(one)), code, doc, start)
+
+
+def _first_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct key, number of the key of each place).
+
+    Places write their number into a slot by hash; those whose slot was won by another key try a further table.
+    """
+    code = np.empty(len(key), np.int32)
+    found, count, left = [], 0, None
+    for turn in range(4):
+        own = key if left is None else key[left]
+        bits = max(4, len(own).bit_length() - 1)
+        slot = ((own * _G[5 + turn]) >> np.uint64(64 - bits)).astype(np.int32)
+        table = np.empty(1 << bits, np.int32)
+        table[slot] = np.arange(len(own), dtype=np.int32)
+        winner = table[slot]
+        won = own[winner] == own
+        first = np.flatnonzero(winner == np.arange(len(own), dtype=np.int32))
+        number = np.empty(len(own), np.int32)
+        number[first] = np.arange(count, count + len(first), dtype=np.int32)
+        where = won if left is None else left[won]
+        code[where] = number[winner[won]]
+        found.append(first if left is None else left[first])
+        count += len(first)
+        left = np.flatnonzero(~won) if left is None else left[~won]
+        if not len(left):
+            break
+    if len(left):
+        _, first, rest = np.unique(key[left], return_index=True, return_inverse=True)
+        code[left] = rest + count
+        found.append(left[first])
+    return np.concatenate(found), code
+
+
+def _sorted(units: Units, count: np.ndarray) -> tuple[Units, np.ndarray]:
+    """Distinct units by rising key with the sums of their counts."""
     order = np.argsort(units.key)
     key = units.key[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     first = order[starts]
-    return order, starts, Units(key[starts], units.window[first], units.prefix[first])
+    return Units(key[starts], units.window[first], units.prefix[first]), np.add.reduceat(count[order], starts) if len(key) else count
 
 
 # Training.
@@ -141,26 +162,19 @@ def gather_units(texts: DataFrame) -> DataFrame:
     """(window, prefix, n): how often each unit occurs in the column of texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[Units] = []
-        counts: list[np.ndarray] = []
-
-        def merged() -> tuple[Units, np.ndarray]:
-            units = Units(*(np.concatenate(c) for c in zip(*kept)))
-            order, starts, distinct = _distinct(units)
-            return distinct, np.add.reduceat(np.concatenate(counts)[order], starts)
-
+        units, counts = None, None
         for batch in batches:
             for piece in pieces(batch.column(0)):
-                order, starts, distinct = _distinct(piece.units)
-                kept.append(distinct)
-                counts.append(np.diff(np.append(starts, len(order))))
-                if len(kept) > 1:
-                    units, count = merged()
-                    kept[:], counts[:] = [units], [count]
-                if len(kept[0].key) > GATHERED:
-                    yield _unit_rows(kept.pop(), counts.pop())
-        if kept:
-            yield _unit_rows(kept[0], counts[0])
+                if units is None:
+                    units, counts = piece.units, piece.count
+                else:
+                    both = Units(*(np.concatenate(c) for c in zip(units, piece.units)))
+                    units, counts = _sorted(both, np.concatenate([counts, piece.count]))
+                if len(counts) > GATHERED:
+                    yield _unit_rows(units, counts)
+                    units, counts = None, None
+        if units is not None:
+            yield _unit_rows(units, counts)
 
     found = texts.mapInArrow(work, "window long, prefix long, n long")
     return found.groupBy("window", "prefix").agg(F.sum("n").alias("n"))
@@ -197,15 +211,22 @@ def fill_slots(units: DataFrame, bits: int) -> np.ndarray:
     """Counts of 0 and 1 in every slot, summed by blocks; a pair that passes 16 bits is halved until it fits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, table = Slots(bits), np.zeros(2 << bits, np.uint64)
+        slots, table, held = Slots(bits), np.zeros(2 << bits, np.uint32), 0
         for batch in batches:
             window, prefix, n = _columns(batch)
-            for context in slots.of(window, prefix):
-                for _, node, bit in _bits(window):
-                    np.add.at(table, 2 * slots.at(context, node) + bit, n.astype(np.uint64))
-        blocks = table.reshape(-1, 2 * _BLOCK)
-        for number in np.flatnonzero(blocks.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blocks[number].astype(np.uint64).tobytes()], pa.binary())], ["block", "counts"])
+            for low in range(0, len(n), 1 << 15):
+                own = slice(low, low + (1 << 15))
+                if held + int(n[own].sum()) > 1 << 26:  # at most 40 places of a unit meet in a slot
+                    yield from _blocks(table)
+                    table[:], held = 0, 0
+                if int(n[own].max()) > 1 << 26:
+                    large = np.zeros(2 << bits, np.uint64)
+                    _add(slots, large, window[own], prefix[own], n[own])
+                    yield from _blocks(large)
+                else:
+                    _add(slots, table, window[own], prefix[own], n[own])
+                    held += int(n[own].sum())
+        yield from _blocks(table)
 
     def add(key: tuple, group: pa.Table) -> pa.Table:
         total = np.zeros(2 * _BLOCK, np.uint64)
@@ -224,6 +245,19 @@ def fill_slots(units: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(-1, 2)
 
 
+def _add(slots: Slots, table: np.ndarray, window: np.ndarray, prefix: np.ndarray, n: np.ndarray) -> None:
+    times = n.astype(table.dtype)
+    for context in slots.of(window, prefix):
+        for _, node, bit in _bits(window):
+            np.add.at(table, 2 * slots.at(context, node) + bit, times)
+
+
+def _blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    blocks = table.reshape(-1, 2 * _BLOCK)
+    for number in np.flatnonzero(blocks.any(axis=1)):
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blocks[number].astype(np.uint64).tobytes()], pa.binary())], ["block", "counts"])
+
+
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
 
@@ -245,26 +279,31 @@ class Model(NamedTuple):
 
 
 class Table(NamedTuple):
-    counts: np.ndarray  # pairs
-    odds: np.ndarray
-    known: np.ndarray
+    counts: np.ndarray | None  # pairs, while learning
+    odds: np.ndarray | None
+    known: np.ndarray | None
 
 
-_TABLES: list[tuple[bytes, Table]] = []
+_TABLES: list[tuple[bytes, bool, Table]] = []
 
 
-def table_of(model: Model) -> Table:
+def table_of(model: Model, learning: bool) -> Table:
     """The slots as a worker holds them, unpacked once."""
     packed = model.shared.value
-    if not _TABLES or _TABLES[0][0] is not packed:
+    if not _TABLES or _TABLES[0][0] is not packed or _TABLES[0][1] != learning:
+        _TABLES.clear()
         counts = np.frombuffer(pa.decompress(packed, 4 << model.bits, codec="zstd"), np.uint16).reshape(-1, 2)
-        odds, known = np.empty(len(counts), np.float32), np.empty(len(counts), np.uint8)
-        for low in range(0, len(counts), 1 << 16):
-            own = slice(low, low + (1 << 16))
-            odds[own] = _odds(counts[own].astype(np.float32))
-            known[own] = _known(counts[own].sum(axis=1, dtype=np.int64))
-        _TABLES[:] = [(packed, Table(counts, odds, known))]
-    return _TABLES[0][1]
+        if learning:
+            table = Table(counts, None, None)
+        else:
+            odds, known = np.empty(len(counts), np.float32), np.empty(len(counts), np.uint8)
+            for low in range(0, len(counts), 1 << 16):
+                own = slice(low, low + (1 << 16))
+                odds[own] = _odds(counts[own].astype(np.float32))
+                known[own] = _known(counts[own].sum(axis=1, dtype=np.int64))
+            table = Table(None, odds, known)
+        _TABLES.append((packed, learning, table))
+    return _TABLES[0][2]
 
 
 def start_model(spark: SparkSession, bits: int, counts: np.ndarray) -> Model:
@@ -280,7 +319,7 @@ def predictions(model: Model, window: np.ndarray, prefix: np.ndarray, left_out:
 
     With ``left_out`` one occurrence of the unit itself is taken off the slots it counts in.
     """
-    slots, table = Slots(model.bits), table_of(model)
+    slots, table = Slots(model.bits), table_of(model, left_out)
     contexts = slots.of(window, prefix)
     last = ((window >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
     for j, node, bit in _bits(window):
@@ -327,70 +366,57 @@ def code_lengths(model: Model, window: np.ndarray, prefix: np.ndarray) -> np.nda
     return out
 
 
-def learn_weights(units: DataFrame, model: Model) -> np.ndarray:
-    """Weights learnt online in every task, averaged by what each gate saw there."""
+def learn(units: DataFrame, model: Model) -> Model:
+    """The model with weights and refining map, learnt online over all units in every task and put together.
+
+    Weights are averaged by what each gate saw; the map's shares are those of all tasks' predictions.
+    """
+    gates, size = len(model.weights), model.refine.size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model._replace(weights=model.weights.copy())
         past = np.full(own.weights.shape, 1e-4)
-        seen = np.zeros(len(own.weights))
+        seen, ones, all_ = np.zeros(gates), np.zeros(size), np.zeros(size)
         for batch in batches:
             window, prefix, n = _columns(batch)
-            for low in range(0, len(window), 2048):
-                part = slice(low, low + 2048)
-                for _, bit, inputs, gate, _ in predictions(own, window[part], prefix[part], True):
-                    times = n[part].astype(np.float64)
-                    miss = times * (1 / (1 + np.exp(-mixed(own, inputs, gate))) - bit)
-                    here = np.bincount(gate, times, len(seen))
-                    slope = np.stack([np.bincount(gate, miss * inputs[k], len(seen)) for k in range(INPUTS)], 1) / np.maximum(here, 1e-9)[:, None]
+            for low in range(0, len(window), 4096):
+                part = slice(low, low + 4096)
+                times = n[part].astype(np.float64)
+                for j, bit, inputs, gate, last in predictions(own, window[part], prefix[part], True):
+                    total = mixed(own, inputs, gate)
+                    miss = times * (1 / (1 + np.exp(-total)) - bit)
+                    here = np.bincount(gate, times, gates)
+                    slope = np.stack([np.bincount(gate, miss * inputs[k], gates) for k in range(INPUTS)], 1) / np.maximum(here, 1e-9)[:, None]
                     past += slope * slope
                     own.weights[:] -= (STEP * slope / np.sqrt(past)).astype(np.float32)
                     seen += here
-        gates = np.repeat(np.arange(len(seen)), INPUTS)
+                    cell, share = _cell(total)
+                    flat = (last * 8 + j) * CELLS + cell
+                    for at, weight in ((flat, times * (1 - share)), (flat + 1, times * share)):
+                        np.add.at(all_, at, weight)
+                        np.add.at(ones, at, weight * bit)
+        each = np.repeat(seen, INPUTS)
+        here = np.flatnonzero(all_)
+        sums = np.concatenate([own.weights.astype(np.float64).ravel() * each, ones[here]])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(gates * INPUTS + np.tile(np.arange(INPUTS), len(seen))), pa.array(own.weights.astype(np.float64).ravel() * seen[gates]), pa.array(seen[gates])], ["i", "w", "n"]
+            [pa.array(np.concatenate([np.arange(len(each)), here + len(each)])), pa.array(sums), pa.array(np.concatenate([each, all_[here]]))], ["i", "value", "n"]
         )
 
-    rows = units.mapInArrow(work, "i long, w double, n double").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).where("n > 0").collect()
-    weights = model.weights.copy()
-    for i, w, n in rows:  # gates times inputs
-        weights[i // INPUTS, i % INPUTS] = w / n
-    return weights
-
-
-def learn_refinement(units: DataFrame, model: Model) -> np.ndarray:
-    """Share of ones for each (last byte, bit, predicted odds), from all units."""
-    size = model.refine.size
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, all_ = np.zeros(size), np.zeros(size)
-        for batch in batches:
-            window, prefix, n = _columns(batch)
-            for low in range(0, len(window), 1 << 15):
-                part = slice(low, low + (1 << 15))
-                for j, bit, inputs, gate, last in predictions(model, window[part], prefix[part], True):
-                    cell, share = _cell(mixed(model, inputs, gate))
-                    for at, weight in ((cell, n[part] * (1 - share)), (cell + 1, n[part] * share)):
-                        flat = (last * 8 + j) * CELLS + at
-                        ones += np.bincount(flat, weight * bit, size)
-                        all_ += np.bincount(flat, weight, size)
-        here = np.flatnonzero(all_)
-        yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(ones[here]), pa.array(all_[here])], ["i", "ones", "n"])
-
-    rows = units.mapInArrow(work, "i long, ones double, n double").groupBy("i").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).toArrow()
-    refine = model.refine.copy().ravel()
-    at = rows.column(0).to_numpy()
-    refine[at] = (rows.column(1).to_numpy() + 20 * refine[at]) / (rows.column(2).to_numpy() + 20)
-    return refine.reshape(model.refine.shape)
+    rows = units.mapInArrow(work, "i long, value double, n double").groupBy("i").agg(F.sum("value").alias("value"), F.sum("n").alias("n")).where("n > 0").toArrow()
+    i, value, n = (c.to_numpy() for c in rows.columns)  # as many as weights and cells
+    weights, refine = model.weights.copy().ravel(), model.refine.copy().ravel()
+    own = i < len(weights)
+    weights[i[own]] = value[own] / n[own]
+    cells = i[~own] - len(weights)
+    refine[cells] = (value[~own] + 20 * refine[cells]) / (n[~own] + 20)
+    return model._replace(weights=weights.reshape(model.weights.shape), refine=refine.reshape(model.refine.shape))
 
 
 def fit(texts: DataFrame) -> Model:
     """The model of a frame with one column of texts."""
     units = saved(gather_units(texts).sortWithinPartitions(F.xxhash64("window", "prefix"), "window", "prefix"), "units")
     bits = min(MAX_BITS, max(MIN_BITS, units.count().bit_length() + 2))
-    model = start_model(texts.sparkSession, bits, fill_slots(units, bits))
-    model = model._replace(weights=learn_weights(units, model))
-    return model._replace(refine=learn_refinement(units, model))
+    return learn(units, start_model(texts.sparkSession, bits, fill_slots(units, bits)))
 
 
 # Scores.
@@ -433,7 +459,7 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keep: list[s
             column = batch.column(batch.num_columns - 1)
             bits = np.zeros(batch.num_rows)
             for piece in pieces(column):
-                bits += np.bincount(piece.doc, remembered.lengths(piece.units), batch.num_rows)
+                bits[piece.doc] += np.add.reduceat(remembered.lengths(piece.units)[piece.code], piece.start)
             size = np.diff(byte_view(column)[1])
             for part in coded_slices(column, SPACED):
                 own = slice(part.first, part.first + part.rows)
@@ -484,18 +510,19 @@ class Remembered:
         self.keys, self.bits = np.zeros(0, np.uint64), np.zeros(0)
 
     def lengths(self, units: Units) -> np.ndarray:
-        order, starts, distinct = _distinct(units)
-        at = np.searchsorted(self.keys, distinct.key)
+        order = np.argsort(units.key)
+        key = units.key[order]
+        at = np.searchsorted(self.keys, key)
         old = np.zeros(len(at), bool)
         inside = at < len(self.keys)
-        old[inside] = self.keys[at[inside]] == distinct.key[inside]
+        old[inside] = self.keys[at[inside]] == key[inside]
         values = np.zeros(len(at))
         values[old] = self.bits[at[old]]
         new = np.flatnonzero(~old)
-        values[new] = code_lengths(self.model, distinct.window[new], distinct.prefix[new])
+        values[new] = code_lengths(self.model, units.window[order[new]], units.prefix[order[new]])
         new = new[: max(0, REMEMBERED - len(self.keys))]
-        self.keys = np.insert(self.keys, at[new], distinct.key[new])
+        self.keys = np.insert(self.keys, at[new], key[new])
         self.bits = np.insert(self.bits, at[new], values[new])
         out = np.empty(len(order))
-        out[order] = np.repeat(values, np.diff(np.append(starts, len(order))))
+        out[order] = values
         return out

@@ -115,7 +115,7 @@ def units_of(text):
         start = i
         while start and body[start - 1] not in b"\x20\x09\x0a\x0b\x0c\x0d\xff":
             start -= 1
-        out.append((body[i - 5 : i], body[start:i], body[i]))
+        out.append((body[i - 5 : i], body[max(start, i - mixing.WORD_BYTES) : i], body[i]))
     return out
 
 
@@ -151,12 +151,11 @@ def test_scores_byte_by_byte(spark, texts, monkeypatch):
     prefix_of = {}
     for t in {t or "" for _, t in texts}:
         (piece,) = mixing.pieces(pa.array([t]))
-        for k, (past, word, byte) in enumerate(units_of(t)):
+        for k, (past, word, byte) in zip(piece.code, units_of(t), strict=True):
             assert int(piece.units.window[k]) == int.from_bytes(past + bytes([byte]), "big")
-            if len(word) <= mixing.WORD_BYTES:
-                assert prefix_of.setdefault(word, int(piece.units.prefix[k])) == int(piece.units.prefix[k])
+            assert prefix_of.setdefault(word, int(piece.units.prefix[k])) == int(piece.units.prefix[k])
     assert len(set(prefix_of.values())) == len(prefix_of)
-    key = lambda word: np.array([prefix_of.get(word, 1) if len(word) <= mixing.WORD_BYTES else 1], np.uint64)
+    key = lambda word: np.array([prefix_of[word]], np.uint64)
     counts, seen = collections.Counter(), collections.Counter(u for t in train for u in units_of(t))
     for (past, word, byte), n in seen.items():
         for j in range(8):
@@ -213,6 +212,14 @@ def test_scores_without_training(spark):
     assert mixing.score_texts(df.where("doc_id = 5"), F.lit(True)).collect() == []
 
 
+@pytest.mark.parametrize("kinds", [1, 7, 5000])
+def test_first_places(kinds):
+    keys = np.random.default_rng(1).integers(0, 2**63, kinds).astype(np.uint64)
+    own = keys[np.random.default_rng(2).integers(0, kinds, 40_000)]
+    first, code = mixing._first_places(own)
+    assert (own[first][code] == own).all() and len(first) == len(np.unique(own))
+
+
 def test_counts_beyond_16_bits(spark):
     """A pair is halved until it fits; the rare side may vanish, and learning still gives finite weights."""
     docs = spark.createDataFrame([("a" * 90_000 + "b",), ("a" * 90_000,), ("abc",)], "t string")

@@ -84,14 +84,16 @@ def build_index(docs: DataFrame, only: list[str] | None = None, key: str = "doc_
     # A stratum that holds many documents is cut by the hash, so ranges stay even.
     ranged = rows.repartitionByRange("m", F.xxhash64("doc_id", F.element_at("terms", 1))).sortWithinPartitions("m")
 
+    most_docs, most_postings = BLOCK_DOCS, BLOCK_POSTINGS
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = batch.column(0).to_numpy()
             size = np.diff(batch.column(2).offsets.to_numpy())
             first = 0
             while first < len(m):
-                last = min(int(np.searchsorted(m, m[first], "right")), first + BLOCK_DOCS)
-                last = max(first + 1, first + int(np.searchsorted(np.cumsum(size[first:last]), BLOCK_POSTINGS, "right")))
+                last = min(int(np.searchsorted(m, m[first], "right")), first + most_docs)
+                last = max(first + 1, first + int(np.searchsorted(np.cumsum(size[first:last]), most_postings, "right")))
                 yield _block(batch.slice(first, last - first))
                 first = last
 

@@ -35,7 +35,7 @@ from millrace.llm.textbytes import SPACED, byte_view, mix
 from millrace.llm.wordcodes import LOWER, coded_slices
 
 END = 0xFF  # no byte of a text
-ORDERS, WORD_BYTES = (1, 2, 3, 5), 15
+ORDERS, WORD_BYTES = (2, 3, 5), 9
 INPUTS = len(ORDERS) + 2  # the word and a constant
 #: Slots are doubled with the units up to 2 ** MAX_BITS, 32 MB of counts before they are packed.
 MIN_BITS, MAX_BITS = 14, 23
@@ -66,16 +66,17 @@ class Piece(NamedTuple):
     start: np.ndarray  # first place of each
 
 
-def pieces(column: pa.Array) -> Iterator[Piece]:
+def pieces(column: pa.Array, piece: int | None = None) -> Iterator[Piece]:
     """The places of all texts of a column, a bounded number at a time; a longer text goes in several pieces."""
+    size = piece or PIECE
     data, offsets = byte_view(column)
     first, rows = 0, len(offsets) - 1
     while first < rows:
-        last = int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(rows, max(last, first + 1))
         own = offsets[first : last + 1] - offsets[first]
         text = data[offsets[first] : offsets[last]]
-        if len(text) <= PIECE:
+        if len(text) <= size:
             ends = own[1:] + _GAP * np.arange(1, last - first + 1)
             inside = np.ones(len(text) + _GAP * (last - first + 1), bool)
             inside[:_GAP] = False
@@ -85,8 +86,8 @@ def pieces(column: pa.Array) -> Iterator[Piece]:
             inside[ends] = True
             yield _piece(buffer, inside, np.arange(first, last), own[:-1] + np.arange(last - first))
         else:  # one long text
-            for low in range(0, len(text), PIECE):
-                high = min(len(text), low + PIECE)
+            for low in range(0, len(text), size):
+                high = min(len(text), low + size)
                 lead = text[max(0, low - _GAP) : low] if low else np.zeros(0, np.uint8)
                 parts = [np.full(_GAP - len(lead), END, np.uint8), lead, text[low:high]] + ([np.full(1, END, np.uint8)] if high == len(text) else [])
                 buffer = LOWER[np.concatenate(parts)]
@@ -108,12 +109,17 @@ def _piece(buffer: np.ndarray, inside: np.ndarray, doc: np.ndarray, start: np.nd
     prefix = ((near >> np.uint64(8)) & _MASKS[length]) * _G[0] + (far & _MASKS[np.maximum(length, 7) - 7]) * _G[1] + length.astype(np.uint64)
     prefix = (prefix ^ (prefix >> np.uint64(29))) * _G[2]
     window = near & np.uint64((1 << (8 * (ORDERS[-1] + 1))) - 1)
-    key = window * _G[3] + prefix
-    key ^= key >> np.uint64(32)
+    key = _key(window, prefix)
     one, code = _first_places(key)
     return Piece(Units(key[one], window[one], prefix[one]), np.bincount(code, minlength=len(one)), code, doc, start)
 
 
+def _key(window: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    key = window * _G[3] + prefix
+    key = (key ^ (key >> np.uint64(32))) * _G[4]
+    return key ^ (key >> np.uint64(29))
+
+
 def _first_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct key, number of the key of each place).
 
@@ -159,29 +165,80 @@ def _sorted(units: Units, count: np.ndarray) -> tuple[Units, np.ndarray]:
 
 
 def gather_units(texts: DataFrame) -> DataFrame:
-    """(window, prefix, n): how often each unit occurs in the column of texts."""
+    """(bucket, units, window, prefix, n): how often each unit occurs in a column of texts, packed as 64-bit numbers.
+
+    A bucket is a range of hashes; tasks send what they have counted bucket by bucket, where it is added up.
+    """
+    buckets = max(1024, 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    width, piece_bytes, gathered = np.uint64((1 << 64) // buckets + 1), PIECE, GATHERED
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, counts = None, None
+        units, counts = _none(), np.zeros(0, np.int64)
+        for batch in batches:
+            for piece in pieces(batch.column(0), piece_bytes):
+                units, counts = _sorted(_joined([units, piece.units]), np.concatenate([counts, piece.count]))
+                if len(counts) > gathered:
+                    yield split(units, counts)
+                    units, counts = _none(), np.zeros(0, np.int64)
+        yield split(units, counts)
+
+    def split(units: Units, counts: np.ndarray) -> pa.RecordBatch:
+        bucket = (units.key // width).astype(np.int64)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(starts[1:], len(bucket))
+        return _packed([(int(bucket[i]), Units(*(c[i:j] for c in units)), counts[i:j]) for i, j in zip(starts, ends)])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, waiting = None, [], 0
         for batch in batches:
-            for piece in pieces(batch.column(0)):
-                if units is None:
-                    units, counts = piece.units, piece.count
-                else:
-                    both = Units(*(np.concatenate(c) for c in zip(units, piece.units)))
-                    units, counts = _sorted(both, np.concatenate([counts, piece.count]))
-                if len(counts) > GATHERED:
-                    yield _unit_rows(units, counts)
-                    units, counts = None, None
-        if units is not None:
-            yield _unit_rows(units, counts)
+            for i in range(batch.num_rows):
+                number = batch.column(0)[i].as_py()
+                if number != bucket:
+                    yield from settled(bucket, parts)
+                    bucket, parts, waiting = number, [], 0
+                window, prefix, n = _unpacked(batch, i)
+                parts.append((Units(_key(window, prefix), window, prefix), n))
+                waiting += len(n)
+                if waiting > gathered and len(parts) > 1:
+                    parts = [_sorted(_joined([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+                    waiting = 0
+        yield from settled(bucket, parts)
+
+    def settled(bucket: int | None, parts: list) -> Iterator[pa.RecordBatch]:
+        if parts:
+            units, counts = _sorted(_joined([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            for low in range(0, len(counts), 1 << 16):
+                own = slice(low, low + (1 << 16))
+                yield _packed([(bucket, Units(*(c[own] for c in units)), counts[own])])
+
+    schema = "bucket int, units long, window binary, prefix binary, n binary"
+    return texts.mapInArrow(work, schema).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, schema)
+
+
+def _none() -> Units:
+    return Units(*(np.zeros(0, np.uint64) for _ in range(3)))
+
+
+def _joined(parts: list[Units]) -> Units:
+    return Units(*(np.concatenate(c) for c in zip(*parts)))
 
-    found = texts.mapInArrow(work, "window long, prefix long, n long")
-    return found.groupBy("window", "prefix").agg(F.sum("n").alias("n"))
+
+def _packed(rows: list[tuple[int, Units, np.ndarray]]) -> pa.RecordBatch:
+    blobs = [pa.array([c.tobytes() for c in column], pa.binary()) for column in zip(*((u.window, u.prefix, n) for _, u, n in rows))] if rows else [pa.array([], pa.binary())] * 3
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([len(r[2]) for r in rows], pa.int64()), *blobs], ["bucket", "units", "window", "prefix", "n"]
+    )
+
+
+def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((2, np.uint64), (3, np.uint64), (4, np.int64)))
 
 
-def _unit_rows(units: Units, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(units.window.view(np.int64)), pa.array(units.prefix.view(np.int64)), pa.array(counts, pa.int64())], ["window", "prefix", "n"])
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, prefix, n) of the units in a task's rows."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _unpacked(batch, i)
 
 
 class Slots:
@@ -212,20 +269,17 @@ def fill_slots(units: DataFrame, bits: int) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, table, held = Slots(bits), np.zeros(2 << bits, np.uint32), 0
-        for batch in batches:
-            window, prefix, n = _columns(batch)
-            for low in range(0, len(n), 1 << 15):
-                own = slice(low, low + (1 << 15))
-                if held + int(n[own].sum()) > 1 << 26:  # at most 40 places of a unit meet in a slot
-                    yield from _blocks(table)
-                    table[:], held = 0, 0
-                if int(n[own].max()) > 1 << 26:
-                    large = np.zeros(2 << bits, np.uint64)
-                    _add(slots, large, window[own], prefix[own], n[own])
-                    yield from _blocks(large)
-                else:
-                    _add(slots, table, window[own], prefix[own], n[own])
-                    held += int(n[own].sum())
+        for window, prefix, n in _columns(batches):
+            if held + int(n.sum()) > 1 << 26:  # at most 40 places of a unit meet in a slot
+                yield from _blocks(table)
+                table[:], held = 0, 0
+            if int(n.sum()) > 1 << 26:
+                large = np.zeros(2 << bits, np.uint64)
+                _add(slots, large, window, prefix, n)
+                yield from _blocks(large)
+            else:
+                _add(slots, table, window, prefix, n)
+                held += int(n.sum())
         yield from _blocks(table)
 
     def add(key: tuple, group: pa.Table) -> pa.Table:
@@ -258,10 +312,6 @@ def _blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blocks[number].astype(np.uint64).tobytes()], pa.binary())], ["block", "counts"])
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-
-
 def _odds(counts: np.ndarray) -> np.ndarray:
     return np.log((counts[..., 1] + 0.4) / (counts[..., 0] + 0.4)).astype(np.float32)
 
@@ -377,8 +427,7 @@ def learn(units: DataFrame, model: Model) -> Model:
         own = model._replace(weights=model.weights.copy())
         past = np.full(own.weights.shape, 1e-4)
         seen, ones, all_ = np.zeros(gates), np.zeros(size), np.zeros(size)
-        for batch in batches:
-            window, prefix, n = _columns(batch)
+        for window, prefix, n in _columns(batches):
             for low in range(0, len(window), 4096):
                 part = slice(low, low + 4096)
                 times = n[part].astype(np.float64)
@@ -414,8 +463,8 @@ def learn(units: DataFrame, model: Model) -> Model:
 
 def fit(texts: DataFrame) -> Model:
     """The model of a frame with one column of texts."""
-    units = saved(gather_units(texts).sortWithinPartitions(F.xxhash64("window", "prefix"), "window", "prefix"), "units")
-    bits = min(MAX_BITS, max(MIN_BITS, units.count().bit_length() + 2))
+    units = saved(gather_units(texts), "units")
+    bits = min(MAX_BITS, max(MIN_BITS, (units.agg(F.sum("units")).first()[0] or 0).bit_length() + 2))
     return learn(units, start_model(texts.sparkSession, bits, fill_slots(units, bits)))
 
 
@@ -440,6 +489,7 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keep: list[s
 
     Columns of these names are replaced; with ``keep`` only those columns stay. Scores are logarithms to base 10.
     """
+    piece_bytes = PIECE
     spark, made = docs.sparkSession, ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     train = docs.where(F.coalesce(learn, F.lit(False))).select(body.alias("t"))
@@ -454,11 +504,11 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keep: list[s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, often_counts = sent.value
         logs = np.log10(often_counts + 1.0)
-        remembered = Remembered(model)
+        remembered = remembered_by(model)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             bits = np.zeros(batch.num_rows)
-            for piece in pieces(column):
+            for piece in pieces(column, piece_bytes):
                 bits[piece.doc] += np.add.reduceat(remembered.lengths(piece.units)[piece.code], piece.start)
             size = np.diff(byte_view(column)[1])
             for part in coded_slices(column, SPACED):
@@ -503,7 +553,7 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keep: list[s
 
 
 class Remembered:
-    """Code lengths of units, a bounded number of them kept from earlier pieces of a task."""
+    """Code lengths of units, a bounded number of them kept from earlier pieces."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -526,3 +576,14 @@ class Remembered:
         out = np.empty(len(order))
         out[order] = values
         return out
+
+
+_REMEMBERED: list[tuple[bytes, Remembered]] = []
+
+
+def remembered_by(model: Model) -> Remembered:
+    """What a worker remembers for a model, over all its tasks."""
+    packed = model.shared.value
+    if not _REMEMBERED or _REMEMBERED[0][0] is not packed:
+        _REMEMBERED[:] = [(packed, Remembered(model))]
+    return _REMEMBERED[0][1]

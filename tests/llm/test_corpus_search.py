@@ -227,11 +227,29 @@ def test_counts_beyond_16_bits(spark):
     assert np.isfinite(model.weights).all() and ((model.refine > 0) & (model.refine < 1)).all()
 
 
-def test_gathered_units_grow_with_the_rows(spark):
+def test_gathered_units_are_all_counted(spark, monkeypatch):
+    """Packed units hold each (last bytes, word so far, byte) with its count, and grow with the rows."""
     rng = random.Random(8)
-    docs = spark.createDataFrame([("".join(rng.choice("abcdefgh ") for _ in range(400)),) for _ in range(60)], "t string")
-    few, many = mixing.gather_units(docs.limit(20)).agg(F.sum("n"), F.count("n")).first(), mixing.gather_units(docs).agg(F.sum("n"), F.count("n")).first()
-    assert many[0] == 60 * 401 and few[0] == 20 * 401 and many[1] > 1.5 * few[1]
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(60)] + ["", "A a"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    for gathered in (1_500_000, 500):
+        monkeypatch.setattr(mixing, "GATHERED", gathered)
+        rows = mixing.gather_units(docs).collect()
+        got = collections.Counter()
+        for r in rows:
+            for window, prefix, n in zip(np.frombuffer(r.window, np.uint64), np.frombuffer(r.prefix, np.uint64), np.frombuffer(r.n, np.int64)):
+                assert (int(window), int(prefix)) not in got
+                got[int(window), int(prefix)] = int(n)
+        want = collections.Counter(u for t in texts for u in units_of(t))
+        assert sorted(got.values()) == sorted(want.values()) and sum(r.units for r in rows) == len(want)
+        windows = collections.Counter()
+        for (past, _, byte), n in want.items():
+            windows[int.from_bytes(past + bytes([byte]), "big")] += n
+        for (window, _), n in got.items():
+            windows[window] -= n
+        assert not any(windows.values())
+    few = mixing.gather_units(docs.limit(20)).agg(F.sum("units")).first()[0]
+    assert len(want) > 1.5 * few
 
 
 # Ranked search.

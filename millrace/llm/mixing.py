@@ -41,7 +41,7 @@ INPUTS = len(ORDERS) + 2  # the word and a constant
 MIN_BITS, MAX_BITS = 14, 23
 #: The most frequent tokens, whose counts are sent to all tasks; the others are joined.
 SENT_TOKENS = 200_000
-PIECE, REMEMBERED, GATHERED = 2 << 20, 2_000_000, 1_500_000
+PIECE, REMEMBERED, GATHERED = 1 << 20, 2_000_000, 1_500_000
 STEP, CELLS, REACH = 0.05, 33, 8.0
 _BLOCK = 1 << 12
 
@@ -152,13 +152,17 @@ def _first_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), code
 
 
-def _sorted(units: Units, count: np.ndarray) -> tuple[Units, np.ndarray]:
+def _summed(parts: list[tuple[Units, np.ndarray]]) -> tuple[Units, np.ndarray]:
     """Distinct units by rising key with the sums of their counts."""
+    units = Units(*(np.concatenate(c) for c in zip(*(p[0] for p in parts))))
+    count = np.concatenate([p[1] for p in parts])
+    if not len(count):
+        return units, count
     order = np.argsort(units.key)
     key = units.key[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     first = order[starts]
-    return Units(key[starts], units.window[first], units.prefix[first]), np.add.reduceat(count[order], starts) if len(key) else count
+    return Units(key[starts], units.window[first], units.prefix[first]), np.add.reduceat(count[order], starts)
 
 
 # Training.
@@ -173,14 +177,17 @@ def gather_units(texts: DataFrame) -> DataFrame:
     width, piece_bytes, gathered = np.uint64((1 << 64) // buckets + 1), PIECE, GATHERED
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, counts = _none(), np.zeros(0, np.int64)
+        parts, waiting = [], 0
         for batch in batches:
             for piece in pieces(batch.column(0), piece_bytes):
-                units, counts = _sorted(_joined([units, piece.units]), np.concatenate([counts, piece.count]))
-                if len(counts) > gathered:
-                    yield split(units, counts)
-                    units, counts = _none(), np.zeros(0, np.int64)
-        yield split(units, counts)
+                parts.append((piece.units, piece.count))
+                waiting += len(piece.count)
+                if waiting > gathered:
+                    parts, waiting = [_summed(parts)], 0
+                    if len(parts[0][1]) > gathered:
+                        yield split(*parts.pop())
+        if parts:
+            yield split(*_summed(parts))
 
     def split(units: Units, counts: np.ndarray) -> pa.RecordBatch:
         bucket = (units.key // width).astype(np.int64)
@@ -200,13 +207,12 @@ def gather_units(texts: DataFrame) -> DataFrame:
                 parts.append((Units(_key(window, prefix), window, prefix), n))
                 waiting += len(n)
                 if waiting > gathered and len(parts) > 1:
-                    parts = [_sorted(_joined([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
-                    waiting = 0
+                    parts, waiting = [_summed(parts)], 0
         yield from settled(bucket, parts)
 
     def settled(bucket: int | None, parts: list) -> Iterator[pa.RecordBatch]:
         if parts:
-            units, counts = _sorted(_joined([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            units, counts = _summed(parts)
             for low in range(0, len(counts), 1 << 16):
                 own = slice(low, low + (1 << 16))
                 yield _packed([(bucket, Units(*(c[own] for c in units)), counts[own])])
@@ -215,14 +221,6 @@ def gather_units(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, schema).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, schema)
 
 
-def _none() -> Units:
-    return Units(*(np.zeros(0, np.uint64) for _ in range(3)))
-
-
-def _joined(parts: list[Units]) -> Units:
-    return Units(*(np.concatenate(c) for c in zip(*parts)))
-
-
 def _packed(rows: list[tuple[int, Units, np.ndarray]]) -> pa.RecordBatch:
     blobs = [pa.array([c.tobytes() for c in column], pa.binary()) for column in zip(*((u.window, u.prefix, n) for _, u, n in rows))] if rows else [pa.array([], pa.binary())] * 3
     return pa.RecordBatch.from_arrays(
@@ -254,7 +252,7 @@ class Slots:
         return [*orders, mix(prefix + _G[9])]
 
     def at(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return ((((context ^ _G[16 + node]) * _G[10]) >> self.shift)).astype(np.int64)
+        return (((context ^ _G[16 + node]) * _G[10]) >> self.shift).view(np.int64)
 
 
 def _bits(window: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -382,11 +380,13 @@ def predictions(model: Model, window: np.ndarray, prefix: np.ndarray, left_out:
                 pair[np.arange(len(at)), bit] -= 1
                 np.maximum(pair, 0, out=pair)  # halved counts may have lost the rare side
                 inputs[k] = _odds(pair)
-                known.append(_known(pair.sum(axis=1)))
+                if k >= INPUTS - 3:
+                    known.append(_known(pair.sum(axis=1)))
             else:
                 inputs[k] = table.odds[at]
-                known.append(table.known[at])
-        yield j, bit, inputs, (j * 4 + known[-2]) * 4 + known[-1].astype(np.int64), last
+                if k >= INPUTS - 3:
+                    known.append(table.known[at])
+        yield j, bit, inputs, (j * 4 + known[0]) * 4 + known[1].astype(np.int64), last
 
 
 def mixed(model: Model, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -426,7 +426,7 @@ def learn(units: DataFrame, model: Model) -> Model:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model._replace(weights=model.weights.copy())
         past = np.full(own.weights.shape, 1e-4)
-        seen, ones, all_ = np.zeros(gates), np.zeros(size), np.zeros(size)
+        seen, ones, all_, kept = np.zeros(gates), np.zeros(size), np.zeros(size), []
         for window, prefix, n in _columns(batches):
             for low in range(0, len(window), 4096):
                 part = slice(low, low + 4096)
@@ -441,9 +441,10 @@ def learn(units: DataFrame, model: Model) -> Model:
                     seen += here
                     cell, share = _cell(total)
                     flat = (last * 8 + j) * CELLS + cell
-                    for at, weight in ((flat, times * (1 - share)), (flat + 1, times * share)):
-                        np.add.at(all_, at, weight)
-                        np.add.at(ones, at, weight * bit)
+                    kept.append((np.concatenate([flat, flat + 1]), np.concatenate([times * (1 - share), times * share]), np.concatenate([bit, bit])))
+                if len(kept) >= 128:
+                    _count_cells(kept, ones, all_)
+        _count_cells(kept, ones, all_)
         each = np.repeat(seen, INPUTS)
         here = np.flatnonzero(all_)
         sums = np.concatenate([own.weights.astype(np.float64).ravel() * each, ones[here]])
@@ -461,6 +462,14 @@ def learn(units: DataFrame, model: Model) -> Model:
     return model._replace(weights=weights.reshape(model.weights.shape), refine=refine.reshape(model.refine.shape))
 
 
+def _count_cells(kept: list, ones: np.ndarray, all_: np.ndarray) -> None:
+    if kept:
+        cell, weight, bit = (np.concatenate(c) for c in zip(*kept))
+        all_ += np.bincount(cell, weight, len(all_))
+        ones += np.bincount(cell, weight * bit, len(ones))
+        kept.clear()
+
+
 def fit(texts: DataFrame) -> Model:
     """The model of a frame with one column of texts."""
     units = saved(gather_units(texts), "units")
@@ -511,7 +520,7 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keep: list[s
             for piece in pieces(column, piece_bytes):
                 bits[piece.doc] += np.add.reduceat(remembered.lengths(piece.units)[piece.code], piece.start)
             size = np.diff(byte_view(column)[1])
-            for part in coded_slices(column, SPACED):
+            for part in coded_slices(column, SPACED, 4 << 20):
                 own = slice(part.first, part.first + part.rows)
                 found = pc.index_in(part.words, value_set=names).fill_null(-1).to_numpy()
                 places = found[part.code] if len(found) else np.zeros(0, np.int64)

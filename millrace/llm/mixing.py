@@ -41,7 +41,7 @@ INPUTS = len(ORDERS) + 2  # the word and a constant
 MIN_BITS, MAX_BITS = 14, 23
 #: The most frequent tokens, whose counts are sent to all tasks; the others are joined.
 SENT_TOKENS = 200_000
-PIECE, REMEMBERED, GATHERED = 1 << 20, 2_000_000, 1_500_000
+PIECE, REMEMBERED, GATHERED = 1 << 20, 1_500_000, 1_000_000
 STEP, CELLS, REACH = 0.05, 33, 8.0
 _BLOCK = 1 << 12
 
@@ -154,15 +154,17 @@ def _first_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _summed(parts: list[tuple[Units, np.ndarray]]) -> tuple[Units, np.ndarray]:
     """Distinct units by rising key with the sums of their counts."""
-    units = Units(*(np.concatenate(c) for c in zip(*(p[0] for p in parts))))
-    count = np.concatenate([p[1] for p in parts])
-    if not len(count):
-        return units, count
-    order = np.argsort(units.key)
-    key = units.key[order]
+    whole = lambda column: np.concatenate([p[0][column] for p in parts])  # noqa: E731  one column at a time
+    key = whole(0)
+    if not len(key):
+        return parts[0]
+    order = np.argsort(key)
+    key = key[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     first = order[starts]
-    return Units(key[starts], units.window[first], units.prefix[first]), np.add.reduceat(count[order], starts)
+    count = np.add.reduceat(np.concatenate([p[1] for p in parts])[order], starts)
+    del order
+    return Units(key[starts], whole(1)[first], whole(2)[first]), count
 
 
 # Training.
@@ -185,15 +187,16 @@ def gather_units(texts: DataFrame) -> DataFrame:
                 if waiting > gathered:
                     parts, waiting = [_summed(parts)], 0
                     if len(parts[0][1]) > gathered:
-                        yield split(*parts.pop())
+                        yield from split(*parts.pop())
         if parts:
-            yield split(*_summed(parts))
+            yield from split(*_summed(parts))
 
-    def split(units: Units, counts: np.ndarray) -> pa.RecordBatch:
+    def split(units: Units, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         bucket = (units.key // width).astype(np.int64)
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(starts[1:], len(bucket))
-        return _packed([(int(bucket[i]), Units(*(c[i:j] for c in units)), counts[i:j]) for i, j in zip(starts, ends)])
+        for low in range(0, len(starts), 64):
+            yield _packed([(int(bucket[i]), Units(*(c[i:j] for c in units)), counts[i:j]) for i, j in zip(starts[low : low + 64], ends[low : low + 64])])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts, waiting = None, [], 0

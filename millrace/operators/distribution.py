@@ -11,17 +11,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.values import as_double
 from millrace.operators.ordered import running_totals
 from millrace.session import durable
 
+# Fixed value: samples up to this size are compared by the exact distribution.
+EXACT_UPTO = 10_000
 
-def melt_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value) rows of the finite numeric values."""
-    typed = df.select(*[as_double(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in columns])
-    return typed.unpivot([], list(columns), "column", "value").where(F.col("value").isNotNull())
+
+def melt_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(column, value) rows of the finite numeric values, after the columns ``by``."""
+    typed = df.select(*[F.col(f"`{c}`") for c in by], *[as_double(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in columns])
+    return typed.unpivot([f"`{c}`" for c in by], list(columns), "column", "value").where(F.col("value").isNotNull())
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -77,22 +82,66 @@ def kolmogorov_tail(distance: Column, n_left: Column, n_right: Column) -> Column
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
-def two_sample_distance(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n_reference, n_current, distance): largest gap of the two empirical distributions.
+def exact_tail(distance: float, n: int, m: int) -> float:
+    """Probability that two samples of ``n`` and ``m`` values of one continuous distribution lie ``distance`` or more apart.
 
-    Columns without values on either side are left out.
+    The merged order of both samples is a lattice path from (0, 0) to (n, m), all paths equally likely. The path is
+    walked as a chain: ``inside`` holds the chance to stand at each i without having been too far apart, and what
+    steps over the border is summed, so small probabilities keep their digits.
+    """
+    far = round(distance * n * m)  # |i * m - j * n| is a whole number
+    if far <= 0:
+        return 1.0
+    low, inside, outside = 0, np.ones(1), 0.0
+    for step in range(n + m):
+        at = np.arange(low, low + len(inside))
+        up = (n - at) / (n + m - step)
+        nxt = np.zeros(len(inside) + 1)
+        nxt[:-1] = inside * (1 - up)
+        nxt[1:] += inside * up
+        at = np.arange(low, low + len(nxt))
+        kept = np.abs(at * m - (step + 1 - at) * n) < far
+        outside += float(nxt[~kept].sum())
+        if not kept.any():
+            break
+        first, last = int(kept.argmax()), len(kept) - int(kept[::-1].argmax())
+        low, inside = low + first, nxt[first:last]
+    return min(1.0, outside)
+
+
+def two_sample_tail(distance: Column, n_left: Column, n_right: Column, exact_upto: int = EXACT_UPTO) -> Column:
+    """p-value of the distance: exact while both samples have at most ``exact_upto`` values, asymptotic beyond."""
+
+    def exact(distances: pd.Series, lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        found = [exact_tail(d, int(n), int(m)) if max(n, m) <= exact_upto else None for d, n, m in zip(distances, lefts, rights)]
+        return pd.Series(found, dtype="float64")
+
+    if exact_upto <= 0:
+        return kolmogorov_tail(distance, n_left, n_right)
+    # One short row for each comparison reaches Python.
+    small = F.pandas_udf(exact, "double")(distance, n_left, n_right)
+    return F.when(F.greatest(n_left, n_right) <= exact_upto, small).otherwise(kolmogorov_tail(distance, n_left, n_right))
+
+
+def two_sample_distance(reference: DataFrame, current: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, n_reference, n_current, distance): largest gap of the two empirical distributions.
+
+    With ``by`` each group is compared on its own; groups with a missing key and columns without values on either
+    side are left out.
     """
+    keys = [*by, "column"]
+    whole = [F.col(f"`{c}`").isNotNull() for c in by]
+    melted = melt_numeric(reference, columns, by).withColumn("side", F.lit(0)).unionByName(melt_numeric(current, columns, by).withColumn("side", F.lit(1)))
+    for known in whole:
+        melted = melted.where(known)
     both = durable(
-        melt_numeric(reference, columns).withColumn("side", F.lit(0))
-        .unionByName(melt_numeric(current, columns).withColumn("side", F.lit(1)))
-        .groupBy("column", "value")
-        .agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
+        melted.groupBy(*keys, "value").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
     )
-    steps = running_totals(both, ["column"], ["value"], {"upto_r": F.col("r"), "upto_c": F.col("c")})
-    sizes = both.groupBy("column").agg(F.sum("r").alias("n_reference"), F.sum("c").alias("n_current"))
+    steps = running_totals(both, keys, ["value"], {"upto_r": F.col("r"), "upto_c": F.col("c")})
+    sizes = both.groupBy(*keys).agg(F.sum("r").alias("n_reference"), F.sum("c").alias("n_current"))
     gap = F.abs(F.col("upto_r") / F.col("n_reference") - F.col("upto_c") / F.col("n_current"))
     return (
-        steps.join(sizes.where("n_reference > 0 AND n_current > 0"), "column")
-        .groupBy("column", "n_reference", "n_current")
+        steps.join(sizes.where("n_reference > 0 AND n_current > 0"), keys)
+        .groupBy(*keys, "n_reference", "n_current")
         .agg(F.max(gap).alias("distance"))
     )

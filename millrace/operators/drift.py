@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions.values import is_numeric
-from millrace.operators.distribution import kolmogorov_tail, two_sample_distance
+from millrace.operators.distribution import EXACT_UPTO, two_sample_distance, two_sample_tail
 from millrace.operators.evaluate import higher_is_better
 
 # Significance, tolerance and the number of signals that trigger retraining.
@@ -17,22 +17,22 @@ MIN_DRIFTED, MIN_DEGRADED = 1, 1
 
 
 def feature_drift(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None, threshold: float = DRIFT_P
+    reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None, threshold: float = DRIFT_P,
+    by: Sequence[str] = (), exact_upto: int = EXACT_UPTO,
 ) -> DataFrame:
-    """(column, n_reference, n_current, distance, p_value, drifted) for shared numeric columns.
+    """(by..., column, n_reference, n_current, distance, p_value, drifted) for shared numeric columns.
 
-    The p-value is asymptotic with a small-sample correction. Near the threshold on small samples
-    it can differ from an exact test.
+    The p-value is exact while both sides have at most ``exact_upto`` values; beyond, it is asymptotic with a
+    correction for the size. With ``by`` every group of rows is compared on its own.
     """
     right = {f.name: f.dataType for f in current.schema.fields}
-    shared = [f.name for f in reference.schema.fields if is_numeric(f.dataType) and is_numeric(right.get(f.name))]
+    shared = [f.name for f in reference.schema.fields if is_numeric(f.dataType) and is_numeric(right.get(f.name)) and f.name not in by]
     chosen = [c for c in shared if columns is None or c in columns]
     if not chosen:
         raise ValueError("No shared numeric column to compare.")
-    gaps = two_sample_distance(reference, current, chosen)
-    return gaps.withColumn("p_value", kolmogorov_tail(F.col("distance"), F.col("n_reference"), F.col("n_current"))).withColumn(
-        "drifted", F.col("p_value") < threshold
-    )
+    gaps = two_sample_distance(reference, current, chosen, by)
+    tail = two_sample_tail(F.col("distance"), F.col("n_reference"), F.col("n_current"), exact_upto)
+    return gaps.withColumn("p_value", tail).withColumn("drifted", F.col("p_value") < threshold)
 
 
 def prediction_drift(reference: DataFrame, current: DataFrame, prediction: str = "prediction", threshold: float = DRIFT_P) -> DataFrame:

@@ -127,16 +127,33 @@ def _gap_sql(column: str) -> str:
 
 
 _GAPS = "g AS (" + " UNION ALL ".join(_gap_sql(c) for c in _WATCHED) + ")"
-_TAIL = """t AS (SELECT *, (sqrt(n_reference * n_current / (n_reference + n_current)) + 0.12
-      + 0.11 / sqrt(n_reference * n_current / (n_reference + n_current))) * distance AS lam FROM g),
-    p AS (SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101),
+#: Samples of up to 10,000 values: chance that a random order of both samples lies as far apart, step by step.
+_EXACT = """x AS (SELECT *, CAST(n_reference AS BIGINT) AS n, CAST(n_current AS BIGINT) AS m, CAST(round(distance * n_reference * n_current) AS BIGINT) AS h
+      FROM g WHERE greatest(n_reference, n_current) <= 10000),
+    w AS (SELECT {key}, n, m, h, CAST(0 AS BIGINT) AS t, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS v, CAST(0 AS DOUBLE) AS gone FROM x
+      UNION ALL
+      SELECT {key}, n, m, h, t + 1, list_transform(range(0, n + 1), lambda i: CASE WHEN abs(i * m - (t + 1 - i) * n) < h THEN u[i + 1] ELSE 0.0 END),
+        gone + list_sum(list_transform(range(0, n + 1), lambda i: CASE WHEN abs(i * m - (t + 1 - i) * n) < h THEN 0.0 ELSE u[i + 1] END)) FROM (
+          SELECT *, list_transform(range(0, n + 1), lambda i: v[i + 1] * (m - t + i) / (n + m - t) + CASE WHEN i > 0 THEN v[i] * (n - i + 1) / (n + m - t) ELSE 0.0 END) AS u
+          FROM w WHERE t < n + m)),
+    e AS (SELECT {key}, CASE WHEN h <= 0 THEN 1.0 ELSE least(1.0, gone) END AS exact FROM w WHERE t = n + m)"""
+
+
+def _tail_sql(key: str = '"column"') -> str:
+    return _EXACT.format(key=key) + f""",
+    t AS (SELECT *, (sqrt(n_reference * n_current / (n_reference + n_current)) + 0.12
+      + 0.11 / sqrt(n_reference * n_current / (n_reference + n_current))) * distance AS lam FROM g LEFT JOIN e USING ({key})),
+    p AS (SELECT *, CASE WHEN exact IS NOT NULL THEN exact WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101),
       lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * lam * lam))))) END AS p_value FROM t)"""
 
 
+_TAIL = _tail_sql()
+
+
 @query(
     "drift_features",
     "DR-1",
-    f"""WITH {_GAPS}, {_TAIL} SELECT "column", CAST(n_reference AS BIGINT) AS n_reference, CAST(n_current AS BIGINT) AS n_current,
+    f"""WITH RECURSIVE {_GAPS}, {_TAIL} SELECT "column", CAST(n_reference AS BIGINT) AS n_reference, CAST(n_current AS BIGINT) AS n_current,
         round(distance, 9) AS distance, round(p_value, 6) AS p_value, p_value < 0.05 AS drifted FROM p""",
 )
 def drift_features(spark, sf_dir):
@@ -147,7 +164,7 @@ def drift_features(spark, sf_dir):
 @query(
     "drift_predictions",
     "DR-2",
-    f"""WITH g AS ({_gap_sql('l_extendedprice')}), {_TAIL} SELECT round(distance, 9) AS distance, round(p_value, 6) AS p_value, p_value < 0.05 AS drifted FROM p""",
+    f"""WITH RECURSIVE g AS ({_gap_sql('l_extendedprice')}), {_TAIL} SELECT round(distance, 9) AS distance, round(p_value, 6) AS p_value, p_value < 0.05 AS drifted FROM p""",
 )
 def drift_predictions(spark, sf_dir):
     before, after = (p.select(F.col("l_extendedprice").alias("prediction")) for p in _periods(spark, sf_dir))
@@ -155,6 +172,27 @@ def drift_predictions(spark, sf_dir):
     return found.withColumns({"distance": F.round("distance", 9), "p_value": F.round("p_value", 6)})
 
 
+_USER_GAPS = """g AS (SELECT user_id, event_type, max(n_reference) AS n_reference, max(n_current) AS n_current, max(abs(r / n_reference - c / n_current)) AS distance FROM (
+      SELECT user_id, event_type, sum(a) OVER k AS r, sum(b) OVER k AS c, sum(a) OVER (PARTITION BY user_id, event_type) AS n_reference, sum(b) OVER (PARTITION BY user_id, event_type) AS n_current FROM (
+        SELECT user_id, event_type, value, count(*) FILTER (half = 0) AS a, count(*) FILTER (half = 1) AS b FROM (
+          SELECT user_id, event_type, value, event_id % 2 AS half FROM events WHERE value IS NOT NULL) GROUP BY ALL)
+      WINDOW k AS (PARTITION BY user_id, event_type ORDER BY value)) WHERE n_reference > 0 AND n_current > 0 GROUP BY 1, 2)"""
+
+
+@query(
+    "drift_small_samples",
+    "DR-1",
+    f"""WITH RECURSIVE {_USER_GAPS}, {_tail_sql("user_id, event_type")} SELECT user_id, event_type, CAST(n_reference AS BIGINT) AS n_reference, CAST(n_current AS BIGINT) AS n_current,
+        round(distance, 9) AS distance, round(p_value, 9) AS p_value, p_value < 0.05 AS drifted FROM p""",
+)
+def drift_small_samples(spark, sf_dir):
+    """Every user's values of an event type, events with an even number against the others: few values each, exact test."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    halves = (events.where(F.col("event_id") % 2 == rest).drop("event_id") for rest in (0, 1))
+    found = D.feature_drift(*halves, columns=["value"], by=["user_id", "event_type"]).drop("column")
+    return found.withColumns({"distance": F.round("distance", 9), "p_value": F.round("p_value", 9)})
+
+
 def _period_metrics(spark, sf_dir):
     """Forecast quality per period, the later one with a worse forecast."""
     lines = table(spark, sf_dir, "lineitem").select("l_shipdate", F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("p"))
@@ -186,7 +224,7 @@ def drift_degradation(spark, sf_dir):
 @query(
     "drift_summary",
     "DR-4 DR-5",
-    f"""WITH {_DEGRADED}, {_GAPS}, {_TAIL} SELECT (SELECT count(*) FROM p WHERE p_value < 0.05) AS drifted_features,
+    f"""WITH RECURSIVE {_DEGRADED}, {_GAPS}, {_TAIL} SELECT (SELECT count(*) FROM p WHERE p_value < 0.05) AS drifted_features,
         (SELECT count(*) FROM d WHERE degraded) AS degraded_metrics,
         (SELECT count(*) FROM p WHERE p_value < 0.05) >= 1 OR (SELECT count(*) FROM d WHERE degraded) >= 1 AS retrain_recommended""",
 )
@@ -197,7 +235,7 @@ def drift_summary(spark, sf_dir):
 @query(
     "drift_signal_metrics",
     "DR-6",
-    f"""WITH {_DEGRADED}, {_GAPS}, {_TAIL} SELECT 'monitoring_drift_' || "column" AS metric, CAST(p_value < 0.05 AS INTEGER) AS value FROM p
+    f"""WITH RECURSIVE {_DEGRADED}, {_GAPS}, {_TAIL} SELECT 'monitoring_drift_' || "column" AS metric, CAST(p_value < 0.05 AS INTEGER) AS value FROM p
         UNION ALL SELECT 'monitoring_degraded_' || metric, CAST(degraded AS INTEGER) FROM d""",
 )
 def drift_signal_metrics(spark, sf_dir):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators.sqlmode import lineage_row, run_sql
+from millrace.operators.intervals import overlap_join
 from millrace.operators.ordered import carry_last, running_totals
 from millrace.plans.registry import query, table
 
@@ -111,6 +112,52 @@ def sql_range_overlap(spark, sf_dir):
     )
 
 
+_OPEN = """SELECT o_custkey, o_orderkey, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL"""
+
+
+@query(
+    "sql_overlap_pairs",
+    "SQL-13",
+    f"""
+    WITH spans AS ({_OPEN})
+    SELECT a.o_custkey, a.o_orderkey AS order_a, b.o_orderkey AS order_b, greatest(a.first_ship, b.first_ship) AS shared_from, least(a.last_ship, b.last_ship) AS shared_to
+    FROM spans a JOIN spans b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.first_ship <= b.last_ship AND b.first_ship <= a.last_ship
+    """,
+)
+def sql_overlap_pairs(spark, sf_dir):
+    """All pairs of a customer's orders that were shipped over a common time."""
+    spans = run_sql(
+        _OPEN.replace("FROM orders JOIN lineitem", "FROM source_dataset JOIN secondary_dataset"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    )
+    sides = [spans.withColumnsRenamed({"o_orderkey": f"order_{n}", "first_ship": f"from_{n}", "last_ship": f"to_{n}"}) for n in "ab"]
+    pairs = overlap_join(*sides, ("from_a", "to_a"), ("from_b", "to_b"), ["o_custkey"])
+    return pairs.where("order_a < order_b").select(
+        "o_custkey", "order_a", "order_b", F.greatest("from_a", "from_b").alias("shared_from"), F.least("to_a", "to_b").alias("shared_to")
+    )
+
+
+@query(
+    "sql_overlap_counts",
+    "SQL-13",
+    f"""
+    WITH spans AS ({_OPEN}),
+    nations AS (SELECT n_nationkey, min(o_orderdate) AS a, max(o_orderdate) AS z FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1)
+    SELECT n_nationkey, count(*) AS orders_met, min(o_orderkey) AS first_order FROM nations JOIN spans ON first_ship <= z AND a <= last_ship GROUP BY 1
+    """,
+)
+def sql_overlap_counts(spark, sf_dir):
+    """Orders shipped while a nation had pending ones: few long intervals against many short ones, no key in common."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    spans = run_sql(_OPEN.replace("FROM orders JOIN lineitem", "FROM source_dataset JOIN secondary_dataset"), orders, lines)
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey")
+    pending = orders.where("o_orderstatus = 'P'").join(people, "o_custkey").join(nations, "n_nationkey")
+    times = pending.groupBy("n_nationkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("z"))
+    met = overlap_join(times, spans, ("a", "z"), ("first_ship", "last_ship"))
+    return met.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("orders_met"), F.min("o_orderkey").alias("first_order"))
+
+
 @query(
     "sql_as_of",
     "SQL-13",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.plans.registry import query, table
 from millrace.plans.run_queries import _APP, _APP_CLEAN, _UPDATES, app_lines, updates
 from millrace.session import scratch_path
+from millrace.sources.lines import read_lines
 from millrace.streaming import streams as T
 
 
@@ -22,20 +23,37 @@ def stream_redacted_log(spark, sf_dir):
     return spark.read.parquet(out).groupBy("message", "logger").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "source_line_offsets",
+    "STR-1 LOG-1",
+    f"WITH {_APP} SELECT count(*) AS lines, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes, count(*) AS in_place FROM a",
+)
+def source_line_offsets(spark, sf_dir):
+    """Lines of log files with the bytes at which they start; those are in place that start where the line before ends."""
+    drop = scratch_path(spark, "offset-in")
+    app_lines(spark, sf_dir).repartitionByRange(6, "offset").select("value").write.text(drop)
+    rows = read_lines(spark, drop).withColumn("size", F.octet_length("value") + 1)
+    ends = rows.select("file", (F.col("offset") + F.col("size")).alias("offset"), F.lit(True).alias("follows"))
+    placed = rows.join(ends, ["file", "offset"], "left")
+    return placed.agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("size").cast("bigint").alias("bytes"), F.count_if((F.col("offset") == 0) | F.col("follows")).alias("in_place")
+    )
+
+
 @query(
     "stream_run_state",
     "STR-2",
     f"""WITH {_UPDATES} SELECT run_id, arg_max(status, (ts, seq)) FILTER (WHERE status IS NOT NULL) AS status, arg_max(stage, (ts, seq)) FILTER (WHERE stage IS NOT NULL) AS stage,
-        count(message) AS event_count FROM w GROUP BY run_id""",
+        count(message) AS event_count, arg_max(k, (ts, seq)) AS k FROM w GROUP BY run_id""",
 )
 def stream_run_state(spark, sf_dir):
     """Updates arrive in two drops; the state is carried from the first to the second."""
     drop, out, mark = (scratch_path(spark, n) for n in ("state-in", "state-out", "state-mark"))
-    rows = updates(spark, sf_dir).drop("metrics").withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    rows = updates(spark, sf_dir).withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     for part in (0, 1):
         rows.where(F.col("seq") % 2 == part).repartition(3).write.mode("append").json(drop)
         T.run_state_stream(spark, drop, out, mark).awaitTermination()
-    return T.current_states(spark, out).select("run_id", "status", "stage", "event_count")
+    return T.current_states(spark, out).select("run_id", "status", "stage", "event_count", F.element_at("metrics", "k").alias("k"))
 
 
 @query(

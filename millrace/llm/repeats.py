@@ -31,6 +31,7 @@ from millrace.llm.textbytes import GOLDEN, byte_values, byte_view, mix
 
 SEED = 64
 BUCKET = 10_000
+CONTEXT_BYTES = 16 << 20  # different bytes of anchors that a task holds before it sends them on
 WINDOW = 1 << 19  # bytes hashed at once
 BASE = GOLDEN
 
@@ -220,31 +221,41 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(undecided: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Undecided anchors with the bytes of all stretches they own, before (reversed) and from the seed."""
+    """Undecided anchors with the bytes of all stretches they own, before (reversed) and from the seed.
+
+    Anchors of a batch with equal bytes are one row, with the lists of their owners.
+    """
     # A set: each of several equal rows then yields every anchor once, which is its true multiplicity.
     wanted = undecided.groupBy("d", "h").agg(F.collect_set(F.struct("at", "low", "high", "seed", "n")).alias("w"))
     texts = docs.join(wanted.hint("merge"), ["d", "h"]).select("d", "h", "t", "w")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners: dict[tuple, tuple[list, list, list]] = {}
+        held = 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
             for d, h, t, w in zip(*(batch.column(i) for i in range(4))):
-                body = t.as_py()
+                body, d, h = t.as_py(), d.as_py(), h.as_py()
                 for x in w.as_py():
                     at = x["at"]
-                    for column, value in zip(out, (x["seed"], x["n"], d.as_py(), h.as_py(), at, body[at - x["high"] : at][::-1], body[at : at - x["low"] + length])):
-                        column.append(value)
-                if len(out[0]) > 20_000:
-                    yield _batch(out)
-                    out = [[] for _ in range(7)]
-            yield _batch(out)
+                    row = (x["seed"], x["n"], body[at - x["high"] : at][::-1], body[at : at - x["low"] + length])
+                    own = owners.get(row)
+                    if own is None:
+                        own = owners[row] = ([], [], [])
+                        held += len(row[2]) + len(row[3])
+                    for values, value in zip(own, (d, h, at)):
+                        values.append(value)
+                if held > CONTEXT_BYTES:
+                    yield _context_batch(owners)
+                    owners, held = {}, 0
+        yield _context_batch(owners)
 
-    return texts.mapInArrow(work, "seed long, n long, d long, h long, at long, before binary, after binary")
+    return texts.mapInArrow(work, "seed long, n long, d array<long>, h array<long>, at array<long>, before binary, after binary")
 
 
-def _batch(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["seed", "n", "d", "h", "at", "before", "after"])
+def _context_batch(owners: dict[tuple, tuple[list, list, list]]) -> pa.RecordBatch:
+    columns = [[row[0] for row in owners], [row[1] for row in owners], *([own[i] for own in owners.values()] for i in range(3)), [row[2] for row in owners], [row[3] for row in owners]]
+    kinds = [pa.int64()] * 2 + [pa.list_(pa.int64())] * 3 + [pa.binary()] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["seed", "n", "d", "h", "at", "before", "after"])
 
 
 def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -269,9 +280,9 @@ def bucket_repeats(contexts: DataFrame, length: int) -> DataFrame:
         for group in _bucket_groups(batches):
             for k, (before, after, members) in enumerate(maximal_repeats([r[5] for r in group], [r[6] for r in group], length) if len(group) > 1 else ()):
                 for i in members:
-                    seed, _, d, h, at = group[i][:5]
-                    for column, value in zip(out, (f"{seed & (1 << 64) - 1:016x}.{k}", d, h, at - before, at + after)):
-                        column.append(value)
+                    for d, h, at in zip(*group[i][2:5]):
+                        for column, value in zip(out, (f"{group[i][0] & (1 << 64) - 1:016x}.{k}", d, h, at - before, at + after)):
+                            column.append(value)
                 if len(out[0]) > 20_000:
                     yield _spans_batch(out)
                     out = [[] for _ in range(5)]
@@ -290,13 +301,13 @@ def bucket_spans(contexts: DataFrame, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(4)]
         for group in _bucket_groups(batches):
-            if len(group) < 2:
+            if sum(len(row[2]) for row in group) < 2:
                 continue
             equal: dict[tuple[bytes, bytes], list[int]] = {}
             for i, row in enumerate(group):
                 equal.setdefault(row[5:7], []).append(i)
             texts = list(equal)
-            reach = [(len(x[0]), len(x[1])) if len(own) > 1 else (0, 0) for x, own in equal.items()]
+            reach = [(len(x[0]), len(x[1])) if sum(len(group[i][2]) for i in own) > 1 else (0, 0) for x, own in equal.items()]
             if len(texts) > 1:
                 for before, after, members in maximal_repeats([x[0] for x in texts], [x[1] for x in texts], length):
                     for m in members:
@@ -306,9 +317,9 @@ def bucket_spans(contexts: DataFrame, length: int) -> DataFrame:
             for (before, after), own in zip(reach, equal.values()):
                 if after:
                     for i in own:
-                        _, _, d, h, at = group[i][:5]
-                        for column, value in zip(out, (d, h, at - before, at + after)):
-                            column.append(value)
+                        for d, h, at in zip(*group[i][2:5]):
+                            for column, value in zip(out, (d, h, at - before, at + after)):
+                                column.append(value)
             if len(out[0]) > 20_000:
                 yield _plain_batch(out)
                 out = [[] for _ in range(4)]
@@ -318,7 +329,7 @@ def bucket_spans(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _in_buckets(contexts: DataFrame) -> DataFrame:
-    return contexts.repartition("seed").sortWithinPartitions("seed", "d", "h", "at")
+    return contexts.repartition("seed").sortWithinPartitions("seed", "before", "after")
 
 
 def _plain_batch(out: list[list]) -> pa.RecordBatch:
@@ -338,7 +349,7 @@ def _stretches(before: bytes, after: bytes, length: int) -> np.ndarray:
 
 
 def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """(d, h, start, end) for seeds with too many owners: their stretches meet by hash, one by one.
+    """(d, h, s) for seeds with too many owners: their stretches meet by hash, one by one; s holds spans of a text.
 
     A task settles at once what repeats among its own stretches and passes on one row for each
     different stretch. So a stretch that a third of all texts share arrives once per batch of owners, and
@@ -347,29 +358,35 @@ def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                d, h, place, before, after = (batch.column(k).slice(at, 2_000) for k in range(2, 7))
-                found = [_stretches(x, y, length) for x, y in zip(before.to_pylist(), after.to_pylist())]
+            for low in range(0, batch.num_rows, 2_000):
+                part = batch.slice(low, 2_000)
+                before, after = part.column(5).to_pylist(), part.column(6).to_pylist()
+                found = [_stretches(x, y, length) for x, y in zip(before, after)]
                 sizes = np.array([len(w) for w in found])
                 if not sizes.sum():
                     continue
+                d, h, at = (part.column(k).flatten().to_numpy() for k in (2, 3, 4))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in part.column(2)])])  # where the owners of a row start
                 whole = np.concatenate(found)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                first = place.to_numpy() - np.array([len(x) for x in before.to_pylist()])
-                start = np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner]
-                _, one, back, counts = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-                met = counts[back] > 1
-                # Runs of repeated stretches of one owner.
-                new = met.copy()
-                new[1:] &= ~(met[:-1] & (owner[1:] == owner[:-1]))
-                ends = met.copy()
-                ends[:-1] &= ~(met[1:] & (owner[1:] == owner[:-1]))
-                opened, closed = np.flatnonzero(new), np.flatnonzero(ends)
-                yield _met_batch(d, h, owner[opened], start[opened], start[closed] + length, None, True)
-                yield _met_batch(d, h, owner[one], start[one], start[one] + length, whole[one], met[one])
-
-    # Owners of hot seeds may lie together; dealt by text, every task gets its share.
-    rows = saved(contexts.repartition("d", "h").mapInArrow(settle, "d long, h long, start long, end long, whole long, met boolean"), "stretches")
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes) - np.array([len(x) for x in before])[row]  # from the anchor
+                _, one, back = np.unique(whole, return_index=True, return_inverse=True)
+                met = np.bincount(back, np.diff(ends)[row])[back] > 1  # every owner of a row has its stretches
+                # Runs of repeated stretches of one row, for each of its owners.
+                new, last = met.copy(), met.copy()
+                new[1:] &= ~(met[:-1] & (row[1:] == row[:-1]))
+                last[:-1] &= ~(met[1:] & (row[1:] == row[:-1]))
+                opened, closed = np.flatnonzero(new), np.flatnonzero(last)
+                times = np.diff(ends)[row[opened]]
+                owner = np.repeat(ends[row[opened]] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(opened) else np.zeros(0, np.int64)
+                starts, stops = np.repeat(place[opened], times) + at[owner], np.repeat(place[closed] + length, times) + at[owner]
+                yield _settled_batch(d[owner], h[owner], starts, stops)
+                first = ends[row[one]]
+                yield _stretch_batch(d[first], h[first], place[one] + at[first], length, whole[one], met[one])
+
+    # Owners of hot seeds may lie together; dealt by content, every task gets its share.
+    dealt = contexts.repartition(F.xxhash64("before", "after", "seed"), F.element_at("d", 1))
+    rows = saved(dealt.mapInArrow(settle, "d long, h long, s array<struct<start:long,end:long>>, whole long, met boolean"), "stretches")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -383,20 +400,38 @@ def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
         if rest is not None:
             yield from _met_spans(rest)
 
-    dealt = rows.where("whole IS NOT NULL").repartition("whole").sortWithinPartitions("whole", "d", "h", "start")
-    others = dealt.select("d", "h", "start", "end", "whole", "met").mapInArrow(meet, "d long, h long, start long, end long")
-    return rows.where("whole IS NULL").select("d", "h", "start", "end").union(others)
+    open_rows = rows.where("whole IS NOT NULL").select("d", "h", F.col("s")[0]["start"].alias("start"), F.col("s")[0]["end"].alias("end"), "whole", "met")
+    others = open_rows.repartition("whole").sortWithinPartitions("whole", "d", "h", "start").mapInArrow(meet, "d long, h long, start long, end long")
+    return rows.where("whole IS NULL").select("d", "h", "s").unionAll(_as_lists(others))
+
 
+def _as_lists(spans: DataFrame) -> DataFrame:
+    return spans.select("d", "h", F.array(F.struct("start", "end")).alias("s"))
 
-def _met_batch(d: pa.Array, h: pa.Array, owner: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray | None, met) -> pa.RecordBatch:
-    at = pa.array(owner)
-    hashes = pa.nulls(len(owner), pa.int64()) if whole is None else pa.array(whole)
+
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+
+def _settled_batch(d: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """One row for each text with all its spans."""
+    order = np.lexsort((start, h, d))
+    d, h, start, end = (x[order] for x in (d, h, start, end))
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    first = np.flatnonzero(new)
+    spans = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], fields=list(_SPAN))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)), pa.int32()), spans)
     return pa.RecordBatch.from_arrays(
-        [d.take(at), h.take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64()), hashes, pa.array(np.broadcast_to(met, len(owner)))],
-        ["d", "h", "start", "end", "whole", "met"],
+        [pa.array(d[first], pa.int64()), pa.array(h[first], pa.int64()), lists, pa.nulls(len(first), pa.int64()), pa.array(np.ones(len(first), bool))], ["d", "h", "s", "whole", "met"]
     )
 
 
+def _stretch_batch(d: np.ndarray, h: np.ndarray, start: np.ndarray, length: int, whole: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    spans = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(start + length, pa.int64())], fields=list(_SPAN))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1), pa.int32()), spans)
+    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), lists, pa.array(whole), pa.array(met)], ["d", "h", "s", "whole", "met"])
+
+
 def _met_spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Rows whose hash another row has too; rows that were settled before need no second span."""
     if table.num_rows > 1:
@@ -408,7 +443,7 @@ def _met_spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def repeat_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(spans, contexts): covered spans (d, h, start, end), and the undecided owners with their bytes.
+    """(spans, contexts): lists of covered spans (d, h, s), and the undecided owners with their bytes.
 
     ``bucket_repeats`` of the contexts lists the maximal repeats with all their occurrences.
     """
@@ -417,12 +452,14 @@ def repeat_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text:
     seeds = found.groupBy("seed").agg(
         F.count(F.lit(1)).alias("n"), (F.min("body") == F.max("body")).alias("agree")
     ).where("n > 1")
+    # Written, so that the join has an exchange of its own, in which a hot seed can be split.
+    seeds = saved(seeds, "seeds")
     repeated = saved(found.join(seeds.hint("merge"), "seed").drop("body"), "anchors-met")
     decided = repeated.where("agree").select("d", "h", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + F.lit(length)).alias("end"))
     undecided = repeated.where(~F.col("agree"))
     contexts = saved(_contexts(undecided, named, length), "contexts")
-    spans = decided.union(bucket_spans(contexts.where(F.col("n") <= bucket), length)).union(counted_repeats(contexts.where(F.col("n") > bucket), length))
-    return spans, contexts
+    single = decided.union(bucket_spans(contexts.where(F.col("n") <= bucket), length))
+    return _as_lists(single).unionAll(counted_repeats(contexts.where(F.col("n") > bucket), length)), contexts
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -435,7 +472,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
         *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)],
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(0).cast("bigint")).alias("d"), F.xxhash64(body).alias("h"),
     )
-    per_text = spans.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("s"))
+    per_text = spans.groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
     joined = rows.join(per_text.hint("merge"), ["d", "h"], "left").select(
         *[f"_{i}" for i in range(len(names))], F.coalesce(F.encode(F.col(f"_{names.index(text)}").cast("string"), "UTF-8"), F.lit(b"")).alias("_b"), "s"
     )

@@ -16,8 +16,11 @@ that share a bucket is lost. Two texts at a threshold of 0.8 or more share no bu
 Joins of whole tables are marked as sort-merge joins, so plan and shuffle are the same at every size.
 
 Defined results: texts without words (NULL, empty, white space) have an empty set, link with nothing and
-are their own component. Texts with fewer words than a shingle are one shingle. Rows with one doc_id are
-one document for links; every row is returned. Ties in the choice of representatives go to the smaller id.
+are their own component. Texts with fewer words than a shingle are one shingle. Every row is compared by its
+own text, with or without an id. Rows with one doc_id are one document: what any of its texts links to
+belongs to its component; every row is returned. Rows without an id link others too; a component takes its
+name from those with an id, and without any the name is NULL and its rows are kept. Ties in the choice of
+representatives go to the first row.
 """
 
 from __future__ import annotations
@@ -68,8 +71,9 @@ def minima(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, planes); the last three are NULL for empty sets."""
-    named = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
+    """(doc_id, text_hash, n_shingles, set_key, bands, planes); the last three are NULL for empty sets."""
+    t = F.col(f"`{text}`").cast("string")
+    named = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("text_hash"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,11 +98,11 @@ def signatures(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
                         bands[i], planes[i] = band[j], packed[j]
                 at = slice(part.first, part.first + len(counts))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_key", "bands", "planes"],
+                    [batch.column(0)[at], batch.column(2)[at], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "n_shingles", "set_key", "bands", "planes"],
                 )
 
-    return named.mapInArrow(work, "doc_id long, n_shingles long, set_key binary, bands array<long>, planes array<long>")
+    return named.mapInArrow(work, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, planes array<long>")
 
 
 def estimate(left: Column, right: Column) -> Column:
@@ -246,22 +250,19 @@ def _pairs_of_task(group: pa.Table, percent: int, coarse: float, fine: float) ->
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of ``docs``."""
-    signed = saved(signatures(docs, size, key, text), "signatures")
+    # A set is named by the first row that has it, whatever the ids of its rows.
+    signed = saved(signatures(docs, size, key, text).withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = saved(
         signed.where("set_key IS NOT NULL").groupBy("set_key").agg(
-            F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes")
-        ).where("id IS NOT NULL"),
+            F.min(F.struct("row", "doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least"),
+            F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes"),
+        ).select(F.col("first.row").alias("id"), "*"),
         "classes",
     )
     members = classes.select("id", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("c")).where("k > 1").select("band", "c")
     hits = saved(members.join(shared.hint("merge"), "band"), "buckets")
-    drawn = hits.select(F.col("id").alias("doc_id")).distinct()
-    texts = saved(
-        docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
-        .join(drawn.hint("merge"), "doc_id").dropDuplicates(["doc_id"]),
-        "bucket-texts",
-    )
+    texts = saved(_texts_of(docs, classes.join(hits.select("id").distinct().hint("merge"), "id", "left_semi"), key, text), "bucket-texts")
     slim = classes.select("id", "n", "planes")
     starred = (
         hits.where("c < id").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
@@ -283,14 +284,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     # Components of the first links stand for their members.
     joined = parts.withColumnsRenamed({"id": "i", "part": "p"})
     bridges = (
-        second.join(joined.withColumnsRenamed({"i": "a", "p": "pa"}), "a", "left").join(joined.withColumnsRenamed({"i": "b", "p": "pb"}), "b", "left")
+        second.unionAll(_links_of_ids(signed, classes)).join(joined.withColumnsRenamed({"i": "a", "p": "pa"}), "a", "left").join(joined.withColumnsRenamed({"i": "b", "p": "pb"}), "b", "left")
         .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
     )
     tops = connected_components(bridges).withColumnsRenamed({"id": "_p", "component": "_top"})
     placed = (
-        classes.select("set_key", F.col("id").alias("_id")).join(parts.withColumnsRenamed({"id": "_id", "part": "_part"}), "_id", "left")
-        .withColumn("_p", F.coalesce("_part", "_id")).join(tops, "_p", "left").select("set_key", F.coalesce("_top", "_p").alias("_c"))
+        classes.select("set_key", "least", F.col("id").alias("_id")).join(parts.withColumnsRenamed({"id": "_id", "part": "_part"}), "_id", "left")
+        .withColumn("_p", F.coalesce("_part", "_id")).join(tops, "_p", "left").select("set_key", "least", F.coalesce("_top", "_p").alias("_c"))
     )
+    lowest = placed.groupBy("_c").agg(F.min("least").alias("_name"))
+    placed = placed.join(lowest, "_c").select("set_key", F.col("_name"))
+    name = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("_name"))
     return signed.select("doc_id", "n_shingles", "set_key").join(placed, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"),
+        "doc_id", "n_shingles", name.alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _texts_of(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, t): a text for the number of each class, found by the id and the hash of its first row."""
+    t = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.xxhash64(F.col(f"`{key}`").cast("bigint"), F.xxhash64(t)).alias("_k"), F.xxhash64(t).alias("_h"), t.alias("t"))
+    wanted = classes.select(F.xxhash64("first.doc_id", "first.text_hash").alias("_k"), F.col("first.text_hash").alias("_h"), F.col("id").alias("doc_id"))
+    return rows.join(wanted.hint("merge"), ["_k", "_h"]).select("doc_id", "t").dropDuplicates(["doc_id"])
+
+
+def _links_of_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that meet because one document has texts of both."""
+    several = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi")
+    sets = signed.join(several.select("doc_id", "lo"), "doc_id").where("set_key IS NOT NULL").select("set_key", "lo").distinct()
+    number = classes.select("set_key", "id")
+    return sets.join(number, "set_key").join(number.withColumnsRenamed({"set_key": "lo", "id": "a"}), "lo").where("a <> id").select("a", F.col("id").alias("b"))

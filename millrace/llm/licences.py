@@ -2,17 +2,18 @@
 
 Texts become runs of lower-case words with one separator between them. One automaton holds all notice
 phrases and the words of the identifier tag; it reads each slice once. A tag's expression is read from
-the raw text behind it and evaluated with ``WITH`` before ``AND`` before ``OR``.
+the raw text behind it, to the end of the line or to the first word that cannot belong to it, and evaluated
+with ``WITH`` before ``AND`` before ``OR``.
 
 Defined results: NULL and empty texts have no words, no places, empty label lists and score 0. Overlapping
-places all count. A malformed expression adds no label. Phrases never cross texts. Repeated rows get
-equal results.
+places all count. Of an expression followed by other words its longest valid beginning counts, of any length;
+without one no label is added. Phrases never cross texts. Repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import ahocorasick
 import numpy as np
@@ -47,9 +48,9 @@ TAG = "spdx license identifier"
 # End of the fixed values.
 
 TAG_EVIDENCE, NOTICE_EVIDENCE = 0.9, 0.6
-TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+BEFORE = re.compile(rb"[ \t:]*")
+TOKEN = re.compile(rb"[ \t]*([()]|[A-Za-z0-9](?:[A-Za-z0-9.+:]|-(?!-))*)")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-EXPRESSION_BYTES = 4096
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -62,42 +63,55 @@ def label_of(identifier: str) -> str:
     return re.sub(r"^cc0-.*$", "cc0", re.sub(r"\.0$", "", name))
 
 
+def tokens_at(body: bytes, at: int, stop: int) -> Iterator[str]:
+    """Brackets and words of an expression from a place on; anything else, a line break too, ends it."""
+    while found := TOKEN.match(body, at, stop):
+        at = found.end()
+        yield found.group(1).decode("ascii").rstrip(".:")
+
+
 def parse_expression(text: str) -> list[str] | None:
-    """Reverse Polish form by the shunting-yard rule; None if malformed."""
+    """Reverse Polish form of a whole text by the shunting-yard rule; None if malformed."""
+    tokens = list(tokens_at(text.encode(), 0, len(text.encode())))
+    polish, used = longest_expression(tokens)
+    return polish if used == len(tokens) else None
+
+
+def longest_expression(tokens: Iterable[str]) -> tuple[list[str] | None, int]:
+    """(Reverse Polish form of the longest beginning that is an expression, its tokens); None and 0 without any."""
     out: list[str] = []
     waiting: list[str] = []
-    operand_next = True
-    for token in TOKEN.findall(text):
+    operand_next, depth, used = True, 0, 0
+    whole: tuple[int, list[str]] | None = None  # what the form has after the last valid end
+    for number, token in enumerate(tokens, 1):
         word = token.lower()
         if token == "(":
             if not operand_next:
-                return None
+                break
             waiting.append(token)
+            depth += 1
         elif token == ")":
-            if operand_next:
-                return None
-            while waiting and waiting[-1] != "(":
+            if operand_next or not depth:
+                break
+            while waiting[-1] != "(":
                 out.append(waiting.pop())
-            if not waiting:
-                return None
             waiting.pop()
+            depth -= 1
         elif word in PRECEDENCE:
             if operand_next:
-                return None
+                break
             while waiting and waiting[-1] != "(" and PRECEDENCE[waiting[-1]] >= PRECEDENCE[word]:
                 out.append(waiting.pop())
             waiting.append(word)
             operand_next = True
         else:
             if not operand_next:
-                return None
+                break
             out.append(token)
             operand_next = False
-    while waiting:
-        if waiting[-1] == "(":
-            return None
-        out.append(waiting.pop())
-    return out if out and not operand_next else None
+        if not operand_next and not depth:
+            whole, used = (len(out), waiting[::-1]), number  # at most one operator of each kind waits
+    return (out[: whole[0]] + whole[1], used) if whole else (None, 0)
 
 
 def evaluate(polish: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[set[str], bool]:
@@ -124,13 +138,6 @@ def automaton(base: Mapping[str, str], notices: Mapping[str, str]) -> ahocorasic
     return machine
 
 
-def _expression_behind(data: np.ndarray, at: int, stop: int) -> str:
-    """The rest of the line behind a tag, without the closing marks of a comment."""
-    rest = data[at : min(stop, at + EXPRESSION_BYTES)].tobytes().split(b"\n", 1)[0].decode("utf-8", "replace")
-    rest = rest.lstrip(" \t:")
-    return re.split(r"\*/|-->|[\"'<#;,]", rest, maxsplit=1)[0].strip()
-
-
 def scan_licences(docs: DataFrame, text: str = "text", base: Mapping[str, str] = BASE_PHRASES, notices: Mapping[str, str] = NOTICES, allowed: frozenset[str] = PERMISSIVE) -> DataFrame:
     """The table with n_words, n_base, first_word, last_word, base_labels, labels, score, n_tags, permitted.
 
@@ -174,6 +181,7 @@ def _scan_slice(part, machine, base, notices, allowed) -> list[tuple]:
         joined[at[last] + length[last]] = 10  # texts do not meet
     body = joined.tobytes().decode("latin-1")
     found: dict[int, dict] = {}
+    whole: bytes | None = None
     for end, phrase in machine.iter(body):
         start = end - len(phrase) + 1
         if (start and body[start - 1] not in " \n") or (end + 1 < len(body) and body[end + 1] not in " \n"):
@@ -191,7 +199,9 @@ def _scan_slice(part, machine, base, notices, allowed) -> list[tuple]:
             own["allowed"].append(notices[phrase] in allowed)
             own["notices"] += 1
         if phrase == TAG:
-            polish = parse_expression(_expression_behind(part.data, int(words.end[word + TAG.count(" ")]), int(part.offsets[doc + 1])))
+            whole = part.data.tobytes() if whole is None else whole
+            behind, stop = int(words.end[word + TAG.count(" ")]), int(part.offsets[doc + 1])
+            polish, _ = longest_expression(tokens_at(whole, BEFORE.match(whole, behind, stop).end(), stop))
             if polish:
                 labels, ok = evaluate(polish, allowed)
                 own["labels"] |= labels

@@ -7,7 +7,7 @@ with ``WITH`` before ``AND`` before ``OR``.
 
 Defined results: NULL and empty texts have no words, no places, empty label lists and score 0. Overlapping
 places all count. Of an expression followed by other words its longest valid beginning counts, of any length;
-without one no label is added. Phrases never cross texts. Repeated rows get equal results.
+without one, and where an operator has no right side, no label is added. Phrases never cross texts. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -78,7 +78,10 @@ def parse_expression(text: str) -> list[str] | None:
 
 
 def longest_expression(tokens: Iterable[str]) -> tuple[list[str] | None, int]:
-    """(Reverse Polish form of the longest beginning that is an expression, its tokens); None and 0 without any."""
+    """(Reverse Polish form of the longest beginning that is an expression, its tokens); None and 0 without any.
+
+    Where an operator stands without a right side, the whole is malformed: None.
+    """
     out: list[str] = []
     waiting: list[str] = []
     operand_next, depth, used = True, 0, 0
@@ -99,7 +102,7 @@ def longest_expression(tokens: Iterable[str]) -> tuple[list[str] | None, int]:
             depth -= 1
         elif word in PRECEDENCE:
             if operand_next:
-                break
+                return None, 0
             while waiting and waiting[-1] != "(" and PRECEDENCE[waiting[-1]] >= PRECEDENCE[word]:
                 out.append(waiting.pop())
             waiting.append(word)
@@ -111,7 +114,7 @@ def longest_expression(tokens: Iterable[str]) -> tuple[list[str] | None, int]:
             operand_next = False
         if not operand_next and not depth:
             whole, used = (len(out), waiting[::-1]), number  # at most one operator of each kind waits
-    return (out[: whole[0]] + whole[1], used) if whole else (None, 0)
+    return (out[: whole[0]] + whole[1], used) if whole and not operand_next else (None, 0)
 
 
 def evaluate(polish: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[set[str], bool]:

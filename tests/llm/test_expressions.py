@@ -18,7 +18,8 @@ def labels(spark, text):
     ("// SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND BSD-3-Clause, and so on", "bsd-3-clause,gpl-2,mit", True),
     ("/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */ code", "gpl-2", False),
     ("<!-- SPDX-License-Identifier: Apache-2.0--> MIT", "apache-2", True),
-    ("SPDX-License-Identifier: MIT OR", "mit", True),
+    ("SPDX-License-Identifier: MIT OR", "", None),
+    ("SPDX-License-Identifier: MIT (see the file)", "mit", True),
     ("SPDX-License-Identifier: (MIT", "", None),
     ("SPDX-License-Identifier: MIT.\nGPL-3.0", "mit", True),
     ("SPDX-License-Identifier:\nMIT", "", None),

@@ -34,6 +34,7 @@ REQUIRED_OUTPUTS = {
     "dataset_generation": "csv_text", "model_generation": "joblib_bytes", "registry_object": "registry_payload",
     "training_run": "training_request", "study": "study_request",
 }
+PROFILES = ("dataset_generation", "model_generation", "registry_object", "feature_operations", "training_run", "study")
 GENERIC_TITLES = ("review", "draft", "assistant review")
 DEFAULT_PROMPT = "Create a valid assistant draft."
 SYSTEM_MESSAGE = (
@@ -350,12 +351,25 @@ def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def evaluate_drafts(drafts: DataFrame) -> DataFrame:
-    """Contract checks of drafts: maps of base checks, alignment and quality, and ``passed``."""
+    """Contract checks of drafts: maps of base checks, alignment and quality, and ``passed``.
+
+    A missing or empty registry payload gives way to ``form_payload``. Evidence of dependencies is the list of the
+    provider (``dependencies``), that of the review (``review_dependencies``), or a known execution profile; an empty
+    list gives way to the next. Columns that are absent are missing.
+    """
+    there = {c.lower() for c in drafts.columns}
+
+    def column(name: str, kind: str) -> Column:
+        return F.col(name) if name in there else F.lit(None).cast(kind)
+
     def given(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("")) != ""
 
     kind, title = F.col("draft_type"), F.trim(F.coalesce("title", F.lit("")))
-    payload = F.col("registry_payload")
+    filled = lambda c: F.when(F.size(c) > 0, c)
+    payload = F.coalesce(filled(F.col("registry_payload")), filled(column("form_payload", "map<string,string>")))
+    profile = F.coalesce(F.nullif(column("execution_profile", "string"), F.lit("")), kind)
+    evidence = F.coalesce(filled(F.col("dependencies")), filled(column("review_dependencies", "array<string>"))).isNotNull() | profile.isin(*PROFILES)
     base = {
         "valid_workflow_draft": given("draft_id") & given("draft_type") & given("title"),
         "has_context_pack": given("context_pack_id") & given("context_pack_hash"),
@@ -379,7 +393,7 @@ def evaluate_drafts(drafts: DataFrame) -> DataFrame:
         "output_alignment": base["valid_workflow_draft"] & required,
         "safety_alignment": safe,
         "registry_alignment": (kind != "registry_object") | registry_ok,
-        "dependency_alignment": safe & F.col("dependencies").isNotNull(),
+        "dependency_alignment": safe & evidence,
         "mlflow_alignment": given("model_version") & given("prompt_template_version") & given("context_pack_hash") & given("evaluation_profile"),
     }
     quality = {

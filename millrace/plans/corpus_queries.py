@@ -405,40 +405,43 @@ def drafts(spark, sf_dir):
     kinds = F.array(*[F.lit(k) for k in C.REQUIRED_OUTPUTS])
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", d.cast("string").alias("draft_id"), F.element_at(kinds, (d % 5 + 1).cast("int")).alias("draft_type"),
-        F.substring("text", 1, 30).alias("title"), "text",
+        F.element_at(F.split("text", "\n"), 1).alias("title"), "text",
     )
+    payload = F.create_map(F.lit("name"), F.col("title"), F.lit("object_type"), F.lit("m"), F.lit("path"), F.when(d % 3 == 0, "/p").otherwise(""))
+    listed = F.array(F.lit("numpy"))
     return docs.select(
         "source", "draft_id", "draft_type", "title", F.col("text").alias("summary"),
         F.when(d % 11 != 0, "csv_text joblib_bytes").alias("code"), F.lit("pack").alias("context_pack_id"),
         F.when(d % 13 != 0, F.md5("text")).alias("context_pack_hash"), F.lit("m1").alias("model_version"), F.lit("p1").alias("prompt_template_version"),
         F.lit("e1").alias("evaluation_profile"),
-        F.create_map(F.lit("name"), F.col("title"), F.lit("object_type"), F.lit("m"), F.lit("path"), F.when(d % 3 == 0, "/p").otherwise("")).alias("registry_payload"),
+        F.when(d % 2 == 0, payload).alias("registry_payload"), F.when(d % 2 == 1, payload).alias("form_payload"),
         F.lit("{}").alias("training_request"), F.when(d % 2 == 0, "{}").alias("study_request"),
         F.when(d % 19 != 0, F.array(F.lit("risk"))).alias("risks"), F.lit(None).cast("array<string>").alias("assumptions"),
         F.array(F.lit("submit")).alias("next_actions"), (d % 23 != 0).alias("approved"), (d % 29 != 0).alias("safety_ok"),
-        F.array(F.lit("numpy")).alias("dependencies"),
+        F.when(d % 4 == 0, listed).alias("dependencies"), F.when(d % 4 == 1, listed).alias("review_dependencies"),
+        F.when(d % 4 == 3, "unknown").alias("execution_profile"),
     )
 
 
-_DRAFTS = """d AS (SELECT doc_id, source, substr(text, 1, 30) AS title, text, doc_id % 5 AS k FROM documents),
+_DRAFTS = """d AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS title, text, doc_id % 5 AS k FROM documents),
     c AS (SELECT *, CASE k WHEN 0 THEN doc_id % 11 <> 0 WHEN 1 THEN doc_id % 11 <> 0 WHEN 4 THEN doc_id % 2 = 0 ELSE true END AS req,
       k <> 2 OR doc_id % 3 = 0 AS reg, title <> '' AS titled, length(trim(title)) >= 8 AND lower(trim(title)) NOT IN ('review', 'draft', 'assistant review') AS tq,
       length(trim(text)) >= 24 AS sq FROM d),
-    e AS (SELECT *, titled AND doc_id % 13 <> 0 AND doc_id % 23 <> 0 AND req AND doc_id % 29 <> 0 AND reg AND tq AND sq AND doc_id % 19 <> 0 AS passed FROM c)"""
+    e AS (SELECT *, titled AND doc_id % 13 <> 0 AND doc_id % 23 <> 0 AND req AND doc_id % 29 <> 0 AND doc_id % 4 <> 3 AND reg AND tq AND sq AND doc_id % 19 <> 0 AS passed FROM c)"""
 
 
 @query(
     "corpus_draft_contract",
     "TXT-23",
     f"""WITH {_DRAFTS} SELECT CAST(doc_id AS VARCHAR) AS draft_id, req AS required_outputs, doc_id % 23 <> 0 AS review_approved,
-      titled AND req AS output_alignment, reg AS registry_alignment, doc_id % 13 <> 0 AS mlflow_alignment, tq AS title_quality, sq AS summary_quality,
+      titled AND req AS output_alignment, reg AS registry_alignment, doc_id % 29 <> 0 AND doc_id % 4 <> 3 AS dependency_alignment, doc_id % 13 <> 0 AS mlflow_alignment, tq AS title_quality, sq AS summary_quality,
       doc_id % 19 <> 0 AS risk_or_assumption_quality, passed FROM e""",
 )
 def corpus_draft_contract(spark, sf_dir):
     done = C.evaluate_drafts(drafts(spark, sf_dir))
     return done.select(
         "draft_id", *[F.col("checks")[c].alias(c) for c in ("required_outputs", "review_approved")],
-        *[F.col("alignment_contracts")[c].alias(c) for c in ("output_alignment", "registry_alignment", "mlflow_alignment")],
+        *[F.col("alignment_contracts")[c].alias(c) for c in ("output_alignment", "registry_alignment", "dependency_alignment", "mlflow_alignment")],
         *[F.col("draft_quality")[c].alias(c) for c in ("title_quality", "summary_quality", "risk_or_assumption_quality")], "passed",
     )
 

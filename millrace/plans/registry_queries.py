@@ -54,11 +54,11 @@ def registry_pairs(spark, sf_dir):
     "registry_dependencies",
     "REG-3",
     """SELECT p_partkey AS id, count(l_orderkey) FILTER (WHERE l_returnflag = 'R') AS linked_studies, count(l_orderkey) FILTER (WHERE l_returnflag = 'N') AS linked_inferences,
-       count(l_orderkey) = 0 AS can_delete FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag IN ('R', 'N') AND l_quantity > 40) ON l_partkey = p_partkey GROUP BY p_partkey""",
+       count(l_orderkey) = 0 AS can_delete FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag IN ('R', 'N')) ON l_partkey = p_partkey GROUP BY p_partkey""",
 )
 def registry_dependencies(spark, sf_dir):
-    studies = _links(spark, sf_dir, "l_returnflag = 'R' AND l_quantity > 40")
-    inferences = _links(spark, sf_dir, "l_returnflag = 'N' AND l_quantity > 40")
+    studies = _links(spark, sf_dir, "l_returnflag = 'R'")
+    inferences = _links(spark, sf_dir, "l_returnflag = 'N'")
     return G.dependency_report(_datasets(spark, sf_dir), studies, inferences, "dataset_id")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from millrace.operators import evaluate as E
 from millrace.operators import models as M
 from millrace.operators import prepare as R
+from millrace.operators.networks import fit_network_regressor
 from millrace.plans.registry import query, table
 from millrace.session import durable
 
@@ -143,6 +145,23 @@ def model_network(spark, sf_dir):
     return M.loss_history(spark, M.fit_network(rows, [64, 16, 10]))
 
 
+@query(
+    "model_network_regression",
+    "ML-4",
+    """SELECT 30 AS epochs, true AS loss_falls, true AS beats_line, count(*) AS scored FROM lineitem""",
+)
+def model_network_regression(spark, sf_dir):
+    """A network for the price of a line times its tax: loss per epoch falls, error below that of a straight line; every line is scored."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("label", F.col("l_quantity") * F.col("l_discount") * F.col("l_tax"))
+    ready = durable(VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(lines).select("features", "label"))
+    network, line = fit_network_regressor(ready, (12,), epochs=30, step=0.08), M.fit_regressor(ready, "LinearRegression")
+    losses = network.details["loss"]
+    scored = network.transform(ready).withColumnRenamed("prediction", "p")
+    miss = lambda c: F.avg((F.col("label") - F.col(c)) ** 2)
+    both = line.transform(scored).agg(miss("p").alias("n"), miss("prediction").alias("l"), F.count("p").alias("scored"))
+    return both.select(F.lit(len(losses)).alias("epochs"), F.lit(losses[-1] < losses[0]).alias("loss_falls"), (F.col("n") < F.col("l")).alias("beats_line"), "scored")
+
+
 @query("model_outputs", "ML-8 PREP-8")
 def model_outputs(spark, sf_dir):
     lines = _lines(spark, sf_dir).withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))

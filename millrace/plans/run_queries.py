@@ -166,7 +166,7 @@ def run_compute_target(spark, sf_dir):
     "RUN-9",
     f"""WITH {_RUNS}, c AS (SELECT *, {_RERUN} AS r, status IN ('queued', 'running', 'cancel_requested') AND NOT orphan AS active FROM u)
     SELECT run_id, active AND status IN ('queued', 'running') AS can_pause, false AS can_resume, active OR orphan AS can_cancel, NOT active AND r IN (3, 4) AS can_rerun,
-      CASE WHEN orphan THEN 'The original job is missing; rerun will create a fresh job.' ELSE ['This run type does not support re-run.', 'Editor rerun payload is missing code.',
+      CASE WHEN orphan THEN 'The original RQ job is missing; rerun will create a fresh job.' ELSE ['This run type does not support re-run.', 'Editor rerun payload is missing code.',
        'Assistant rerun payload is missing operation.', 'Payload-backed rerun is available.', 'Training context can be reconstructed.', '',
        'This historical run does not include enough payload to re-run.'][r + 1] END AS rerun_reason FROM c""",
 )

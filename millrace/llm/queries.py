@@ -118,27 +118,28 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, size=3, percent=85)
 
 
-def _labels_sql(names: dict[str, str]) -> str:
-    """Sorted distinct labels of the phrases found in ``x``, words between single blanks."""
-    found = ", ".join(f"CASE WHEN contains(x, ' {p} ') THEN '{label}' END" for p, label in names.items())
-    return f"list_sort(list_distinct(list_filter([{found}], lambda k: k IS NOT NULL)))"
-
+def _places_sql(names: dict[str, str], base: bool) -> str:
+    """(doc_id, pos, label, base) where a phrase's words stand one after another in ``l``."""
+    return " UNION ALL ".join(
+        f"SELECT doc_id, pos, '{label}' AS label, {base} AS base FROM l WHERE " + " AND ".join(f"w{k} = '{word}'" for k, word in enumerate(phrase.split()))
+        for phrase, label in names.items()
+    )
 
-def _places_sql(names: dict[str, str]) -> str:
-    """Word numbers where a phrase starts, of all phrases."""
-    parts = [f"list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1 : i + {len(p.split())}], ' ') = '{p}')" for p in names]
-    return f"flatten([{', '.join(parts)}])"
 
+_MOST_WORDS = max(len(p.split()) for p in (*licences.BASE_PHRASES, *licences.NOTICES))
 
 #: The test table has no identifier tags, so the expressions behind them are left out.
 _OP5_SQL = f"""
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda k: k <> '') AS w FROM documents),
-a AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS x FROM t),
-b AS (SELECT doc_id, len(w) AS n_words, {_places_sql(licences.BASE_PHRASES)} AS p, {_places_sql(licences.NOTICES)} AS q, {_labels_sql(licences.BASE_PHRASES)} AS bl,
-  {_labels_sql(licences.NOTICES)} AS nl FROM a)
-SELECT doc_id, n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, array_to_string(bl, ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(list_concat(bl, nl))), ',') AS labels, 1.0 - CAST(0.4 AS DOUBLE) ** (len(p) + len(q)) AS score, CAST(0 AS BIGINT) AS n_tags,
-  CASE WHEN len(p) + len(q) > 0 THEN len(list_filter(list_concat(bl, nl), lambda k: k NOT IN ({", ".join(f"'{k}'" for k in sorted(licences.PERMISSIVE))}))) = 0 END AS permitted FROM b
+u AS (SELECT doc_id, unnest(w) AS w0, generate_subscripts(w, 1) - 1 AS pos FROM t),
+l AS MATERIALIZED (SELECT *, {", ".join(f"lead(w0, {k}) OVER p AS w{k}" for k in range(1, _MOST_WORDS))} FROM u WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+m AS ({_places_sql(licences.BASE_PHRASES, True)} UNION ALL {_places_sql(licences.NOTICES, False)}),
+g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE base) AS n_base, min(pos) FILTER (WHERE base) AS first_word, max(pos) FILTER (WHERE base) AS last_word,
+  list_sort(list(DISTINCT label) FILTER (WHERE base)) AS bl, list_sort(list(DISTINCT label)) AS al FROM m GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(bl, ','), '') AS base_labels,
+  coalesce(array_to_string(al, ','), '') AS labels, 1.0 - CAST(0.4 AS DOUBLE) ** coalesce(n, 0) AS score, CAST(0 AS BIGINT) AS n_tags,
+  CASE WHEN n > 0 THEN len(list_filter(al, lambda k: k NOT IN ({", ".join(f"'{k}'" for k in sorted(licences.PERMISSIVE))}))) = 0 END AS permitted
+FROM t LEFT JOIN g USING (doc_id)
 """
 
 

@@ -97,9 +97,12 @@ def resources(details: DataFrame, keep: Sequence[str], column: str = "resources"
     """One row per resource; a document without resources keeps one row."""
     rows = details.select(*keep, F.explode_outer(column).alias("_r"))
     found = F.col("_r").isNotNull()
+    own = F.array_contains(F.json_object_keys("_r"), "tamanho")  # a size that is there but empty wins, too
+    size = F.when(own, json_text(F.col("_r"), "$.tamanho")).otherwise(json_text(F.col("_r"), "$.size"))
     return rows.select(
         *keep, *[F.when(found, first_text(F.col("_r"), keys)).alias(f"resource_{n}") for n, keys in PORTAL_RESOURCE.items()],
-        json_text(F.col("_r"), "$.tamanho").try_cast("bigint").alias("resource_size"),
+        size.try_cast("bigint").alias("resource_size"), json_text(F.col("_r"), "$.quantidadeDownloads").try_cast("bigint").alias("resource_download_count"),
+        json_text(F.col("_r"), "$.numOrdem").try_cast("bigint").alias("resource_order"), F.col("_r").alias("resource_raw"),
     )
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions import values as V
 from millrace.operators.distribution import exact_quantiles, most_frequent
+from millrace.operators.profile import column_explorer
+from millrace.session import durable
 
 # Accepted names of operations and types.
 CAST_NAMES = {
@@ -34,6 +36,13 @@ class FeatureResult:
     steps: list[dict[str, Any]] = field(default_factory=list)
 
 
+@dataclass
+class ChangeReport:
+    summary: DataFrame
+    preview: DataFrame
+    explorer: DataFrame
+
+
 def _type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
@@ -361,6 +370,20 @@ def change_summary(before: DataFrame, after: DataFrame, steps: Sequence[Mapping[
     )
 
 
+def change_preview(after: DataFrame, order: Sequence[str], limit: int = PREVIEW_DEFAULT) -> DataFrame:
+    """The first rows of the changed table in ``order``."""
+    return after.orderBy(*order).limit(limit)
+
+
+def change_report(before: DataFrame, made: FeatureResult, order: Sequence[str], limit: int = PREVIEW_DEFAULT) -> ChangeReport:
+    """Shapes and steps, first rows and column explorer of a changed table, each a table of its own.
+
+    The changed table is written once and read by all three.
+    """
+    after = durable(made.frame)
+    return ChangeReport(change_summary(before, after, made.steps), change_preview(after, order, limit), column_explorer(after, order))
+
+
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 from millrace.functions import values as V
 
 # Sizes and thresholds of the profile.
-SAMPLE_ROWS = 5
+SAMPLE_ROWS, PREVIEW_ROWS = 5, 20
 DATETIME_SHARE = 0.8
 FILL_SHARE, IDENTIFIER_SHARE = 0.2, 0.9
 AVAILABLE_EDITS = (
@@ -287,12 +287,22 @@ def feature_statistics(df: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
-def extraction_manifest(df: DataFrame, explorer: DataFrame, dataset_id: int, name: str) -> DataFrame:
-    """One row describing an extracted table and the edits it allows."""
+def preview_rows(df: DataFrame, order: Sequence[str], limit: int = PREVIEW_ROWS) -> DataFrame:
+    """(place, row): the first rows in ``order`` as JSON texts, missing values included."""
+    first = df.orderBy(*order).limit(limit).agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("k"), F.struct(*df.columns).alias("r")))).alias("v"))
+    return first.select(F.posexplode("v").alias("place", "e")).select(
+        (F.col("place") + 1).alias("place"), F.to_json("e.r", {"ignoreNullFields": "false"}).alias("row"))
+
+
+def extraction_manifest(df: DataFrame, explorer: DataFrame, dataset_id: int, name: str, order: Sequence[str]) -> DataFrame:
+    """One row describing an extracted table: shape, columns, the first rows in ``order`` and the edits it allows."""
     words = "_".join("".join(ch.lower() if ch.isalnum() else " " for ch in name).split()) or "artifact"
+    facts = ("column", "dtype", "family", "null_count", "null_ratio", "unique_count", "unique_ratio", "high_cardinality", "mixed_type", "sample_values")
+    preview = preview_rows(df, order).agg(F.array_sort(F.collect_list(F.struct("place", "row")))["row"].alias("v"))
     return explorer.agg(
         F.lit(dataset_id).alias("dataset_id"), F.lit(name).alias("dataset_name"),
         F.lit(f"dataset_{dataset_id}_{words}").alias("table_name"),
         F.max("rows").alias("row_count"), F.count(F.lit(1)).alias("column_count"),
         F.sum("null_count").alias("missing_values"), F.lit(",".join(AVAILABLE_EDITS)).alias("available_edits"),
-    )
+        F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct(*facts).alias("f")))), lambda c: c["f"]).alias("columns"),
+    ).withColumn("preview_rows", preview.scalar())

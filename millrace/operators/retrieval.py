@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions import text as X
 from millrace.functions import vectors as V
 from millrace.operators.corpus import reference_haystack
 from millrace.operators.ordered import positions
+from millrace.operators.profile import table_fingerprint
 
 # ---------------------------------------------------------------------------
 # Dimensions, bounds, weights and word lists of the ranking.
@@ -116,20 +117,40 @@ def triplets(queries: DataFrame, query_key: str, documents: DataFrame, document_
     """Query i with document i mod n as positive and (i + n/2) mod n as negative.
 
     Both sides are numbered without a single-task sort and joined on the number, which every
-    document receives equally often.
+    document receives equally often. Columns that a side lacks count as missing: ``workflow_type`` and ``source_hash`` of
+    queries, ``source_type``, ``content_hash``, ``text`` and ``summary`` of documents.
     """
+    def own(df: DataFrame, name: str) -> Column:
+        return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+
     numbered = positions(documents, [], [document_key], "_p").withColumn("_p", F.col("_p") - 1)
     size = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
     asked = positions(queries, [], [query_key], "_i").withColumn("_i", F.col("_i") - 1)
     half = F.greatest(F.lit(1), F.floor(size / 2))
     spots = asked.withColumns({"_pos": F.col("_i") % size, "_neg": F.when(size > 1, (F.col("_i") + half) % size)})
     label = F.when(F.lower(F.coalesce("label", F.lit("unlabeled"))).isin(*NEGATIVE_LABELS), "negative").otherwise("positive")
-    slim = numbered.select("_p", F.col(document_key).alias("_k"), F.col("text").alias("_x"))
-    good = slim.select(F.col("_p").alias("_pos"), F.col("_k").alias("positive_id"), F.col("_x").alias("positive_text"))
+    text = F.coalesce(F.nullif(own(documents, "text"), F.lit("")), own(documents, "summary"), F.lit(""))
+    slim = numbered.select("_p", F.col(document_key).alias("_k"), text.alias("_x"), own(documents, "source_type").alias("_s"), own(documents, "content_hash").alias("_h"))
+    good = slim.select(F.col("_p").alias("_pos"), F.col("_k").alias("positive_id"), F.col("_x").alias("positive_text"), "_s", "_h")
     bad = slim.select(F.col("_p").alias("_neg"), F.col("_k").alias("negative_id"), F.col("_x").alias("negative_text"))
-    return spots.withColumn("label", label).join(good, "_pos", "left").join(bad, "_neg", "left").select(
+    spots = spots.select("_pos", "_neg", query_key, "query", label.alias("label"), own(queries, "workflow_type").alias("workflow_type"), own(queries, "source_hash").alias("_q"))
+    return spots.join(good, "_pos", "left").join(bad, "_neg", "left").select(
         query_key, "query", "label", "positive_id", "negative_id",
         F.coalesce("positive_text", F.lit("")).alias("positive_text"), F.coalesce("negative_text", F.lit("")).alias("negative_text"),
+        F.coalesce(F.nullif("_s", F.lit("")), F.lit("assistant_training")).alias("source_type"), "workflow_type",
+        F.array_compact(F.array(F.col("positive_id").cast("string"), F.col("negative_id").cast("string"))).alias("reference_ids"),
+        F.coalesce(F.nullif("_q", F.lit("")), "_h").alias("source_hash"),
+    )
+
+
+def triplet_manifest(examples: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: number, labels and hash of the examples, and the sizes of what they were made from."""
+    counts = examples.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    one = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return table_fingerprint(examples).select(
+        F.lit("prepared").alias("status"), F.current_timestamp().alias("created_at"), F.sha2("fingerprint", 256).alias("examples_hash"),
+        F.col("rows").alias("record_count"), counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("m")).scalar().alias("label_counts"),
+        one(documents).alias("source_document_count"), one(queries).alias("interaction_query_count"), (F.col("rows") > 0).alias("ready_for_fine_tuning"),
     )
 
 

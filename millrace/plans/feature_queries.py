@@ -322,3 +322,35 @@ def feature_change_summary(spark, sf_dir):
         lines, {"drop_columns": ["l_tax"], "filters": [{"column": "l_quantity", "operator": "gt", "value": 30}]}
     )
     return X.change_summary(lines, made.frame, made.steps)
+
+
+_CHANGE = {"drop_columns": ["o_custkey"], "filters": [{"column": "o_totalprice", "operator": "gt", "value": 1000}], "math_operations": [
+    {"column": "o_totalprice", "operator": "divide", "value": 2, "target": "half"}]}
+
+
+def _change_report(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return X.change_report(orders, X.apply_feature_operations(orders, _CHANGE), ["o_orderkey"])
+
+
+@query(
+    "feature_change_preview",
+    "FW-27",
+    "SELECT o_orderkey, o_orderstatus, o_totalprice, o_totalprice / 2 AS half FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderkey LIMIT 20",
+)
+def feature_change_preview(spark, sf_dir):
+    """The first 20 rows of a changed table: the preview of the summary."""
+    return _change_report(spark, sf_dir).preview
+
+
+@query(
+    "feature_change_explorer",
+    "FW-27",
+    """WITH a AS (SELECT *, o_totalprice / 2 AS half FROM orders WHERE o_totalprice > 1000)
+    SELECT 'o_orderkey' AS "column", 'numeric' AS family, count(*) - count(o_orderkey) AS null_count, count(DISTINCT o_orderkey) AS unique_count, count(*) AS rows FROM a
+    UNION ALL SELECT 'o_orderstatus', 'categorical', count(*) - count(o_orderstatus), count(DISTINCT o_orderstatus), count(*) FROM a
+    UNION ALL SELECT 'o_totalprice', 'numeric', count(*) - count(o_totalprice), count(DISTINCT o_totalprice), count(*) FROM a
+    UNION ALL SELECT 'half', 'numeric', count(*) - count(half), count(DISTINCT half), count(*) FROM a""",
+)
+def feature_change_explorer(spark, sf_dir):
+    return _change_report(spark, sf_dir).explorer.select("column", "family", "null_count", "unique_count", "rows")

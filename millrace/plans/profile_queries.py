@@ -209,7 +209,24 @@ def profile_metric_cards(spark, sf_dir):
            max(rows) AS row_count, count(*) AS column_count, CAST(sum(null_count) AS BIGINT) AS missing_values,
            'rename_columns,cast_types,fill_missing_values,drop_columns,filter_rows,sort_by,limit_rows' AS available_edits FROM x""")
 def profile_manifest(spark, sf_dir):
-    return P.extraction_manifest(_view(spark, sf_dir), _explore(spark, sf_dir), 3, "Event Feed")
+    made = P.extraction_manifest(_view(spark, sf_dir), _explore(spark, sf_dir), 3, "Event Feed", ["event_id"])
+    return made.drop("columns", "preview_rows")
+
+
+@query(
+    "profile_manifest_columns",
+    "PROF-13",
+    f"""WITH {_EXPLORER}, p AS (SELECT event_id, event_type FROM v ORDER BY event_id LIMIT 20)
+        SELECT (SELECT string_agg("column" || ':' || dtype || ':' || family || ':' || null_count || ':' || unique_count, ',' ORDER BY position) FROM x) AS columns,
+        (SELECT string_agg(event_id || ':' || coalesce(event_type, '-'), ',' ORDER BY event_id) FROM p) AS preview""",
+)
+def profile_manifest_columns(spark, sf_dir):
+    made = P.extraction_manifest(_view(spark, sf_dir), _explore(spark, sf_dir), 3, "Event Feed", ["event_id"])
+    shown = lambda r: F.concat_ws(":", F.get_json_object(r, "$.event_id"), F.coalesce(F.get_json_object(r, "$.event_type"), F.lit("-")))
+    return made.select(
+        F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["column"], c["dtype"], c["family"], c["null_count"].cast("string"), c["unique_count"].cast("string"))), ",").alias("columns"),
+        F.array_join(F.transform("preview_rows", shown), ",").alias("preview"),
+    )
 
 
 @query(

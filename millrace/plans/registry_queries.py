@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from millrace.operators import catalog as K
 from millrace.operators import profile as P
 from millrace.operators import registry as G
+from millrace.operators import sinks as S
+from millrace.operators import versions
 from millrace.plans.registry import query, table
+from millrace.session import scratch_path
+from millrace.sources import documents as D
 
 
 def _models(spark, sf_dir):
@@ -149,10 +153,7 @@ def registry_history(spark, sf_dir):
     return made.select("o_orderkey", F.array_join("history", "|").alias("history"))
 
 
-@query(
-    "registry_upsert_pairs",
-    "SNK-6",
-    """
+_UPSERTED = """
     WITH p AS (SELECT l_suppkey AS m, l_partkey AS d, sum(l_quantity) AS q, max(l_tax) AS t FROM lineitem GROUP BY 1, 2),
     o AS (SELECT *, m || ':' || d AS name, CASE WHEN d % 2 = 0 THEN '/old' END AS path FROM p WHERE d % 3 <> 0),
     n AS (SELECT *, 'new' AS name, CASE WHEN d % 5 <> 0 THEN '/new' END AS path FROM p WHERE d % 3 <> 1)
@@ -160,9 +161,11 @@ def registry_history(spark, sf_dir):
       CASE WHEN n.m IS NULL THEN 'old' ELSE 'new' END AS status, CASE WHEN o.m IS NOT NULL THEN 'yes' END AS kept,
       CASE WHEN o.m IS NULL THEN 'sync' WHEN n.m IS NULL THEN 'made' ELSE 'made|sync' END AS history
     FROM o FULL JOIN n ON o.m = n.m AND o.d = n.d
-    """,
-)
-def registry_upsert_pairs(spark, sf_dir):
+    """
+
+
+def _pairs(spark, sf_dir):
+    """(stored, incoming) inference pairs from lineitem."""
     d = F.col("dataset_id")
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("learning_model_id"), F.col("l_partkey").alias("dataset_id")).distinct()
     stored = pairs.where(d % 3 != 0).select(
@@ -173,11 +176,28 @@ def registry_upsert_pairs(spark, sf_dir):
         "*", F.lit("new").alias("name"), F.when(d % 5 != 0, "/new").alias("path"), F.lit(2).alias("version"),
         F.create_map(F.lit("status"), F.lit("new")).alias("params"), F.lit("sync").alias("entry"),
     )
-    made = G.upsert_pairs(stored, incoming)
+    return stored, incoming
+
+
+def _shown(made):
     return made.select("learning_model_id", "dataset_id", "name", "path", F.col("params")["status"].alias("status"),
                        F.try_element_at("params", F.lit("kept")).alias("kept"), F.array_join("history", "|").alias("history"))
 
 
+@query("registry_upsert_pairs", "SNK-6", _UPSERTED)
+def registry_upsert_pairs(spark, sf_dir):
+    return _shown(G.upsert_pairs(*_pairs(spark, sf_dir)))
+
+
+@query("sink_upserted_pairs", "SNK-6", _UPSERTED)
+def sink_upserted_pairs(spark, sf_dir):
+    """The same pairs merged into a stored table, and read back from its second version."""
+    root = scratch_path(spark, "pairs")
+    stored, incoming = _pairs(spark, sf_dir)
+    versions.replace_version(stored, root)
+    return _shown(S.upsert_to(root, incoming))
+
+
 def _documents(spark, sf_dir):
     """Portal and generic catalog documents from part."""
     p = F.col("p_partkey")
@@ -206,7 +226,9 @@ def _documents(spark, sf_dir):
        p_brand AS organization, '' AS updated_at FROM part""",
 )
 def catalog_portal_items(spark, sf_dir):
-    return K.portal_items(_documents(spark, sf_dir), "doc").select("external_id", "title", "name", "category", "organization", "updated_at")
+    path = scratch_path(spark, "catalog")
+    _documents(spark, sf_dir).select("doc").write.text(path)
+    return K.portal_items(D.read_catalog(spark, path), "doc").select("external_id", "title", "name", "category", "organization", "updated_at")
 
 
 @query(
@@ -236,6 +258,26 @@ def catalog_details(spark, sf_dir):
     )
 
 
+@query(
+    "catalog_resource_facts",
+    "CAT-3",
+    """SELECT p_partkey, 'r' || p_partkey AS resource_external_id, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS BIGINT) WHEN 1 THEN CAST(p_size + 1 AS BIGINT) END AS resource_size,
+       CAST(p_size * 2 AS BIGINT) AS resource_download_count, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey % 7 AS BIGINT) END AS resource_order FROM part""",
+)
+def catalog_resource_facts(spark, sf_dir):
+    """Sizes under either key; an own size that is null is not replaced by the other key."""
+    p = F.col("p_partkey")
+    text = F.concat(
+        F.lit('{"id":"r'), p.cast("string"), F.lit('",'),
+        F.when(p % 3 == 0, F.concat(F.lit('"tamanho":'), F.col("p_size").cast("string"), F.lit(',"size":-1,')))
+        .when(p % 3 == 1, F.concat(F.lit('"size":'), (F.col("p_size") + 1).cast("string"), F.lit(","))).otherwise(F.lit('"tamanho":null,"size":5,')),
+        F.when(p % 5 != 0, F.concat(F.lit('"numOrdem":'), (p % 7).cast("string"), F.lit(","))).otherwise(F.lit("")),
+        F.lit('"quantidadeDownloads":'), (F.col("p_size") * 2).cast("string"), F.lit("}"),
+    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(text).alias("resources"))
+    return K.resources(rows, ["p_partkey"]).select("p_partkey", "resource_external_id", "resource_size", "resource_download_count", "resource_order")
+
+
 @query(
     "catalog_generic_resources",
     "CAT-2 CAT-3",

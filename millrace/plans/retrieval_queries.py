@@ -126,6 +126,46 @@ def retrieval_triplets(spark, sf_dir):
     return R.triplets(asked, "query_id", docs, "doc_id").select("query_id", "label", "positive_id", "negative_id")
 
 
+_TRIPLET_SIDES = """d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS p, doc_id, source, md5(text) AS h FROM documents),
+    n AS (SELECT count(*) AS n FROM documents),
+    q AS (SELECT row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS i, conv_id * 1000 + turn AS query_id, conv_id, text FROM conversations WHERE role = 'user')"""
+
+
+def _triplets(spark, sf_dir):
+    label = F.when(F.col("conv_id") % 3 == 1, "Rejected").when(F.col("conv_id") % 3 == 2, "positive")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"), label.alias("label"), F.lit("chat").alias("workflow_type"),
+        F.when(F.col("conv_id") % 2 == 0, F.md5("text")).alias("source_hash"),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("source_type"), F.md5("text").alias("content_hash"))
+    return R.triplets(asked, "query_id", docs, "doc_id"), asked, docs
+
+
+@query(
+    "retrieval_triplet_facts",
+    "VEC-6",
+    f"""WITH {_TRIPLET_SIDES}
+    SELECT query_id, CASE WHEN g.doc_id % 4 <> 0 THEN coalesce(g.source, 'assistant_training') ELSE 'assistant_training' END AS source_type, 'chat' AS workflow_type,
+      g.doc_id || ',' || b.doc_id AS reference_ids, CASE WHEN conv_id % 2 = 0 THEN md5(q.text) ELSE g.h END AS source_hash
+    FROM q, n JOIN d g ON g.p = q.i % n.n JOIN d b ON b.p = (q.i + greatest(1, n.n // 2)) % n.n""",
+)
+def retrieval_triplet_facts(spark, sf_dir):
+    made, _, _ = _triplets(spark, sf_dir)
+    return made.select("query_id", "source_type", "workflow_type", F.array_join("reference_ids", ",").alias("reference_ids"), "source_hash")
+
+
+@query(
+    "retrieval_triplet_manifest",
+    "VEC-6",
+    """SELECT 'prepared' AS status, count(*) AS record_count, count(*) FILTER (WHERE conv_id % 3 = 1) AS negatives, count(*) FILTER (WHERE conv_id % 3 <> 1) AS positives,
+       (SELECT count(*) FROM documents) AS source_document_count, count(*) AS interaction_query_count, true AS ready_for_fine_tuning FROM conversations WHERE role = 'user'""",
+)
+def retrieval_triplet_manifest(spark, sf_dir):
+    made = R.triplet_manifest(*_triplets(spark, sf_dir))
+    return made.select("status", "record_count", F.col("label_counts")["negative"].alias("negatives"), F.col("label_counts")["positive"].alias("positives"),
+                       "source_document_count", "interaction_query_count", "ready_for_fine_tuning")
+
+
 @query(
     "retrieval_fallback_queries",
     "VEC-6",

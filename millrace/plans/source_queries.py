@@ -8,6 +8,7 @@ from millrace.operators import features as X
 from millrace.operators import logs as L
 from millrace.operators import retrieval as R
 from millrace.operators import sinks as S
+from millrace.operators import versions
 from millrace.plans.corpus_queries import interaction_records
 from millrace.plans.registry import query, table
 from millrace.plans.run_queries import activity_lines, app_lines
@@ -131,7 +132,13 @@ def source_json_tables(spark, sf_dir):
     """SELECT 'run_' || s_suppkey AS run_id, 'completed' AS status, CAST(s_nationkey AS VARCHAR) AS model_id, 'done ' || s_name AS message FROM supplier""",
 )
 def source_run_ledger(spark, sf_dir):
-    """Run documents of all suppliers and some broken ones, one JSON text per line."""
+    """Run documents of all suppliers and a broken one, one JSON text per line."""
+    path = _ledger(spark, sf_dir)
+    runs = D.read_run_ledger(spark, path, lines=True)
+    return runs.select("run_id", "status", F.col("context")["model_id"].alias("model_id"), F.col("events")[0]["message"].alias("message"))
+
+
+def _ledger(spark, sf_dir):
     path = scratch_path(spark, "ledger")
     doc = F.to_json(F.struct(
         F.concat(F.lit("run_"), F.col("s_suppkey").cast("string")).alias("run_id"), F.lit("completed").alias("status"),
@@ -140,9 +147,16 @@ def source_run_ledger(spark, sf_dir):
     suppliers = table(spark, sf_dir, "supplier")
     suppliers.repartition(4).select(doc.alias("value")).write.text(path)
     suppliers.limit(1).select(F.lit("{broken").alias("value")).write.mode("append").text(path)
-    schema = D.RUN_DOCUMENT
-    runs = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("run_id IS NOT NULL")
-    return runs.select("run_id", "status", F.col("context")["model_id"].alias("model_id"), F.col("events")[0]["message"].alias("message"))
+    return path
+
+
+@query(
+    "source_ledger_counts",
+    "SRC-11",
+    """SELECT count(*) + 1 AS documents, count(*) AS runs, CAST(1 AS BIGINT) AS rejected FROM supplier""",
+)
+def source_ledger_counts(spark, sf_dir):
+    return D.ledger_counts(spark, _ledger(spark, sf_dir), lines=True)
 
 
 @query(
@@ -168,6 +182,12 @@ def source_app_log(spark, sf_dir):
     return entries.groupBy("logger", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _net_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("kept", 1 - F.col("l_discount"))
+    request = {"math_operations": [{"column": "l_extendedprice", "operator": "multiply", "right_column": "kept", "target": "net"}]}
+    return X.apply_feature_operations(lines, request).frame.select("l_orderkey", "l_linenumber", "net", "l_returnflag")
+
+
 @query(
     "sink_feature_view",
     "SNK-1 SRC-14",
@@ -175,13 +195,30 @@ def source_app_log(spark, sf_dir):
        round(sum(l_extendedprice * (1 - l_discount)), 2) AS total FROM lineitem WHERE l_returnflag = 'R'""",
 )
 def sink_feature_view(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").withColumn("kept", 1 - F.col("l_discount"))
-    request = {"math_operations": [{"column": "l_extendedprice", "operator": "multiply", "right_column": "kept", "target": "net"}]}
-    view = X.apply_feature_operations(lines, request).frame.select("l_orderkey", "l_linenumber", "net")
-    target, history = scratch_path(spark, "view"), scratch_path(spark, "history")
-    S.materialise_view(view, "net_lines", target, history, source="lineitem")
-    total = R_.load_registered(spark, target, "assistant_training_dataset").frame.agg(F.round(F.sum("net"), 2).alias("t")).scalar()
-    return spark.read.parquet(history).select("name", "mode", "source", "rows", "columns", F.array_join("features", ",").alias("features"), total.alias("total"))
+    view = _net_lines(spark, sf_dir).where("l_returnflag = 'R'").drop("l_returnflag")
+    row = S.materialise_view(view, "net_lines", scratch_path(spark, "view"), "visual", "lineitem")
+    total = R_.load_registered(spark, row.first()["path"], "assistant_training_dataset").frame.agg(F.round(F.sum("net"), 2).alias("t")).scalar()
+    made = F.col("history")[0]
+    return row.select("name", made["mode"].alias("mode"), made["source_dataset_id"].alias("source"), F.col("shape")[0].alias("rows"),
+                      F.col("shape")[1].cast("int").alias("columns"), F.array_join("features_list", ",").alias("features"), total.alias("total"))
+
+
+@query(
+    "sink_replaced_view",
+    "SNK-1",
+    """SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, CAST(2 AS BIGINT) AS version,
+       (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS rows_before, (SELECT count(*) FROM lineitem) AS rows_now FROM lineitem GROUP BY 1""",
+)
+def sink_replaced_view(spark, sf_dir):
+    """A view of returned lines, replaced by one of all lines; the rows before stay readable under their version."""
+    root, lines = scratch_path(spark, "view"), _net_lines(spark, sf_dir)
+    S.materialise_view(lines.where("l_returnflag = 'R'"), "net_lines", root)
+    S.materialise_view(lines, "net_lines", root)
+    rows = lambda v: versions.history(spark, root).where(F.col("version") == v).select("rows").scalar()
+    newest = versions.history(spark, root).agg(F.max("version").alias("v")).scalar()
+    return versions.read_version(spark, root).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("net"), 2).alias("net")).withColumns(
+        {"version": newest, "rows_before": rows(1), "rows_now": rows(2)}
+    )
 
 
 @query(
@@ -199,6 +236,29 @@ def sink_corpus_export(spark, sf_dir):
     return spark.read.json(manifest).select("record_count", F.col("feature_count").cast("int").alias("feature_count"), "name", prompts.alias("prompts"))
 
 
+@query(
+    "sink_corpus_manifest",
+    "SNK-4",
+    """WITH k AS (SELECT conv_id FROM conversations WHERE conv_id % 17 <> 0 AND conv_id % 13 <> 0 AND role = 'user')
+       SELECT count(*) AS record_count, CAST(16 AS BIGINT) AS feature_count, count(*) AS shape_rows, 16 AS listed, count(*) AS counted,
+       count(DISTINCT conv_id) AS source_file_count, count(DISTINCT conv_id) AS stored_sources, 'assistant_training_dataset' AS dataset_type FROM k""",
+)
+def sink_corpus_manifest(spark, sf_dir):
+    """The corpus with its manifest, each conversation being one source."""
+    rows = C.tabular_rows(interaction_records(spark, sf_dir))
+    kept = table(spark, sf_dir, "conversations").where("conv_id % 17 <> 0 AND conv_id % 13 <> 0 AND role = 'user'")
+    listed = kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("record_count")).select(
+        F.concat(F.lit("conversation://"), F.col("conv_id").cast("string")).alias("path"), F.lit("interaction").alias("source_type"), "record_count")
+    path = scratch_path(spark, "manifest")
+    S.write_manifest(rows, path, {"dataset_type": "assistant_training_dataset"}, listed, "source_type")
+    stored = spark.read.json(f"{path}-sources").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return spark.read.schema("record_count bigint, feature_count bigint, shape array<bigint>, features_list array<string>, record_counts map<string,bigint>, "
+                             "source_file_count bigint, dataset_type string").json(path).select(
+        "record_count", "feature_count", F.col("shape")[0].alias("shape_rows"), F.size("features_list").alias("listed"),
+        F.aggregate(F.map_values("record_counts"), F.lit(0).cast("bigint"), lambda a, n: a + n).alias("counted"), "source_file_count",
+        stored.alias("stored_sources"), "dataset_type")
+
+
 @query("sink_vector_index", "SNK-5 VEC-4")
 def sink_vector_index(spark, sf_dir):
     return S.write_index(R.build_index(sources(spark, sf_dir), 32), scratch_path(spark, "index"))

@@ -54,10 +54,23 @@ def json_tables(df: DataFrame, key: str, json: str) -> DataFrame:
     return staged.select(key, "shape", F.explode_outer(cells).alias("c")).select(key, "shape", "c.row", "c.column", "c.value")
 
 
-def read_run_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per run document; unreadable files are skipped."""
-    schema = T._parse_datatype_string(RUN_DOCUMENT)
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder).where("run_id IS NOT NULL")
+def _ledger_documents(spark: SparkSession, folder: str, lines: bool) -> DataFrame:
+    schema = T._parse_datatype_string(RUN_DOCUMENT + ", _bad string")
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    return reader.option("multiLine", not lines).json(folder)
+
+
+def read_run_ledger(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """One row per run document, from one document a file or, with ``lines``, one a line; unreadable ones are skipped."""
+    return _ledger_documents(spark, folder, lines).where("_bad IS NULL AND run_id IS NOT NULL").drop("_bad")
+
+
+def ledger_counts(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """(documents, runs, rejected): what ``read_run_ledger`` keeps and what it skips."""
+    kept = F.col("_bad").isNull() & F.col("run_id").isNotNull()
+    return _ledger_documents(spark, folder, lines).agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(kept).alias("runs"), F.count_if(~kept).alias("rejected")
+    )
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:

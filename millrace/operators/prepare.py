@@ -20,7 +20,8 @@ TEST_SIZE, SEED = 0.2, 42
 PARSE_SHARE = 0.8
 CLASS_METRICS = ("accuracy", "precision", "recall", "f1")
 REGRESSION_METRICS = ("rmse", "mse", "mae", "r2")
-HASH_RANGES = 1024
+# A split counts hashes by this many bits at a time until a range holds few rows; beyond this many classes it joins by shuffle.
+RANGE_BITS, RANGE_ROWS, BROADCAST_CLASSES = 10, 10_000, 100_000
 
 
 def _c(name: str) -> Column:
@@ -218,26 +219,49 @@ def can_stratify(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def stratified_split(
-    df: DataFrame, label: str, key: Sequence[str], test_size: float = TEST_SIZE, seed: int = SEED, ranges: int = HASH_RANGES
-) -> DataFrame:
-    """Adds ``is_test`` with exactly ceil(test_size * n) test rows in every class.
+def _class_cuts(rows: DataFrame, key: Sequence[str], size: float) -> DataFrame:
+    """(_l, _cut): per class the (hash, key) of its last test row.
 
-    Rows are ranked by hash within (class, hash range), so a class of any size is spread over
-    ``ranges`` tasks; range totals turn the inner rank into the rank within the class.
+    Counts by leading bits of the hash name the one range in which a class reaches its number. That range alone is
+    counted by its next bits, until it holds few rows, which are then put in order. Each count reads class, hash and key only.
     """
-    size = check_test_size(test_size)
-    hashed = df.withColumn("_h", F.xxhash64(*[_c(k) for k in key], F.lit(seed)))
-    hashed = hashed.withColumns({"_g": F.pmod("_h", F.lit(ranges)), "_l": F.coalesce(_c(label).cast("string"), F.lit("\u0000"))})
-    totals = hashed.groupBy("_l", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    names, spark = [f"_k{i}" for i in range(len(key))], rows.sparkSession
+    slim = rows.select("_l", "_h", *[_c(k).alias(n) for k, n in zip(key, names)])
     by_class = Window.partitionBy("_l")
-    before = by_class.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_l", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(by_class).alias("_size")
-    )
-    inner = Window.partitionBy("_l", "_g").orderBy("_h", *[_c(k) for k in key])
-    ranked = hashed.withColumn("_r", F.row_number().over(inner)).join(offsets, ["_l", "_g"])
-    return ranked.withColumn("is_test", F.col("_before") + F.col("_r") <= F.ceil(F.col("_size") * F.lit(size))).select(*df.columns, "is_test")
+    inside, bits = slim.withColumn("_need", F.lit(None).cast("bigint")), 0
+    while True:
+        bits += RANGE_BITS
+        counts = inside.groupBy("_l", F.shiftright("_h", 64 - bits).alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.max("_need").alias("_need"))
+        total = F.coalesce("_need", F.ceil(F.sum("_n").over(by_class) * F.lit(size)))
+        upto = F.sum("_n").over(by_class.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+        placed = counts.withColumns({"_need": total, "_upto": upto})
+        reached = placed.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need")))
+        ranges = durable(reached.select("_l", "_p", "_n", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need")))
+        facts = ranges.agg(F.count(F.lit(1)).alias("classes"), F.coalesce(F.max("_n"), F.lit(0)).alias("largest")).first()
+        few = facts["classes"] <= BROADCAST_CLASSES
+        ranges = ranges.select("_l", "_p", "_need")
+        inside = slim.withColumn("_p", F.shiftright("_h", 64 - bits)).join(F.broadcast(ranges) if few else ranges, ["_l", "_p"])
+        if facts["largest"] <= RANGE_ROWS or bits + RANGE_BITS > 64:
+            break
+    point = F.struct("_h", *names)
+    counts = inside.groupBy("_l", point.alias("_cut")).agg(F.count(F.lit(1)).alias("_n"), F.max("_need").alias("_need"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(by_class.orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)))
+    cuts = durable(upto.where(F.col("_upto") >= F.col("_need")).groupBy("_l").agg(F.min("_cut").alias("_cut")))
+    return F.broadcast(cuts) if few else cuts
+
+
+def stratified_split(df: DataFrame, label: str, key: Sequence[str], test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
+    """Adds ``is_test`` with exactly ceil(test_size * n) test rows in every class, the ones with the smallest hashes.
+
+    ``key`` names each row; rows that share a key lie on one side, so a class with such rows may hold more test rows.
+    One (hash, key) per class decides, found by counting hashes: the table itself is neither shuffled nor sorted while
+    there are at most ``BROADCAST_CLASSES`` classes. Missing labels are a class.
+    """
+    size = check_test_size(test_size)
+    hashed = df.withColumns({"_h": F.xxhash64(*[_c(k) for k in key], F.lit(seed)), "_l": F.coalesce(_c(label).cast("string"), F.lit("\u0000"))})
+    cuts = _class_cuts(hashed, key, size)
+    own = F.struct(F.col("_h"), *[_c(k).alias(f"_k{i}") for i, k in enumerate(key)])
+    return hashed.join(cuts, "_l", "left").select(*[_c(c) for c in df.columns], F.coalesce(own <= F.col("_cut"), F.lit(False)).alias("is_test"))
 
 
 def preflight(

@@ -1,17 +1,18 @@
 """What-if analysis applied to every row of a table at once.
 
-Scenarios and steps come from the request, so they are literals exploded inside each row: no join
-and no shuffle before scoring.
+Scenarios and steps come from the request, so they are literals. Results of scenarios and of sensitivity are worked out
+as further columns of the row, without an explode before scoring, a join or a shuffle.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import values as V
@@ -26,6 +27,9 @@ LATITUDE_NAMES = ("lat", "latitude", "y", "geo_lat", "gps_lat")
 LONGITUDE_NAMES = ("lon", "lng", "longitude", "x", "geo_lon", "gps_lon")
 # ---------------------------------------------------------------------------
 
+# Adds one column of predictions per named point, a point being the features' values.
+Scorer = Callable[[DataFrame, Mapping[str, Mapping[str, Column]]], DataFrame]
+
 
 @dataclass(frozen=True)
 class Scenario:
@@ -124,6 +128,16 @@ def _moved(x: Column, scenario: Scenario, feature: str, fraction: Column) -> Col
     return x * (1 + F.lit(way * value) * fraction)
 
 
+def _at(df: DataFrame, feature: str, scenario: Scenario, fraction: Column) -> Column:
+    """A feature of the row after a fraction of the scenario's steps."""
+    dtype = df.schema[feature].dataType
+    own = feature in scenario.overrides
+    if not V.is_numeric(dtype):
+        return F.lit(scenario.overrides[feature]).cast(dtype) if own else F.col(feature)
+    start = V.as_double(F.lit(scenario.overrides[feature]), None) if own else V.as_double(F.col(feature), dtype)
+    return _moved(start, scenario, feature, fraction)
+
+
 def step_grid(df: DataFrame, features: Sequence[str], scenarios: Sequence[Scenario]) -> DataFrame:
     """Every row × scenario × step with the features moved along the plan. Text stays as it is."""
     plans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s.name).alias("name"), F.lit(s.steps).alias("steps")) for i, s in enumerate(scenarios)])
@@ -136,26 +150,55 @@ def step_grid(df: DataFrame, features: Sequence[str], scenarios: Sequence[Scenar
             out = F.when(F.col("_s.i") == i, values[i]).otherwise(out)
         return out
 
-    new = {}
-    for c in features:
-        dtype = df.schema[c].dataType
-        if V.is_numeric(dtype):
-            start = [V.as_double(F.lit(s.overrides[c]), None) if c in s.overrides else V.as_double(F.col(c), dtype) for s in scenarios]
-            new[c] = pick([_moved(x, s, c, fraction) for x, s in zip(start, scenarios)])
-        else:
-            new[c] = pick([F.lit(s.overrides[c]).cast(dtype) if c in s.overrides else F.col(c) for s in scenarios])
+    new = {c: pick([_at(df, c, s, fraction) for s in scenarios]) for c in features}
     return rows.withColumns(new).withColumn("scenario", F.col("_s.name")).drop("_s")
 
 
-def scenario_results(scored: DataFrame, key: Sequence[str], prediction: str = "prediction") -> DataFrame:
-    """First, final and difference of the prediction per row and scenario.
+def linear_scorer(weights: Mapping[str, float], intercept: float = 0.0) -> Scorer:
+    """Scores as one expression per point."""
+    def score(df: DataFrame, points: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+        return df.withColumns({
+            name: reduce(lambda acc, item: acc + at[item[0]] * F.lit(float(item[1])), weights.items(), F.lit(float(intercept))) for name, at in points.items()
+        })
+
+    return score
 
-    The rows of one group lie in one partition after the explode, so nearly all of the aggregation
-    happens before the shuffle.
+
+def model_scorer(model: Any, inputs: Sequence[str]) -> Scorer:
+    """Predictions of a fitted Spark ML model over numeric ``inputs``, one further column per point in the same pass.
+
+    A point with a missing input gets NULL.
     """
-    return scored.groupBy(*key, "scenario").agg(
-        F.min_by(prediction, "step").alias("first_prediction"), F.max_by(prediction, "step").alias("final_prediction")
-    ).withColumn("delta", F.round(F.col("final_prediction") - F.col("first_prediction"), 6))
+    def score(df: DataFrame, points: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+        out, keep = df, list(df.columns)
+        for name, at in points.items():
+            cells = [at[c].cast("double") for c in inputs]
+            whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in cells])
+            vector = array_to_vector(F.transform(F.array(*cells), lambda x: F.coalesce(x, F.lit(0.0))))
+            one = model.copy({model.getParam("featuresCol"): "_v", model.getParam("predictionCol"): "_p"})
+            scored = one.transform(out.withColumns({"_v": vector, "_whole": whole}))
+            out = scored.select(*keep, F.when(F.col("_whole"), F.col("_p")).alias(name))
+            keep.append(name)
+        return out
+
+    return score
+
+
+def scenario_results(df: DataFrame, features: Sequence[str], scenarios: Sequence[Scenario], score: Scorer, key: Sequence[str]) -> DataFrame:
+    """(key, scenario, first_prediction, final_prediction, delta) of every row and scenario.
+
+    Both ends of a scenario are columns of the row, so nothing is exploded before scoring and nothing is shuffled.
+    """
+    points = {
+        f"_{end}{i}": {c: _at(df, c, s, F.lit(step) / F.lit(s.steps)) for c in features}
+        for i, s in enumerate(scenarios) for end, step in (("first", 1), ("final", s.steps))
+    }
+    ends = F.array(*[
+        F.struct(F.lit(s.name).alias("scenario"), F.col(f"_first{i}").alias("first_prediction"), F.col(f"_final{i}").alias("final_prediction"))
+        for i, s in enumerate(scenarios)
+    ])
+    rows = score(df.select(*dict.fromkeys([*key, *features])), points).select(*key, F.explode(ends).alias("e")).select(*key, "e.*")
+    return rows.withColumn("delta", F.round(F.col("final_prediction") - F.col("first_prediction"), 6))
 
 
 def changed_features(df: DataFrame, values: Mapping[str, Any], key: Sequence[str]) -> DataFrame:
@@ -174,52 +217,42 @@ def changed_features(df: DataFrame, values: Mapping[str, Any], key: Sequence[str
     return df.select(*key, F.explode(F.array_compact(F.array(*entries))).alias("e")).select(*key, "e.*")
 
 
-def applied_drift(base: DataFrame, grid: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """(key, scenario, feature, drift): absolute move of the numeric features at the last step."""
-    chosen = [c for c in features if V.is_numeric(base.schema[c].dataType)]
-    finals = grid.groupBy(*key, "scenario").agg(*[F.max_by(c, "step").alias(f"_f_{c}") for c in chosen])
-    both = finals.join(base.select(*key, *chosen), list(key))
-    moves = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.abs(F.col(f"_f_{c}") - F.col(c)), 6).alias("drift")) for c in chosen])
-    return both.select(*key, "scenario", F.explode(moves).alias("m")).select(*key, "scenario", "m.*")
-
-
-def sensitivity_grid(df: DataFrame, features: Sequence[str], amplitude: float = AMPLITUDE) -> DataFrame:
-    """Every row once per feature and side, that feature scaled by 1 - a or 1 + a."""
+def applied_drift(df: DataFrame, features: Sequence[str], scenarios: Sequence[Scenario], key: Sequence[str]) -> DataFrame:
+    """(key, scenario, feature, drift): absolute move of the numeric features at the last step, worked out in the row."""
     chosen = [c for c in features if V.is_numeric(df.schema[c].dataType)]
-    size = abs(amplitude)
-    sides = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(side).alias("side"), F.lit(factor).alias("factor"))
-        for c in chosen for side, factor in (("lower", 1.0 - size), ("upper", 1.0 + size))
+    moves = F.array(*[
+        F.struct(F.lit(s.name).alias("scenario"), F.lit(c).alias("feature"),
+                 F.round(F.abs(_at(df, c, s, F.lit(1.0)) - V.as_double(F.col(c), df.schema[c].dataType)), 6).alias("drift"))
+        for s in scenarios for c in chosen
     ])
-    rows = df.select("*", F.explode(sides).alias("_p"))
-    moved = {c: F.when(F.col("_p.feature") == c, V.as_double(F.col(c), df.schema[c].dataType) * F.col("_p.factor")).otherwise(V.as_double(F.col(c), df.schema[c].dataType)) for c in chosen}
-    return rows.withColumns(moved).withColumns({"feature": F.col("_p.feature"), "side": F.col("_p.side")}).drop("_p")
+    return df.select(*key, F.explode(moves).alias("m")).select(*key, "m.*")
 
 
-def sensitivity(scored: DataFrame, key: Sequence[str], features: Sequence[str], prediction: str = "prediction") -> DataFrame:
+def sensitivity(df: DataFrame, features: Sequence[str], score: Scorer, key: Sequence[str], amplitude: float = AMPLITUDE) -> DataFrame:
     """(key, rank, feature, lower, upper, impact, absolute_impact), largest impact first per row.
 
-    One aggregate per key holds both sides of the named features.
+    Each numeric feature is scaled by 1 - a and 1 + a while the others stay; both predictions are columns of the row.
+    Features without both predictions are left out.
     """
-    def at(feature: str, side: str) -> Column:
-        return F.max(F.when((F.col("feature") == feature) & (F.col("side") == side), F.col(prediction)))
-
-    parts = [at(c, side).alias(f"_{side}{i}") for i, c in enumerate(features) for side in ("lower", "upper")]
-    impact = lambda i: F.round(F.col(f"_upper{i}") - F.col(f"_lower{i}"), 6)
+    chosen = [c for c in features if V.is_numeric(df.schema[c].dataType)]
+    size = abs(amplitude)
+    value = {c: V.as_double(F.col(c), df.schema[c].dataType) if c in chosen else F.col(c) for c in features}
+    points = {
+        f"_{side}{i}": {**value, c: value[c] * F.lit(factor)}
+        for i, c in enumerate(chosen) for side, factor in (("lower", 1.0 - size), ("upper", 1.0 + size))
+    }
+    impact = lambda i: F.round(F.col(f"_upper{i}") - F.col(f"_lower{i}"), 6)
     entries = F.array(*[
-        F.when(F.col(f"_lower{i}").isNotNull(), F.struct(
+        F.when(F.col(f"_lower{i}").isNotNull() & F.col(f"_upper{i}").isNotNull(), F.struct(
             (-F.abs(impact(i))).alias("k"), F.lit(c).alias("feature"), F.col(f"_lower{i}").alias("lower"), F.col(f"_upper{i}").alias("upper"),
             impact(i).alias("impact"), F.abs(impact(i)).alias("absolute_impact"),
-        )) for i, c in enumerate(features)
+        )) for i, c in enumerate(chosen)
     ])
-    rows = scored.groupBy(*key).agg(*parts).select(*key, F.posexplode(F.array_sort(F.array_compact(entries))).alias("rank", "e"))
+    scored = score(df.select(*dict.fromkeys([*key, *features])), points)
+    rows = scored.select(*key, F.posexplode(F.array_sort(F.array_compact(entries))).alias("rank", "e"))
     return rows.select(*key, (F.col("rank") + 1).alias("rank"), *[f"e.{c}" for c in ("feature", "lower", "upper", "impact", "absolute_impact")])
 
 
-def linear_score(weights: Mapping[str, float], intercept: float = 0.0) -> Column:
-    return reduce(lambda acc, item: acc + F.col(item[0]) * F.lit(float(item[1])), weights.items(), F.lit(float(intercept)))
-
-
 def coordinate_columns(columns: Sequence[str]) -> tuple[str | None, str | None]:
     """(latitude, longitude) columns by name."""
     known = {c.strip().lower(): c for c in columns}

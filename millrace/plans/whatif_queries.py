@@ -31,8 +31,12 @@ _GRID = f"""a AS (SELECT {_LINE}, l_quantity AS q, l_discount AS d, l_tax AS t,
       UNION ALL SELECT line, 'fixed', i, 10.0, d + (1.0 - d) * (i / 3.0), t + 0.5 * (i / 3.0), 'X' FROM a, range(1, 4) r(i))"""
 
 
+def _scenarios():
+    return W.normalise_scenarios(_PAYLOAD, _FEATURES)
+
+
 def _grid(spark, sf_dir):
-    return W.step_grid(_lines(spark, sf_dir), _FEATURES, W.normalise_scenarios(_PAYLOAD, _FEATURES))
+    return W.step_grid(_lines(spark, sf_dir), _FEATURES, _scenarios())
 
 
 @query(
@@ -83,8 +87,7 @@ def whatif_step_grid(spark, sf_dir):
     SELECT line, scenario, round(arg_min(p, step), 4) AS first_prediction, round(arg_max(p, step), 4) AS final_prediction, round(arg_max(p, step) - arg_min(p, step), 4) AS delta FROM s GROUP BY 1, 2""",
 )
 def whatif_scenario_results(spark, sf_dir):
-    scored = _grid(spark, sf_dir).withColumn("prediction", W.linear_score(_WEIGHTS, 100.0))
-    made = W.scenario_results(scored, _KEY)
+    made = W.scenario_results(_lines(spark, sf_dir), _FEATURES, _scenarios(), W.linear_scorer(_WEIGHTS, 100.0), _KEY)
     return made.withColumns({c: F.round(c, 4) for c in ("first_prediction", "final_prediction", "delta")})
 
 
@@ -106,8 +109,7 @@ def whatif_changed_features(spark, sf_dir):
       LATERAL (VALUES ('l_quantity', z.q - a.q), ('l_discount', z.d - a.d), ('l_tax', z.t - a.t)) u(feature, move) GROUP BY 1, 2""",
 )
 def whatif_applied_drift(spark, sf_dir):
-    base = _lines(spark, sf_dir)
-    moved = W.applied_drift(base, _grid(spark, sf_dir), _FEATURES, _KEY)
+    moved = W.applied_drift(_lines(spark, sf_dir), _FEATURES, _scenarios(), _KEY)
     return moved.groupBy("scenario", "feature").agg(F.round(F.sum("drift"), 3).alias("drift"))
 
 
@@ -119,8 +121,7 @@ def whatif_applied_drift(spark, sf_dir):
     SELECT line, feature, impact + 0.0 AS impact, CAST(row_number() OVER (PARTITION BY line ORDER BY abs(impact) DESC, feature) AS INTEGER) AS rank FROM i""",
 )
 def whatif_sensitivity(spark, sf_dir):
-    grid = W.sensitivity_grid(_lines(spark, sf_dir), _FEATURES, 0.1).withColumn("prediction", W.linear_score(_WEIGHTS, 100.0))
-    return W.sensitivity(grid, _KEY, [f for f in _FEATURES if f in _WEIGHTS]).select("line", "feature", (F.round("impact", 4) + 0.0).alias("impact"), "rank")
+    return W.sensitivity(_lines(spark, sf_dir), _FEATURES, W.linear_scorer(_WEIGHTS, 100.0), _KEY, 0.1).select("line", "feature", (F.round("impact", 4) + 0.0).alias("impact"), "rank")
 
 
 @query(

@@ -87,6 +87,37 @@ def test_splits_do_not_depend_on_partitioning(spark):
     assert counts == {"rare": 20, "common": 180}
 
 
+def test_stratified_split_is_exact_at_any_depth(spark, monkeypatch):
+    """Small ranges force several rounds of counting; the result is that of one full sort."""
+    rows = [(i, None if i % 7 == 0 else f"c{min(i % 5, 2)}", i % 11) for i in range(3000)] + [(9000, "alone", 1)]
+    df = spark.createDataFrame(rows, "id long, label string, other int").repartition(6)
+    frame = df.withColumn("h", F.xxhash64("id", F.lit(42))).toPandas()
+    want = {
+        int(i) for _, part in frame.assign(label=frame.label.fillna("none")).groupby("label")
+        for i in part.sort_values(["h", "id"]).head(int(np.ceil(len(part) * 0.2))).id
+    }
+    for few in (10_000, 3):
+        monkeypatch.setattr(R, "RANGE_ROWS", few)
+        for classes in (100_000, 0):
+            monkeypatch.setattr(R, "BROADCAST_CLASSES", classes)
+            assert {r["id"] for r in R.stratified_split(df, "label", ["id"]).where("is_test").collect()} == want
+    assert R.stratified_split(df.limit(0), "label", ["id"]).collect() == []
+
+
+def test_stratified_split_of_repeated_keys(spark):
+    df = spark.createDataFrame([(i // 40, "a") for i in range(4000)], "id long, label string")
+    got = R.stratified_split(df, "label", ["id"]).groupBy("id").agg(F.count_distinct("is_test").alias("n"), F.max("is_test").alias("t")).toPandas()
+    assert (got.n == 1).all() and got.t.sum() == 20
+
+
+def test_stratified_split_moves_no_wide_rows(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    spark.range(200).selectExpr("id", "id % 3 AS label", "repeat('x', 50) AS wide").write.parquet(path)
+    split = R.stratified_split(spark.read.parquet(path), "label", ["id"])
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort" not in plan
+
+
 def test_preflight_guards_against_leaks(spark):
     df = spark.createDataFrame([(1, 2, 0.1, 0.2)], "feature_a long, feature_b long, target_a double, target_b double")
     row = R.preflight(df, ["feature_a", "feature_b", "target_a"], ["target_a", "target_b"]).first()

@@ -5,6 +5,7 @@ Training frames hold a vector column ``features`` and a numeric column ``label``
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -204,15 +205,25 @@ def draw_trials(trials: DataFrame, number: str, space: Mapping[str, Mapping[str,
     return trials.withColumns({name: draw(F.col(number), name, config, seed) for name, config in space.items()})
 
 
+def share_of(df: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """About that share of the rows, drawn by a hash of their cells: larger shares contain smaller ones, on any partitioning."""
+    cells = [vector_to_array(c) if c == "features" else F.col(f"`{c}`") for c in df.columns]
+    return df.where(F.pmod(F.xxhash64(*cells, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+
 def run_search(
     train: DataFrame, test: DataFrame, task: str, trials: int = TRIALS, objective: str | None = None,
-    space: Mapping[str, Mapping[str, Any]] | None = None, seed: int = 42, parallelism: int = 2,
+    space: Mapping[str, Mapping[str, Any]] | None = None, seed: int = 42, parallelism: int = 2, shares: Sequence[float] = (),
 ) -> DataFrame:
-    """(number, estimator_class, params, metric, direction, value, state, error, is_best): random search, one fit per trial.
+    """(number, estimator_class, params, metric, direction, value, state, error, is_best, rounds): random search.
 
     The trial list is short and known; each fit and each evaluation is a distributed job. A trial
     that fails keeps its message and the others go on. If the evaluation lacks the objective, the value is
     the best metric there is by the objective's direction.
+
+    With ``shares`` (rising, below 1) trials are first fitted on these shares of the training rows and of their trees. After
+    each such round the worse half of those still in the race is PRUNED with its last value; of equal ones the higher
+    numbers go. Only trials that went through all rounds are fitted whole, are COMPLETE and can be the best.
     """
     spark = train.sparkSession
     chosen = space or SEARCH_SPACES[task]
@@ -223,27 +234,49 @@ def run_search(
     upward = spark.range(1).select(higher_is_better(F.lit(metric)).alias("up")).first()["up"]
     pick = max if upward else min
 
-    def one(plan: dict[str, Any]) -> tuple[int, str, dict[str, str], float | None, str, str | None]:
+    def kind_of(plan: Mapping[str, Any]) -> str:
+        return plan.get("estimator_class") or ("LinearRegression" if task == "regression" else "LogisticRegression")
+
+    def one(plan: Mapping[str, Any], rows: DataFrame, share: float) -> tuple[float | None, str | None]:
         params = {k: v for k, v in plan.items() if k not in ("number", "estimator_class")}
-        kind = plan.get("estimator_class") or ("LinearRegression" if task == "regression" else "LogisticRegression")
-        text = {k: str(v) for k, v in params.items()}
+        if share < 1 and params.get("n_estimators"):
+            params["n_estimators"] = math.ceil(params["n_estimators"] * share)
         try:
-            scored = fit(train, kind, **params).transform(test)
+            scored = fit(rows, kind_of(plan), **params).transform(test)
             values = {r["metric"]: r["value"] for r in evaluate(scored, "label", "prediction", task).collect()}
         except Exception as error:  # a failed trial is a result of the search
-            return plan["number"], kind, text, None, "FAIL", f"{type(error).__name__}: {error}"
+            return None, f"{type(error).__name__}: {error}"
         known = [v for v in values.values() if v is not None]
-        return plan["number"], kind, text, values.get(metric, pick(known) if known else None), "COMPLETE", None
+        return values.get(metric, pick(known) if known else None), None
 
+    ended: dict[int, tuple[float | None, str, str | None, int]] = {}
+    running = plans
     with ThreadPoolExecutor(parallelism) as pool:
-        done = list(pool.map(one, plans))
-    best = pick((v for *_, v, _, _ in done if v is not None), default=None)
-    winner = next((n for n, _, _, v, _, _ in done if v is not None and v == best), None)
-    rows = [(n, k, p, metric, "maximize" if upward else "minimize", v, s, e, n == winner) for n, k, p, v, s, e in done]
+        for number, share in enumerate([*shares, 1.0], 1):
+            rows = train if share >= 1 else durable(share_of(train, share, seed))
+            results = dict(zip([p["number"] for p in running], pool.map(lambda p: one(p, rows, share), running)))
+            ended.update({n: (None, "FAIL", error, number) for n, (_, error) in results.items() if error})
+            alive = [p for p in running if not results[p["number"]][1]]
+            if share >= 1:
+                ended.update({p["number"]: (results[p["number"]][0], "COMPLETE", None, number) for p in alive})
+                break
+            worst = -math.inf if upward else math.inf
+            place = lambda p: ((-1 if upward else 1) * (worst if results[p["number"]][0] is None else results[p["number"]][0]), p["number"])
+            ranked = sorted(alive, key=place)
+            running = ranked[: -(-len(ranked) // 2)]
+            ended.update({p["number"]: (results[p["number"]][0], "PRUNED", None, number) for p in ranked[len(running):]})
+    complete = {n: v for n, (v, state, _, _) in ended.items() if state == "COMPLETE" and v is not None}
+    best = pick(complete.values(), default=None)
+    winner = min((n for n, v in complete.items() if v == best), default=None)
+    texts = {p["number"]: {k: str(v) for k, v in p.items() if k not in ("number", "estimator_class")} for p in plans}
+    rows = [
+        (p["number"], kind_of(p), texts[p["number"]], metric, "maximize" if upward else "minimize", *ended[p["number"]][:3], p["number"] == winner, ended[p["number"]][3])
+        for p in plans
+    ]
     return spark.createDataFrame(
         rows,
         "number bigint, estimator_class string, params map<string,string>, metric string, direction string, value double, state string, "
-        "error string, is_best boolean",
+        "error string, is_best boolean, rounds int",
     )
 
 

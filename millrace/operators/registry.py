@@ -9,35 +9,40 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.functions import values as V
 
 # ---------------------------------------------------------------------------
-# Other spellings of the type words, by accepted word.
+# Spellings of the type words and the accepted word for each.
 TYPE_ALIASES = {
     "object_type": {
-        "code_model": ("code", "codes"),
-        "inference_model": ("inference", "monitor"),
-        "learning_model": ("model", "models"),
-        "study_model": ("study",),
-        "panel_dashboard": ("panel", "paneldashboard"),
+        "code": "code_model", "codes": "code_model",
+        "inference": "inference_model", "monitor": "inference_model",
+        "model": "learning_model", "models": "learning_model",
+        "study": "study_model",
+        "panel": "panel_dashboard", "paneldashboard": "panel_dashboard",
     },
     "dataset_type": {
-        "dataset": ("csv", "tsv", "json", "parquet", "excel", "xlsx", "xls", "table", "tabular", "dataframe"),
-        "assistant_training_dataset": ("assistant_training", "assistant_dataset", "assistanttrainingdataset"),
-        "numerical_dataset": ("numerical",),
-        "categorical_dataset": ("categorical",),
-        "timeseries_dataset": ("timeseries", "time_series", "time-series"),
-        "image_dataset": ("image",),
-        "videoaudio_dataset": ("video_audio", "video-audio"),
-        "text_dataset": ("text",),
-        "mixed_dataset": ("mixed",),
+        "csv": "dataset", "tsv": "dataset", "json": "dataset", "parquet": "dataset", "excel": "dataset", "xlsx": "dataset",
+        "xls": "dataset", "table": "dataset", "tabular": "dataset", "dataframe": "dataset",
+        "assistant_training": "assistant_training_dataset", "assistant_dataset": "assistant_training_dataset",
+        "assistanttrainingdataset": "assistant_training_dataset",
+        "numerical": "numerical_dataset",
+        "categorical": "categorical_dataset",
+        "timeseries": "timeseries_dataset", "time_series": "timeseries_dataset", "time-series": "timeseries_dataset",
+        "image": "image_dataset",
+        "video_audio": "videoaudio_dataset", "video-audio": "videoaudio_dataset",
+        "text": "text_dataset",
+        "mixed": "mixed_dataset",
     },
     "model_type": {
-        "assistant_model": ("assistant", "assistant_llm", "assistant_slm", "assistant_llm_adapter", "assistant_slm_adapter", "llm", "slm"),
-        "supervised_model": ("supervised",),
-        "unsupervised_model": ("unsupervised",),
-        "reinforcement_model": ("reinforcement",),
-        "deep_learning_model": ("deep", "deep_learning", "deep-learning"),
-        "transformative_model": ("transformer", "transformative"),
-        "generative_model": ("generative",),
-        "learning_model": ("onnx", "sklearn", "torch", "pytorch", "tensorflow"),
+        "assistant": "assistant_model", "assistant_llm": "assistant_model", "assistant_slm": "assistant_model",
+        "assistant_llm_adapter": "assistant_model", "assistant_slm_adapter": "assistant_model", "llm": "assistant_model",
+        "slm": "assistant_model",
+        "supervised": "supervised_model",
+        "unsupervised": "unsupervised_model",
+        "reinforcement": "reinforcement_model",
+        "deep": "deep_learning_model", "deep_learning": "deep_learning_model", "deep-learning": "deep_learning_model",
+        "transformer": "transformative_model", "transformative": "transformative_model",
+        "generative": "generative_model",
+        "onnx": "learning_model", "sklearn": "learning_model", "torch": "learning_model", "pytorch": "learning_model",
+        "tensorflow": "learning_model",
     },
 }
 # ---------------------------------------------------------------------------
@@ -84,10 +89,8 @@ def lookup(entries: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
 def canonical_type(col: Column, key: str) -> Column:
     """The accepted word of a type column; unknown words stay, trimmed and lower case."""
     word = F.lower(F.trim(col))
-    out = word
-    for accepted, others in TYPE_ALIASES[key].items():
-        out = F.when(word.isin(*others), F.lit(accepted)).otherwise(out)
-    return out
+    accepted = F.create_map(*[F.lit(w) for pair in TYPE_ALIASES[key].items() for w in pair])
+    return F.coalesce(F.try_element_at(accepted, word), word)
 
 
 def repair_types(df: DataFrame, column: str, key: str | None = None) -> DataFrame:

@@ -119,17 +119,6 @@ def instant_literal(moment: datetime, dtype: T.DataType) -> Column:
     return F.lit(text).cast(kind)
 
 
-def nested_key(col: Column, dtype: T.DataType) -> Column:
-    """Value usable as a grouping key: nested cells become canonical JSON text."""
-    if isinstance(dtype, T.MapType):
-        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col))))
-    if is_nested(dtype):
-        return F.to_json(col)
-    if isinstance(dtype, T.FractionalType):
-        return finite(col)
-    return col
-
-
 def canonical_scalar(col: Column) -> Column:
     """Text under which equal scalars are equal: ``0``, ``0.0`` and ``"0.0"`` are all ``0``.
 

@@ -172,6 +172,15 @@ def redact_json(col: Column) -> Column:
     return run(col)
 
 
+def redact_json_column(df: DataFrame, column: str, into: str) -> DataFrame:
+    """Adds ``into``, the redacted JSON of a column, and ``into``_unreadable, which marks text that is no JSON.
+
+    Unreadable text is not passed on, since its secrets cannot be told apart; a missing value is not unreadable.
+    """
+    out = df.withColumn(into, redact_json(F.col(f"`{column}`")))
+    return out.withColumn(f"{into}_unreadable", F.col(f"`{column}`").isNotNull() & F.col(f"`{into}`").isNull())
+
+
 def to_record(df: DataFrame, fields: Mapping[str, Column], approved: Column | None = None,
               review_status: Column | None = None, status: Column | None = None) -> DataFrame:
     """The common record layout; fields that a source lacks take the layout's empty values."""

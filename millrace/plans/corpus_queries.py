@@ -71,6 +71,20 @@ def corpus_redact_nested(spark, sf_dir):
     )
 
 
+@query(
+    "corpus_redact_unreadable",
+    "TXT-5",
+    """SELECT event_id, event_id % 5 = 0 AS unreadable, CASE WHEN event_id % 5 NOT IN (0, 1) THEN '[REDACTED]' END AS token FROM events""",
+)
+def corpus_redact_unreadable(spark, sf_dir):
+    """Every fifth text is cut short, every fifth is missing."""
+    whole = F.to_json(F.struct(F.col("event_type").alias("token"), F.col("user_id").alias("who")))
+    m = F.col("event_id") % 5
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(m == 0, F.substring(whole, 1, 9)).when(m > 1, whole).alias("raw"))
+    made = C.redact_json_column(rows, "raw", "clean")
+    return made.select("event_id", F.col("clean_unreadable").alias("unreadable"), F.get_json_object("clean", "$.token").alias("token"))
+
+
 @query(
     "corpus_redact_map",
     "TXT-5",

@@ -170,6 +170,43 @@ def model_outputs(spark, sf_dir):
     return M.predict_outputs(found, ready, ["line"])
 
 
+@query(
+    "model_output_lines",
+    "ML-8 PREP-8",
+    """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b1, regr_intercept(l_extendedprice, l_quantity) AS a1,
+      regr_slope(l_extendedprice * (1 - l_discount), l_quantity) AS b2, regr_intercept(l_extendedprice * (1 - l_discount), l_quantity) AS a2 FROM lineitem)
+    SELECT l_quantity, count(*) AS n, round(a1 + b1 * l_quantity, 3) AS price_prediction, round(a2 + b2 * l_quantity, 3) AS net_prediction
+    FROM lineitem, f GROUP BY l_quantity, a1, b1, a2, b2""",
+)
+def model_output_lines(spark, sf_dir):
+    """Price and net price, a model each, over one input: predictions are those of two straight lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("price"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    ready = durable(R.fit_features(lines, ["l_quantity"]).assemble(lines, keep=["l_quantity", "price", "net"]))
+    found = M.fit_outputs(ready, ["price", "net"], "LinearRegression", "regression")
+    rows = M.predict_outputs(found, ready, ["l_quantity"]).groupBy("l_quantity")
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 3).alias(c) for c in ("price_prediction", "net_prediction")])
+
+
+@query(
+    "model_boosted_classes",
+    "ML-2 ML-5 EV-2",
+    """SELECT least(CAST(floor(l_quantity / 20) AS INTEGER), 2) AS code, count(*) AS n, true AS mostly_right, true AS two_classes_right FROM lineitem GROUP BY 1""",
+)
+def model_boosted_classes(spark, sf_dir):
+    """Gradient boosting, for three classes one against the rest and for two: the ranges of a column are found again."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("code", F.least(F.floor(F.col("l_quantity") / 20), F.lit(2)).cast("int"))
+    made = VectorAssembler(inputCols=["l_quantity", "l_tax"], outputCol="features").transform(lines.withColumn("label", F.col("code").cast("double")))
+    ready = durable(made.select("features", "label", "code"))
+    three = M.fit_classifier(ready, "GradientBoostingClassifier", classes=3, max_depth=2, n_estimators=3)
+    two = M.fit_classifier(ready.withColumn("label", (F.col("code") > 0).cast("double")), "GradientBoostingClassifier", max_depth=2, n_estimators=3)
+    scored = M.predict(three, ready).withColumnRenamed("prediction", "p").drop("rawPrediction", "probability")
+    both = M.predict(two, scored)
+    return both.groupBy("code").agg(
+        F.count(F.lit(1)).alias("n"), (F.avg((F.col("p") == F.col("code")).cast("int")) > 0.8).alias("mostly_right"),
+        (F.avg((F.col("prediction") == (F.col("code") > 0).cast("int")).cast("int")) > 0.8).alias("two_classes_right"),
+    )
+
+
 @query(
     "model_draws",
     "HP-1",

@@ -165,3 +165,22 @@ def test_scenarios(spark):
     df = spark.createDataFrame([(1, 10.0, "t")], "id int, a double, t string")
     grid = W.step_grid(df, ["a", "t"], [W.Scenario("s", steps=2, amplitude=0.5, trend="down")]).orderBy("step").collect()
     assert [(r["a"], r["t"]) for r in grid] == [(7.5, "t"), (5.0, "t")]
+
+
+def test_every_format_has_a_row_of_uses(spark):
+    from millrace.sources import readers as R_
+
+    rows = R_.capability_matrix(spark).collect()
+    assert {r["extension"] for r in rows} == set(R_.FORMATS) and all(r["train"] and r["monitor"] for r in rows)
+
+
+def test_ledger_of_one_document_a_file(spark, tmp_path):
+    from millrace.sources import documents as D
+
+    texts = ['{\n "run_id": "a",\n "status": "running", "context": {"model_id": 4}\n}', '{"run_id": "b"}', '{"run_id": ', "[1]", '{"status": "lost"}']
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(text)
+    got = {r["run_id"]: r for r in D.read_run_ledger(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b"} and got["a"]["context"] == {"model_id": "4"}
+    counts = D.ledger_counts(spark, str(tmp_path)).first()
+    assert (counts["runs"], counts["documents"] - counts["rejected"]) == (2, 2) and counts["rejected"] == 3

@@ -5,6 +5,9 @@ or the left one strictly after the right one's. Each half is a join of points wi
 leaves of about equal row counts. An interval becomes the few tree nodes that cover its whole leaves, and its two end
 leaves, which are compared exactly; a point belongs to its leaf and the nodes above it. A pair meets in one node
 only, so no pair needs to be removed again, and an interval of any length has at most two nodes per level.
+
+The tree is for keys of many rows, and for joins without keys. The rows of a key that has few are compared directly in an
+equality join of the key: every row is sent once, where the tree would send it for each of its nodes.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ from millrace.operators.ordered import default_ranges, range_cuts, range_number
 
 #: Points of one node that meet in a task; a node with more is divided.
 NODE_POINTS = 100_000
+#: Rows of a key, both sides together, that are compared without the tree.
+FEW_ROWS = 1_000
 _EDGE = -1
 
 
 def overlap_join(
     left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], keys: Sequence[str] = (),
-    leaves: int | None = None, node_points: int = NODE_POINTS,
+    leaves: int | None = None, node_points: int = NODE_POINTS, few_rows: int = FEW_ROWS,
 ) -> DataFrame:
     """All pairs of rows with equal ``keys`` whose closed intervals share a point, with the columns of both sides.
 
@@ -37,16 +42,33 @@ def overlap_join(
         whole = df.where(F.col(f"`{start}`") <= F.col(f"`{end}`"))
         for key in keys:
             whole = whole.where(F.col(f"`{key}`").isNotNull())
-        sides.append(whole.select(*[F.col(f"`{k}`") for k in keys], F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys]).alias("_row"),
+        sides.append(whole.select(*[F.col(f"`{k}`") for k in keys], F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(c for c in df.columns if c not in keys)]).alias("_row"),
                                   F.col(f"`{start}`").alias("_from"), F.col(f"`{end}`").alias("_to")))
     a, b = sides
-    cuts = range_cuts(a.select("_from").unionAll(b.select("_from")), [], ["_from"], leaves or 4 * default_ranges(left))
+    # Cells go by their place, so that Spark sends a table that is joined with itself only once.
+    columns = [*keys, *[F.col(f"{side}._{i}").alias(c) for side, df in (("_l", left), ("_r", right)) for i, c in enumerate(c for c in df.columns if c not in keys)]]
+    if not keys:
+        return _tree_pairs(a, b, leaves or 4 * default_ranges(left), keys, node_points).select(*columns)
+    many = a.select(*keys).unionAll(b.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > few_rows).drop("_n")
+    some = not many.isEmpty()
+    # At most one row for each ``few_rows`` rows of the sides.
+    apart = [df.join(F.broadcast(many), list(keys), "left_anti") if some else df for df in (a, b)]
+    first, second = (df.withColumnsRenamed({"_row": side, "_from": f"_from{side}", "_to": f"_to{side}"}) for df, side in zip(apart, ("_l", "_r")))
+    pairs = first.join(second, list(keys)).where("_from_l <= _to_r AND _from_r <= _to_l").select(*columns)
+    if not some:
+        return pairs
+    a, b = (df.join(F.broadcast(many), list(keys), "left_semi") for df in (a, b))
+    return pairs.unionAll(_tree_pairs(a, b, leaves or 4 * default_ranges(left), keys, node_points).select(*columns))
+
+
+def _tree_pairs(a: DataFrame, b: DataFrame, leaves: int, keys: Sequence[str], node_points: int) -> DataFrame:
+    """(keys, _l, _r) of all pairs, met in the nodes of the tree."""
+    cuts = range_cuts(a.select("_from").unionAll(b.select("_from")), [], ["_from"], leaves)
     later = _starts_inside(b, a, cuts, keys, F.col("_point") >= F.col("_from"), node_points)
     earlier = _starts_inside(a, b, cuts, keys, F.col("_point") > F.col("_from"), node_points)
-    pairs = later.select(*keys, F.col("_row").alias("_l"), F.col("_other").alias("_r")).unionAll(
+    return later.select(*keys, F.col("_row").alias("_l"), F.col("_other").alias("_r")).unionAll(
         earlier.select(*keys, F.col("_other").alias("_l"), F.col("_row").alias("_r"))
     )
-    return pairs.select(*keys, *[F.col(f"_l.`{c}`") for c in left.columns if c not in keys], *[F.col(f"_r.`{c}`") for c in right.columns if c not in keys])
 
 
 def _starts_inside(points: DataFrame, spans: DataFrame, cuts: list[tuple], keys: Sequence[str], begun: Column, node_points: int) -> DataFrame:

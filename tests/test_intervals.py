@@ -62,3 +62,27 @@ def test_empty_and_clashing(spark):
     assert overlap_join(a, b, ("s", "e"), ("u", "v")).collect() == [] == overlap_join(b, a, ("u", "v"), ("s", "e")).collect()
     with pytest.raises(ValueError, match="both sides"):
         overlap_join(a, a, ("s", "e"), ("s", "e"))
+
+
+@pytest.mark.parametrize("few_rows", [0, 30, 1_000])
+def test_keys_of_few_and_many_rows(spark, few_rows):
+    """Keys on both sides of the bound give the same pairs as all pairs."""
+    rng = random.Random(9)
+
+    def rows(count):
+        starts = [(i, rng.choice("aaaaabcdefgh"), rng.randint(0, 40)) for i in range(count)]
+        return [(i, g, s, s + rng.choice([-1, 0, 3, 50])) for i, g, s in starts] + [(900, None, 1, 2), (901, "h", None, 5)]
+
+    left, right = rows(90), rows(110)
+    a, b = spark.createDataFrame(left, "i int, g string, s int, e int"), spark.createDataFrame(right, "j int, g string, u int, v int")
+    got = overlap_join(a, b, ("s", "e"), ("u", "v"), ["g"], few_rows=few_rows, node_points=7)
+    assert got.columns == ["g", "i", "s", "e", "j", "u", "v"]
+    assert sorted((r.i, r.j) for r in got.collect()) == pairs(left, right, True)
+
+
+def test_rows_of_small_keys_are_sent_once(spark):
+    """Long intervals of many small keys: no row is repeated for nodes of a tree."""
+    df = spark.range(4000).select((F.col("id") % 400).alias("k"), F.col("id").alias("i"), F.lit(0).alias("s"), (F.col("id") + 1).cast("int").alias("e"))
+    joined = overlap_join(df, df.withColumnsRenamed({"i": "j", "s": "u", "e": "v"}), ("s", "e"), ("u", "v"), ["k"])
+    assert "Generate" not in joined._jdf.queryExecution().toString()
+    assert joined.count() == 400 * 10 * 10

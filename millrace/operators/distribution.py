@@ -95,10 +95,10 @@ def exact_tail(distance: float, n: int, m: int) -> float:
     low, inside, outside = 0, np.ones(1), 0.0
     for step in range(n + m):
         at = np.arange(low, low + len(inside))
-        up = (n - at) / (n + m - step)
+        # Products of whole numbers come first: shares like 1 / 20 keep their last digit and are not taken for less.
         nxt = np.zeros(len(inside) + 1)
-        nxt[:-1] = inside * (1 - up)
-        nxt[1:] += inside * up
+        nxt[:-1] = inside * (m - step + at) / (n + m - step)
+        nxt[1:] += inside * (n - at) / (n + m - step)
         at = np.arange(low, low + len(nxt))
         kept = np.abs(at * m - (step + 1 - at) * n) < far
         outside += float(nxt[~kept].sum())

@@ -80,3 +80,13 @@ def test_groups_of_many_sizes(spark):
         far = max(abs(sum(x <= v for x in a) * len(b) - sum(x <= v for x in b) * len(a)) for v in range(6))
         want = 1.0 if not far else float(counted(far, len(a), len(b)))
         assert got[g].p_value == pytest.approx(want, rel=1e-9) and (got[g].n_reference, got[g].n_current) == (len(a), len(b))
+
+
+@pytest.mark.parametrize(("n", "m", "far"), [(14, 2, 26), (2, 14, 26)])
+def test_probability_at_the_threshold_is_no_drift(spark, n, m, far):
+    """Six of 120 paths: the probability is 0.05 to the last digit, which is not below 0.05."""
+    assert counted(far, n, m) == Fraction(1, 20) and exact_tail(far / (n * m), n, m) == 0.05
+    many, few = [float(v) for v in range(14)], [12.5, 13.5]
+    left, right = (many, few) if n > m else (few, many)
+    row = D.feature_drift(spark.createDataFrame([(v,) for v in left], "x double"), spark.createDataFrame([(v,) for v in right], "x double")).first()
+    assert round(row.distance * n * m) == far and row.p_value == 0.05 and not row.drifted

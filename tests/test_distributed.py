@@ -5,12 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from millrace.operators import drift as D
+from millrace.operators import models as M
 from millrace.operators import ordered as O
 from millrace.operators import prepare as R
 from millrace.operators.distribution import exact_quantiles, kolmogorov_tail, two_sample_distance
+from millrace.session import durable
 
 
 @pytest.fixture(scope="module")
@@ -156,3 +159,25 @@ def test_encoding_is_learnt_once(spark):
     assert part[901].numNonzeros() == 1 and part[902].toArray()[201] == 1.0
     rows = {(r["k"], r["position"]): r["value"] for r in found.entries(other, ["k"]).collect()}
     assert rows == {(k, int(i)): float(v.toArray()[i]) for k, v in part.items() for i in v.toArray().nonzero()[0]}
+
+
+def test_classes_are_sent_to_the_rows(spark, hot):
+    """Rows of a class are never gathered in one task, neither for its code nor for its label."""
+    df = hot[0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coded = R.encode_class(df, "k", "code")
+        scored = coded.select("o", array_to_vector(F.array(F.lit(0.2), F.lit(0.5), F.lit(0.3))).alias("probability"))
+        labels = durable(R.category_codes(df, "k"))
+        shown = M.class_probabilities(scored, "o", labels, top=1)
+        named = df.select(F.concat(F.lit("c"), "k").alias("k"))
+        filled = R.fit_features(named, ["k"]).assemble(named)
+        for joined in (coded, shown, filled):
+            plan = joined._jdf.queryExecution().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        names = sorted(r.k for r in df.select("k").distinct().collect())
+        assert all(r.code == names.index(r.k) for r in coded.collect())
+        assert [tuple(r) for r in shown.groupBy("label", "place", "probability").count().collect()] == [(names[1], 1, 0.5, df.count())]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -44,3 +44,18 @@ def test_missing_label_is_still_an_error(rows):
     odd = rows.withColumn("label", F.when(F.rand(1) > 0.001, F.col("label")))
     with pytest.raises(Exception, match="(?i)null|nan|label"):
         M.fit_regressor(odd, "GradientBoostingRegressor", max_depth=2, n_estimators=2)
+
+
+def test_boosted_classes(rows, read):
+    two = rows.withColumn("label", (F.col("label") > 8).cast("double"))
+    plain = predictions(GBTClassifier(maxDepth=2, maxIter=4, seed=42).fit(two), two)
+    different = two.distinct().count()
+    read.clear()
+    assert predictions(M.fit_classifier(two, "GradientBoostingClassifier", max_depth=2, n_estimators=4), two) == plain
+    assert read == [different]
+
+
+def test_boosted_classes_against_the_rest(rows, read):
+    three = rows.withColumn("label", F.least(F.floor(F.col("label") / 6), F.lit(2)).cast("double"))
+    predictions(M.fit_classifier(three, "GradientBoostingClassifier", classes=3, max_depth=2, n_estimators=2), three)
+    assert read == [three.distinct().count()] * 3

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F, types as T
 
-from millrace.operators import evaluate as E
+from millrace.operators import evaluate as E, networks
 from millrace.operators.networks import _Gradient, fit_network_regressor
 
 SCHEMA = T.StructType().add("features", VectorUDT()).add("label", "double")
@@ -64,3 +64,31 @@ def test_rows_that_cannot_be_used(spark):
         fit_network_regressor(odd, (4,), epochs=1)
     constant = df.withColumn("label", F.lit(7.0))
     assert abs(fit_network_regressor(constant, (4,), epochs=30).transform(constant).agg(F.max("prediction")).first()[0] - 7.0) < 1.0
+
+
+def test_equal_features_are_read_once(spark, monkeypatch):
+    df = frame(spark, 300)
+    copies = df.unionAll(df.withColumn("label", F.col("label") + 3)).unionAll(df.withColumn("label", F.col("label") - 1))
+    kept, plain = [], networks.durable
+    monkeypatch.setattr(networks, "durable", lambda rows: (kept.append(rows.count()), plain(rows))[1])
+    found = fit_network_regressor(copies, (5,), epochs=6)
+    assert kept == [300]
+    pairs = [(r["features"].toArray(), r["label"]) for r in copies.collect()]
+    x, y = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    net = found.model
+    start = np.random.default_rng(42)
+    layers = [(start.normal(0, 1 / np.sqrt(a), (b, a)), np.zeros(b)) for a, b in zip((3, 5), (5, 1))]
+    mean, scale = np.append(x.mean(axis=0), y.mean()), np.append(x.std(axis=0), y.std())
+    assert np.allclose(net.mean, mean[:-1]) and net.label_scale == pytest.approx(scale[-1])
+    assert found.details["loss"][0] == pytest.approx(_Gradient(layers, mean, scale)(x, y)[0] / len(y))
+
+
+def test_written_out_scores_are_the_same(spark, monkeypatch):
+    df = frame(spark, 200).unionAll(spark.createDataFrame([(None, 1.0), (Vectors.dense([1.0, 2.0]), 1.0), (Vectors.dense([1.0, 2.0, 3.0, 4.0]), 1.0)], SCHEMA))
+    found = fit_network_regressor(df.where("label <> 1"), (6, 4), epochs=3)
+    shown = lambda: found.transform(df)
+    written = shown()
+    assert "lambda" not in written._jdf.queryExecution().toString().lower()
+    monkeypatch.setattr(networks, "WRITTEN_OUT", 0)
+    order = lambda out: sorted(str(r["prediction"]) for r in out.collect())
+    assert order(written) == order(shown()) and order(written).count("None") == 3

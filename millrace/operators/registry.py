@@ -153,11 +153,15 @@ def upsert_pairs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Incoming parameters win key by key, other incoming values win unless NULL, and the incoming
     history entry is appended. Both sides must hold one row per pair.
+
+    Rows are dealt out by a hash of the keys, with all their columns: a side that was dealt by its bare keys before would
+    else be taken as it lies, in pieces cut by the bytes of the keys, and a task sorts far more than a piece should hold.
     """
     keys = ["learning_model_id", "dataset_id"]
     old = stored.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in ("name", "path", "version", "params", "history")])
     new = incoming.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in ("name", "path", "version", "params", "entry")])
-    joined = old.join(new, keys, "full")
+    deal = F.xxhash64(*keys)
+    joined = old.withColumn("_deal", deal).join(new.withColumn("_deal", deal), ["_deal", *keys], "full")
     empty = F.create_map().cast("map<string,string>")
     fresh, past = F.coalesce("_n_params", empty), F.coalesce("_o_params", empty)
     kept = F.map_filter(past, lambda k, v: ~F.array_contains(F.map_keys(fresh), k))

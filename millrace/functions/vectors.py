@@ -32,14 +32,3 @@ def terms(col: Column) -> Column:
     """
     lowered = F.lower(F.coalesce(col, F.lit("")))
     return F.split(F.when(lowered.rlike(r"[\p{L}\p{N}]"), lowered).otherwise(F.lit("empty")), r"[^\p{L}\p{N}]+")
-
-
-def term_bucket(digest: Column, dimension: int) -> Column:
-    """First four bytes of the term's sha256, modulo the dimension."""
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dimension).cast("int")
-
-
-def term_weight(term: Column, digest: Column) -> Column:
-    """1 + ln(1 + length), negative when the fifth byte of the sha256 is odd."""
-    odd = F.substring(digest, 10, 1).isin(*"13579bdf")
-    return F.when(odd, F.lit(-1.0)).otherwise(F.lit(1.0)) * (1 + F.log1p(F.length(term).cast("double")))

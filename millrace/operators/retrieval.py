@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions import text as X
@@ -25,31 +29,47 @@ STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "draft", "cre
 # ---------------------------------------------------------------------------
 
 
-def hashed_embeddings(df: DataFrame, key: str, text: str, dimension: int = DIMENSION, instruction: str = "") -> DataFrame:
-    """(key, embedding): signed, hashed bag of words of unit length, one row per input row.
+def embedding(text: Column, dimension: int = DIMENSION, instruction: str = "") -> Column:
+    """Signed, hashed bag of words of a text, of unit length: worked out where the row lies."""
+    body = F.concat(F.lit(instruction + "\n"), F.coalesce(text, F.lit(""))) if instruction else text
+    return _weigher(max(MIN_DIMENSION, dimension))(V.terms(body))
+
+
+def _weigher(size: int):
+    """Vectors of arrays of words.
 
-    Rows are spread by key once. Both groupings below reuse that partitioning, and an entry list
-    holds at most ``dimension`` items.
+    A word's place is given by the first four bytes of its sha256, modulo the size. It weighs 1 + ln(1 + length), less than
+    zero when the fifth byte is odd. Empty words weigh nothing.
     """
-    size = max(MIN_DIMENSION, dimension)
+
+    @F.arrow_udf("array<double>")
+    def weigh(words: pa.Array) -> pa.Array:
+        coded = words.flatten().dictionary_encode()
+        own = [w.encode() for w in coded.dictionary.to_pylist()]
+        digests = [sha256(w).digest() for w in own]
+        places = np.array([int.from_bytes(d[:4], "big") % size for d in digests], np.int64)
+        signs = np.array([-1.0 if d[4] & 1 else 1.0 for d in digests])
+        lengths = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)
+        weights = np.where(lengths > 0, signs * (1 + np.log1p(lengths)), 0.0)
+        rows, codes = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False)), coded.indices.to_numpy(zero_copy_only=False)
+        vectors = np.bincount(rows * size + places[codes], weights[codes], len(words) * size).reshape(len(words), size)
+        norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        vectors /= np.where(norms == 0, 1.0, norms)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * size, pa.int32()), pa.array(vectors.ravel()))
+
+    return weigh
+
+
+def hashed_embeddings(df: DataFrame, key: str, text: str, dimension: int = DIMENSION, instruction: str = "") -> DataFrame:
+    """(key, embedding): signed, hashed bag of words of unit length, one row per key; rows that share a key count as one text."""
     body = F.concat(F.lit(instruction + "\n"), F.coalesce(text, F.lit(""))) if instruction else F.col(text)
-    words = df.select(key, body.alias("_t")).repartition(key).select(key, F.explode(V.terms(F.col("_t"))).alias("_w"))
-    hashed = words.where("_w <> ''").withColumn("_d", F.sha2("_w", 256))
-    entries = hashed.groupBy(key, V.term_bucket(F.col("_d"), size).alias("_b")).agg(
-        F.sum(V.term_weight(F.col("_w"), F.col("_d"))).alias("_x")
-    )
-    packed = entries.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("_b", "_x"))).alias("_m"), F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_n")
-    )
-    norm = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.col("_n"))
-    slots = F.sequence(F.lit(0), F.lit(size - 1))
-    return packed.select(key, F.transform(slots, lambda i: F.coalesce(F.try_element_at("_m", i) / norm, F.lit(0.0))).alias("embedding"))
+    bags = df.groupBy(key).agg(F.flatten(F.collect_list(V.terms(body))).alias("_w"))
+    return bags.select(key, _weigher(max(MIN_DIMENSION, dimension))("_w").alias("embedding"))
 
 
 def embed_query(spark: SparkSession, query: str, dimension: int = DIMENSION, instruction: str = "") -> list[float]:
     """The vector of one query text, made by the same expressions as the index."""
-    row = spark.range(1).select("id", F.lit(query).alias("q"))
-    return hashed_embeddings(row, "id", "q", dimension, instruction).first()["embedding"]
+    return spark.range(1).select(embedding(F.lit(query), dimension, instruction).alias("embedding")).first()["embedding"]
 
 
 def source_records(references: DataFrame, examples: DataFrame | None = None, text_limit: int | None = None) -> DataFrame:
@@ -83,9 +103,8 @@ def example_sources(objects: DataFrame, text_limit: int | None = None) -> DataFr
 
 
 def build_index(sources: DataFrame, dimension: int = DIMENSION, instruction: str = "") -> DataFrame:
-    """Source records with their embedding, joined on the record id."""
-    vectors = hashed_embeddings(sources, "reference_id", "text", dimension, instruction)
-    return sources.join(vectors, "reference_id")
+    """Source records with their embedding, each made in its row: the sources are worked out once and not moved for it."""
+    return sources.withColumn("embedding", embedding(F.col("text"), dimension, instruction))
 
 
 def index_status(index: DataFrame) -> DataFrame:

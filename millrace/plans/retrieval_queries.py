@@ -101,7 +101,7 @@ def retrieval_search_vectors(spark, sf_dir):
 )
 def retrieval_search_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("lang").alias("tags"))
-    index = R.hashed_embeddings(docs, "doc_id", "text").join(docs.select("doc_id", "tags"), "doc_id")
+    index = docs.select("doc_id", "tags", R.embedding(F.col("text")).alias("embedding"))
     probe = R.embed_query(spark, "the thing on hand and the elle")
     return R.search(index, probe, ["fr"], 10, key="doc_id").select("doc_id", "score")
 

@@ -68,6 +68,6 @@ def stream_corpus(spark, sf_dir):
     drop, out, mark = (scratch_path(spark, n) for n in ("corpus-in", "corpus-out", "corpus-mark"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     for part in (0, 1):
-        docs.where(F.col("doc_id") % 2 == part).repartition(3).write.mode("append").json(drop)
+        docs.where(F.col("doc_id") % 2 == part).write.mode("append").json(drop)  # as many files as the table has pieces
         T.corpus_stream(spark, drop, out, mark).awaitTermination()
     return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("content_hash").alias("hashes"))

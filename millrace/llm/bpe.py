@@ -4,7 +4,8 @@ Texts are cut by the tokenizer's pattern. The distinct pieces of a stretch of te
 symbols. An inverted index leads from a token pair's rank to its positions in all pieces; merges are
 applied in rank order, each to every position at once, and only the two neighbours of a merge enter the
 index anew. Each piece is then looked up for its ids. A stretch holds a bounded number of new pieces, and
-a worker remembers a bounded number of pieces from earlier stretches; neither changes a result.
+a task remembers a bounded number of pieces from earlier stretches; neither changes a result. When the task ends
+they are given up, since its worker stays and waits for tasks of other stages.
 
 Defined results: NULL and empty texts have no tokens. Special tokens are ordinary text. A text that
 cannot be UTF-8 cannot occur in a string column. Repeated rows are encoded alike.
@@ -25,8 +26,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-NEW_PIECES = 100_000
-REMEMBERED = 300_000
+# Bounds of memory; none changes a result.
+NEW_PIECES = 25_000
+REMEMBERED = 100_000
+PAIRS = 300_000
 STRETCH_CHARS = 8 << 20
 LONG_TEXT = 4 << 20
 
@@ -53,6 +56,8 @@ class Merges:
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit integers."""
+        if len(self.pairs) > PAIRS:  # those that are met below are looked up again
+            self.pairs.clear()
         out: list[bytes] = [b""] * len(pieces)
         pack = lambda ids: array("I", ids).tobytes()
         symbols: list[int] = []
@@ -174,7 +179,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def load_encoder(path: str, pattern: str) -> Encoder:
-    """One encoder for all tasks of a worker process, with the pieces it remembers."""
+    """One encoder for all tasks of a worker process; each task clears the pieces it remembered."""
     return Encoder(path, pattern)
 
 
@@ -188,25 +193,28 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                column = part.column(part.num_columns - 1)
-                counts, hashes, decoded, ids_out, bytes_out = [], [], [], [], []
-                for packed in encoder.encode(x.as_py() or "" for x in column):
-                    counts.append(len(packed) // 4)
-                    hashes.append(hashlib.sha256(packed).hexdigest())
-                    ids = array("I", packed)
-                    body = encoder.merges.decode(ids)
-                    decoded.append(hashlib.sha256(body).hexdigest())
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    column = part.column(part.num_columns - 1)
+                    counts, hashes, decoded, ids_out, bytes_out = [], [], [], [], []
+                    for packed in encoder.encode(x.as_py() or "" for x in column):
+                        counts.append(len(packed) // 4)
+                        hashes.append(hashlib.sha256(packed).hexdigest())
+                        ids = array("I", packed)
+                        body = encoder.merges.decode(ids)
+                        decoded.append(hashlib.sha256(body).hexdigest())
+                        if with_ids:
+                            ids_out.append(packed)
+                            bytes_out.append(body)
+                    columns = [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
                     if with_ids:
-                        ids_out.append(packed)
-                        bytes_out.append(body)
-                columns = [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-                if with_ids:
-                    ends = pa.array(np.cumsum([0, *counts]), pa.int32())
-                    columns += [pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids_out), np.int32))), pa.array(bytes_out, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*part.schema.names[:-1], *out[: len(columns)]])
+                        ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+                        columns += [pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids_out), np.int32))), pa.array(bytes_out, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*part.schema.names[:-1], *out[: len(columns)]])
+        finally:
+            encoder.known.clear()
 
     out = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
     schema = named.drop("_t").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")

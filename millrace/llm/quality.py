@@ -23,12 +23,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.llm.hashedtext import byte_trigrams
 from millrace.llm.labelled import training_sample
 from millrace.llm.tables import saved
-from millrace.llm.textbytes import SPACED, TextSlice, distinct_per_doc, find_words, text_slices
+from millrace.llm.textbytes import SPACED, TextSlice, byte_view, distinct_per_doc, find_words, text_slices
 from millrace.llm.toxicity import sigmoid
 
 BITS = 14
 EXTRA = 3  # share of words equal to the one before, share of words seen before, words per byte
 WIDTH = (1 << BITS) + EXTRA
+SLICE_BYTES = 1 << 18  # of text whose trigrams a task counts at once, at some 70 bytes of memory each
 SAMPLE = 12_000
 EPOCHS = 12
 BATCH = 64
@@ -70,20 +71,27 @@ def features(part: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _feature_rows(sample: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch.column(2)):
+            for part in text_slices(batch.column(2), SLICE_BYTES):
                 rows = len(part.offsets) - 1
                 doc, feature, value = features(part)
                 order = np.argsort(doc, kind="stable")
                 ends = np.searchsorted(doc[order], np.arange(rows + 1))
-                packs = [
-                    [x[order][a:b].astype(kind).tobytes() for a, b in zip(ends[:-1], ends[1:])] for x, kind in ((feature, np.int32), (value, np.float32))
-                ]
+                sorted_by_doc = (feature[order].astype(np.uint16), value[order].astype(np.float32))
+                packs = [[x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])] for x in sorted_by_doc]
                 at = slice(part.first, part.first + rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at], batch.column(1)[at], *[pa.array(p, pa.binary()) for p in packs]], ["doc_id", "y", "f", "v"])
 
     return sample.select("doc_id", "y", "t").mapInArrow(work, "doc_id long, y int, f binary, v binary")
 
 
+def _examples(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(grade, features, values) of packed rows, as views of the batch."""
+    f, f_at = byte_view(batch.column(2))
+    v, v_at = byte_view(batch.column(3))
+    for i, y in enumerate(batch.column(1).to_pylist()):
+        yield y, f[f_at[i] : f_at[i + 1]].view(np.uint16), v[v_at[i] : v_at[i + 1]].view(np.float32)
+
+
 def learn(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> Model:
     """Adagrad on the likelihood of the graded examples (grade, features, values)."""
     grades = sorted({y for y, *_ in examples})
@@ -134,11 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed: Col
     rows = saved(_feature_rows(training_sample(docs, labels, label, sample, allowed)), "quality-features")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [
-            (y, np.frombuffer(f, np.int32), np.frombuffer(v, np.float32))
-            for batch in batches for y, f, v in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
-        ]
-        model = learn(examples)
+        model = learn([example for batch in batches for example in _examples(batch)])
         yield pa.RecordBatch.from_arrays(
             [pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.thresholds, np.array(model.grades, np.int64))], ["w", "c", "g"]
         )
@@ -164,7 +168,7 @@ def grade(docs: DataFrame, model: Model, text: str = "text", keep_at: float = KE
         steps = np.diff(np.array(own.grades, float))
         for batch in batches:
             expected, best = [np.zeros(0)], [np.zeros(0)]
-            for part in text_slices(batch.column(batch.num_columns - 1)):
+            for part in text_slices(batch.column(batch.num_columns - 1), SLICE_BYTES):
                 doc, feature, value = features(part)
                 score = np.bincount(doc, own.weights[feature] * value, minlength=len(part.offsets) - 1)
                 tails = sigmoid(score[:, None] - own.thresholds[None, :])

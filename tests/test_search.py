@@ -41,3 +41,22 @@ def test_shares_are_nested_and_stable(sides):
     cells = lambda df: {(tuple(r["features"]), r["label"]) for r in df.collect()}
     small, large = cells(M.share_of(train, 0.2)), cells(M.share_of(train, 0.5))
     assert small < large and small == cells(M.share_of(train.repartition(7), 0.2))
+
+
+def test_equal_fits_are_made_once(sides, monkeypatch):
+    """Trees and depth mean nothing to linear fits: such trials share one fit and keep a row each."""
+    fits, plain = [], M.fit_regressor
+    monkeypatch.setattr(M, "fit_regressor", lambda rows, kind, **p: (fits.append(kind), plain(rows, kind, **p))[1])
+    space = {
+        "estimator_class": {"type": "categorical", "choices": ["LinearRegression", "Ridge"]},
+        "max_depth": {"type": "int", "low": 2, "high": 12}, "n_estimators": {"type": "int", "low": 50, "high": 200, "step": 25},
+    }
+    got = M.run_search(*sides, "regression", trials=10, space=space).toPandas()
+    assert sorted(fits) == ["LinearRegression", "Ridge"]
+    assert len(got) == 10 and (got.state == "COMPLETE").all() and got.groupby("estimator_class").value.nunique().tolist() == [1, 1]
+
+
+def test_different_fits_are_not_taken_for_equal():
+    keys = {M._fit_key("RandomForestRegressor", {"max_depth": d, "n_estimators": n}) for d in (2, 3) for n in (5, 6)}
+    keys |= {M._fit_key("Ridge", {"reg_param": r}) for r in (0.5, 2.0)} | {M._fit_key("GradientBoostingRegressor", {"max_depth": 2, "n_estimators": 5})}
+    assert len(keys) == 7 and M._fit_key("Nothing", {"a": 1}) == M._fit_key("Nothing", {"a": 1})

@@ -3,7 +3,9 @@
 Texts are cut by the tokenizer's pattern. The distinct pieces of a stretch of text form one table of
 symbols. An inverted index leads from a token pair's rank to its positions in all pieces; merges are
 applied in rank order, each to every position at once, and only the two neighbours of a merge enter the
-index anew. Each piece is then looked up for its ids. A stretch holds a bounded number of new pieces, and
+index anew. Short pieces, nearly all, share arrays: their index holds one number for each pair, ordered by
+piece, rank and place, and a pass merges the first pair of every piece. Longer ones share an index of lists.
+Each piece is then looked up for its ids. A stretch holds a bounded number of new pieces, and
 a task remembers a bounded number of pieces from earlier stretches; neither changes a result. When the task ends
 they are given up, since its worker stays and waits for tasks of other stages.
 
@@ -26,17 +28,68 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-# Bounds of memory; none changes a result.
+# Bounds of memory and steps of the index by rank; none changes a result.
 NEW_PIECES = 25_000
 REMEMBERED = 100_000
 PAIRS = 300_000
+SHORT_BITS = 6  # short pieces have at most as many bytes as this many bits can count
+SHORT_BYTES = 1 << 19
 STRETCH_CHARS = 8 << 20
 LONG_TEXT = 4 << 20
+RANK_STEPS = 4
+
+
+class PairRanks:
+    """Ranks of all pairs of tokens that join to a token, by open addressing in arrays."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.width = max(ranks.values()) + 1
+        keys, found = array("q"), array("i")
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left = ranks.get(token[:cut])
+                if left is not None:
+                    right = ranks.get(token[cut:])
+                    if right is not None:
+                        keys.append(left * self.width + right)
+                        found.append(rank)
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.found = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        todo, values = np.frombuffer(keys, np.int64), np.frombuffer(found, np.int32)
+        at = self.slots(todo)
+        while len(todo):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = todo[free]  # one of those that meet stays
+            own = self.keys[at] == todo
+            self.found[at[own]] = values[own]
+            todo, values, at = todo[~own], values[~own], (at[~own] + 1) & self.mask
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Id of each joined token, -1 if it is none; so too where a side is no symbol."""
+        keys = left * np.int64(self.width) + right
+        at = self.slots(keys)
+        held = self.keys[at]
+        found = np.where(held == keys, self.found[at], np.int32(-1))
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            held = self.keys[at[open_]]
+            hit = held == keys[open_]
+            found[open_[hit]] = self.found[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        found[(left < 0) | (right < 0)] = -1
+        return found
 
 
 class Merges:
     """Ranks of a vocabulary file of lines ``base64 rank``."""
 
+    pair_ranks: PairRanks | None = None  # made when first needed
+
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
@@ -56,22 +109,101 @@ class Merges:
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit integers."""
-        if len(self.pairs) > PAIRS:  # those that are met below are looked up again
+        if len(self.pairs) >= PAIRS:  # those that are met below are looked up again
             self.pairs.clear()
         out: list[bytes] = [b""] * len(pieces)
-        pack = lambda ids: array("I", ids).tobytes()
-        symbols: list[int] = []
-        ends = array("q")
-        open_pieces = []
+        short: list[int] = []
+        long: list[int] = []
         for k, piece in enumerate(pieces):
             whole = self.ranks.get(piece)
             if whole is not None:
-                out[k] = pack((whole,))
+                out[k] = array("I", (whole,)).tobytes()
             else:
-                open_pieces.append(k)
-                symbols.extend([self.single[b] for b in piece])
-                symbols.append(-1)  # no pair reaches over a border
-                ends.append(len(symbols))
+                (long if len(piece) >> SHORT_BITS else short).append(k)
+        size, block = 0, []
+        for k in short:
+            block.append(k)
+            size += len(pieces[k])
+            if size >= SHORT_BYTES:
+                self.replay_short(pieces, block, out)
+                size, block = 0, []
+        if block:
+            self.replay_short(pieces, block, out)
+        if long:
+            self.replay_long(pieces, long, out)
+        return out
+
+    def replay_short(self, pieces: list[bytes], block: list[int], out: list[bytes]) -> None:
+        """Puts the ids of the pieces ``block`` into ``out``; a piece has less than 2 ** SHORT_BITS bytes."""
+        if self.pair_ranks is None:
+            self.pair_ranks = PairRanks(self.ranks)
+        ranks_of = self.pair_ranks.of
+        body = np.frombuffer(b"".join([pieces[k] for k in block]), np.uint8)
+        sizes = np.array([len(pieces[k]) for k in block])
+        # A border before each piece and after the last one: no pair reaches over it.
+        start = np.cumsum(sizes + 1) - sizes
+        piece = np.repeat(np.arange(len(block), dtype=np.int32), sizes + 1)
+        symbols = np.full(len(piece) + 1, -1, np.int32)
+        symbols[np.arange(1, len(body) + 1) + np.repeat(np.arange(len(block)), sizes)] = np.array(self.single, np.int32)[body]
+        after = np.arange(1, len(symbols) + 1, dtype=np.int32)
+        before = np.arange(-1, len(symbols) - 1, dtype=np.int32)
+        rank_at = np.full(len(symbols), -1, np.int32)  # of the pair that starts there
+        rank_at[:-1] = ranks_of(symbols[:-1], symbols[1:])
+        rank_bits = int(self.pair_ranks.width).bit_length()
+        low, rank_mask = (1 << SHORT_BITS) - 1, (1 << rank_bits) - 1
+
+        def entries(places: np.ndarray) -> np.ndarray:
+            own = piece[places].astype(np.int64)
+            return (((own << rank_bits) | rank_at[places]) << SHORT_BITS) | (places - start[own])
+
+        later = entries(np.flatnonzero(rank_at >= 0))
+        firsts = np.sort((later >> SHORT_BITS) & rank_mask)
+        steps = sorted({int(firsts[len(firsts) * s // RANK_STEPS]) for s in range(1, RANK_STEPS)} if len(firsts) else ())
+        for end in [*steps, self.pair_ranks.width]:
+            now = ((later >> SHORT_BITS) & rank_mask) < end
+            index, later = np.sort(later[now]), [later[~now]]
+            while len(index):
+                own = index >> (rank_bits + SHORT_BITS)
+                places = start[own] + (index & low)
+                holds = rank_at[places] == ((index >> SHORT_BITS) & rank_mask)  # else a merge has changed the pair
+                index, own, places = index[holds], own[holds], places[holds]
+                if not len(index):
+                    break
+                first = np.empty(len(own), bool)
+                first[0] = True
+                np.not_equal(own[1:], own[:-1], out=first[1:])
+                i = places[first]
+                j, h = after[i], before[i]
+                k = after[j]
+                symbols[i] = rank_at[i]
+                symbols[j] = rank_at[j] = -2
+                after[i] = k
+                before[k] = i
+                rank_at[h] = ranks_of(symbols[h], symbols[i])
+                rank_at[i] = ranks_of(symbols[i], symbols[k])
+                new = np.concatenate([h[rank_at[h] >= 0], i[rank_at[i] >= 0]])
+                soon = rank_at[new] < end
+                later.append(entries(new[~soon]))
+                index = index[~first]
+                if soon.any():
+                    index = np.sort(np.concatenate([index, entries(new[soon])]))
+            later = np.concatenate(later)
+        stays = np.flatnonzero(symbols >= 0)
+        packed = symbols[stays].tobytes()
+        ends = (4 * np.searchsorted(stays, start + sizes)).tolist()
+        begin = 0
+        for k, stop in zip(block, ends):
+            out[k] = packed[begin:stop]
+            begin = stop
+
+    def replay_long(self, pieces: list[bytes], block: list[int], out: list[bytes]) -> None:
+        """The same for pieces of any length."""
+        symbols: list[int] = []
+        ends = array("q")
+        for k in block:
+            symbols.extend([self.single[b] for b in pieces[k]])
+            symbols.append(-1)  # no pair reaches over a border
+            ends.append(len(symbols))
         after = array("q", range(1, len(symbols) + 1))
         before = array("q", range(-1, len(symbols) - 1))
         index: dict[int, list[int]] = {}
@@ -127,10 +259,9 @@ class Merges:
                     heapq.heappush(queue, rank)
                     break
         start = 0
-        for k, end in zip(open_pieces, ends):
-            out[k] = pack([s for s in symbols[start : end - 1] if s >= 0])
+        for k, end in zip(block, ends):
+            out[k] = array("I", [s for s in symbols[start : end - 1] if s >= 0]).tobytes()
             start = end
-        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

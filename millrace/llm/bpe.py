@@ -37,6 +37,7 @@ SHORT_BYTES = 1 << 19
 STRETCH_CHARS = 8 << 20
 LONG_TEXT = 4 << 20
 RANK_STEPS = 4
+OUT_ROWS = 512  # rows of a batch that leaves a task
 
 
 class PairRanks:
@@ -326,8 +327,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
         encoder = load_encoder(path, pattern)
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
+                for at in range(0, batch.num_rows, OUT_ROWS):
+                    part = batch.slice(at, OUT_ROWS)
                     column = part.column(part.num_columns - 1)
                     counts, hashes, decoded, ids_out, bytes_out = [], [], [], [], []
                     for packed in encoder.encode(x.as_py() or "" for x in column):

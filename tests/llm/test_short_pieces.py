@@ -8,6 +8,7 @@ import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from millrace.llm import bpe
@@ -77,3 +78,15 @@ def test_pairs_of_long_pieces_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "PAIRS", held - 1)
     merges.pairs[-5, -6] = 7
     assert merges.replay(pieces) == want and (-5, -6) not in merges.pairs and len(merges.pairs) == held
+
+
+def test_batches_that_leave_a_task_are_small(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    found, plain = {}, type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, work, schema: (found.update(work=work), plain(self, work, schema))[1])
+    bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN, with_ids=True)
+    texts = [f"text {k}" for k in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"_0": list(range(3000)), "_1": texts, "_t": texts})
+    made = [(b.num_rows, b.column(b.schema.get_field_index("decoded")).to_pylist()) for b in found["work"](iter([batch]))]
+    assert max(n for n, _ in made) <= 512
+    assert [t.decode() for _, part in made for t in part] == texts

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F, types as T
 
 from millrace.operators import evaluate as E, networks
 from millrace.operators.networks import _Gradient, fit_network_regressor
+from millrace.plans import QUERIES
 
 SCHEMA = T.StructType().add("features", VectorUDT()).add("label", "double")
 
@@ -92,3 +94,51 @@ def test_written_out_scores_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(networks, "WRITTEN_OUT", 0)
     order = lambda out: sorted(str(r["prediction"]) for r in out.collect())
     assert order(written) == order(shown()) and order(written).count("None") == 3
+
+
+def counted(monkeypatch):
+    """The rows every sum over the training rows goes through, sum by sum."""
+    read, plain = [], networks._summed
+
+    def summed(rows, measure):
+        *total, count = plain(rows, lambda *part: np.append(measure(*part), float(len(part[0]))))
+        read.append(int(count))
+        return np.array(total)
+
+    monkeypatch.setattr(networks, "_summed", summed)
+    return read
+
+
+def test_every_epoch_of_the_query_goes_over_every_line(spark, monkeypatch, tmp_path):
+    lines = spark.range(900).selectExpr("CAST(1 + id % 6 AS double) AS l_quantity", "id % 3 / 50.0D AS l_discount", "id % 2 / 25.0D AS l_tax")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))  # six different lines, each 150 times
+    read = counted(monkeypatch)
+    row = QUERIES["model_network_regression"](spark, str(tmp_path)).first()
+    assert row["scored"] == 900 and row["epochs"] == 30
+    assert read == [900] * 31  # means and deviations, then 30 epochs
+
+
+def test_packed_rows_give_the_same_fit(spark, monkeypatch):
+    odd = [(None, 1.0), (Vectors.dense([1.0, 2.0, 3.0]), None), (Vectors.dense([1.0, float("nan"), 3.0]), 1.0), (Vectors.dense([1.0, 2.0, 3.0]), float("inf"))]
+    odd = spark.createDataFrame([*odd, (Vectors.sparse(3, {1: 2.0}), 39.0)], SCHEMA)
+    df = frame(spark, 300)
+    df = df.unionAll(df.withColumn("label", F.col("label") + 3)).unionAll(odd).repartition(5)
+    with pytest.raises(ValueError, match="No complete row"):
+        fit_network_regressor(odd.where("label IS NULL OR features IS NULL OR label <> 39"), (4,), epochs=1, merge=False)
+    merged = fit_network_regressor(df, (5, 4), epochs=8)
+    read = counted(monkeypatch)
+    packed = fit_network_regressor(df, (5, 4), epochs=8, merge=False)
+    assert read == [601] * 9
+    assert np.allclose(merged.details["loss"], packed.details["loss"], rtol=1e-9)
+    for (w, b), (v, c) in zip(merged.model.layers, packed.model.layers):
+        assert np.allclose(w, v, rtol=1e-6) and np.allclose(b, c, rtol=1e-6, atol=1e-9)
+
+
+def test_large_blocks_are_read_whole(monkeypatch):
+    monkeypatch.setattr(networks, "AT_ONCE", 4)
+    blocks = [np.arange(27.0).reshape(9, 3), np.arange(6.0).reshape(2, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 3], pa.int32()), pa.array([b.tobytes() for b in blocks])], ["width", "block"])
+    parts = list(networks._parts(batch))
+    assert [len(y) for _, y, _, _ in parts] == [4, 4, 1, 2]
+    assert np.array_equal(np.concatenate([np.column_stack([x, y]) for x, y, _, _ in parts]), np.concatenate(blocks))
+    assert all((n == 1).all() and not spread.any() for _, _, n, spread in parts)
